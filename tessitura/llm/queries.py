@@ -7,6 +7,8 @@ import importlib
 #: query: its module here
 _PLACES = {
     "op1_quality_rules": "quality",
+    "op5_chat_formatting": "chat",
+    "op8_url_filters": "urls",
 }
 
 
@@ -15,4 +17,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    found = {name: getattr(importlib.import_module(f"{__package__}.{module}"), "ORACLE", None) for name, module in _PLACES.items()}
+    return {name: sql for name, sql in found.items() if sql}
