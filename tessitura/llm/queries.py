@@ -8,6 +8,7 @@ import importlib
 _PLACES = {
     "op1_quality_rules": "quality",
     "op5_chat_formatting": "chat",
+    "op7_bpe": "bpe",
     "op8_url_filters": "urls",
 }
 
