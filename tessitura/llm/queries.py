@@ -9,6 +9,7 @@ _PLACES = {
     "op1_quality_rules": "quality",
     "op5_chat_formatting": "chat",
     "op7_bpe": "bpe",
+    "op9_packing": "packing",
     "op8_url_filters": "urls",
 }
 
