@@ -7,6 +7,7 @@ import importlib
 #: query: its module here
 _PLACES = {
     "op1_quality_rules": "quality",
+    "op10_license_scan": "licenses",
     "op2_language_id": "language",
     "op5_chat_formatting": "chat",
     "op7_bpe": "bpe",
