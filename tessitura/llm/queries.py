@@ -10,6 +10,7 @@ _PLACES = {
     "op10_license_scan": "licenses",
     "op2_language_id": "language",
     "op5_chat_formatting": "chat",
+    "op6_minhash_near_dedup": "neardup",
     "op7_bpe": "bpe",
     "op9_packing": "packing",
     "op8_url_filters": "urls",
