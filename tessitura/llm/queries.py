@@ -9,6 +9,7 @@ _PLACES = {
     "op1_quality_rules": "quality",
     "op10_license_scan": "licenses",
     "op2_language_id": "language",
+    "op3_vector_near_dedup": "vectors",
     "op4_substring_dedup": "substrings",
     "op5_chat_formatting": "chat",
     "op6_minhash_near_dedup": "neardup",
