@@ -137,10 +137,10 @@ def fitted(spark: SparkSession, featured: DataFrame) -> LabelModel:
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents worth keeping, with the columns they came with. The features are computed twice, once to fit and once to
-    filter: that is cheaper than carrying the texts through storage."""
-    model = fitted(spark, with_features(docs.select(text), text))
-    return scored(with_features(docs, text), model).where("q_kept").select(*docs.columns)
+    """The documents worth keeping, with the columns they came with. Documents and features are stored once, so that no filter
+    is pushed below the features and computes them again; as a struct, so that no column name can clash."""
+    f = stored(spark, with_features(docs.select(F.struct("*").alias("d"), F.col(text).alias("t")), "t").select("d", "q_"), "quality")
+    return scored(f, fitted(spark, f)).where("q_kept").select("d.*")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
