@@ -1,9 +1,9 @@
 """BPE encoding and decoding with the merges of a tokenizers file whose words are independent (lower-cased, white space
 dropped, word ends marked).
 
-Texts are cut into words at ASCII white space; each distinct word of a batch is encoded once and kept in a bounded table, so
-texts are put together by look-ups. New words are encoded all at once by a pair occurrence index: every adjacent pair of
-symbols is mapped to all its positions, active ranks are applied in ascending order, each at all its positions together,
+Texts are cut into the pieces that merge on their own; each distinct piece of a partition is encoded once and kept in a bounded
+table, so texts are put together by look-ups. New pieces are encoded all at once by a pair occurrence index: every adjacent pair
+of symbols is mapped to all its positions, active ranks are applied in ascending order, each at all its positions together,
 and the pairs to the left and right of each merge join the lists of their own ranks.
 
 Defined results: null texts are empty; empty texts give no ids and an empty decoded text.
@@ -14,9 +14,12 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,17 +28,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .shared import table
 
-#: Distinct words that a Python worker keeps between batches.
-MAX_KEPT = 500_000
-#: Words looked at before new ones are encoded together.
-MAX_SEEN = 4_000_000
+#: Distinct pieces beyond which a Python worker empties its table before the next texts.
+MAX_KEPT = 600_000
+#: Code points looked at before new pieces are encoded together, in whole texts.
+MAX_SEEN = 24_000_000
 #: Symbols merged at once: bounds the memory of the pair index.
 MAX_SYMBOLS = 2_000_000
 #: Code points that the file's normalizer takes as white space (fixed values).
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PIECES = regex.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[\\p{{L}}]+|[\\p{{N}}]|[^{WHITE}\\p{{L}}\\p{{N}}]+")
-PLAIN = regex.compile("([a-z]+)([.,;:!?|]*)")
-SPLIT = regex.compile("[\\x20\\x09-\\x0D]+")
+#: The same for texts of U+0000 to U+00FF, which are in normal form; the standard library is quicker with them.
+LATIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\t-\r \x85\xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
+
+
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 def byte_letters() -> list[str]:
@@ -107,12 +118,15 @@ class Merges:
         index(np.arange(n))
         while heap:
             rank = heapq.heappop(heap)
-            at = np.unique(np.concatenate(lists.pop(rank)))
+            at = lists.pop(rank)
+            at = at[0] if len(at) == 1 else np.concatenate(at)
             at = at[alive[at]]
             at = at[after[at] < n]
             at = at[self.ranks(symbol[at], symbol[after[at]]) == rank]
             if not len(at):
                 continue
+            at = np.sort(at)
+            at = at[np.concatenate(([True], at[1:] != at[:-1]))]
             nxt = after[at]
             if len(at) > 1 and (nxt[:-1] == at[1:]).any():  # runs such as aaa: from the left, every other pair
                 run = np.concatenate(([True], nxt[:-1] != at[1:]))
@@ -126,7 +140,7 @@ class Merges:
             inside = beyond < n
             before[beyond[inside]] = at[inside]
             back = before[at]
-            index(np.unique(np.concatenate((at, back[back >= 0]))))
+            index(np.concatenate((at, back[back >= 0])))
         kept = np.flatnonzero(alive)
         counts = np.add.reduceat(alive.astype(np.int64), ends - size)
         return symbol[kept], [0, *np.cumsum(counts).tolist()]
@@ -143,102 +157,107 @@ def lowered(text: str) -> str:
 
 
 class Encoder:
-    """Words to what a use makes of their ids, with a bounded table of what was met.
-
-    form(ids, bounds): a list with an item for each piece; glue(items): the item of a word of no or several pieces."""
-
-    def __init__(self, path: str, form: Callable, glue: Callable):
-        self.m, self.form, self.glue = merges(path), form, glue
-        self.pieces: dict[str, object] = {}
-        self.words: dict[str, object] = {}
-
-    def cut(self, word: str) -> list[str | int]:
-        """The pieces of a word that merge on their own; a special token gives its id."""
-        if word.isascii() and (got := PLAIN.fullmatch(word.lower())):
-            return [x for x in got.groups() if x]
-        out: list[str | int] = []
-        for part in self.m.specials.split(word) if self.m.specials else [word]:
-            if part in self.m.special:
-                out.append(self.m.special[part])
-            elif part:
-                out += PIECES.findall(lowered(unicodedata.normalize("NFC", part)))
-        return out
-
-    def learn(self, new: list[str]) -> None:
-        cut = list(map(self.cut, new))
-        fresh = list({p for c in cut for p in c if p not in self.pieces})
-        for i in [p for p in fresh if isinstance(p, int)]:
-            self.pieces[i] = self.form(np.array([i]), [0, 1])[0]
-        fresh = [p for p in fresh if isinstance(p, str)]
-        at = 0
+    """Texts to numbers of pieces, and pieces to ids, with a bounded table of the pieces met."""
+
+    def __init__(self, path: str, of_piece: Callable | None = None):
+        """of_piece(ids, bounds): a list with an item for each new piece, kept in `items`."""
+        self.m, self.of_piece = merges(path), of_piece
+        self.empty()
+
+    def empty(self) -> None:
+        self.number: dict[str, int] = defaultdict(count().__next__)  # a piece met for the first time gets the next number
+        self.ids, self.at = np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
+        self.items: list = []
+
+    def pieces(self, text: str) -> list[str]:
+        """The pieces that merge on their own. A special token is written with a space before it, which no piece has."""
+        if self.m.specials and "<|" in text:
+            out = []
+            for part in self.m.specials.split(text):
+                out += [" " + part] if part in self.m.special else self._plain(part)
+            return out
+        return self._plain(text)
+
+    @staticmethod
+    def _plain(text: str) -> list[str]:
+        low = text.lower()
+        if low.isascii() or _is_latin(low):
+            return LATIN.findall(low)
+        return PIECES.findall(lowered(unicodedata.normalize("NFC", text)))
+
+    def learn(self) -> None:
+        """Encodes the pieces that have a number but no ids yet."""
+        fresh = list(islice(self.number, len(self.at) - 1, None))
+        ids, sizes, at = [self.ids], [], 0
         while at < len(fresh):
-            some, size = [], 0
-            while at < len(fresh) and (not some or size < MAX_SYMBOLS):
+            some, bulk = [], 0
+            while at < len(fresh) and (not some or bulk < MAX_SYMBOLS) and fresh[at][0] != " ":
                 some.append(fresh[at].encode())
-                size += len(some[-1])
+                bulk += len(some[-1])
                 at += 1
-            self.pieces.update(zip(fresh[at - len(some) : at], self.form(*self.m.merge(some)), strict=True))
-        get, glue = self.pieces.__getitem__, self.glue
-        self.words.update((w, get(c[0]) if len(c) == 1 else glue(list(map(get, c)))) for w, c in zip(new, cut, strict=True))
-
-    def texts(self, texts: list[str]) -> Iterator[list]:
-        """For each text the items of its words."""
-        split = [[w for w in SPLIT.split(t) if w] if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
+            if some:
+                got, bounds = self.m.merge(some)
+            else:
+                got, bounds = np.array([self.m.special[fresh[at][1:]]]), [0, 1]
+                at += 1
+            ids.append(got.astype(np.int32))
+            sizes.append(np.diff(bounds))
+            if self.of_piece:
+                self.items += self.of_piece(got, bounds)
+        self.ids = np.concatenate(ids)
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.concatenate(sizes))]) if sizes else self.at
+
+    def texts(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """For each text the numbers of its pieces; their ids are known when it is given out."""
         at = 0
-        while at < len(split):  # some texts at a time, so that the table may be emptied between them
-            to, seen, new = at, 0, set()
-            while to < len(split) and (to == at or (seen < MAX_SEEN and len(new) < MAX_KEPT // 2)):
-                new.update(split[to])
-                seen += len(split[to])
+        while at < len(texts):
+            if len(self.number) > MAX_KEPT:
+                self.empty()
+            to, seen, numbers = at, 0, []
+            while to < len(texts) and (to == at or seen < MAX_SEEN):
+                got = self.pieces(texts[to])
+                numbers.append(np.fromiter(map(self.number.__getitem__, got), dtype=np.int32, count=len(got)))
+                seen += len(texts[to])
                 to += 1
-            unmet = new.difference(self.words)
-            if len(self.words) + len(unmet) > MAX_KEPT:
-                self.words.clear()
-                self.pieces.clear()
-                unmet = new
-            if unmet:
-                self.learn(list(unmet))
-            get = self.words.__getitem__
-            for s in split[at:to]:
-                yield list(map(get, s))
+            self.learn()
+            yield from numbers
             at = to
 
-
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
+    def ids_of(self, numbers: np.ndarray) -> np.ndarray:
+        start, size = self.at[numbers], self.at[numbers + 1] - self.at[numbers]
+        end = np.cumsum(size)
+        return self.ids[np.repeat(start - end + size, size) + np.arange(end[-1])] if len(numbers) else self.ids[:0]
 
 
-def as_text(path: str) -> Encoder:
-    """Items (number of ids, decimal ids, tokens), both with one space between. One for each worker, kept between tasks."""
-    if (path, "text") not in _ENCODERS:
-        m = merges(path)
-        token = {i: t.encode() for i, t in m.token.items()}
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
 
-        def form(ids, bounds):
-            one = ids.tolist()
-            number, name = [b"%d" % i for i in one], [token[i] for i in one]
-            return [(j - i, b" ".join(number[i:j]), b" ".join(name[i:j])) for i, j in zip(bounds, bounds[1:], strict=False)]
 
-        _ENCODERS[path, "text"] = Encoder(path, form, lambda p: (sum(x[0] for x in p), b" ".join([x[1] for x in p]), b" ".join([x[2] for x in p])))
-    return _ENCODERS[path, "text"]
+def for_ids(path: str) -> Encoder:
+    """One for each worker, kept between its tasks."""
+    if (path, "ids") not in _ENCODERS:
+        _ENCODERS[path, "ids"] = Encoder(path)
+    return _ENCODERS[path, "ids"]
 
 
-def as_bytes(path: str) -> Encoder:
-    """Items of little-endian unsigned 32-bit ids."""
-    if (path, "bytes") not in _ENCODERS:
+def for_strings(path: str) -> Encoder:
+    """One whose items are (number of ids, decimal ids, tokens), both with one space between."""
+    if (path, "strings") not in _ENCODERS:
+        token = {i: t.encode() for i, t in merges(path).token.items()}
 
-        def form(ids, bounds):
-            raw = ids.astype("<u4").tobytes()
-            return [raw[4 * i : 4 * j] for i, j in zip(bounds, bounds[1:], strict=False)]
+        def of_piece(ids, bounds):
+            one = ids.tolist()
+            number, name = [b"%d" % i for i in one], [token[i] for i in one]
+            return [(b" ".join(number[i:j]), b" ".join(name[i:j])) for i, j in zip(bounds, bounds[1:], strict=False)]
 
-        _ENCODERS[path, "bytes"] = Encoder(path, form, b"".join)
-    return _ENCODERS[path, "bytes"]
+        _ENCODERS[path, "strings"] = Encoder(path, of_piece)
+    return _ENCODERS[path, "strings"]
 
 
-def _strings(items: list) -> tuple[int, bytes, bytes]:
-    n, ids, tokens = zip(*items, strict=True) if items else ((), (), ())
-    if 0 in n:
-        ids, tokens = filter(None, ids), filter(None, tokens)
-    return sum(n), b" ".join(ids), b" ".join(tokens)
+def strings(e: Encoder, numbers: np.ndarray) -> tuple[int, bytes, bytes]:
+    """Number of ids, the ids in decimal and the tokens, both with one space between."""
+    items = list(map(e.items.__getitem__, numbers.tolist()))
+    ids, tokens = zip(*items, strict=True) if items else ((), ())
+    return int((e.at[numbers + 1] - e.at[numbers]).sum()), b" ".join(ids), b" ".join(tokens)
 
 
 def coded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", digests: bool = False) -> DataFrame:
@@ -249,12 +268,12 @@ def coded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", d
     last = (lambda x: hashlib.sha256(x).hexdigest()) if digests else bytes.decode
 
     def run(batches):
-        e = as_text(path)
+        e = for_strings(path)
         for b in batches:
             n, ids, decoded = [], [], []
-            for items in e.texts([t or "" for t in b.column(1).to_pylist()]):
-                count, i, d = _strings(items)
-                n.append(count)
+            for numbers in e.texts([t or "" for t in b.column(1).to_pylist()]):
+                size, i, d = strings(e, numbers)
+                n.append(size)
                 ids.append(last(i))
                 decoded.append(last(d))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["k", "n_tokens", *names])

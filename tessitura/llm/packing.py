@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bpe import as_bytes, vocabulary
+from .bpe import for_ids, vocabulary
 from .shared import stored, table
 
 SEQUENCE = 4096
@@ -36,11 +36,11 @@ def pieces(docs: DataFrame, path: str, sequence: int = SEQUENCE, end_id: int = E
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
-        e = as_bytes(path)
+        e = for_ids(path)
         for b in batches:
             rows = []
-            for key, items in zip(b.column(0).to_pylist(), e.texts([t or "" for t in b.column(1).to_pylist()]), strict=True):
-                raw = b"".join(items) + end
+            for key, numbers in zip(b.column(0).to_pylist(), e.texts([t or "" for t in b.column(1).to_pylist()]), strict=True):
+                raw = e.ids_of(numbers).astype("<u4").tobytes() + end
                 n = len(raw) // 4
                 for at in range(0, n, sequence):
                     part = raw[4 * at : 4 * (at + sequence)]
