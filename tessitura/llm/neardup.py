@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import LOWER, chunks, connected, grams, mix, paired, spaced, stored, table
+from .shared import LOWER, chunks, connected, grams, mix, paired, sifted, spaced, stored, table
 
 SHINGLE = 5
 PERCENT = 85
@@ -174,8 +174,9 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     cells = named.select("id", F.explode("bands").alias("cell"))
     shared = cells.groupBy("cell").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("cell")
     cells = stored(spark, cells.join(shared, "cell"), "cells")
-    wanted = cells.select("id").distinct()
-    sets = stored(spark, _sets(docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi")), "sets")
+    wanted = stored(spark, cells.select("id").distinct(), "wanted")
+    texts = sifted(docs.select(F.col("doc_id").alias("id"), "text"), "id", wanted, wanted.count())  # before they are shuffled
+    sets = stored(spark, _sets(texts.join(wanted, "id", "left_semi")), "sets")
     # shingles of one candidate alone: too many of them, and no other can be near enough
     single = sets.select("id", F.explode("s").alias("h")).groupBy("h").agg(F.min("id").alias("id"), F.count("*").alias("c")).where("c = 1").groupBy("id").agg(F.count("*").alias("u"))
     alive = stored(spark, sets.select("id", "n").join(single, "id", "left").where(100 * (F.col("n") - F.coalesce("u", F.lit(0))) >= PERCENT * F.col("n")).select("id"), "alive")

@@ -49,6 +49,42 @@ def words(text: Column) -> Column:
     return F.when(F.length(bare) > 0, F.split(bare, "[\\x20\\x09-\\x0D]+")).otherwise(F.array().cast("array<string>"))
 
 
+# ---------------------------------------------------------------- blocked Bloom filters
+
+#: Blocks of 256 bits of a filter at most: about 10 MB as a broadcast table, whatever the number of keys.
+MAX_BLOCKS = 1 << 17
+
+
+def _block(key: Column, n: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+
+
+def _bits(key: Column) -> list[Column]:
+    """The bit of a key in each of the eight 32-bit words of its block."""
+    return [F.call_function("shiftleft", F.lit(1), (F.shiftrightunsigned(F.xxhash64(key, F.lit(k)), 40) % 32).cast("int")).alias(f"b{k}") for k in range(8)]
+
+
+def bloom(keys: DataFrame, key: str, many: int) -> tuple[DataFrame, int]:
+    """(blocks, number of blocks) of a blocked Bloom filter: about 16 bits for each of `many` keys, a power of two of blocks."""
+    n = 1
+    while n * 16 < many and n < MAX_BLOCKS:
+        n *= 2
+    keyed = keys.select(_block(F.col(key), n).alias("b_block"), *_bits(F.col(key)))
+    return keyed.groupBy("b_block").agg(*(F.bit_or(f"b{k}").alias(f"f{k}") for k in range(8))), n
+
+
+def sifted(df: DataFrame, key: str, keys: DataFrame, many: int, maybe: bool = True) -> DataFrame:
+    """Rows of df whose key may be one of keys(key): all that are and few others. maybe=False: those that certainly aren't one,
+    null keys included. The filter is broadcast within its bound; with more keys than it has room for it lets more rows pass."""
+    blocks, n = bloom(keys, key, many)
+    hit = F.lit(True)
+    for k in range(8):
+        bit = _bits(F.col(key))[k]
+        hit = hit & (F.col(f"f{k}").bitwiseAND(bit) == bit)
+    found = df.withColumn("b_block", _block(F.col(key), n)).join(F.broadcast(blocks), "b_block", "inner" if maybe else "left")
+    return found.where(hit if maybe else ~F.coalesce(hit, F.lit(False))).select(*df.columns)
+
+
 # ---------------------------------------------------------------- words of Arrow batches, hashed with numpy
 
 _SEED = np.random.default_rng(20240229)

@@ -2,7 +2,7 @@
 
 The filter is a table of blocks of 256 bits. A URL's hash picks one block and one bit in each of its eight words; the blocks
 are made by bit_or over the listed URLs, so building it is one map-side combined aggregation. The number of blocks is a power
-of two, about 16 bits a listed URL and at most MAX_BLOCKS (10 MB), which bounds what is broadcast whatever the list; a fuller
+of two, about 16 bits a listed URL and at most shared.MAX_BLOCKS (10 MB), which bounds what is broadcast whatever the list; a fuller
 filter only passes more URLs to the exact hash join, which removes every false positive.
 
 Defined results: a null URL or one without `://` has an empty host and path, fits no rule, isn't listed and is allowed.
@@ -16,9 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import sifted, table
 
-MAX_BLOCKS = 1 << 18
 #: (verdict, rule): host, then path.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 #: Query parameters that don't change a page.
@@ -56,30 +55,11 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tu
     return rule, verdict
 
 
-def _bits(h: Column) -> list[Column]:
-    """The bit of each of the eight 32-bit words of a block."""
-    return [F.call_function("shiftleft", F.lit(1), (F.shiftrightunsigned(F.xxhash64(h, F.lit(k)), 40) % 32).cast("int")).alias(f"b{k}") for k in range(8)]
-
-
-def bloom(listed: DataFrame, key: str, n_listed: int) -> tuple[DataFrame, int]:
-    """(blocks, number of blocks) of the keys."""
-    n = 1
-    while n * 16 < n_listed and n < MAX_BLOCKS:
-        n *= 2
-    keyed = listed.select((F.pmod(F.xxhash64(key), F.lit(n))).cast("int").alias("block"), *_bits(F.col(key)))
-    return keyed.groupBy("block").agg(*(F.bit_or(f"b{k}").alias(f"f{k}") for k in range(8))), n
-
-
 def listed_among(urls: DataFrame, listed: DataFrame, key: str) -> DataFrame:
-    """Distinct keys of `urls` that are in `listed` (one column each, named key). The filter is probed by a broadcast join on
-    the block; only its possible hits reach the exact join."""
+    """Distinct keys of `urls` that are in `listed` (one column each, named key). Only the filter's possible hits reach the
+    exact join."""
     listed = listed.where(F.col(key).isNotNull()).select(key).distinct()
-    blocks, n = bloom(listed, key, listed.count())
-    probe = urls.where(F.col(key).isNotNull()).select(key, F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("block"), *_bits(F.col(key)))
-    hit = F.lit(True)
-    for k in range(8):
-        hit = hit & (F.col(f"f{k}").bitwiseAND(F.col(f"b{k}")) == F.col(f"b{k}"))
-    possible = probe.join(F.broadcast(blocks), "block").where(hit).select(key).distinct()
+    possible = sifted(urls.where(F.col(key).isNotNull()).select(key), key, listed, listed.count()).distinct()
     return possible.join(listed, key, "left_semi")
 
 
