@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import chunks, grams, mix, spaced, stored, table
+from .shared import chunks, grams, mix, sifted, spaced, stored, table
 
 WINDOW = 35
 GRAM = 8
@@ -94,6 +94,11 @@ def _anchor_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h long, m long").groupBy("h").agg(F.sum("m").alias("m")).where("m > 1")
 
 
+def _with(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """docs joined with asked by key; texts that aren't asked for are sifted out before the shuffle."""
+    return sifted(docs, "key", asked.select("key"), asked.count()).join(asked, "key")
+
+
 def _asked_words(docs: DataFrame, asked: DataFrame) -> DataFrame:
     """The word hashes of asked(key, list of (h, c, first, n, weight)) runs: one row (h, c, weight, words) each."""
 
@@ -112,7 +117,7 @@ def _asked_words(docs: DataFrame, asked: DataFrame) -> DataFrame:
                 flat = w.hash[np.repeat(start - edge[:-1], size) + np.arange(edge[-1])] if hi > lo else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays([h.slice(lo, hi - lo), c.slice(lo, hi - lo), weight.slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(flat.view(np.int64)))], ["h", "c", "weight", "words"])
 
-    return docs.join(asked, "key").select("text", "runs").mapInArrow(run, "h long, c long, weight long, words array<long>")
+    return _with(docs, asked).select("text", "runs").mapInArrow(run, "h long, c long, weight long, words array<long>")
 
 
 class Automaton:
@@ -233,7 +238,7 @@ def _window_hashes(docs: DataFrame, asked: DataFrame) -> DataFrame:
                 hashes = x[w.text[np.repeat(text, size)] + first[each] + inner] if hi > lo else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array(h[each]), pa.array(c[each]), keys.take(pa.array(np.repeat(text + at, size))), pa.array(first[each]), pa.array(inner, pa.int64()), pa.array(hashes.view(np.int64))], ["h", "c", "key", "first", "at", "x"])
 
-    return docs.join(asked, "key").select("key", "text", "runs").mapInArrow(run, "h long, c long, key long, first long, at long, x long")
+    return _with(docs, asked).select("key", "text", "runs").mapInArrow(run, "h long, c long, key long, first long, at long, x long")
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -247,7 +252,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
     hot = stored(spark, distinct.groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") > HOT).select("h"), "hot")
     plain = distinct.join(hot, "h", "left_anti").select("key", "h", "c", "first", "n", "weight")
     cut = distinct.join(hot, "h", "left_semi").select("key", "h", "c", "first", "n", "weight")
-    windows = stored(spark, _window_hashes(docs, cut.groupBy("key").agg(pick.alias("runs"))).join(cut.select("h", "c", "weight"), ["h", "c"]), "windows")
+    windows = stored(spark, _window_hashes(docs, stored(spark, cut.groupBy("key").agg(pick.alias("runs")), "lists")).join(cut.select("h", "c", "weight"), ["h", "c"]), "windows")
     twice = windows.groupBy("h", "x").agg(F.sum("weight").alias("w")).where("w > 1").select("h", "x")
     stay = windows.join(twice, ["h", "x"], "left_semi").groupBy("h", "c", "key", "first", "weight").agg(F.array_sort(F.collect_list("at")).alias("ats"))
     # stretches of windows that stay, as runs of their own; equal ones meet again by the hash of their windows
@@ -256,9 +261,10 @@ def repeated_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
     parts = stored(spark, parts.join(windows.select("h", "c", F.col("at").alias("lo"), F.col("x").alias("x1")), ["h", "c", "lo"]).join(windows.select("h", "c", (F.col("at") + 1).alias("hi"), F.col("x").alias("x2")), ["h", "c", "hi"]).withColumn("c2", F.xxhash64("x1", "x2", F.col("hi") - F.col("lo"))), "parts")
     again = parts.groupBy("h", "c2").agg(F.min(F.struct("key", (F.col("first") + F.col("lo")).alias("first"))).alias("at"), F.first(F.col("hi") - F.col("lo")).alias("n"), F.sum("weight").alias("weight"))
     asked = plain.unionByName(again.select("at.key", "h", F.col("c2").alias("c"), "at.first", "n", "weight"))
+    asked = stored(spark, asked, "asked")
     words = int(asked.agg(F.sum(F.col("n") + WINDOW - 1)).first()[0] or 0)
     shards = max(1, -(-words // SHARD_WORDS))
-    sent = _asked_words(docs, asked.groupBy("key").agg(pick.alias("runs")))
+    sent = _asked_words(docs, stored(spark, asked.groupBy("key").agg(pick.alias("runs")), "lists"))
     found = stored(spark, sent.groupBy(F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard")).applyInArrow(_sharded, "h long, c long, lo long, hi long"), "found")
     back = parts.select("h", F.col("c2"), "c", F.col("lo").alias("shift")).join(found.withColumnRenamed("c", "c2"), ["h", "c2"]).select("h", "c", (F.col("lo") + F.col("shift")).alias("lo"), (F.col("hi") + F.col("shift")).alias("hi"))
     # hashes of cut runs are apart from those of whole runs only by chance of 2 ** -64; anchors tell them apart
@@ -266,9 +272,11 @@ def repeated_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return runs.select("h", "c", "key", "first").join(whole, ["h", "c"]).select("key", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi") + (WINDOW - 1)).alias("hi")).distinct()
 
 
-def _stripped(docs: DataFrame, spans: DataFrame, out: str, digest: bool) -> DataFrame:
-    """docs(key, text, and others) with n_words, n_removed and the kept words as text or digest."""
-    per = spans.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+def _stripped(spark: SparkSession, docs: DataFrame, spans: DataFrame, out: str, digest: bool) -> DataFrame:
+    """docs(key, text, and others) with n_words, n_removed and the kept words as text or digest. Texts that certainly have no
+    span aren't shuffled."""
+    per = stored(spark, spans.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
+    many = per.count()
     rest = [c for c in docs.columns if c not in ("key", "text")]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in rest)
 
@@ -295,7 +303,9 @@ def _stripped(docs: DataFrame, spans: DataFrame, out: str, digest: bool) -> Data
                     kept.append(" ".join(w) if gone[-1] else t)
             yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], [*b.schema.names[2:], "s_words", "s_removed", out])
 
-    return docs.join(per, "key", "left").select("text", "spans", *rest).mapInArrow(run, f"{fields}{', ' if fields else ''}s_words long, s_removed long, `{out}` string")
+    cut = sifted(docs, "key", per.select("key"), many).join(per, "key", "left")
+    whole = sifted(docs, "key", per.select("key"), many, maybe=False).withColumn("spans", F.lit(None).cast(per.schema["spans"].dataType))
+    return cut.unionByName(whole).select("text", "spans", *rest).mapInArrow(run, f"{fields}{', ' if fields else ''}s_words long, s_removed long, `{out}` string")
 
 
 def _split(text: str) -> list[str]:
@@ -311,11 +321,11 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     # the text is carried under its own name; other columns keep theirs under a prefix, so that none can clash
     keyed = docs.select(F.xxhash64(F.col("doc_id"), F.col("text")).alias("key"), "text", *(F.col(f"`{c}`").alias(f"d_{c}") for c in names if c != "text"))
     spans = repeated_spans(spark, keyed.select("key", "text"))
-    out = _stripped(keyed, spans, "text", digest=False)
+    out = _stripped(spark, keyed, spans, "text", digest=False)
     return out.select(*(F.col("text") if c == "text" else F.col(f"`d_{c}`").alias(c) for c in names))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
-    out = _stripped(docs, repeated_spans(spark, docs.select("key", "text")), "kept_sha256", digest=True)
+    out = _stripped(spark, docs, repeated_spans(spark, docs.select("key", "text")), "kept_sha256", digest=True)
     return out.select("doc_id", F.col("s_words").alias("n_words"), F.col("s_removed").alias("n_removed"), "kept_sha256")
