@@ -40,8 +40,9 @@ def series(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rows(spark: SparkSession, d: str) -> DataFrame:
-    """(utt, t, x) of lineitem."""
-    return read(spark, d, "lineitem").select(F.col("l_orderkey").alias("utt"), F.col("l_linenumber").cast("long").alias("t"), F.col("l_quantity").alias("x"))
+    """(utt, t, x) of lineitem: t counts an order's lines from 1."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    return read(spark, d, "lineitem").select(F.col("l_orderkey").alias("utt"), F.row_number().over(order).cast("long").alias("t"), F.col("l_quantity").alias("x"))
 
 
 def speakers(spark: SparkSession, d: str) -> DataFrame:
@@ -60,7 +61,7 @@ def transcripts(spark: SparkSession, d: str) -> DataFrame:
 SAMPLES = "samples AS (SELECT vec_id // 4 AS utt, vec_id % 4 AS ch, unnest(range(64)) AS n, unnest(embedding)::DOUBLE AS x FROM embeddings)"
 PAIR = "pair AS (SELECT a.utt, a.n, a.x AS clean, a.x + 0.5 * b.x AS noisy FROM samples a JOIN samples b ON a.utt = b.utt AND a.n = b.n AND a.ch = 0 AND b.ch = 1)"
 SERIES = "series AS (SELECT user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, value AS x, event_type AS kind, ts FROM events)"
-ROWS = "rows_ AS (SELECT l_orderkey AS utt, l_linenumber::BIGINT AS t, l_quantity AS x FROM lineitem)"
+ROWS = "rows_ AS (SELECT l_orderkey AS utt, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS t, l_quantity AS x FROM lineitem)"
 SPEAKERS = "speakers AS (SELECT vec_id AS utt, label::BIGINT AS spk, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)"
 
 
