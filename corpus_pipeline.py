@@ -1,37 +1,45 @@
 """A corpus from raw documents to packed sequences. Each stage works on all that the one before kept; run() writes every
-stage's result to the shared folder and reads it again."""
+stage's result to the shared folder and reads it again. A stage begins when the one before is written, so it first deletes
+what that one stored on its way."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tessitura.llm import language, neardup, packing, quality, substrings
 from tessitura.llm.bpe import vocabulary
-from tessitura.llm.shared import stored, table
+from tessitura.llm.shared import forgotten, shared_dir, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
+    forgotten(spark)
     return quality.filter_quality(spark, docs)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can't be told go."""
+    forgotten(spark)
     return language.filter_language(spark, docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
+    forgotten(spark)
     return neardup.keep_one(spark, docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that repeat across the documents left are taken out."""
+    forgotten(spark)
     return substrings.remove_repeats(spark, docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their places in training sequences."""
+    forgotten(spark)
     return packing.pack(spark, docs, vocabulary())
 
 
@@ -49,6 +57,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(spark, stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(f"{folder}/{k}")
+        docs = spark.read.schema(out.schema).parquet(f"{folder}/{k}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import LOWER, chunks, connected, grams, mix, paired, sifted, spaced, stored, table
+from .shared import LOWER, chunks, connected, dropped, grams, mix, paired, sifted, spaced, stored, table
 
 SHINGLE = 5
 PERCENT = 85
@@ -173,7 +173,7 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     named = stored(spark, same.select("d1", "d2", "id", "c.n", "c.bands"), "classes")
     cells = named.select("id", F.explode("bands").alias("cell"))
     shared = cells.groupBy("cell").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("cell")
-    cells = stored(spark, cells.join(shared, "cell"), "cells")
+    cells = cells_shared = stored(spark, cells.join(shared, "cell"), "cells")
     wanted = stored(spark, cells.select("id").distinct(), "wanted")
     texts = sifted(docs.select(F.col("doc_id").alias("id"), "text"), "id", wanted, wanted.count())  # before they are shuffled
     sets = stored(spark, _sets(texts.join(wanted, "id", "left_semi")), "sets")
@@ -201,6 +201,7 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     task = duo.select("cluster", F.explode(F.array_distinct(F.array("block", "block2"))).alias("block"), F.struct("block", "block2").alias("duo"))
     group = blocks.join(task, ["cluster", "block"]).join(sets, "id").select("cluster", "duo", "id", "label", "block", "n", "s")
     more = stored(spark, group.groupBy("cluster", "duo").applyInArrow(_compared, "a long, b long"), "more")
+    dropped(spark, sets, cells_shared, wanted, alive, star, blocks)
     whole = connected(spark, links.unionByName(more))
     final = named.join(whole, "id", "left").select("d1", "d2", F.coalesce("component_id", "id").alias("component_id"))
     out = sketch.select("doc_id", "n_shingles", "d1", "d2").join(final, ["d1", "d2"], "left")

@@ -32,15 +32,33 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: it cuts the lineage and survives lost executors."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _STORED.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes the files of a stored table that nothing reads any more."""
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+#: Folders of stored tables that are still there.
+_STORED: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    _STORED[:] = [x for x in _STORED if x != path]
+
+
+def dropped(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes the files of stored tables that nothing reads any more."""
+    for df in tables:
+        files = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        for path in [x for x in _STORED if any(f.endswith(x.rsplit("/", 1)[1]) for f in files)]:
+            _delete(spark, path)
+
+
+def forgotten(spark: SparkSession) -> None:
+    """Deletes every stored table. For the moment when all results that read them are written."""
+    for path in list(_STORED):
+        _delete(spark, path)
 
 
 def words(text: Column) -> Column:

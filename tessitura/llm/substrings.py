@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import chunks, grams, mix, sifted, spaced, stored, table
+from .shared import chunks, dropped, grams, mix, sifted, spaced, stored, table
 
 WINDOW = 35
 GRAM = 8
@@ -266,6 +266,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
     shards = max(1, -(-words // SHARD_WORDS))
     sent = _asked_words(docs, stored(spark, asked.groupBy("key").agg(pick.alias("runs")), "lists"))
     found = stored(spark, sent.groupBy(F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard")).applyInArrow(_sharded, "h long, c long, lo long, hi long"), "found")
+    dropped(spark, counts, windows, asked)
     back = parts.select("h", F.col("c2"), "c", F.col("lo").alias("shift")).join(found.withColumnRenamed("c", "c2"), ["h", "c2"]).select("h", "c", (F.col("lo") + F.col("shift")).alias("lo"), (F.col("hi") + F.col("shift")).alias("hi"))
     # hashes of cut runs are apart from those of whole runs only by chance of 2 ** -64; anchors tell them apart
     whole = found.join(hot, "h", "left_anti").unionByName(back)
