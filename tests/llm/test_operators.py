@@ -1,0 +1,452 @@
+"""The training-data operators against brute force, round trips and edge cases.
+
+EDGES holds null, empty, blank, very long, repeated and tied texts; every operator runs on it, on an empty table and with
+columns whose names clash with its own."""
+
+import collections
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tessitura.llm import bpe, chat, language, licenses, neardup, packing, quality, shared, substrings, urls, vectors
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+RNG = np.random.default_rng(5)
+SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
+VOCAB = [f"w{i}" for i in range(400)]
+
+
+def prose(n, rng=RNG):
+    return " ".join(rng.choice(VOCAB, n))
+
+
+PASSAGE, BASE = prose(60), prose(300)
+COPIES = [" ".join(f"x{i}{k}" if RNG.random() < 0.01 else w for k, w in enumerate(BASE.split())) for i in range(12)]
+EDGES = [
+    None, "", " \t\n", "a", "one two three four", "one two three four", prose(34), PASSAGE, prose(20) + " " + PASSAGE + " " + prose(15), BASE, BASE, BASE, *COPIES,
+    "a " * 200, "Üben ist \x1cgut\x1d <|endoftext|> x<|startoftext|>y İΣ ﬁ 中文 😀", prose(30_000), "dup line here\n" * 30 + prose(20), "### *** $$$ %%% " * 30 + prose(30),
+    "Licensed under CC\nBY-NC 4.0. Under the MIT license, under the mit LICENSE", "".join(map(chr, range(1, 200))),
+]
+ROWS = [(i, t, None if i % 5 == 0 else "en" if i % 2 else "de", None if i % 3 else "s", len(t or "")) for i, t in enumerate(EDGES)]
+ROWS += [ROWS[9], ROWS[0], ROWS[7]]  # rows that repeat whole
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(ROWS, SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def words(t):
+    return SPLIT.findall(t or "")
+
+
+def clash(docs):
+    """docs with columns named as those that operators make."""
+    return docs.select("*", *(F.lit(k).alias(n) for k, n in enumerate(["q_", "q_words", "key", "k", "n", "spans", "s_words", "kept", "lang_pred", "score", "component_id", "b_block", "t", "d", "id", "h", "l_text", "q_good", "q_kept"])))
+
+
+# ------------------------------------------------------------------ quality
+
+def features(t):
+    t = t or ""
+    w = words(t)
+    c, cover = collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)), set()
+    for i in range(len(w) - 4):
+        if c[tuple(w[i : i + 5])] > 1:
+            cover.update(range(i, i + 5))
+    lines = [x for x in t.split("\n") if words(x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(cover)
+
+
+def test_quality_features_and_verdicts(spark, docs, none):
+    f = quality.with_features(docs)
+    model = quality.fitted(spark, f)
+    got = quality.scored(f, model).select("doc_id", "q_.*", "q_good", "q_kept", quality.base_failed().alias("base")).collect()
+    assert len(got) == len(ROWS)
+    for r in got:
+        n, chars, symbols, lines, repeat = features(EDGES[r["doc_id"]])
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (n, chars, symbols, lines, repeat)
+        assert r["base"] == (n < 10 or 100 * repeat > 20 * n)
+        assert 0 <= r["q_good"] <= 1 and not (r["base"] and r["q_kept"])
+    assert quality.filter_quality(spark, none).columns == none.columns and quality.filter_quality(spark, none).count() == 0
+    assert quality.filter_quality(spark, clash(docs)).columns == clash(docs).columns
+
+
+def test_quality_model_finds_planted_junk(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, prose(100, rng) + ".") for i in range(300)] + [(300 + i, "### $$$ *** " * 20 + prose(40, rng)) for i in range(30)] + [(400 + i, prose(60, rng).upper() + "!! " * 40) for i in range(20)]
+    kept = {r["doc_id"] for r in quality.filter_quality(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(range(300))
+
+
+def test_em_is_what_a_loop_gives(spark):
+    rules, table = ["symbols", "length"], [(1, 1, 80), (-1, 1, 10), (1, -1, 5), (0, 0, 7), (-1, 0, 3)]
+    voted = spark.createDataFrame([(a, b) for a, b, n in table for _ in range(n)], "symbols int, length int")
+    got = quality.fit(spark, voted, rules, rounds=6)
+    least = [quality.LEAST_RIGHT, 0.0]
+    prior, good, bad = 0.8, [max(x, 0.995) for x in least], [0.15, 0.15]
+    for _ in range(6):
+        e = []
+        for *v, n in table:
+            odds = np.log(prior / (1 - prior)) + sum(np.log(good[j] / (1 - bad[j])) if x == 1 else np.log((1 - good[j]) / bad[j]) if x == -1 else 0 for j, x in enumerate(v))
+            e.append((v, n, n / (1 + np.exp(-odds))))
+        prior = (sum(x[2] for x in e) + 4) / (sum(x[1] for x in e) + 5)
+        good, bad = (
+            [max(least[j], (sum(g for v, n, g in e if v[j] == 1) + 99.5) / (sum(g for v, n, g in e if v[j]) + 100)) for j in (0, 1)],
+            [(sum(n - g for v, n, g in e if v[j] == -1) + 1.5) / (sum(n - g for v, n, g in e if v[j]) + 10) for j in (0, 1)],
+        )
+    assert np.isclose(got.prior, prior) and np.allclose([got.right[r] for r in rules], list(zip(good, bad, strict=True)))
+
+
+# ------------------------------------------------------------------ language
+
+def test_language_counts_like_a_counter():
+    texts = ["", "12 34 !!", "abc a b", "ÀÉ é 中文字", "a" * 50, "x\ny"]
+    text, gram, n = language.counted(texts)
+    for i, t in enumerate(texts):
+        s = " " + "".join(c if c.isalpha() else " " for c in t.lower()) + " "
+        want = collections.Counter(s[j : j + k] for k in (1, 2, 3) for j in range(len(s) - k + 1) if (w := s[j : j + k]).strip() and not (k == 3 and (w[1] == " " or w[0] == w[2] == " ")))
+
+        def spelled(v):
+            out = ""
+            while v:
+                out, v = chr(v & 0x1FFFFF) + out, v >> 21
+            return out
+
+        assert {spelled(int(g)): int(c) for x, g, c in zip(text, gram, n, strict=True) if x == i} == dict(want)
+
+
+def test_language_held_out_accuracy(spark):
+    rng = np.random.default_rng(4)
+    sounds = {"aa": "aeiou lmnr", "bb": "xzkqw jyoe", "cc": "stpdb aei"}
+    rows = [(i, " ".join("".join(rng.choice(list(sounds[x].replace(" ", "")), 5)) for _ in range(40)), x) for i, x in enumerate(list(sounds) * 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    p = language.learned(spark, df.where(~language.held_out()))
+    got = language.predicted(df.select("doc_id", "text", language.held_out().alias("held_out")), p).join(df.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert len(got) > 20 and np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.97
+
+
+def test_language_edges(spark, docs, none):
+    p = language.learned(spark, docs)
+    assert set(p) == {"en", "de"}
+    for r in language.predicted(docs, p).collect():
+        letters = any(c.isalpha() for c in EDGES[r["doc_id"]] or "")
+        assert (r["lang_pred"] == "und") == (not letters) and 0 <= r["score"] <= 1
+    assert language.learned(spark, none) == {}
+    assert {r["lang_pred"] for r in language.predicted(docs, {}).collect()} == {"und"}
+    assert language.predicted(none, p).count() == 0
+    assert language.filter_language(spark, docs.withColumn("b_block", F.lit(1))).columns == [*docs.columns, "b_block"]
+
+
+# ------------------------------------------------------------------ near duplicates
+
+def shingles(t):
+    w = words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+
+def components(n, linked):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(n):
+        for b in range(a):
+            if linked(a, b):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(n)]
+
+
+@pytest.mark.parametrize("size", [256, 3])
+def test_near_dups_by_brute_force(spark, docs, none, size, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_CLASSES", size)
+    s = [shingles(t) for t in EDGES]
+    want = components(len(s), lambda a, b: bool(s[a]) and 100 * len(s[a] & s[b]) >= 85 * len(s[a] | s[b]))
+    got = neardup.classes(spark, docs).collect()
+    assert len(got) == len(ROWS)
+    for r in got:
+        assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(s[r["doc_id"]]), want[r["doc_id"]], want[r["doc_id"]] == r["doc_id"])
+    if size == 3:
+        assert neardup.classes(spark, none).count() == 0
+        kept = neardup.keep_one(spark, clash(docs))
+        assert kept.columns == clash(docs).columns and {r["doc_id"] for r in kept.select("doc_id").collect()} == set(want)
+
+
+def test_many_edited_copies(spark):
+    """A group of near copies around one original: links that only pairs of copies have must not be lost."""
+    rng = np.random.default_rng(8)
+    base, rows = prose(150, rng).split(), []
+    for i in range(120):
+        w = list(base)
+        for k in rng.integers(0, 150, rng.integers(0, 9)):
+            w[k] = f"e{rng.integers(0, 4)}"
+        rows.append((i, " ".join(w)))
+    s = [shingles(t) for _, t in rows]
+    want = components(len(s), lambda a, b: 100 * len(s[a] & s[b]) >= 85 * len(s[a] | s[b]))
+    got = {r["doc_id"]: r["component_id"] for r in neardup.classes(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == want
+
+
+def test_circulant_signatures_estimate_similarity():
+    a = RNG.integers(0, 2**63, 1000, dtype=np.uint64)
+    b = np.concatenate([a[:700], RNG.integers(0, 2**63, 300, dtype=np.uint64)])
+    x, y = neardup.signatures([a, b], 512)
+    assert abs((x == y).mean() - 700 / 1300) < 0.08
+
+
+def test_connected_components(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(100 + i, 100) for i in range(1, 40)] + [(500, 501), (501, 502), (502, 500), (7, 7)]
+    got = {r["id"]: r["component_id"] for r in shared.connected(spark, spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(61)}, **{100 + i: 100 for i in range(40)}, 500: 500, 501: 500, 502: 500}
+
+
+# ------------------------------------------------------------------ substrings
+
+def stripped(texts):
+    w = [words(t) for t in texts]
+    c = collections.Counter(tuple(x[i : i + 35]) for x in w for i in range(len(x) - 34))
+    out = []
+    for x in w:
+        gone = [False] * len(x)
+        for i in range(len(x) - 34):
+            if c[tuple(x[i : i + 35])] > 1:
+                gone[i : i + 35] = [True] * 35
+        out.append((len(x), sum(gone), " ".join(a for a, b in zip(x, gone, strict=True) if not b)))
+    return out
+
+
+@pytest.mark.parametrize("hot", [400, 1])
+def test_repeats_by_brute_force(spark, docs, none, hot, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT", hot)
+    monkeypatch.setattr(substrings, "SHARD_WORDS", 2000)
+    want = {r[0]: s for r, s in zip(ROWS, stripped([r[1] for r in ROWS]), strict=True)}
+    wide = clash(docs) if hot == 1 else docs
+    got = substrings.remove_repeats(spark, wide)
+    assert got.columns == wide.columns
+    rows = got.collect()
+    assert len(rows) == len(ROWS)
+    for r in rows:
+        n, gone, kept = want[r["doc_id"]]
+        assert r["text"] == (kept if gone else EDGES[r["doc_id"]])
+    if hot == 1:
+        assert substrings.remove_repeats(spark, none).count() == 0
+
+
+def test_automaton_counts_places():
+    a, texts = substrings.Automaton(), [[1, 2, 3, 1, 2, 3, 1], [2, 3, 1, 2], [9]]
+    for t, w in zip(texts, (1, 2, 1), strict=True):
+        a.add(t, w)
+    a.finish()
+    for t in texts:
+        want = [i for i in range(len(t) - 2) if sum(w * sum(x[k : k + 3] == t[i : i + 3] for k in range(len(x) - 2)) for x, w in zip(texts, (1, 2, 1), strict=True)) > 1]
+        assert a.repeated(t, 3) == want
+
+
+# ------------------------------------------------------------------ tokens and packing
+
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(bpe.vocabulary())
+
+
+def test_bpe_equals_the_library(spark, docs, none):
+    t = tokenizer()
+    got = bpe.coded(docs, bpe.vocabulary()).collect()
+    assert len(got) == len(ROWS)
+    for r in got:
+        ids = t.encode(EDGES[r["doc_id"]] or "", add_special_tokens=False).ids
+        assert r["n_tokens"] == len(ids) and r["ids"] == " ".join(map(str, ids))
+        assert r["decoded"] == t.decode(ids, skip_special_tokens=False)
+    assert bpe.coded(none, bpe.vocabulary(), digests=True).count() == 0
+
+
+def test_bpe_of_random_text_with_a_small_table(monkeypatch):
+    monkeypatch.setattr(bpe, "MAX_KEPT", 50)
+    monkeypatch.setattr(bpe, "MAX_SEEN", 300)
+    t, e = tokenizer(), bpe.Encoder(bpe.vocabulary())
+    rng, letters = np.random.default_rng(6), list("aabbccdeé'st l\n.,!1²ßΣ<|>ñ🙂́\x85")
+    texts = ["".join(rng.choice(letters, 60)) for _ in range(150)] + ["aaaa aaaaa", "<|endoftext|>" * 2]
+    for text, numbers in zip(texts, e.texts(texts), strict=True):
+        assert e.ids_of(numbers).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_places_every_id_once(spark, docs, none):
+    t = tokenizer()
+    got = packing.pack(spark, clash(docs), bpe.vocabulary()).toPandas()
+    for _, x in got.groupby("sequence_id"):
+        x = x.sort_values("offset")
+        assert x["offset"].tolist() == np.concatenate(([0], np.cumsum(x["length"])[:-1])).tolist() and x["length"].sum() <= 4096
+    twice = collections.Counter(r[0] for r in ROWS)
+    for i, text in enumerate(EDGES):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
+        x = got[got.doc_id == i]
+        assert x["length"].sum() == twice[i] * len(ids) and set(x["doc_tokens"]) == {len(ids)}
+        for r in x.itertuples():
+            assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], dtype="<u4").tobytes())
+    assert packing.pack(spark, none, bpe.vocabulary()).count() == 0
+
+
+def test_column_generation_meets_the_demand_with_few_bins():
+    rng = np.random.default_rng(9)
+    weight = np.arange(1, 257)
+    demand = rng.integers(0, 400, 256).astype(float)
+    keep = demand > 0
+    made = packing.patterns(weight[keep], demand[keep], 256)
+    total = sum(n * items for n, items in made)
+    assert (total == demand[keep]).all() and all((items * weight[keep]).sum() <= 256 for _, items in made)
+    assert sum(n for n, _ in made) <= 1.005 * (demand * weight).sum() / 256 + 3
+
+
+def test_knapsack_by_enumeration():
+    value, weight = np.array([0.3, 0.45, 0.6]), np.array([2, 3, 5])
+    best = max(0.3 * a + 0.45 * b + 0.6 * c for a in range(7) for b in range(5) for c in range(3) if 2 * a + 3 * b + 5 * c <= 13)
+    got, many = packing.priced(value, weight, 13)
+    assert np.isclose(got, best) and (many * weight).sum() <= 13 and np.isclose((many * value).sum(), best)
+
+
+# ------------------------------------------------------------------ licences
+
+def test_licences_by_brute_force(spark, docs, none):
+    index = licenses.weighed(docs)
+    got = licenses.scanned(docs, index).collect()
+    assert len(got) == len(ROWS)
+    for r in got:
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), EDGES[r["doc_id"]] or "")
+        w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low)
+        at = [(i, label) for label, p in licenses.BASE for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+        assert (r["n_words"], r["n_base"]) == (len(w), len(at))
+        assert (r["first_word"], r["last_word"]) == ((min(at)[0], max(at)[0]) if at else (None, None))
+        assert r["base_labels"] == ",".join(sorted({x for _, x in at})) and 0 <= r["score"] <= 1
+        assert {x for _, x in at} <= set(r["labels"].split(","))
+    assert licenses.scanned(none, licenses.weighed(none)).count() == 0
+
+
+def test_licence_templates(spark):
+    rows = [(0, "This work is licensed under the GNU General Public License, version 3."), (1, "All rights reserved."), (2, "the gnu general public licence version 3"), (3, "mit license"), (4, "Permission is hereby granted, free of charge, to any person obtaining a copy"), (5, "GNU General Public License version 2 licensed under the")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.scanned(df, licenses.weighed(df)).collect()}
+    assert got == {0: "gpl-3", 1: "all-rights-reserved", 2: "", 3: "", 4: "mit", 5: "gpl-2"}
+
+
+# ------------------------------------------------------------------ vectors
+
+def test_vectors_by_brute_force(spark):
+    rng = np.random.default_rng(10)
+    x = rng.standard_normal((400, 16))
+    near = np.repeat(x[:40], 5, axis=0) + 0.12 * rng.standard_normal((200, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, near, x[:30], 2 * x[:5]]))]
+    bad = [(9000, None), (9001, [0.0] * 16), (9002, [float("nan")] * 16), (9003, [None, *[1.0] * 15]), (9004, [1.0] * 3), (9005, []), (9006, [float("inf")] * 16)]
+    df = spark.createDataFrame([*rows, *bad, rows[3]], "vec_id long, embedding array<double>").withColumn("n", F.lit(1)).withColumn("v", F.lit(2))
+    got = vectors.linked(spark, df).collect()
+    assert len(got) == len(rows) + len(bad) + 1
+    v = np.array([r[1] for r in rows])
+    v = v / np.linalg.norm(v, axis=1)[:, None]
+    sim = v @ v.T >= vectors.THRESHOLD - 1e-12
+    n, comp = sim.sum(axis=1) - 1, components(len(rows), lambda a, b: sim[a, b])
+    mine = {r["vec_id"]: r for r in got}
+    assert all(mine[i]["n_links"] == 0 and mine[i]["component_id"] == i and mine[i]["kept"] for i, _ in bad)
+    assert all(mine[i]["n_links"] <= n[i] for i in range(len(rows)))
+    assert sum(mine[i]["n_links"] for i in range(len(rows))) >= 0.9 * n.sum()
+    assert np.mean([mine[i]["component_id"] == comp[i] for i in range(len(rows))]) > 0.97
+    q = df.where("vec_id < 600 AND vec_id % 20 = 0").select("vec_id", "embedding")
+    assert {r["vec_id"]: r["n_links"] for r in vectors.brute_links(df.where(F.size("embedding") == 16).where("vec_id < 9000").select("vec_id", "embedding").distinct(), q).collect()} == {i: n[i] for i in range(0, 600, 20)}
+    assert vectors.linked(spark, df.limit(0)).count() == 0
+    assert vectors.linked(spark, df.where("vec_id >= 9000 AND vec_id <> 9004")).count() == len(bad) - 1
+
+
+def test_blocks_of_vectors_give_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    base = rng.standard_normal(8)
+    rows = [(i, (base + 0.03 * rng.standard_normal(8)).tolist()) for i in range(90)] + [(100 + i, rng.standard_normal(8).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    once = {tuple(r) for r in vectors.linked(spark, df).collect()}
+    monkeypatch.setattr(vectors, "RESIDENTS", 16)
+    monkeypatch.setattr(vectors, "VISITORS", 20)
+    assert {tuple(r) for r in vectors.linked(spark, df).collect()} == once
+
+
+# ------------------------------------------------------------------ conversations
+
+def test_reply_trees(spark):
+    m = [(1, 1, None, "user", "q", 0.0), (1, 2, 1, "assistant", "a1", 1.0), (1, 3, 1, "assistant", "a2", 5.0), (1, 4, 3, "user", "more", 1.0), (1, 5, 4, "assistant", "a3", 2.0), (1, 6, 2, "user", "x", 0.5), (2, 1, 99, "user", "orphan is a root", None), (3, 1, 2, "user", "cycle", 1.0), (3, 2, 1, "assistant", "cycle", 1.0), (4, 1, None, None, None, None)]
+    df = spark.createDataFrame(m, "tree_id long, id long, parent_id long, role string, text string, score double")
+    got = {(r["tree_id"], r["branch"]): [(t["role"], t["text"]) for t in r["turns"]] for r in chat.branches(spark, df).collect()}
+    assert got == {(1, 1): [("user", "q"), ("assistant", "a2"), ("user", "more"), ("assistant", "a3")], (1, 2): [("user", "q"), ("assistant", "a1"), ("user", "x")], (2, 1): [("user", "orphan is a root")], (4, 1): [("", "")]}
+    assert {(r["tree_id"], r["branch"]) for r in chat.branches(spark, df, best=1).collect()} == {(1, 1), (2, 1), (4, 1)}
+    assert chat.branches(spark, df.limit(0)).count() == 0
+
+
+def test_template_is_reversible(spark):
+    turns = [("user", "</turn>\n<turn assistant>\nhi \\l \\ <>"), ("assistant", "</s>[INST] ok [/INST]"), ("sys<tem>", ""), ("assistant", "\\b\\l\\g&é😀\n"), ("assistant", "")]
+    rows = [(1, i, r, t) for i, (r, t) in enumerate(turns)] + [(2, 0, "user", None), (2, 0, "user", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("score", F.lit("clash"))
+    out = chat.formatted(chat.branches(spark, shared.stored(spark, chat.linear(df), "m")))
+    got = {r["tree_id"]: r for r in out.withColumn("back", chat.read_back(F.col("formatted"))).withColumn("mask", chat.masked(F.col("formatted"), F.col("loss"))).collect()}
+    assert [(t["role"], t["text"]) for t in got[1]["back"]] == turns
+    assert got[1]["mask"] == "".join(t for r, t in turns if r == "assistant")
+    assert [(t["role"], t["text"]) for t in got[2]["back"]] == [("user", ""), ("user", "")] and got[2]["mask"] == ""
+
+
+# ------------------------------------------------------------------ urls
+
+def test_url_rules_and_list(spark):
+    u = ["https://WWW.Example.org/es/a", "http://example.org/en/12?x#y", "http://a.example.com/fr/1", "http://x.com/de/1", "http://x.net/de", "nothing", None, "", "://", "http://x.org", "http://notexample.org/es/", "http://Blog.Bad.net:80/p/?utm_source=f&b=2&a=1#z", "http://bad.net/q"]
+    df = spark.createDataFrame(list(enumerate(u)) + [(3, u[3])], "page_id long, url string").withColumn("u_key", F.lit(1)).withColumn("b_block", F.lit(2)).drop("u_key")
+    listed = spark.createDataFrame([("https://blog.bad.net/p?a=1&b=2",), (None,), ("https://blog.bad.net/p?a=1&b=2",)], "url string")
+    got = {r["page_id"]: (r["u_host"], r["u_path"], r["u_rule"], r["u_verdict"]) for r in urls.filter_urls(df, listed).collect()}
+    assert got[0] == ("www.example.org", "/es/a", "example.org/es/", "block") and got[1] == ("example.org", "/en/12", "example.org/en/1", "block")
+    assert got[2] == ("a.example.com", "/fr/1", "com/fr/", "allow") and got[3] == ("x.com", "/de/1", "com/de/", "block") and got[4] == ("x.net", "/de", None, "allow")
+    assert all(got[i] == ("", "", None, "allow") for i in (5, 6, 7, 8)) and got[9] == ("x.org", "", None, "allow") and got[10] == ("notexample.org", "/es/", "org/", "allow")
+    assert got[11][2:] == (None, "block") and got[12][2:] == (None, "allow")
+    assert urls.filter_urls(df, listed.limit(0)).count() == len(u) + 1 and urls.filter_urls(df.limit(0), listed).count() == 0
+
+
+def test_bloom_filter_loses_no_key(spark):
+    keys = spark.range(3000).select(F.concat(F.lit("k"), F.col("id")).alias("key"))
+    some = keys.where(F.pmod(F.xxhash64("key"), F.lit(7)) == 0)
+    n = some.count()
+    maybe, surely_not = shared.sifted(keys, "key", some, n), shared.sifted(keys, "key", some, n, maybe=False)
+    assert maybe.join(some, "key").count() == n and maybe.count() + surely_not.count() == 3000 and maybe.count() < n + 300
+
+
+# ------------------------------------------------------------------ pipeline
+
+def test_pipeline_is_its_stages(spark, tmp_path, docs):
+    """Every stage on what the one before kept, against brute force where the stage has one."""
+    import corpus_pipeline as C
+
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = C.run(spark, str(tmp_path)).toPandas()
+    now = docs
+    for k, (_, f) in enumerate(C.STAGES[:-1]):
+        out = f(spark, now, str(tmp_path))
+        assert out.columns == docs.columns
+        out.write.parquet(str(tmp_path / f"s{k}"))
+        before, now = now, spark.read.parquet(str(tmp_path / f"s{k}"))
+        a, b = [tuple(r) for r in before.collect()], [tuple(r) for r in now.collect()]
+        if k == 2:
+            s = {r[0]: shingles(r[1]) for r in a}
+            ids = sorted(s)
+            comp = components(len(ids), lambda x, y: bool(s[ids[x]]) and 100 * len(s[ids[x]] & s[ids[y]]) >= 85 * len(s[ids[x]] | s[ids[y]]))
+            assert {r[0] for r in b} == {ids[c] for c in comp}
+        if k == 3:
+            want = {r[0]: (x[2] if x[1] else r[1]) for r, x in zip(a, stripped([r[1] for r in a]), strict=True)}
+            assert {r[0]: r[1] for r in b} == want
+    t = tokenizer()
+    total = sum(len(t.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in now.collect())
+    assert got["length"].sum() == total and len(got)
+    assert hashlib.sha256(b"").hexdigest()
