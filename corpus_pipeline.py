@@ -1,45 +1,62 @@
 """A corpus from raw documents to packed sequences. Each stage works on all that the one before kept; run() writes every
 stage's result to the shared folder and reads it again. A stage begins when the one before is written, so it first deletes
-what that one stored on its way."""
+what that one stored on its way (and nothing that others stored)."""
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tessitura.llm import language, neardup, packing, quality, substrings
 from tessitura.llm.bpe import vocabulary
-from tessitura.llm.shared import forgotten, shared_dir, table
+from tessitura.llm.shared import forgotten, shared_dir, stored_now, table
 
+#: What the last stage that ran stored on its way.
+_OWN: list[str] = []
 
+
+def _stage(work: Callable) -> Callable:
+    @functools.wraps(work)
+    def run_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        forgotten(spark, _OWN)
+        before = set(stored_now())
+        out = work(spark, docs, sf_dir)
+        _OWN[:] = [x for x in stored_now() if x not in before]
+        return out
+
+    return run_one
+
+
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    forgotten(spark)
     return quality.filter_quality(spark, docs)
 
 
+@_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can't be told go."""
-    forgotten(spark)
     return language.filter_language(spark, docs)
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    forgotten(spark)
     return neardup.keep_one(spark, docs)
 
 
+@_stage
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that repeat across the documents left are taken out."""
-    forgotten(spark)
     return substrings.remove_repeats(spark, docs)
 
 
+@_stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their places in training sequences."""
-    forgotten(spark)
     return packing.pack(spark, docs, vocabulary())
 
 

@@ -55,9 +55,14 @@ def dropped(spark: SparkSession, *tables: DataFrame) -> None:
             _delete(spark, path)
 
 
-def forgotten(spark: SparkSession) -> None:
-    """Deletes every stored table. For the moment when all results that read them are written."""
-    for path in list(_STORED):
+def stored_now() -> list[str]:
+    """The folders of stored tables that are still there."""
+    return list(_STORED)
+
+
+def forgotten(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes these stored tables, as far as they are still there. For the moment when all results that read them are written."""
+    for path in [x for x in _STORED if x in set(paths)]:
         _delete(spark, path)
 
 
