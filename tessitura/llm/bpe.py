@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import table
+from .shared import in_arrow, table
 
 #: Distinct pieces beyond which a Python worker empties its table before the next texts.
 MAX_KEPT = 600_000
@@ -278,7 +278,7 @@ def coded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", d
                 decoded.append(last(d))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["k", "n_tokens", *names])
 
-    return docs.select(key, text).mapInArrow(run, f"k {docs.schema[key].dataType.simpleString()}, n_tokens long, {names[0]} string, {names[1]} string").withColumnRenamed("k", key)
+    return in_arrow(docs.select(key, text), run, f"k {docs.schema[key].dataType.simpleString()}, n_tokens long, {names[0]} string, {names[1]} string").withColumnRenamed("k", key)
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:

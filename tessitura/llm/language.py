@@ -18,13 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import table
+from .shared import in_arrow, table
 
 PROFILE = 400
 #: Labelled rows a language is learned from, about: a hash of the key picks them if there are more.
 LEARN_ROWS = 4000
 #: Code points counted together.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 @lru_cache(maxsize=1)
@@ -103,7 +103,7 @@ def learned(spark: SparkSession, labelled: DataFrame, key: str = "doc_id", text:
                     new = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1]))) if len(gram) else np.zeros(0, dtype=np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(new), pa.string()), pa.array(gram[new]), pa.array(np.add.reduceat(n, new) if len(new) else np.zeros(0, dtype=np.int64))], ["l", "g", "n"])
 
-    total = picked.mapInArrow(count, "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n"))
+    total = in_arrow(picked, count, "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n"))
     ranked = total.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "g"))).where(F.col("r") <= size)
     found: dict[str, list] = {}
     for row in ranked.orderBy("l", "r").collect():  # size rows a language
@@ -151,7 +151,7 @@ def predicted(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "tex
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names[:-1], "lang_pred", "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.withColumn("l_text", F.col(text)).mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return in_arrow(docs.withColumn("l_text", F.col(text)), run, f"{fields}, lang_pred string, score double")
 
 
 def held_out(key: str = "doc_id"):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import LOWER, Words, chunks, table
+from .shared import LOWER, Words, chunks, in_arrow, table
 
 #: (label, phrase): every place of these phrases counts.
 BASE = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
@@ -164,7 +164,7 @@ def weighed(docs: DataFrame, text: str = "text", base=BASE, templates=TEMPLATES)
                 total += np.bincount(np.unique(w.owner()[hit] * len(vocabulary) + at[hit]) % len(vocabulary), minlength=len(vocabulary))
         yield pa.RecordBatch.from_arrays([pa.array([*range(len(vocabulary)), -1], pa.int32()), pa.array([*total.tolist(), rows], pa.int64())], ["w", "n"])
 
-    found = {r["w"]: r["n"] for r in docs.select(text).mapInArrow(count, "w int, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()}
+    found = {r["w"]: r["n"] for r in in_arrow(docs.select(text), count, "w int, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()}
     rows = found.get(-1, 0)
     return Index(base, templates, {int(h): math.log((rows + 1) / (found.get(i, 0) + 1)) for i, h in enumerate(vocabulary.tolist())})
 
@@ -181,7 +181,7 @@ def scanned(docs: DataFrame, index: Index, key: str = "doc_id", text: str = "tex
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["k", *NAMES])
 
-    return docs.select(key, text).mapInArrow(run, f"k {docs.schema[key].dataType.simpleString()}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double").withColumnRenamed("k", key)
+    return in_arrow(docs.select(key, text), run, f"k {docs.schema[key].dataType.simpleString()}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double").withColumnRenamed("k", key)
 
 
 NAMES = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")

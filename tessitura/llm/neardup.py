@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import LOWER, chunks, connected, dropped, grams, mix, paired, sifted, spaced, stored, table
+from .shared import LOWER, chunks, connected, dropped, grams, in_arrow, mix, paired, sifted, spaced, stored, table
 
 SHINGLE = 5
 PERCENT = 85
@@ -100,7 +100,7 @@ def sketched(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
                     bands.append(c)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["k", "n_shingles", "d1", "d2", "bands"])
 
-    return docs.select(key, text).mapInArrow(run, f"k {docs.schema[key].dataType.simpleString()}, n_shingles long, d1 long, d2 long, bands array<long>").withColumnRenamed("k", key)
+    return in_arrow(docs.select(key, text), run, f"k {docs.schema[key].dataType.simpleString()}, n_shingles long, d1 long, d2 long, bands array<long>").withColumnRenamed("k", key)
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ def _sets(docs: DataFrame) -> DataFrame:
                 bounds = np.cumsum([0, *map(len, sets)])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(sets)), pa.array(np.diff(bounds), pa.int64()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))], ["id", "n", "s"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n long, s array<long>")
+    return in_arrow(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, n long, s array<long>")
 
 
 def _similar(inter, a, b):

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import for_ids, vocabulary
-from .shared import stored, table
+from .shared import in_arrow, stored, table
 
 SEQUENCE = 4096
 BIN = 16
@@ -48,7 +48,7 @@ def pieces(docs: DataFrame, path: str, sequence: int = SEQUENCE, end_id: int = E
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.column(0).type), *(pa.array(c, pa.int64()) for c in cols[1:])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long")
+    return in_arrow(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def priced(value: np.ndarray, weight: np.ndarray, room: int) -> tuple[float, np.ndarray]:

@@ -66,6 +66,20 @@ def forgotten(spark: SparkSession, paths: list[str]) -> None:
         _delete(spark, path)
 
 
+#: Rows of an Arrow batch at most. Rows hold whole texts, so Spark's usual 10,000 would be large in both JVM and Python.
+BATCH_ROWS = 2048
+_ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def in_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema) with batches of BATCH_ROWS rows at most. Spark has this bound for a session only, so the
+    session's is lowered, and stays if it is lower already."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_ROWS_SETTING, "0")) <= BATCH_ROWS:
+        conf.set(_ROWS_SETTING, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def words(text: Column) -> Column:
     """Words `[^\\x20\\x09-\\x0D]+` of a text as an array; null and blank texts have none."""
     bare = F.btrim(text, F.lit(SPACES))
@@ -123,7 +137,7 @@ LOWER[65:91] += 32
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n:
-        size = max(1 << 20, n)
+        size = max(1 << 18, n)
         for name, base in (("up", _BASE), ("down", _INV)):
             x = np.full(size, base, dtype=np.uint64)
             x[0] = 1
@@ -173,7 +187,7 @@ class Words:
         return np.repeat(np.arange(len(self.text) - 1), np.diff(self.text))
 
 
-def chunks(column: pa.Array, most: int = 1 << 20):
+def chunks(column: pa.Array, most: int = 1 << 18):
     """Slices (first row, bytes, offsets) of a string column of about `most` bytes at most, or one longer text; null: empty."""
     for one in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
         one = one.fill_null("").cast(pa.large_string())

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import chunks, dropped, grams, mix, sifted, spaced, stored, table
+from .shared import chunks, dropped, grams, in_arrow, mix, sifted, spaced, stored, table
 
 WINDOW = 35
 GRAM = 8
@@ -78,7 +78,7 @@ def _run_rows(docs: DataFrame) -> DataFrame:
                 (h, c, text, first, n, _), _ = _runs(data, offsets)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), keys.take(pa.array(text + at)), pa.array(first, pa.int64()), pa.array(n, pa.int64())], ["h", "c", "key", "first", "n"])
 
-    return docs.mapInArrow(run, "h long, c long, key long, first long, n long")
+    return in_arrow(docs, run, "h long, c long, key long, first long, n long")
 
 
 def _anchor_counts(docs: DataFrame) -> DataFrame:
@@ -91,7 +91,7 @@ def _anchor_counts(docs: DataFrame) -> DataFrame:
                 value, count = np.unique(h, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(count, pa.int64())], ["h", "m"])
 
-    return docs.select("text").mapInArrow(run, "h long, m long").groupBy("h").agg(F.sum("m").alias("m")).where("m > 1")
+    return in_arrow(docs.select("text"), run, "h long, m long").groupBy("h").agg(F.sum("m").alias("m")).where("m > 1")
 
 
 def _with(docs: DataFrame, asked: DataFrame) -> DataFrame:
@@ -117,7 +117,7 @@ def _asked_words(docs: DataFrame, asked: DataFrame) -> DataFrame:
                 flat = w.hash[np.repeat(start - edge[:-1], size) + np.arange(edge[-1])] if hi > lo else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays([h.slice(lo, hi - lo), c.slice(lo, hi - lo), weight.slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(flat.view(np.int64)))], ["h", "c", "weight", "words"])
 
-    return _with(docs, asked).select("text", "runs").mapInArrow(run, "h long, c long, weight long, words array<long>")
+    return in_arrow(_with(docs, asked).select("text", "runs"), run, "h long, c long, weight long, words array<long>")
 
 
 class Automaton:
@@ -238,7 +238,7 @@ def _window_hashes(docs: DataFrame, asked: DataFrame) -> DataFrame:
                 hashes = x[w.text[np.repeat(text, size)] + first[each] + inner] if hi > lo else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array(h[each]), pa.array(c[each]), keys.take(pa.array(np.repeat(text + at, size))), pa.array(first[each]), pa.array(inner, pa.int64()), pa.array(hashes.view(np.int64))], ["h", "c", "key", "first", "at", "x"])
 
-    return _with(docs, asked).select("key", "text", "runs").mapInArrow(run, "h long, c long, key long, first long, at long, x long")
+    return in_arrow(_with(docs, asked).select("key", "text", "runs"), run, "h long, c long, key long, first long, at long, x long")
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -306,7 +306,7 @@ def _stripped(spark: SparkSession, docs: DataFrame, spans: DataFrame, out: str,
 
     cut = sifted(docs, "key", per.select("key"), many).join(per, "key", "left")
     whole = sifted(docs, "key", per.select("key"), many, maybe=False).withColumn("spans", F.lit(None).cast(per.schema["spans"].dataType))
-    return cut.unionByName(whole).select("text", "spans", *rest).mapInArrow(run, f"{fields}{', ' if fields else ''}s_words long, s_removed long, `{out}` string")
+    return in_arrow(cut.unionByName(whole).select("text", "spans", *rest), run, f"{fields}{', ' if fields else ''}s_words long, s_removed long, `{out}` string")
 
 
 def _split(text: str) -> list[str]:

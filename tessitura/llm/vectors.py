@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import connected, stored, table
+from .shared import connected, in_arrow, stored, table
 
 THRESHOLD = 0.95
 SAMPLE = 20_000
@@ -122,7 +122,7 @@ def _placed(vectors: DataFrame, grid: Grid, kind: str) -> DataFrame:
                 visits = grid.visits(x)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(grid.group(*grid.cells(x)), pa.int64()), pa.array(visits, pa.list_(pa.int64())), part.column(1)], ["id", "home", "visits", "v"])
 
-    return vectors.select("id", "v").mapInArrow(run, f"id long, home long, visits array<long>, v {kind}")
+    return in_arrow(vectors.select("id", "v"), run, f"id long, home long, visits array<long>, v {kind}")
 
 
 def _met(key, group):
@@ -206,7 +206,7 @@ def brute_links(rows: DataFrame, queries: DataFrame) -> DataFrame:
             n = ((x @ y.T >= THRESHOLD) & (ids[:, None] != other[None, :])).sum(axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64())], ["vec_id", "n"])
 
-    return rows.select("vec_id", "embedding").mapInArrow(run, "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n_links"))
+    return in_arrow(rows.select("vec_id", "embedding"), run, "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n_links"))
 
 
 def op3_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
