@@ -1,9 +1,9 @@
 """License scans by a positional rare-token index.
 
 Templates are short word sequences with mandatory key phrases. The index posts each template under its words with their
-positions. A file's licence words are looked up from the highest inverse document frequency down (counted over all documents):
-each posting says where the template would start, postings that agree on a start are intersected, and there the key phrases
-are verified word by word. A template's coverage is the share of its words that stand at their places.
+positions. The licence words of highest inverse document frequency (counted over all documents) are looked up in each file:
+a posting says where the template would start, the postings of its rarest mandatory words are intersected by that start, and
+there the key phrases are verified word by word. A template's coverage is the share of its words that stand at their places.
 
 Every base phrase is posted under its own rarest word, and each of its places in a text holds that word, so no place is lost.
 
@@ -43,7 +43,8 @@ TEMPLATES = (
     ("cc0", "cc0 1 0 universal public domain dedication", ("public domain dedication",)),
     ("all-rights-reserved", "all rights reserved", ("all rights reserved",)),
 )
-#: Words of a template, rarest first, whose postings are intersected.
+#: Words of a template's key phrases, rarest first, whose postings are intersected. Key phrases are mandatory, so a place that
+#: lacks one of these words can't be one.
 POSTED = 3
 #: A template's least coverage.
 LEAST = 0.5
@@ -74,9 +75,14 @@ class Index:
     def vocabulary(base, templates) -> list[int]:
         return sorted({int(h) for text in [*(b[1] for b in base), *(t[1] for t in templates)] for h in hashed(text)})
 
-    def rarest(self, phrase: np.ndarray, most: int = 1) -> list[int]:
-        """Positions of the rarest words, ties to the left."""
-        return sorted(range(len(phrase)), key=lambda i: (-self.idf.get(int(phrase[i]), 0.0), i))[:most]
+    def rarest(self, phrase: np.ndarray, most: int = 1, among: set[int] | None = None) -> list[int]:
+        """Positions of the rarest words, ties to the left. among: positions to choose from, all by default."""
+        return sorted(range(len(phrase)) if among is None else among, key=lambda i: (-self.idf.get(int(phrase[i]), 0.0), i))[:most]
+
+
+def shift_of(phrase: np.ndarray, part: np.ndarray) -> int:
+    """Where in a phrase its part begins."""
+    return next(i for i in range(len(phrase)) if np.array_equal(phrase[i : i + len(part)], part))
 
 
 def stands(w: Words, owner: np.ndarray, start: np.ndarray, text: np.ndarray, phrase: np.ndarray) -> np.ndarray:
@@ -123,15 +129,12 @@ def scan(w: Words, index: Index) -> list[tuple[int, int, int | None, int | None,
             labels[d].add(label)
     for label, text, keys_of in index.templates:
         phrase = hashed(text)
-        rare = index.rarest(phrase, POSTED)
-        hits = [postings(phrase[q]) for q in rare]
-        pairs = np.concatenate([np.stack((hit - q, owner[hit])) for q, hit in zip(rare, hits, strict=True)], axis=1)
-        agreed, votes = np.unique(pairs, axis=1, return_counts=True)
-        agreed = agreed[:, votes >= min(2, len(rare))]
-        start, of = agreed[0], agreed[1]
-        for key in keys_of:
-            k = hashed(key)
-            shift = next(i for i in range(len(phrase)) if np.array_equal(phrase[i : i + len(k)], k))
+        mandatory = [(shift_of(phrase, hashed(key)), hashed(key)) for key in keys_of]
+        rare = index.rarest(phrase, POSTED, {shift + i for shift, k in mandatory for i in range(len(k))})
+        starts = [np.stack((hit - q, owner[hit])) for q in rare for hit in [postings(phrase[q])]]
+        agreed, votes = np.unique(np.concatenate(starts, axis=1), axis=1, return_counts=True)
+        start, of = agreed[:, votes == len(rare)]
+        for shift, k in mandatory:
             good = stands(w, owner, start + shift, of, k)
             start, of = start[good], of[good]
         if not len(of):
