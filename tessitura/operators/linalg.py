@@ -33,6 +33,18 @@ def hermitian_error(cov: DataFrame, keys: list[str]) -> DataFrame:
     return cov.join(b, [*keys, "i", "j"]).groupBy(*keys).agg((F.max(d) / F.max(at().abs())).alias("err"))
 
 
+def multiplied(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Complex matrix product of a and b in long form (keys, i, j, re, im): a join on the inner index and a sum."""
+    x = a.select(*keys, "i", F.col("j").alias("k"), F.col("re").alias("re1"), F.col("im").alias("im1"))
+    y = b.select(*keys, F.col("i").alias("k"), "j", F.col("re").alias("re2"), F.col("im").alias("im2"))
+    z = at(suffix="1") * at(suffix="2")
+    return x.join(y, [*keys, "k"]).groupBy(*keys, "i", "j").agg(F.sum(z.re).alias("re"), F.sum(z.im).alias("im"))
+
+
+def diagonal_added(a: DataFrame, value: float) -> DataFrame:
+    return a.withColumn("re", F.col("re") + F.when(F.col("i") == F.col("j"), value).otherwise(0.0))
+
+
 def packed(cov: DataFrame, keys: list[str], name: str) -> DataFrame:
     """(keys, name_re, name_im): each matrix as row-major arrays."""
     z = F.array_sort(F.collect_list(F.struct("i", "j", "re", "im")))
@@ -76,6 +88,11 @@ def inverse(r: np.ndarray) -> np.ndarray:
     return np.linalg.inv(r)
 
 
+def solved(r: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """x of r x = b for each matrix of a stack."""
+    return np.linalg.solve(r, b)
+
+
 def eigenvalues(r: np.ndarray) -> np.ndarray:
     return np.linalg.eigvalsh((r + r.conj().transpose(0, 2, 1)) / 2)
 
