@@ -2,7 +2,7 @@
 
 Signatures use two permutations of 32-bit numbers: the first scatters the shingles, the second is shifted by one place for
 each further coordinate. BANDS bands of ROWS coordinates put documents with a similarity of 0.85 into a common bucket with
-probability 1 - 5e-6. Equal sets are one class from then on. Among classes that share a bucket:
+probability 1 - 7e-6. Equal sets are one class from then on. Among classes that share a bucket:
 
 1. shingles that no other candidate has are counted; a class with too many of them can't reach the threshold and goes;
 2. each class is compared with one leader, the least id of its buckets (linear in the classes);
