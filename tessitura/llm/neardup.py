@@ -14,7 +14,8 @@ All links are confirmed on whole sets of 64-bit shingle hashes, so none below th
 star contraction (shared.connected).
 
 Defined results: a text of fewer than five words is one shingle, its whole sequence; null and blank texts have none, link
-with nothing and are kept. Rows that repeat a doc_id are the same document. Very long texts are hashed in slices.
+with nothing and are kept. `classes` takes rows that repeat a doc_id for the same document; `keep_one` tells rows apart by
+a key of its own. Very long texts are hashed in slices.
 """
 
 from __future__ import annotations
@@ -210,9 +211,14 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs without all but one document of each component, with the columns they came with."""
-    gone = classes(spark, docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(stored(spark, gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
+    """docs without all but one row of each component, with the columns they came with. Every row has a key of its own, so
+    rows that repeat a doc_id, or have none, are compared like all others. The least doc_id stays, nulls last."""
+    rows = stored(spark, docs.select(F.struct("*").alias("d"), F.monotonically_increasing_id().alias("row")), "rows")
+    found = classes(spark, rows.select(F.col("row").alias("doc_id"), "d.text")).where("n_shingles > 0").select(F.col("doc_id").alias("row"), "component_id")
+    found = stored(spark, found.join(rows.select("row", "d.doc_id"), "row"), "found")
+    best = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")).select("least.row")
+    gone = found.join(best, "row", "left_anti").select("row")
+    return rows.join(stored(spark, gone, "gone"), "row", "left_anti").select("d.*")
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

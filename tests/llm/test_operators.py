@@ -450,3 +450,13 @@ def test_pipeline_is_its_stages(spark, tmp_path, docs):
     total = sum(len(t.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in now.collect())
     assert got["length"].sum() == total and len(got)
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_a_repeated_row_keeps_its_text_once(spark):
+    """Stages 3 and 4 on rows that share a doc_id or have none: one row of each group of copies stays, with all its text."""
+    rng = np.random.default_rng(21)
+    a, b, c, d, e = (prose(60, rng) for _ in range(5))
+    rows = [(7, a), (7, a), (None, b), (None, b), (None, c), (3, d), (9, d), (9, e), (4, None), (None, None), (5, "")]
+    kept = neardup.keep_one(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    got = substrings.remove_repeats(spark, shared.stored(spark, kept, "kept")).collect()
+    assert collections.Counter(map(tuple, got)) == collections.Counter([(7, a), (None, b), (None, c), (3, d), (9, e), (4, None), (None, None), (5, "")])
