@@ -44,8 +44,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return neardup.keep_one(spark, docs)
+    """One document of each group of near copies (a similarity of 0.8 or more over five words) stays."""
+    return neardup.keep_one(spark, docs, neardup.STAGE_PERCENT, neardup.STAGE_BANDS)
 
 
 @_stage

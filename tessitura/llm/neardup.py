@@ -2,7 +2,7 @@
 
 Signatures use two permutations of 32-bit numbers: the first scatters the shingles, the second is shifted by one place for
 each further coordinate. BANDS bands of ROWS coordinates put documents with a similarity of 0.85 into a common bucket with
-probability 1 - 7e-6. Equal sets are one class from then on. Among classes that share a bucket:
+probability 1 - 7e-6; the pipeline's stage has a threshold of 0.8 and more bands. Equal sets are one class from then on. Among classes that share a bucket:
 
 1. shingles that no other candidate has are counted; a class with too many of them can't reach the threshold and goes;
 2. each class is compared with one leader, the least id of its buckets (linear in the classes);
@@ -31,6 +31,8 @@ from .shared import LOWER, chunks, connected, dropped, grams, in_arrow, mix, pai
 SHINGLE = 5
 PERCENT = 85
 BANDS, ROWS = 16, 4
+#: The pipeline's stage: 24 bands miss a pair of 80 % similarity with a probability of 3e-6.
+STAGE_PERCENT, STAGE_BANDS = 80, 24
 #: Shingles and classes of a block of the exact comparison.
 BLOCK_SHINGLES, BLOCK_CLASSES = 200_000, 256
 
@@ -73,7 +75,7 @@ def signatures(sets: list[np.ndarray], size: int = BANDS * ROWS) -> np.ndarray:
     return out
 
 
-def sketched(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def sketched(docs: DataFrame, key: str = "doc_id", text: str = "text", n_bands: int = BANDS) -> DataFrame:
     """(key, n_shingles, d1, d2, bands): size and digest of each set, and its bucket in each band (null without shingles)."""
 
     def run(batches):
@@ -84,9 +86,9 @@ def sketched(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
                 full = [s for s in sets if len(s)]
                 made = iter(())
                 if full:
-                    sig = signatures(full).astype(np.uint64)
-                    cells = np.empty((len(full), BANDS), dtype=np.uint64)
-                    for band in range(BANDS):
+                    sig = signatures(full, n_bands * ROWS).astype(np.uint64)
+                    cells = np.empty((len(full), n_bands), dtype=np.uint64)
+                    for band in range(n_bands):
                         x = np.full(len(full), band, dtype=np.uint64)
                         for r in range(ROWS):
                             x = paired(x, sig[:, band * ROWS + r])
@@ -118,11 +120,11 @@ def _sets(docs: DataFrame) -> DataFrame:
     return in_arrow(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, n long, s array<long>")
 
 
-def _similar(inter, a, b):
-    return 100 * inter >= PERCENT * (a + b - inter)
+def _similar(inter, a, b, percent: int):
+    return 100 * inter >= percent * (a + b - inter)
 
 
-def _compared(key, group):
+def _compared(group, percent: int):
     """Links between the classes of two blocks (or in one), as a spanning forest over their components so far."""
     ids, label, block = (np.asarray(group.column(c)) for c in ("id", "label", "block"))
     size = np.asarray(group.column("n"))
@@ -151,13 +153,13 @@ def _compared(key, group):
     first, second, edges = int(block.min()), int(block.max()), []
     left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
     for i in left.tolist():
-        others = right[(label[right] != label[i]) & (100 * np.minimum(size[right], size[i]) >= PERCENT * np.maximum(size[right], size[i]))]
+        others = right[(label[right] != label[i]) & (100 * np.minimum(size[right], size[i]) >= percent * np.maximum(size[right], size[i]))]
         if first == second:
             others = others[others > i]
         if not len(others):
             continue
         inter = np.bitwise_count(bits[others] & bits[i]).sum(axis=1).astype(np.int64)
-        for j in others[_similar(inter, size[i], size[others])].tolist():
+        for j in others[_similar(inter, size[i], size[others], percent)].tolist():
             a, b = find(int(label[i])), find(int(label[j]))
             if a != b:
                 root[max(a, b)] = min(a, b)
@@ -165,10 +167,10 @@ def _compared(key, group):
     return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
 
 
-def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text)."""
+def classes(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, bands: int = BANDS) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text); links from a similarity of `percent` on."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = stored(spark, sketched(docs), "sketch")
+    sketch = stored(spark, sketched(docs, n_bands=bands), "sketch")
     # one class for equal sets, named by its least document
     same = sketch.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min_by(F.struct(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands"), "doc_id").alias("c"), F.min("doc_id").alias("id"))
     named = stored(spark, same.select("d1", "d2", "id", "c.n", "c.bands"), "classes")
@@ -180,13 +182,13 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     sets = stored(spark, _sets(texts.join(wanted, "id", "left_semi")), "sets")
     # shingles of one candidate alone: too many of them, and no other can be near enough
     single = sets.select("id", F.explode("s").alias("h")).groupBy("h").agg(F.min("id").alias("id"), F.count("*").alias("c")).where("c = 1").groupBy("id").agg(F.count("*").alias("u"))
-    alive = stored(spark, sets.select("id", "n").join(single, "id", "left").where(100 * (F.col("n") - F.coalesce("u", F.lit(0))) >= PERCENT * F.col("n")).select("id"), "alive")
+    alive = stored(spark, sets.select("id", "n").join(single, "id", "left").where(100 * (F.col("n") - F.coalesce("u", F.lit(0))) >= percent * F.col("n")).select("id"), "alive")
     cells = cells.join(alive, "id", "left_semi")
     leader = cells.groupBy("cell").agg(F.min("id").alias("leader"))
     star = stored(spark, cells.join(leader, "cell").where("leader < id").select("leader", "id").distinct(), "star")
     pairs = star.groupBy("id").agg(F.min("leader").alias("leader"))
     one, two = sets.select("id", "n", "s"), sets.select(F.col("id").alias("leader"), F.col("n").alias("n2"), F.col("s").alias("s2"))
-    near = pairs.join(one, "id").join(two, "leader").where(_similar(F.size(F.array_intersect("s", "s2")), F.col("n"), F.col("n2")))
+    near = pairs.join(one, "id").join(two, "leader").where(_similar(F.size(F.array_intersect("s", "s2")), F.col("n"), F.col("n2"), percent))
     links = stored(spark, near.select(F.col("leader").alias("a"), F.col("id").alias("b")), "links")
     part = connected(spark, links).select("id", F.col("component_id").alias("label"))
     cluster = connected(spark, star.select(F.col("leader").alias("a"), F.col("id").alias("b"))).select("id", F.col("component_id").alias("cluster"))
@@ -201,7 +203,7 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     duo = span.join(other, "cluster").where((F.col("block") <= F.col("block2")) & ~((F.col("lo") == F.col("hi")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo") == F.col("lo2"))))
     task = duo.select("cluster", F.explode(F.array_distinct(F.array("block", "block2"))).alias("block"), F.struct("block", "block2").alias("duo"))
     group = blocks.join(task, ["cluster", "block"]).join(sets, "id").select("cluster", "duo", "id", "label", "block", "n", "s")
-    more = stored(spark, group.groupBy("cluster", "duo").applyInArrow(_compared, "a long, b long"), "more")
+    more = stored(spark, group.groupBy("cluster", "duo").applyInArrow(lambda key, g: _compared(g, percent), "a long, b long"), "more")
     dropped(spark, sets, cells_shared, wanted, alive, star, blocks)
     whole = connected(spark, links.unionByName(more))
     final = named.join(whole, "id", "left").select("d1", "d2", F.coalesce("component_id", "id").alias("component_id"))
@@ -210,11 +212,11 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def keep_one(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, bands: int = BANDS) -> DataFrame:
     """docs without all but one row of each component, with the columns they came with. Every row has a key of its own, so
     rows that repeat a doc_id, or have none, are compared like all others. The least doc_id stays, nulls last."""
     rows = stored(spark, docs.select(F.struct("*").alias("d"), F.monotonically_increasing_id().alias("row")), "rows")
-    found = classes(spark, rows.select(F.col("row").alias("doc_id"), "d.text")).where("n_shingles > 0").select(F.col("doc_id").alias("row"), "component_id")
+    found = classes(spark, rows.select(F.col("row").alias("doc_id"), "d.text"), percent, bands).where("n_shingles > 0").select(F.col("doc_id").alias("row"), "component_id")
     found = stored(spark, found.join(rows.select("row", "d.doc_id"), "row"), "found")
     best = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")).select("least.row")
     gone = found.join(best, "row", "left_anti").select("row")

@@ -460,3 +460,19 @@ def test_a_repeated_row_keeps_its_text_once(spark):
     kept = neardup.keep_one(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     got = substrings.remove_repeats(spark, shared.stored(spark, kept, "kept")).collect()
     assert collections.Counter(map(tuple, got)) == collections.Counter([(7, a), (None, b), (None, c), (3, d), (9, e), (4, None), (None, None), (5, "")])
+
+
+def test_near_dedup_stage_links_from_four_fifths(spark):
+    """Pairs from 0.75 to 0.85, each alone, through the pipeline's stage, against brute force at 0.8."""
+    import corpus_pipeline as C
+
+    rng, rows = np.random.default_rng(22), []
+    for k in range(60):
+        w = prose(154, rng).split()
+        at = rng.choice(np.arange(8, 146, 10), 3 + k % 3, replace=False)
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(f"z{k}" if i in at else x for i, x in enumerate(w)))]
+    s = [shingles(t) for _, t in rows]
+    want = components(len(s), lambda a, b: 100 * len(s[a] & s[b]) >= 80 * len(s[a] | s[b]))
+    assert any(80 * len(s[a] | s[a + 1]) <= 100 * len(s[a] & s[a + 1]) < 85 * len(s[a] | s[a + 1]) for a in range(0, 120, 2)) and len(set(want)) > 60
+    got = C.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert {r["doc_id"] for r in got.collect()} == set(want)
