@@ -1,8 +1,10 @@
 """Quality rules by weak supervision, all in DataFrame functions.
 
 Each rule looks at one feature of a text and votes good (1), bad (-1) or abstains (0). Expectation-maximisation over the
-table of vote patterns (at most 3 ** rules rows, whatever the corpus) estimates for each rule how often it is right on good
-and on bad documents; a document's posterior probability of being good replaces "all rules must pass".
+table of vote patterns (at most 2 * 3 ** rules rows, whatever the corpus) estimates for each rule how often it is right on
+good and on bad documents; a document's posterior probability of being good replaces "all rules must pass". Documents that fail
+the base rule are known to be bad while EM runs, which tells it which class is which; no rule's accuracy is bounded, so a rule
+that many otherwise good documents fail loses its weight.
 
 Defined results: null and empty texts have no words, fail the base rule and aren't kept. Repeated rows are judged one by
 one. An empty table gives an empty result. Columns of the input whose names clash with the feature columns are only touched
@@ -23,8 +25,8 @@ WINDOW = 5
 BASE_MIN_WORDS = 10
 BASE_MAX_REPEAT_PERCENT = 20
 EM_ROUNDS = 25
-#: A defect rule blames at most two good documents in a thousand; EM estimates the rest. Without this bound EM may settle on
-#: another split of the corpus, such as short against long texts.
+#: For a fit without known bad documents: a defect rule blames at most two good documents in a thousand. Without this bound
+#: such a fit may settle on another split of the corpus, such as short against long texts. The operator's fit has no bound.
 DEFECTS = ("symbols", "capitals", "shouting", "lines", "windows")
 LEAST_RIGHT = 0.998
 
@@ -101,24 +103,30 @@ class LabelModel:
         return 1 / (1 + F.exp(-odds))
 
 
-#: One EM round over the array p of vote patterns. `e` adds to each pattern its weight of good documents.
+#: One EM round over the array p of vote patterns. `e` adds to each pattern its weight of good documents; at the start, with
+#: known bad documents, nine in ten of the others.
 _ROUND = """
-aggregate(sequence(1, {rounds}), named_struct('prior', 0.8D, 'good', transform(f, x -> greatest(x, 0.995D)), 'bad', array_repeat(0.15D, {n})), (s, r) ->
-  transform(array(transform(p, x -> named_struct('v', x.v, 'n', x.n, 'g', x.n / (1 + exp(-(ln(s.prior / (1 - s.prior)) + aggregate({all}, 0D, (a, j) ->
-      a + CASE x.v[j] WHEN 1 THEN ln(s.good[j] / (1 - s.bad[j])) WHEN -1 THEN ln((1 - s.good[j]) / s.bad[j]) ELSE 0D END))))))), e -> named_struct(
+aggregate(sequence(1, {rounds}), named_struct('start', {start}, 'prior', 0.8D, 'good', transform(f, x -> greatest(x, 0.995D)), 'bad', array_repeat(0.15D, {n})), (s, r) ->
+  transform(array(transform(p, x -> named_struct('v', x.v, 'n', x.n, 'g', if(x.known, 0D, x.n) * if(s.start, 0.9D, 1 / (1 + exp(-(ln(s.prior / (1 - s.prior)) + aggregate({all}, 0D, (a, j) ->
+      a + CASE x.v[j] WHEN 1 THEN ln(s.good[j] / (1 - s.bad[j])) WHEN -1 THEN ln((1 - s.good[j]) / s.bad[j]) ELSE 0D END)))))))), e -> named_struct(
+    'start', false,
     'prior', (aggregate(e, 0D, (a, x) -> a + x.g) + 4) / (aggregate(e, 0D, (a, x) -> a + x.n) + 5),
     'good', transform({all}, j -> greatest(f[j], (aggregate(e, 0D, (a, x) -> a + if(x.v[j] = 1, x.g, 0D)) + 99.5) / (aggregate(e, 0D, (a, x) -> a + if(x.v[j] <> 0, x.g, 0D)) + 100))),
     'bad', transform({all}, j -> (aggregate(e, 0D, (a, x) -> a + if(x.v[j] = -1, x.n - x.g, 0D)) + 1.5) / (aggregate(e, 0D, (a, x) -> a + if(x.v[j] <> 0, x.n - x.g, 0D)) + 10))))[0])
 """
 
 
-def fit(spark: SparkSession, voted: DataFrame, rules: list[str], rounds: int = EM_ROUNDS) -> LabelModel:
+def fit(spark: SparkSession, voted: DataFrame, rules: list[str], rounds: int = EM_ROUNDS, known_bad: str | None = None) -> LabelModel:
     """EM over the counts of vote patterns, all documents counted. It starts from rules that seldom blame a good document and
-    find one bad document in seven, and keeps weak priors of that shape, so a rule that never votes keeps a finite weight.
-    The pattern table has at most 3 ** len(rules) rows and is folded in one SQL expression."""
-    counts = voted.groupBy(*rules).agg(F.count("*").cast("double").alias("n"))
-    p = counts.agg(F.array_sort(F.collect_list(F.struct(F.array(*(F.col(r).cast("int") for r in rules)).alias("v"), "n"))).alias("p")).withColumn("f", F.array(*(F.lit(LEAST_RIGHT if r in DEFECTS else 0.0) for r in rules)))
-    s = p.select(F.expr(_ROUND.format(rounds=rounds, n=len(rules), all=f"sequence(0, {len(rules) - 1})")).alias("s")).first()["s"]
+    find one bad document in seven, and keeps weak priors of that shape, worth 100 and 10 votes, so a rule that never votes keeps
+    a finite weight. known_bad: a column that is true for documents known to be bad. EM then starts from them instead, and no
+    rule is bounded by LEAST_RIGHT.
+    The pattern table has at most 2 * 3 ** len(rules) rows and is folded in one SQL expression."""
+    voted = voted.select(*rules, F.coalesce(F.col(known_bad), F.lit(False)).alias("known") if known_bad else F.lit(False).alias("known"))
+    counts = voted.groupBy(*rules, "known").agg(F.count("*").cast("double").alias("n"))
+    least = [LEAST_RIGHT if r in DEFECTS and known_bad is None else 0.0 for r in rules]
+    p = counts.agg(F.array_sort(F.collect_list(F.struct(F.array(*(F.col(r).cast("int") for r in rules)).alias("v"), "n", "known"))).alias("p")).withColumn("f", F.array(*map(F.lit, least)))
+    s = p.select(F.expr(_ROUND.format(rounds=rounds + (known_bad is not None), start=str(known_bad is not None).lower(), n=len(rules), all=f"sequence(0, {len(rules) - 1})")).alias("s")).first()["s"]
     return LabelModel(s["prior"], {r: (s["good"][j], s["bad"][j]) for j, r in enumerate(rules)})
 
 
@@ -133,7 +141,7 @@ def scored(docs: DataFrame, model: LabelModel) -> DataFrame:
 
 def fitted(spark: SparkSession, featured: DataFrame) -> LabelModel:
     v = votes()
-    return fit(spark, featured.select(*(c.alias(r) for r, c in v.items())), list(v))
+    return fit(spark, featured.select(*(c.alias(r) for r, c in v.items()), base_failed().alias("failed")), list(v), known_bad="failed")
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, text: str = "text") -> DataFrame:

@@ -476,3 +476,23 @@ def test_near_dedup_stage_links_from_four_fifths(spark):
     assert any(80 * len(s[a] | s[a + 1]) <= 100 * len(s[a] & s[a + 1]) < 85 * len(s[a] | s[a + 1]) for a in range(0, 120, 2)) and len(set(want)) > 60
     got = C.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert {r["doc_id"] for r in got.collect()} == set(want)
+
+
+@pytest.mark.parametrize("rule", quality.DEFECTS)
+def test_a_rule_that_good_documents_fail_loses_its_weight(spark, rule):
+    """Six in ten documents fail nothing, a third fails one rule only, the rest is junk: the third is kept, the junk isn't."""
+    rules = list(quality.votes())
+    table = [((), False, 6000), ((rule,), False, 3300), (("capitals", "shouting", "windows"), True, 400), (("symbols", "lines", "windows", "stops"), False, 300)]
+    rows = [(*(-1 if r in bad else 1 for r in rules), failed) for bad, failed, n in table for _ in range(n // 10)]
+    voted = spark.createDataFrame(rows, ", ".join(f"{r} int" for r in rules) + ", failed boolean")
+    model = quality.fit(spark, voted, rules, known_bad="failed")
+    got = {tuple(r)[:-1]: r["p"] for r in voted.select(*rules, model.posterior({r: F.col(r) for r in rules}).alias("p")).distinct().collect()}
+    assert [got[tuple(-1 if r in bad else 1 for r in rules)] >= 0.5 for bad, _, _ in table] == [True, True, False, False]
+
+
+def test_good_documents_with_repeated_lines_are_kept(spark):
+    """A refrain in a third of the documents doesn't reject them."""
+    rng = np.random.default_rng(23)
+    rows = [(i, prose(80, rng) + ".") for i in range(200)] + [(200 + i, prose(60, rng) + ".\n" + "la la\n" * 3 + prose(40, rng)) for i in range(110)] + [(400 + i, "### $$$ *** " * 20 + prose(40, rng)) for i in range(25)]
+    kept = {r["doc_id"] for r in quality.filter_quality(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(range(310))
