@@ -9,7 +9,8 @@ and `\\g`; so no text can hold a control string and every text can be read back.
 length in code points) of the texts whose role is trained on.
 
 Defined results: a null text or role is empty; a message whose parent isn't in its tree is a root; a message that is its own
-ancestor has no root and gives no path; repeated turns are told apart by their order (turn, role, text). No rows, no rows.
+ancestor, or below one, has no root and gives no path; messages with a null tree_id (turns with a null conv_id) are one tree;
+repeated turns are told apart by their order (turn, role, text). No rows, no rows.
 """
 
 from __future__ import annotations
@@ -22,8 +23,6 @@ from .shared import dropped, stored, table
 
 LOSS_ROLES = ("assistant",)
 PROBE = "</s>[INST] ok [/INST]"
-#: Rounds of doubling: paths of up to 2 ** MAX_ROUNDS messages; beyond it a chain can only be a cycle.
-MAX_ROUNDS = 40
 
 
 def escape(c: Column) -> Column:
@@ -36,29 +35,34 @@ def unescape(c: Column) -> Column:
 
 def paths(spark: SparkSession, messages: DataFrame) -> DataFrame:
     """(tree_id, leaf_id, up, id) for every message `up` steps above a leaf, for leaves that reach a root.
-    messages(tree_id, id, parent_id). jump holds for each message the one 2 ** k steps above it."""
-    m = messages.select("tree_id", "id", "parent_id")
-    jump = m.join(m.select("tree_id", F.col("id").alias("parent_id")), ["tree_id", "parent_id"], "left_semi").select("tree_id", "id", F.col("parent_id").alias("above"))
-    leaves = m.join(jump.select("tree_id", F.col("above").alias("id")).distinct(), ["tree_id", "id"], "left_anti")
-    found = leaves.select("tree_id", F.col("id").alias("leaf_id"), F.lit(0).cast("long").alias("up"), "id")
-    jump, found, step = stored(spark, jump, "jump"), stored(spark, found, "paths"), 1
-    while step < 1 << MAX_ROUNDS:
-        more = found.join(jump, ["tree_id", "id"]).select("tree_id", "leaf_id", (F.col("up") + step).alias("up"), F.col("above").alias("id"))
+    messages(tree_id, id, parent_id). Each of the jumps holds for each message the one 2 ** k steps above it. Trees are joined
+    by struct(tree_id), which is never null, so that messages without a tree_id are a tree too."""
+    m = messages.select(F.struct("tree_id").alias("tree"), "id", "parent_id")
+    jump = m.join(m.select("tree", F.col("id").alias("parent_id")), ["tree", "parent_id"], "left_semi").select("tree", "id", F.col("parent_id").alias("above"))
+    jumps = [stored(spark, jump, "jump")]
+    left = [jumps[0].select("tree", "id").distinct().count()]
+    # messages with 2 ** k above them: if there are as many for the next k, no chain ends between the two, and theirs never do
+    while left[-1] and (len(left) < 2 or left[-1] < left[-2]):
+        j = jumps[-1]
+        jumps.append(stored(spark, j.join(j.select("tree", F.col("id").alias("above"), F.col("above").alias("a2")), ["tree", "above"]).select("tree", "id", F.col("a2").alias("above")), "jump"))
+        left.append(jumps[-1].select("tree", "id").distinct().count())
+    leaves = m.join(jumps[0].select("tree", F.col("above").alias("id")).distinct(), ["tree", "id"], "left_anti")
+    if left[-1]:
+        leaves = leaves.join(jumps[-1].select("tree", "id").distinct(), ["tree", "id"], "left_anti")
+    found = stored(spark, leaves.select("tree", F.col("id").alias("leaf_id"), F.lit(0).cast("long").alias("up"), "id"), "paths")
+    for k, jump in enumerate(jumps):
+        more = found.join(jump, ["tree", "id"]).select("tree", "leaf_id", (F.col("up") + (1 << k)).alias("up"), F.col("above").alias("id"))
         longer = stored(spark, found.unionByName(more), "paths")
-        further = stored(spark, jump.join(jump.select("tree_id", F.col("id").alias("above"), F.col("above").alias("a2")), ["tree_id", "above"]).select("tree_id", "id", F.col("a2").alias("above")), "jump")
-        dropped(spark, found)
-        dropped(spark, jump)
-        found, jump, step = longer, further, step * 2
-        if jump.isEmpty():
-            break
-    return found
+        dropped(spark, found, jump)
+        found = longer
+    return found.select("tree.tree_id", "leaf_id", "up", "id")
 
 
 def branches(spark: SparkSession, messages: DataFrame, best: int | None = None) -> DataFrame:
     """(tree_id, leaf_id, branch, turns): one row for each path, with branch 1 the best by mean score (ties: smallest leaf_id)
     and turns = array of (role, text) from the root. messages(tree_id, id, parent_id, role, text, score); best: how many
     branches of a tree to keep, all by default."""
-    on = paths(spark, messages).join(messages.select("tree_id", "id", "role", "text", "score"), ["tree_id", "id"])
+    on = paths(spark, messages).select(F.struct("tree_id").alias("tree"), "leaf_id", "up", "id").join(messages.select(F.struct("tree_id").alias("tree"), "id", "role", "text", "score"), ["tree", "id"]).withColumn("tree_id", F.col("tree.tree_id"))
     whole = on.groupBy("tree_id", "leaf_id").agg(
         F.avg(F.coalesce("score", F.lit(0.0))).alias("score"),
         F.transform(F.sort_array(F.collect_list(F.struct((-F.col("up")).alias("at"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"),

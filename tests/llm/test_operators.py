@@ -496,3 +496,19 @@ def test_good_documents_with_repeated_lines_are_kept(spark):
     rows = [(i, prose(80, rng) + ".") for i in range(200)] + [(200 + i, prose(60, rng) + ".\n" + "la la\n" * 3 + prose(40, rng)) for i in range(110)] + [(400 + i, "### $$$ *** " * 20 + prose(40, rng)) for i in range(25)]
     kept = {r["doc_id"] for r in quality.filter_quality(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == set(range(310))
+
+
+def test_turns_without_a_conversation_are_one(spark, tmp_path):
+    rows = [(None, 1, "assistant", "two"), (None, 0, "user", "one"), (8, 0, "user", "x")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["conv_id"]: r for r in chat.op5_chat_formatting(spark, str(tmp_path)).collect()}
+    assert set(got) == {None, 8, -1} and got[None]["n_turns"] == 2
+    assert got[None]["turns_sha256"] == hashlib.sha256(b"user\none\nassistant\ntwo\n").hexdigest() and got[None]["loss_chars"] == 3
+
+
+def test_leaves_below_a_cycle_end_early(spark):
+    cycle = [(1, i, i % 5 + 1) for i in range(1, 6)] + [(1, 10 + i, i) for i in range(1, 6)]
+    chain = [(2, i, i - 1 if i else None) for i in range(40)]
+    m = spark.createDataFrame(cycle + chain, "tree_id long, id long, parent_id long")
+    got = {tuple(r) for r in chat.paths(spark, m).collect()}
+    assert got == {(2, 39, k, 39 - k) for k in range(40)}
