@@ -50,9 +50,9 @@ def speakers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def transcripts(spark: SparkSession, d: str) -> DataFrame:
-    """(utt, hyp, ref, cls): a turn against the next turn of its conversation, twelve tokens of each."""
+    """(utt, hyp, ref, cls): a turn against the next turn of its conversation, all tokens of each."""
     c = read(spark, d, "conversations")
-    tokens = F.slice(F.split(F.btrim("text"), "\\s+"), 1, 12)
+    tokens = F.split(F.btrim("text"), "\\s+")
     a = c.select("conv_id", F.col("turn").alias("turn"), tokens.alias("hyp"), F.col("role").alias("cls"))
     b = c.select("conv_id", (F.col("turn") - 1).alias("turn"), tokens.alias("ref"))
     return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", "hyp", "ref", "cls")

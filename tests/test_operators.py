@@ -170,3 +170,26 @@ def test_si_snr_of_equal_signals_is_high(spark):
     x = [(0, float(v), float(v) * 3 + 1) for v in RNG.standard_normal(500)]
     got = M.si_snr(spark.createDataFrame(x, "utt long, ref double, est double"), ["utt"]).first()["value"]
     assert got > 80 and not math.isnan(got)
+
+
+def test_word_errors_of_whole_turns(spark, tmp_path):
+    """met05 and agg05 on turns of more than twelve words against a plain table of distances."""
+    from tessitura.plans import estimates
+
+    def distance(a, b):
+        last = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            now = [i + 1]
+            for j, y in enumerate(b):
+                now.append(min(now[-1] + 1, last[j + 1] + 1, last[j] + (x != y)))
+            last = now
+        return last[-1]
+
+    texts = [" ".join(np.random.default_rng(k).choice(list("abcdef"), n)) for k, n in enumerate((5, 30, 41, 13, 25))]
+    rows = [(1, k, "user" if k % 2 else "assistant", t) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    want = {k: (distance(texts[k].split(), texts[k + 1].split()), len(texts[k + 1].split())) for k in range(4)}
+    assert {r["turn"]: (r["err"], r["len"]) for r in estimates.met05(spark, str(tmp_path)).collect()} == want
+    rate = {r["cls"]: r["rate"] for r in estimates.agg05(spark, str(tmp_path)).collect()}
+    for cls, turns in (("assistant", (0, 2)), ("user", (1, 3))):
+        assert abs(rate[cls] - 100 * sum(want[k][0] for k in turns) / sum(want[k][1] for k in turns)) < 1e-5 or abs(rate[cls] - sum(want[k][0] for k in turns) / sum(want[k][1] for k in turns)) < 1e-5
