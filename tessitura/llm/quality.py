@@ -2,13 +2,18 @@
 
 Each rule looks at one feature of a text and votes good (1), bad (-1) or abstains (0). Expectation-maximisation over the
 table of vote patterns (at most 2 * 3 ** rules rows, whatever the corpus) estimates for each rule how often it is right on
-good and on bad documents; a document's posterior probability of being good replaces "all rules must pass". Documents that fail
-the base rule are known to be bad while EM runs, which tells it which class is which; no rule's accuracy is bounded, so a rule
-that many otherwise good documents fail loses its weight.
-
-Defined results: null and empty texts have no words, fail the base rule and aren't kept. Repeated rows are judged one by
-one. An empty table gives an empty result. Columns of the input whose names clash with the feature columns are only touched
-by `with_features`, which keeps its own under the prefix `q_`.
+good and on bad documents among those it votes on; whether it votes is taken to be independent of the class, so an abstention
+has no weight. A document's posterior probability of being good replaces "all rules must pass".
+
+What tells the classes apart: documents that fail the base rule are known to be bad while EM runs; those that AGREE or more
+rules blame start as bad, all others as good; the share of good documents has a weak prior; and a vote never speaks for the
+other side (a rule blames bad documents at least as often as good ones). No accuracy is pinned: a rule that alone blames many
+documents loses its weight, one that blames them together with others gains some.
+
+Defined results: null and empty texts have no words, fail the base rule and aren't kept. Very long texts are read whole, as
+one row's arrays. Repeated rows and ties are judged one by one; a posterior of exactly 0.5 is kept. An empty table gives an
+empty result. `with_features` keeps its columns under the prefix `q_` and overwrites columns of that name; `filter_quality`
+carries the input in a struct, so its columns can have any names.
 """
 
 from __future__ import annotations
@@ -24,11 +29,9 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 BASE_MIN_WORDS = 10
 BASE_MAX_REPEAT_PERCENT = 20
-EM_ROUNDS = 25
-#: For a fit without known bad documents: a defect rule blames at most two good documents in a thousand. Without this bound
-#: such a fit may settle on another split of the corpus, such as short against long texts. The operator's fit has no bound.
-DEFECTS = ("symbols", "capitals", "shouting", "lines", "windows")
-LEAST_RIGHT = 0.998
+EM_ROUNDS = 40
+#: Rules that must blame a document for it to start as bad.
+AGREE = 2
 
 
 def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -56,6 +59,8 @@ def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
             n.cast("long").alias("n_words"),
             left(SPACES).cast("long").alias("word_chars"),
             (F.length(t) - left(SYMBOLS)).cast("long").alias("n_symbols"),
+            F.regexp_count(t, F.lit(f"[{SYMBOLS}]+")).cast("long").alias("n_symbol_runs"),
+            F.length(F.regexp_replace(t, "[^\\p{L}\\p{N}]+", "")).cast("long").alias("n_alnum"),
             F.size("q_lines").cast("long").alias("n_lines"),
             (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long").alias("n_dup_lines"),
             F.coalesce(repeat, F.lit(0)).cast("long").alias("n_repeat_words"),
@@ -78,6 +83,8 @@ def votes(q: str = "q_") -> dict[str, Column]:
     enough = n >= 10
     return {
         "symbols": _vote(f("n_symbols") > 0.03 * chars, f("n_symbols") <= 0.005 * chars),
+        "symbol_runs": _vote(f("n_symbol_runs") > 0.1 * n, f("n_symbol_runs") <= 0.03 * n),
+        "signs": _vote(enough & (f("n_alnum") < 0.8 * chars), f("n_alnum") >= 0.9 * chars),
         "capitals": _vote(enough & (f("n_upper") > 0.3 * chars), f("n_upper") < 0.12 * chars),
         "shouting": _vote(enough & (per_word("n_shouts") > 0.2), per_word("n_shouts") < 0.02),
         "lines": _vote(f("n_dup_lines") >= F.greatest(F.lit(2), 0.25 * f("n_lines")), f("n_dup_lines") == 0),
@@ -103,30 +110,29 @@ class LabelModel:
         return 1 / (1 + F.exp(-odds))
 
 
-#: One EM round over the array p of vote patterns. `e` adds to each pattern its weight of good documents; at the start, with
-#: known bad documents, nine in ten of the others.
-_ROUND = """
-aggregate(sequence(1, {rounds}), named_struct('start', {start}, 'prior', 0.8D, 'good', transform(f, x -> greatest(x, 0.995D)), 'bad', array_repeat(0.15D, {n})), (s, r) ->
-  transform(array(transform(p, x -> named_struct('v', x.v, 'n', x.n, 'g', if(x.known, 0D, x.n) * if(s.start, 0.9D, 1 / (1 + exp(-(ln(s.prior / (1 - s.prior)) + aggregate({all}, 0D, (a, j) ->
-      a + CASE x.v[j] WHEN 1 THEN ln(s.good[j] / (1 - s.bad[j])) WHEN -1 THEN ln((1 - s.good[j]) / s.bad[j]) ELSE 0D END)))))))), e -> named_struct(
-    'start', false,
-    'prior', (aggregate(e, 0D, (a, x) -> a + x.g) + 4) / (aggregate(e, 0D, (a, x) -> a + x.n) + 5),
-    'good', transform({all}, j -> greatest(f[j], (aggregate(e, 0D, (a, x) -> a + if(x.v[j] = 1, x.g, 0D)) + 99.5) / (aggregate(e, 0D, (a, x) -> a + if(x.v[j] <> 0, x.g, 0D)) + 100))),
-    'bad', transform({all}, j -> (aggregate(e, 0D, (a, x) -> a + if(x.v[j] = -1, x.n - x.g, 0D)) + 1.5) / (aggregate(e, 0D, (a, x) -> a + if(x.v[j] <> 0, x.n - x.g, 0D)) + 10))))[0])
+#: EM over the array p of vote patterns (v: votes, n: documents, known: known to be bad). g is the good documents' share of n.
+_ROUNDS = """
+aggregate(sequence(1, {rounds}), named_struct('start', true, 'prior', 0.8D, 'good', array_repeat(0.99D, {n}), 'bad', array_repeat(0.15D, {n})), (s, r) ->
+  transform(array(transform(p, x -> named_struct('v', x.v, 'n', x.n, 'g', CASE WHEN x.known THEN 0D
+      WHEN s.start THEN x.n * if(size(filter(x.v, y -> y = -1)) >= {agree}, 0.1D, 0.9D)
+      ELSE x.n / (1 + exp(-(ln(s.prior / (1 - s.prior)) + aggregate({all}, 0D, (a, j) ->
+        a + CASE x.v[j] WHEN 1 THEN ln(s.good[j] / (1 - s.bad[j])) WHEN -1 THEN ln((1 - s.good[j]) / s.bad[j]) ELSE 0D END)))) END))), e ->
+    transform(array(transform({all}, j -> (aggregate(e, 0D, (a, x) -> a + if(x.v[j] = 1, x.g, 0D)) + 9.9) / (aggregate(e, 0D, (a, x) -> a + if(x.v[j] <> 0, x.g, 0D)) + 10))), good -> named_struct(
+      'start', false,
+      'prior', (aggregate(e, 0D, (a, x) -> a + x.g) + 4) / (aggregate(e, 0D, (a, x) -> a + x.n) + 5),
+      'good', good,
+      'bad', transform({all}, j -> greatest(1 - good[j], (aggregate(e, 0D, (a, x) -> a + if(x.v[j] = -1, x.n - x.g, 0D)) + 1.5) / (aggregate(e, 0D, (a, x) -> a + if(x.v[j] <> 0, x.n - x.g, 0D)) + 10)))))[0])[0])
 """
 
 
 def fit(spark: SparkSession, voted: DataFrame, rules: list[str], rounds: int = EM_ROUNDS, known_bad: str | None = None) -> LabelModel:
-    """EM over the counts of vote patterns, all documents counted. It starts from rules that seldom blame a good document and
-    find one bad document in seven, and keeps weak priors of that shape, worth 100 and 10 votes, so a rule that never votes keeps
-    a finite weight. known_bad: a column that is true for documents known to be bad. EM then starts from them instead, and no
-    rule is bounded by LEAST_RIGHT.
-    The pattern table has at most 2 * 3 ** len(rules) rows and is folded in one SQL expression."""
+    """EM over the counts of vote patterns, all documents counted. known_bad: a column that is true for documents known to be
+    bad. Weak priors, worth ten votes a rule and class (0.99 right on good, 0.15 on bad documents) and five documents for the
+    share, keep every weight finite. The pattern table has at most 2 * 3 ** len(rules) rows and is folded in one expression."""
     voted = voted.select(*rules, F.coalesce(F.col(known_bad), F.lit(False)).alias("known") if known_bad else F.lit(False).alias("known"))
     counts = voted.groupBy(*rules, "known").agg(F.count("*").cast("double").alias("n"))
-    least = [LEAST_RIGHT if r in DEFECTS and known_bad is None else 0.0 for r in rules]
-    p = counts.agg(F.array_sort(F.collect_list(F.struct(F.array(*(F.col(r).cast("int") for r in rules)).alias("v"), "n", "known"))).alias("p")).withColumn("f", F.array(*map(F.lit, least)))
-    s = p.select(F.expr(_ROUND.format(rounds=rounds + (known_bad is not None), start=str(known_bad is not None).lower(), n=len(rules), all=f"sequence(0, {len(rules) - 1})")).alias("s")).first()["s"]
+    p = counts.agg(F.array_sort(F.collect_list(F.struct(F.array(*(F.col(r).cast("int") for r in rules)).alias("v"), "n", "known"))).alias("p"))
+    s = p.select(F.expr(_ROUNDS.format(rounds=rounds, n=len(rules), agree=AGREE, all=f"sequence(0, {len(rules) - 1})")).alias("s")).first()["s"]
     return LabelModel(s["prior"], {r: (s["good"][j], s["bad"][j]) for j, r in enumerate(rules)})
 
 
