@@ -4,8 +4,10 @@ A profile is a language's PROFILE most frequent n-grams in rank order, learned f
 frequent n-grams are compared with each profile: an n-gram's distance is the difference of its ranks, or PROFILE if the
 profile lacks it. The language with the least sum wins; the score is 1 minus that sum over the largest possible one.
 
-Defined results: null texts and texts without a letter are `und` with score 0; so is everything if nothing was learned. Ties
-go to the language that sorts first. Repeated rows are judged one by one. Text is read whole, in slices of bounded memory.
+Defined results: null and empty texts and texts without a letter are `und` with score 0; so is everything if nothing was
+learned, from an empty table for example. Ties of n-grams go to the smaller one, ties of languages to the one that sorts
+first. Repeated rows are judged one by one. Very long texts are read whole, in slices of bounded memory. `judged` carries the
+input in a struct, so its columns can have any names.
 """
 
 from __future__ import annotations
@@ -111,8 +113,8 @@ def learned(spark: SparkSession, labelled: DataFrame, key: str = "doc_id", text:
     return {k: np.array(v, dtype=np.int64) for k, v in found.items()}
 
 
-def predicted(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text", size: int = PROFILE) -> DataFrame:
-    """docs with lang_pred and score. Only the text is used."""
+def judged(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text", size: int = PROFILE) -> DataFrame:
+    """(d, lang_pred, score): every row of docs as the struct d, with its language. Only the text is used."""
     names = sorted(profiles)
     gram = np.concatenate([profiles[x] for x in names]) if names else np.zeros(0, dtype=np.int64)
     known = np.unique(gram)
@@ -144,14 +146,15 @@ def predicted(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "tex
     def run(batches):
         for b in batches:
             langs, scores = [], []
-            for _, some in slices([t or "" for t in b.column(b.num_columns - 1).to_pylist()]):
+            for _, some in slices([t or "" for t in b.column(0).field(place).to_pylist()]):
                 x, y = judge(some)
                 langs += x
                 scores += y
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["d", "lang_pred", "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return in_arrow(docs.withColumn("l_text", F.col(text)), run, f"{fields}, lang_pred string, score double")
+    place = docs.columns.index(text)
+    whole = docs.select(F.struct("*").alias("d"))
+    return in_arrow(whole, run, f"d {whole.schema['d'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def held_out(key: str = "doc_id"):
@@ -162,10 +165,10 @@ def filter_language(spark: SparkSession, docs: DataFrame, least: float = 0.3) ->
     """Documents whose language is told with a score of at least `least`, with the columns they came with. Short documents
     score lower because few of their n-grams repeat, so `least` is low; texts without letters go."""
     profiles = learned(spark, docs.where(~held_out()).select("doc_id", "text", "lang"))
-    return predicted(docs, profiles).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*docs.columns)
+    return judged(docs, profiles).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("d.*")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     profiles = learned(spark, docs.where(~held_out()).select("doc_id", "text", "lang"))
-    return predicted(docs.select("doc_id", held_out().alias("held_out"), "text"), profiles).select("doc_id", "held_out", "lang_pred", "score")
+    return judged(docs.select("doc_id", held_out().alias("held_out"), "text"), profiles).select("d.doc_id", "d.held_out", "lang_pred", "score")

@@ -5,17 +5,19 @@ each further coordinate. BANDS bands of ROWS coordinates put documents with a si
 probability 1 - 7e-6; the pipeline's stage has a threshold of 0.8 and more bands. Equal sets are one class from then on. Among classes that share a bucket:
 
 1. shingles that no other candidate has are counted; a class with too many of them can't reach the threshold and goes;
-2. each class is compared with one leader, the least id of its buckets (linear in the classes);
-3. what is left of a cluster that fell into several components is compared in blocks of bounded size, pairs of blocks in
-   separate tasks, bit set against bit set; blocks of one and the same component aren't compared. Only a spanning forest of
-   the links leaves a task.
+2. each class is compared with one leader, the least id of its buckets (linear in the classes); what links makes parts;
+3. only buckets that still hold several parts are compared further, and buckets of equal members once. A bucket is dealt into
+   blocks of bounded size by salt, parts that fill a block apart from the rest, and pairs of blocks meet in separate tasks,
+   bit set against bit set; no part is compared with itself. Only a spanning forest of the links leaves a task.
 
 All links are confirmed on whole sets of 64-bit shingle hashes, so none below the threshold is made. Components come from
-star contraction (shared.connected).
+star contraction (shared.connected), first of classes, then of parts.
 
 Defined results: a text of fewer than five words is one shingle, its whole sequence; null and blank texts have none, link
-with nothing and are kept. `classes` takes rows that repeat a doc_id for the same document; `keep_one` tells rows apart by
-a key of its own. Very long texts are hashed in slices.
+with nothing and are kept; ties of ids go to one of the equal rows. `classes` takes rows that repeat a doc_id for the same
+document; rows without a doc_id get the least doc_id of their component, are kept only if there is none, and are told apart
+by their text. `keep_one` tells rows apart by a key of its own and carries the input in a struct, so that repeated rows keep
+their text once and columns can have any names. Very long texts are hashed in slices. No rows, no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +26,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .shared import LOWER, chunks, connected, dropped, grams, in_arrow, mix, paired, sifted, spaced, stored, table
 
@@ -125,8 +126,8 @@ def _similar(inter, a, b, percent: int):
 
 
 def _compared(group, percent: int):
-    """Links between the classes of two blocks (or in one), as a spanning forest over their components so far."""
-    ids, label, block = (np.asarray(group.column(c)) for c in ("id", "label", "block"))
+    """Pairs of parts that link, between two blocks (sides 0 and 1) or in one (side 0), as a spanning forest."""
+    label, side = np.asarray(group.column("label")), np.asarray(group.column("side"))
     size = np.asarray(group.column("n"))
     lists = group.column("s").combine_chunks()
     bounds, flat = np.asarray(lists.offsets), np.asarray(lists.values)
@@ -135,8 +136,8 @@ def _compared(group, percent: int):
     common = np.flatnonzero(df > 1)
     place[common] = np.arange(len(common))
     row = np.empty(max(len(common), 1), dtype=bool)
-    bits = np.zeros((len(ids), (len(row) + 63) // 64), dtype=np.uint64)
-    for i in range(len(ids)):
+    bits = np.zeros((len(label), (len(row) + 63) // 64), dtype=np.uint64)
+    for i in range(len(label)):
         row[:] = False
         p = place[at[bounds[i] - bounds[0] : bounds[i + 1] - bounds[0]]]
         row[p[p >= 0]] = True
@@ -150,11 +151,11 @@ def _compared(group, percent: int):
             x = root[x]
         return x
 
-    first, second, edges = int(block.min()), int(block.max()), []
-    left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
+    last, edges = int(side.max()), []
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == last)
     for i in left.tolist():
         others = right[(label[right] != label[i]) & (100 * np.minimum(size[right], size[i]) >= percent * np.maximum(size[right], size[i]))]
-        if first == second:
+        if last == 0:
             others = others[others > i]
         if not len(others):
             continue
@@ -163,53 +164,79 @@ def _compared(group, percent: int):
             a, b = find(int(label[i])), find(int(label[j]))
             if a != b:
                 root[max(a, b)] = min(a, b)
-                edges.append((int(ids[i]), int(ids[j])))
+                edges.append((a, b))
     return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
 
 
+def _blocks(cells: DataFrame, compared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (cell, part, k, id, label) of buckets that need comparing, by blocks (part, k) of a bucket, and the pairs
+    (cell, part, k, part2, k2) of blocks to compare. cells(cell, id, label, n), compared(id, leader): done already.
+    part: the label of a part that fills blocks of its own, or -1 for all smaller ones."""
+    of = cells.join(compared, "id", "left").groupBy("cell")
+    seen = of.agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("many"), F.min("id").alias("first"), F.max("id").alias("last"),
+        F.bit_xor(F.xxhash64("id")).alias("all"), F.max_by("leader", "id").alias("leader"),
+    )
+    open_ = seen.where("lo < hi AND NOT (many = 2 AND leader <=> first)").groupBy("many", "first", "last", "all").agg(F.min("cell").alias("cell")).select("cell")
+    member = cells.join(open_, "cell")
+    room = F.sum(F.greatest(F.col("n") / BLOCK_SHINGLES, F.lit(1.0 / BLOCK_CLASSES)))
+    parts = member.groupBy("cell", "label").agg(room.alias("room"))
+    own = parts.where("room > 1").select("cell", "label", F.ceil("room").alias("nb"))
+    rest = parts.where("room <= 1").groupBy("cell").agg(F.ceil(F.sum("room")).alias("ns"))
+    dealt = member.join(own, ["cell", "label"], "left").join(rest, "cell", "left").select(
+        "cell", F.when(F.col("nb").isNull(), F.lit(-1).cast("long")).otherwise(F.col("label")).alias("part"),
+        F.when(F.col("nb").isNull(), F.pmod(F.xxhash64("label"), F.col("ns"))).otherwise(F.pmod(F.xxhash64("id"), F.col("nb"))).alias("k"), "id", "label",
+    )
+    block = dealt.groupBy("cell", "part", "k").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    two = block.select("cell", F.col("part").alias("part2"), F.col("k").alias("k2"))
+    apart = F.struct("part", "k") < F.struct("part2", "k2")
+    inside = (F.col("part") == F.col("part2")) & (F.col("k") == F.col("k2")) & (F.col("lo") < F.col("hi"))
+    return dealt, block.join(two, "cell").where(inside | (apart & ((F.col("part") == -1) | (F.col("part") != F.col("part2"))))).select("cell", "part", "k", "part2", "k2")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) with a key `id` that is never null: for rows without a doc_id, a large number made of the text."""
+    alone = F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 62))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("id", F.coalesce("doc_id", alone))
+
+
 def classes(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, bands: int = BANDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text); links from a similarity of `percent` on."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = stored(spark, sketched(docs, n_bands=bands), "sketch")
-    # one class for equal sets, named by its least document
-    same = sketch.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min_by(F.struct(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands"), "doc_id").alias("c"), F.min("doc_id").alias("id"))
-    named = stored(spark, same.select("d1", "d2", "id", "c.n", "c.bands"), "classes")
+    docs = _keyed(docs)
+    sketch = stored(spark, sketched(docs.select(F.struct("id", "doc_id").alias("key"), "text"), "key", n_bands=bands).select("key.id", "key.doc_id", "n_shingles", "d1", "d2", "bands"), "sketch")
+    # one class for equal sets, named by its least key
+    same = sketch.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min_by(F.struct("id", F.col("n_shingles").alias("n"), "bands"), "id").alias("c"))
+    named = stored(spark, same.select("d1", "d2", "c.id", "c.n", "c.bands"), "classes")
     cells = named.select("id", F.explode("bands").alias("cell"))
     shared = cells.groupBy("cell").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("cell")
-    cells = cells_shared = stored(spark, cells.join(shared, "cell"), "cells")
+    cells = stored(spark, cells.join(shared, "cell"), "cells")
     wanted = stored(spark, cells.select("id").distinct(), "wanted")
-    texts = sifted(docs.select(F.col("doc_id").alias("id"), "text"), "id", wanted, wanted.count())  # before they are shuffled
+    texts = sifted(docs.select("id", "text"), "id", wanted, wanted.count())  # before they are shuffled
     sets = stored(spark, _sets(texts.join(wanted, "id", "left_semi")), "sets")
     # shingles of one candidate alone: too many of them, and no other can be near enough
     single = sets.select("id", F.explode("s").alias("h")).groupBy("h").agg(F.min("id").alias("id"), F.count("*").alias("c")).where("c = 1").groupBy("id").agg(F.count("*").alias("u"))
-    alive = stored(spark, sets.select("id", "n").join(single, "id", "left").where(100 * (F.col("n") - F.coalesce("u", F.lit(0))) >= percent * F.col("n")).select("id"), "alive")
-    cells = cells.join(alive, "id", "left_semi")
-    leader = cells.groupBy("cell").agg(F.min("id").alias("leader"))
-    star = stored(spark, cells.join(leader, "cell").where("leader < id").select("leader", "id").distinct(), "star")
-    pairs = star.groupBy("id").agg(F.min("leader").alias("leader"))
+    alive = stored(spark, sets.select("id", "n").join(single, "id", "left").where(100 * (F.col("n") - F.coalesce("u", F.lit(0))) >= percent * F.col("n")).select("id", "n"), "alive")
+    buckets = cells.join(alive, "id")
+    leader = buckets.groupBy("cell").agg(F.min("id").alias("leader"))
+    pairs = stored(spark, buckets.join(leader, "cell").where("leader < id").groupBy("id").agg(F.min("leader").alias("leader")), "pairs")
     one, two = sets.select("id", "n", "s"), sets.select(F.col("id").alias("leader"), F.col("n").alias("n2"), F.col("s").alias("s2"))
     near = pairs.join(one, "id").join(two, "leader").where(_similar(F.size(F.array_intersect("s", "s2")), F.col("n"), F.col("n2"), percent))
-    links = stored(spark, near.select(F.col("leader").alias("a"), F.col("id").alias("b")), "links")
-    part = connected(spark, links).select("id", F.col("component_id").alias("label"))
-    cluster = connected(spark, star.select(F.col("leader").alias("a"), F.col("id").alias("b"))).select("id", F.col("component_id").alias("cluster"))
-    member = cluster.join(part, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    split = member.groupBy("cluster").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("cluster")
-    order = Window.partitionBy("cluster").orderBy("label", "id")
-    sized = member.join(split, "cluster").join(sets.select("id", "n"), "id")
-    room = F.sum(F.greatest(F.col("n") / BLOCK_SHINGLES, F.lit(1.0 / BLOCK_CLASSES))).over(order)
-    blocks = stored(spark, sized.withColumn("block", F.floor(room).cast("long")).select("id", "cluster", "label", "block"), "blocks")
-    span = blocks.groupBy("cluster", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    other = span.select("cluster", F.col("block").alias("block2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    duo = span.join(other, "cluster").where((F.col("block") <= F.col("block2")) & ~((F.col("lo") == F.col("hi")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo") == F.col("lo2"))))
-    task = duo.select("cluster", F.explode(F.array_distinct(F.array("block", "block2"))).alias("block"), F.struct("block", "block2").alias("duo"))
-    group = blocks.join(task, ["cluster", "block"]).join(sets, "id").select("cluster", "duo", "id", "label", "block", "n", "s")
-    more = stored(spark, group.groupBy("cluster", "duo").applyInArrow(lambda key, g: _compared(g, percent), "a long, b long"), "more")
-    dropped(spark, sets, cells_shared, wanted, alive, star, blocks)
-    whole = connected(spark, links.unionByName(more))
-    final = named.join(whole, "id", "left").select("d1", "d2", F.coalesce("component_id", "id").alias("component_id"))
-    out = sketch.select("doc_id", "n_shingles", "d1", "d2").join(final, ["d1", "d2"], "left")
-    out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    part = connected(spark, near.select(F.col("leader").alias("a"), F.col("id").alias("b"))).select("id", F.col("component_id").alias("label"))
+    dealt, duo = _blocks(buckets.join(part, "id", "left").withColumn("label", F.coalesce("label", "id")), pairs)
+    dealt = stored(spark, dealt, "blocks")
+    task = duo.withColumn("one", F.struct("part", "k", F.lit(0).alias("side"))).withColumn("two", F.struct(F.col("part2").alias("part"), F.col("k2").alias("k"), F.lit(1).alias("side")))
+    same_block = (F.col("part") == F.col("part2")) & (F.col("k") == F.col("k2"))
+    task = task.select("cell", F.struct("part", "k", "part2", "k2").alias("duo"), F.explode(F.when(same_block, F.array("one")).otherwise(F.array("one", "two"))).alias("x")).select("cell", "duo", "x.part", "x.k", "x.side")
+    group = dealt.join(task, ["cell", "part", "k"]).join(sets, "id").select("cell", "duo", "label", "side", "n", "s")
+    more = connected(spark, group.groupBy("cell", "duo").applyInArrow(lambda key, g: _compared(g, percent), "a long, b long")).select(F.col("id").alias("label"), "component_id")
+    dropped(spark, cells, wanted, sets, alive, pairs, dealt)
+    final = named.select("d1", "d2", "id").join(part, "id", "left").withColumn("label", F.coalesce("label", "id")).join(more, "label", "left").select("d1", "d2", F.coalesce("component_id", "label").alias("component_id"))
+    out = sketch.select("doc_id", "n_shingles", "d1", "d2").join(final, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    if not sketch.where("doc_id IS NULL AND n_shingles > 0").isEmpty():  # a component's name is a doc_id, if one of its rows has any
+        touched = out.where("doc_id IS NULL AND n_shingles > 0").select("component_id").distinct()
+        real = out.where("n_shingles > 0").join(touched, "component_id", "left_semi").groupBy("component_id").agg(F.min("doc_id").alias("real"), F.lit(True).alias("found"))
+        out = out.join(real, "component_id", "left").select("doc_id", "n_shingles", F.when(F.col("found"), F.col("real")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, bands: int = BANDS) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -19,51 +21,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where it is unset (tests) a folder of this machine."""
+    """The folder named by spark.checkpoint.dir. Where it is unset, a local master gets a temporary folder; a cluster, whose
+    machines wouldn't share that folder, gets an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessitura-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+#: The folders stored within the innermost `scratch`, if any: of this thread or task only.
+_OPEN: ContextVar[list[str] | None] = ContextVar("stored", default=None)
+
+
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: it cuts the lineage and survives lost executors."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _STORED.append(path)
+    if (own := _OPEN.get()) is not None:
+        own.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
-#: Folders of stored tables that are still there.
-_STORED: list[str] = []
+@contextmanager
+def scratch():
+    """Collects the folders stored inside, in a list. Whoever opened it deletes them, with `forgotten`, once every result that
+    reads them is written."""
+    own: list[str] = []
+    token = _OPEN.set(own)
+    try:
+        yield own
+    finally:
+        _OPEN.reset(token)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-    _STORED[:] = [x for x in _STORED if x != path]
+def forgotten(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes these stored folders, as far as they are still there."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def dropped(spark: SparkSession, *tables: DataFrame) -> None:
-    """Deletes the files of stored tables that nothing reads any more."""
-    for df in tables:
-        files = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-        for path in [x for x in _STORED if any(f.endswith(x.rsplit("/", 1)[1]) for f in files)]:
-            _delete(spark, path)
-
-
-def stored_now() -> list[str]:
-    """The folders of stored tables that are still there."""
-    return list(_STORED)
-
-
-def forgotten(spark: SparkSession, paths: list[str]) -> None:
-    """Deletes these stored tables, as far as they are still there. For the moment when all results that read them are written."""
-    for path in [x for x in _STORED if x in set(paths)]:
-        _delete(spark, path)
+    """Deletes the files of tables made by `stored` that nothing reads any more."""
+    forgotten(spark, [df.stored_at for df in tables])
 
 
 #: Rows of an Arrow batch at most. Rows hold whole texts, so Spark's usual 10,000 would be large in both JVM and Python.
@@ -221,20 +228,20 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
 def connected(spark: SparkSession, edges: DataFrame, name: str = "components") -> DataFrame:
     """(id, component_id) for every id in edges(a, b): the smallest id reachable, by alternating large-star and small-star
     contraction. Each round is a few joins and map-side combined minima, so no node's links meet in one task; rounds grow
-    with the logarithm of the diameter and are written to the shared folder."""
+    with the logarithm of the diameter and are written to the shared folder. No edges, no rounds."""
     e = stored(spark, edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    last = None
-    while True:
+    digest = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+    last = digest(e)
+    while last[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         new = stored(spark, small.distinct(), name)
-        now = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
         dropped(spark, e)
-        e = new
-        if now == last:
+        e, before = new, last
+        last = digest(e)
+        if last == before:
             break
-        last = now
     return e.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component_id")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("component_id")).distinct())

@@ -158,20 +158,41 @@ def test_language_held_out_accuracy(spark):
     rows = [(i, " ".join("".join(rng.choice(list(sounds[x].replace(" ", "")), 5)) for _ in range(40)), x) for i, x in enumerate(list(sounds) * 60)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     p = language.learned(spark, df.where(~language.held_out()))
-    got = language.predicted(df.select("doc_id", "text", language.held_out().alias("held_out")), p).join(df.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    got = language.judged(df.select("doc_id", "text", language.held_out().alias("held_out")), p).select("d.*", "lang_pred").join(df.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert len(got) > 20 and np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.97
 
 
 def test_language_edges(spark, docs, none):
     p = language.learned(spark, docs)
     assert set(p) == {"en", "de"}
-    for r in language.predicted(docs, p).collect():
+    for r in language.judged(docs, p).select("d.doc_id", "lang_pred", "score").collect():
         letters = any(c.isalpha() for c in EDGES[r["doc_id"]] or "")
         assert (r["lang_pred"] == "und") == (not letters) and 0 <= r["score"] <= 1
     assert language.learned(spark, none) == {}
-    assert {r["lang_pred"] for r in language.predicted(docs, {}).collect()} == {"und"}
-    assert language.predicted(none, p).count() == 0
-    assert language.filter_language(spark, docs.withColumn("b_block", F.lit(1))).columns == [*docs.columns, "b_block"]
+    assert {r["lang_pred"] for r in language.judged(docs, {}).collect()} == {"und"}
+    assert language.judged(none, p).count() == 0
+    assert language.filter_language(spark, clash(docs)).columns == clash(docs).columns
+    assert language.filter_language(spark, clash(docs)).count() == language.filter_language(spark, docs).count() > 20
+
+
+def test_language_distance_like_a_loop(spark):
+    """Out-of-place distances by Counter and sorted lists, ties and a text longer than a slice included."""
+    rng = np.random.default_rng(41)
+    texts = ["", "x", "the cat sat on the mat", "der Hund und die Katze", "été à la mer", prose(20), "".join(rng.choice(list("abcde fgh"), 300_000))]
+    learn = spark.createDataFrame([(i, " ".join(rng.choice(list(a), 200)), x) for x, a in (("aa", "abc de"), ("bb", "fgh ie"), ("cc", "xyz a")) for i in range(5)], "doc_id long, text string, lang string")
+    p = language.learned(spark, learn)
+    got = [(r["lang_pred"], r["score"]) for r in language.judged(spark.createDataFrame(list(enumerate(texts)), "n int, text string"), p).orderBy("d.n").collect()]
+    for t, (lang, score) in zip(texts, got, strict=True):
+        s, c = " " + "".join(x if x.isalpha() else " " for x in t.lower()) + " ", collections.Counter()
+        for k in (1, 2, 3):
+            for j in range(len(s) - k + 1):
+                w = s[j : j + k]
+                if w.strip() and not (k == 3 and (w[1] == " " or w[0] == w[2] == " ")):
+                    c[sum(ord(x) << 21 * (k - 1 - i) for i, x in enumerate(w))] += 1
+        top = [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))][: language.PROFILE]
+        far = {x: sum(min(abs(where[g] - i), language.PROFILE) if g in where else language.PROFILE for i, g in enumerate(top)) for x in p for where in [{int(g): i for i, g in enumerate(p[x])}]}
+        best = min(sorted(far), key=far.get) if top else "und"
+        assert lang == best and np.isclose(score, 1 - far[best] / (len(top) * language.PROFILE) if top else 0)
 
 
 # ------------------------------------------------------------------ near duplicates
@@ -240,6 +261,27 @@ def test_connected_components(spark):
     assert got == {**{i: 0 for i in range(61)}, **{100 + i: 100 for i in range(40)}, 500: 500, 501: 500, 502: 500}
 
 
+def test_rows_without_a_doc_id_have_their_copies_component(spark):
+    rng = np.random.default_rng(42)
+    a, b, c = (prose(50, rng) for _ in range(3))
+    rows = [(None, a), (3, a), (9, a), (None, b), (None, b), (None, ""), (4, c), (None, " ".join(["x", *c.split()[1:]]))]
+    got = sorted(map(tuple, neardup.classes(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(None, 46, 3, False), (3, 46, 3, True), (9, 46, 3, False), (None, 46, None, True), (None, 46, None, True), (None, 0, None, True), (4, 46, 4, True), (None, 46, 4, False)], key=str)
+
+
+def test_templated_texts_of_half_similarity(spark, monkeypatch):
+    """Many texts from one template share buckets without being near; the few real pairs among them are found."""
+    monkeypatch.setattr(neardup, "BLOCK_CLASSES", 20)
+    rng = np.random.default_rng(43)
+    frame = prose(90, rng)
+    rows = [(i, f"{frame} {prose(45, rng)}") for i in range(150)]
+    rows += [(200 + k, rows[k][1] + " tail words") for k in range(0, 150, 7)]
+    s = [shingles(t) for _, t in rows]
+    want = components(len(s), lambda x, y: 100 * len(s[x] & s[y]) >= 85 * len(s[x] | s[y]))
+    got = {r["doc_id"]: r["component_id"] for r in neardup.classes(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i, _ in rows] == [rows[c][0] for c in want] and len(set(want)) == 150
+
+
 # ------------------------------------------------------------------ substrings
 
 def stripped(texts):
