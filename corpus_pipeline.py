@@ -1,60 +1,43 @@
 """A corpus from raw documents to packed sequences. Each stage works on all that the one before kept; run() writes every
-stage's result to the shared folder and reads it again. A stage begins when the one before is written, so it first deletes
-what that one stored on its way (and nothing that others stored)."""
+stage's result to the shared folder and reads it again, then deletes what the stage stored on its way (and nothing that others
+stored).
+
+Defined results, for every stage: null, empty and blank texts don't pass the quality rules, so later stages meet them only if
+called alone, where they stay as they are; rows that repeat whole or share a doc_id, null included, are rows of their own until
+near-dedup, which keeps one of each group of copies; very long texts are read whole; further columns, whatever their names, are
+carried along; an empty table gives an empty one of the same columns (packing: no pieces)."""
 
 from __future__ import annotations
 
-import functools
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tessitura.llm import language, neardup, packing, quality, substrings
 from tessitura.llm.bpe import vocabulary
-from tessitura.llm.shared import forgotten, shared_dir, stored_now, table
-
-#: What the last stage that ran stored on its way.
-_OWN: list[str] = []
-
-
-def _stage(work: Callable) -> Callable:
-    @functools.wraps(work)
-    def run_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        forgotten(spark, _OWN)
-        before = set(stored_now())
-        out = work(spark, docs, sf_dir)
-        _OWN[:] = [x for x in stored_now() if x not in before]
-        return out
-
-    return run_one
+from tessitura.llm.shared import forgotten, scratch, shared_dir, table
 
 
-@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     return quality.filter_quality(spark, docs)
 
 
-@_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can't be told go."""
     return language.filter_language(spark, docs)
 
 
-@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (a similarity of 0.8 or more over five words) stays."""
     return neardup.keep_one(spark, docs, neardup.STAGE_PERCENT, neardup.STAGE_BANDS)
 
 
-@_stage
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that repeat across the documents left are taken out."""
     return substrings.remove_repeats(spark, docs)
 
 
-@_stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their places in training sequences."""
     return packing.pack(spark, docs, vocabulary())
@@ -76,7 +59,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES[:-1]):
-        out = stage(spark, docs, sf_dir)
+        with scratch() as own:
+            out = stage(spark, docs, sf_dir)
         out.write.parquet(f"{folder}/{k}")
+        forgotten(spark, [*own, f"{folder}/{k - 1}"] if k else own)
         docs = spark.read.schema(out.schema).parquet(f"{folder}/{k}")
     return STAGES[-1][1](spark, docs, sf_dir)
