@@ -1,21 +1,26 @@
 """License scans by a positional rare-token index.
 
-Templates are short word sequences with mandatory key phrases. The index posts each template under its words with their
-positions. The licence words of highest inverse document frequency (counted over all documents) are looked up in each file:
-a posting says where the template would start, the postings of its rarest mandatory words are intersected by that start, and
-there the key phrases are verified word by word. A template's coverage is the share of its words that stand at their places.
-
-Every base phrase is posted under its own rarest word, and each of its places in a text holds that word, so no place is lost.
-
-Defined results: null and empty texts have no words and no label. Phrases match across line ends, as words do. Repeated rows
-are scanned one by one. If no document holds a licence word, all of them weigh alike.
+Templates are licence texts, notices and short statements with mandatory key phrases. Their words are posted with their
+positions, and weigh by inverse document frequency, counted over all documents. In each file, for every template all of whose
+mandatory words it holds, the file's LOOKED_UP highest-IDF words among them are looked up: each of their places in the file
+says where the template would start. Where the starts of all of them agree within SLACK words, the key phrases are verified
+word by word, each within SLACK of its place. Slack lets a text leave out or insert words, such as "either" in "General
+Public License, either version 3". A template's coverage is the share of its distinct words that stand in the stretch of its
+length, SLACK words more on both sides; it must be LEAST or more.
+
+No place of a template is lost: its key phrases are mandatory, so their rarest words stand in the file at their places. Base
+phrases are looked up by their own rarest word in the same way, without slack, and every place counts.
+
+Defined results: null and empty texts have no words and no label; very long texts are scanned whole, in slices of rows. Phrases
+match across line ends, as words do. Repeated rows are scanned one by one; ties of IDF go to the word further left. Only the
+key and the text are read, whatever other columns are called. If no document holds a licence word, all of them weigh alike;
+no rows, no rows.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,26 +31,56 @@ from .shared import LOWER, Words, chunks, in_arrow, table
 
 #: (label, phrase): every place of these phrases counts.
 BASE = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
-#: (label, template, key phrases).
+#: The wording of public licences and of the notices that they ask for. (label, template, key phrases).
 TEMPLATES = (
     ("mit", "released under the mit license", ("mit license",)),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", ("permission is hereby granted free of charge",)),
-    ("apache-2", "licensed under the apache license version 2 0", ("apache license version 2",)),
+    ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge,
+publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so,
+subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial
+portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO
+THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.""", ("without restriction including without limitation", "the above copyright notice and this permission notice")),
+    ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided
+that the above copyright notice and this permission notice appear in all copies.""", ("for any purpose with or without fee", "appear in all copies")),
+    ("zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any
+damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial
+applications, and to alter it and redistribute it freely""", ("without any express or implied warranty", "alter it and redistribute it freely")),
+    ("apache-2", "licensed under the apache license version 2 0", ("apache license", "version 2")),
+    ("apache-2", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing,
+software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND""", ("apache license version 2", "except in compliance with the license")),
     ("gpl-2", "licensed under the gnu general public license version 2", ("gnu general public license", "version 2")),
     ("gpl-3", "licensed under the gnu general public license version 3", ("gnu general public license", "version 3")),
+    ("gpl-2", """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as
+published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.""", ("gnu general public license", "version 2 of the license")),
+    ("gpl-3", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as
+published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.""", ("gnu general public license", "version 3 of the license")),
     ("lgpl", "licensed under the gnu lesser general public license", ("gnu lesser general public license",)),
     ("agpl-3", "licensed under the gnu affero general public license version 3", ("gnu affero general public license",)),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ("redistribution and use in source and binary forms",)),
+    ("bsd", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer
+in the documentation and/or other materials provided with the distribution.""", ("redistributions of source code must retain", "redistributions in binary form must reproduce")),
     ("mpl-2", "subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
+    ("mpl-2", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed
+with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""", ("source code form is subject to", "copy of the mpl was not distributed")),
+    ("unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,
+compile, sell, or distribute this software""", ("free and unencumbered software", "public domain")),
     ("cc-by", "licensed under cc by 4 0", ("cc by 4",)),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License", ("creative commons attribution 4",)),
     ("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",)),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", ("creative commons attribution sharealike",)),
     ("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", ("creative commons attribution noncommercial",)),
     ("cc0", "cc0 1 0 universal public domain dedication", ("public domain dedication",)),
     ("all-rights-reserved", "all rights reserved", ("all rights reserved",)),
-)
-#: Words of a template's key phrases, rarest first, whose postings are intersected. Key phrases are mandatory, so a place that
-#: lacks one of these words can't be one.
-POSTED = 3
+)
+#: Mandatory words of a template that are looked up in a file, rarest first.
+LOOKED_UP = 3
+#: How many words a key phrase may stand off its place.
+SLACK = 8
 #: A template's least coverage.
 LEAST = 0.5
 
@@ -63,29 +98,38 @@ def hashed(phrase: str) -> np.ndarray:
     return read(raw, np.array([0, len(raw)])).hash
 
 
-@dataclass
-class Index:
-    """Templates with their words' weights. vocabulary: hash of each licence word."""
+def shift_of(phrase: np.ndarray, part: np.ndarray) -> int:
+    """Where in a phrase its part begins."""
+    return next(i for i in range(len(phrase)) if np.array_equal(phrase[i : i + len(part)], part))
 
-    base: Sequence[tuple[str, str]]
-    templates: Sequence[tuple[str, str, tuple[str, ...]]]
-    idf: dict[int, float]
 
-    @staticmethod
-    def vocabulary(base, templates) -> list[int]:
-        return sorted({int(h) for text in [*(b[1] for b in base), *(t[1] for t in templates)] for h in hashed(text)})
+class Index:
+    """Base phrases and templates with the weights of their words. idf: by the hash of each licence word."""
 
-    def rarest(self, phrase: np.ndarray, most: int = 1, among: set[int] | None = None) -> list[int]:
-        """Positions of the rarest words, ties to the left. among: positions to choose from, all by default."""
-        return sorted(range(len(phrase)) if among is None else among, key=lambda i: (-self.idf.get(int(phrase[i]), 0.0), i))[:most]
+    def __init__(self, base: Sequence[tuple[str, str]], templates: Sequence[tuple[str, str, tuple[str, ...]]], idf: dict[int, float]):
+        self.idf = idf
+        self.words = np.array(sorted(idf), dtype=np.uint64)
+        self.base = [(label, phrase, self.rarest(phrase, range(len(phrase)))[0]) for label, text in base for phrase in [hashed(text)]]
+        self.templates = []
+        for label, text, keys in templates:
+            body = hashed(text)
+            phrases = [(shift_of(body, k), k) for k in map(hashed, keys)]
+            mandatory = sorted({at + i for at, k in phrases for i in range(len(k))})
+            looked = self.rarest(body, mandatory)[:LOOKED_UP]
+            needed = np.searchsorted(self.words, np.unique(body[mandatory]))
+            self.templates.append((label, body, phrases, looked, needed))
 
+    def rarest(self, phrase: np.ndarray, among) -> list[int]:
+        """Positions by falling IDF of their words, ties to the left."""
+        return sorted(among, key=lambda i: (-self.idf[int(phrase[i])], i))
 
-def shift_of(phrase: np.ndarray, part: np.ndarray) -> int:
-    """Where in a phrase its part begins."""
-    return next(i for i in range(len(phrase)) if np.array_equal(phrase[i : i + len(part)], part))
 
+def vocabulary(base=BASE, templates=TEMPLATES) -> list[int]:
+    """The hashes of all licence words."""
+    return sorted({int(h) for text in [*(b[1] for b in base), *(t[1] for t in templates)] for h in hashed(text)})
 
-def stands(w: Words, owner: np.ndarray, start: np.ndarray, text: np.ndarray, phrase: np.ndarray) -> np.ndarray:
+
+def stands(w: Words, start: np.ndarray, text: np.ndarray, phrase: np.ndarray) -> np.ndarray:
     """Whether the phrase stands at each start inside the given text."""
     good = (start >= w.text[text]) & (start + len(phrase) <= w.text[text + 1])
     for j, h in enumerate(phrase):
@@ -94,30 +138,55 @@ def stands(w: Words, owner: np.ndarray, start: np.ndarray, text: np.ndarray, phr
     return good
 
 
+def near(starts: np.ndarray, others: np.ndarray, slack: int) -> np.ndarray:
+    """Which starts have one of the others, ascending, within slack."""
+    at = np.searchsorted(others, starts - slack)
+    return (at < len(others)) & (others[np.minimum(at, max(len(others) - 1, 0))] <= starts + slack) if len(others) else np.zeros(len(starts), dtype=bool)
+
+
+def found(x: np.ndarray, body: np.ndarray, phrases: list[tuple[int, np.ndarray]], looked: list[int]) -> float:
+    """The best coverage of a template in one text's word hashes, or 0 where its key phrases don't stand."""
+    posted = [np.flatnonzero(x == body[q]) - q for q in looked]
+    start = posted[0]
+    for other in posted[1:]:
+        start = start[near(start, other, 2 * SLACK)]  # both lie within SLACK of the first phrase's place
+    if not len(start):
+        return 0.0
+    places = []
+    for shift, k in phrases:
+        p = np.flatnonzero(x[: len(x) - len(k) + 1] == k[0]) if len(x) >= len(k) else np.zeros(0, dtype=np.int64)
+        for j in range(1, len(k)):
+            p = p[x[p + j] == k[j]]
+        places.append(p - shift)
+    first = places[0]
+    for other in places[1:]:
+        first = first[near(first, other, SLACK)]
+    first = first[near(first, start, SLACK)]
+    distinct, best = np.unique(body), 0.0
+    for s in first.tolist():
+        around = x[max(0, s - SLACK) : max(0, s + len(body) + SLACK)]
+        best = max(best, float(np.isin(distinct, around).mean()))
+    return best if best >= LEAST else 0.0
+
+
 def scan(w: Words, index: Index) -> list[tuple[int, int, int | None, int | None, str, str, float]]:
     """For each text: words, places, first, last, base labels, labels, score."""
     n = len(w.text) - 1
     owner = w.owner()
-    vocabulary = np.array(sorted(index.idf), dtype=np.uint64)
-    at = np.minimum(np.searchsorted(vocabulary, w.hash), len(vocabulary) - 1)
-    spots = np.flatnonzero(vocabulary[at] == w.hash)
-    order = np.argsort(w.hash[spots], kind="stable")
-    spots = spots[order]
+    at = np.minimum(np.searchsorted(index.words, w.hash), len(index.words) - 1)
+    spots = np.flatnonzero(index.words[at] == w.hash)
+    holds = np.zeros((n, len(index.words)), dtype=bool)
+    holds[owner[spots], at[spots]] = True
+    spots = spots[np.argsort(w.hash[spots], kind="stable")]
     keys = w.hash[spots]
-
-    def postings(h) -> np.ndarray:
-        return spots[np.searchsorted(keys, h, "left") : np.searchsorted(keys, h, "right")]
-
     places, first, last = np.zeros(n, dtype=np.int64), np.full(n, np.iinfo(np.int64).max), np.full(n, -1)
     based: list[set] = [set() for _ in range(n)]
     labels: list[set] = [set() for _ in range(n)]
     score = np.zeros(n)
-    for label, text in index.base:
-        phrase = hashed(text)
-        q = index.rarest(phrase)[0]
-        hit = postings(phrase[q])
+    for label, phrase, q in index.base:
+        hit = spots[np.searchsorted(keys, phrase[q], "left") : np.searchsorted(keys, phrase[q], "right")]
         start, of = hit - q, owner[hit]
-        good = stands(w, owner, start, of, phrase)
+        good = stands(w, start, of, phrase)
         start, of = start[good], of[good]
         inside = start - w.text[of]
         np.add.at(places, of, 1)
@@ -127,49 +196,34 @@ def scan(w: Words, index: Index) -> list[tuple[int, int, int | None, int | None,
         for d in np.unique(of).tolist():
             based[d].add(label)
             labels[d].add(label)
-    for label, text, keys_of in index.templates:
-        phrase = hashed(text)
-        mandatory = [(shift_of(phrase, hashed(key)), hashed(key)) for key in keys_of]
-        rare = index.rarest(phrase, POSTED, {shift + i for shift, k in mandatory for i in range(len(k))})
-        starts = [np.stack((hit - q, owner[hit])) for q in rare for hit in [postings(phrase[q])]]
-        agreed, votes = np.unique(np.concatenate(starts, axis=1), axis=1, return_counts=True)
-        start, of = agreed[:, votes == len(rare)]
-        for shift, k in mandatory:
-            good = stands(w, owner, start + shift, of, k)
-            start, of = start[good], of[good]
-        if not len(of):
-            continue
-        cover = np.zeros(len(of))
-        for j, h in enumerate(phrase):
-            p = start + j
-            cover += (p >= w.text[of]) & (p < w.text[of + 1]) & (w.hash[np.clip(p, 0, len(w) - 1)] == h)
-        cover /= len(phrase)
-        good = cover >= LEAST
-        np.maximum.at(score, of[good], cover[good])
-        for d in np.unique(of[good]).tolist():
-            labels[d].add(label)
+    for label, body, phrases, looked, needed in index.templates:
+        for d in np.flatnonzero(holds[:, needed].all(axis=1)).tolist():
+            cover = found(w.hash[w.text[d] : w.text[d + 1]], body, phrases, looked)
+            if cover:
+                labels[d].add(label)
+                score[d] = max(score[d], cover)
     size = np.diff(w.text)
     return [(int(size[d]), int(places[d]), int(first[d]) if places[d] else None, int(last[d]) if places[d] else None, ",".join(sorted(based[d])), ",".join(sorted(labels[d])), float(score[d])) for d in range(n)]
 
 
 def weighed(docs: DataFrame, text: str = "text", base=BASE, templates=TEMPLATES) -> Index:
     """The index, with each licence word's document frequency over all documents."""
-    vocabulary = np.array(Index.vocabulary(base, templates), dtype=np.uint64)
+    known = np.array(vocabulary(base, templates), dtype=np.uint64)
 
     def count(batches):
-        total, rows = np.zeros(len(vocabulary), dtype=np.int64), 0
+        total, rows = np.zeros(len(known), dtype=np.int64), 0
         for b in batches:
             rows += b.num_rows
             for _, data, offsets in chunks(b.column(0)):
                 w = read(data, offsets)
-                at = np.minimum(np.searchsorted(vocabulary, w.hash), len(vocabulary) - 1)
-                hit = np.flatnonzero(vocabulary[at] == w.hash)
-                total += np.bincount(np.unique(w.owner()[hit] * len(vocabulary) + at[hit]) % len(vocabulary), minlength=len(vocabulary))
-        yield pa.RecordBatch.from_arrays([pa.array([*range(len(vocabulary)), -1], pa.int32()), pa.array([*total.tolist(), rows], pa.int64())], ["w", "n"])
-
-    found = {r["w"]: r["n"] for r in in_arrow(docs.select(text), count, "w int, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()}
-    rows = found.get(-1, 0)
-    return Index(base, templates, {int(h): math.log((rows + 1) / (found.get(i, 0) + 1)) for i, h in enumerate(vocabulary.tolist())})
+                at = np.minimum(np.searchsorted(known, w.hash), len(known) - 1)
+                hit = np.flatnonzero(known[at] == w.hash)
+                total += np.bincount(np.unique(w.owner()[hit] * len(known) + at[hit]) % len(known), minlength=len(known))
+        yield pa.RecordBatch.from_arrays([pa.array([*range(len(known)), -1], pa.int32()), pa.array([*total.tolist(), rows], pa.int64())], ["w", "n"])
+
+    seen = {r["w"]: r["n"] for r in in_arrow(docs.select(text), count, "w int, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()}
+    rows = seen.get(-1, 0)
+    return Index(base, templates, {int(h): math.log((rows + 1) / (seen.get(i, 0) + 1)) for i, h in enumerate(known.tolist())})
 
 
 def scanned(docs: DataFrame, index: Index, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,17 +2,23 @@
 
 A document's ids, with an end id, are cut into pieces of SEQUENCE ids and one rest. Piece lengths are rounded up to BIN ids,
 which gives a histogram of at most SEQUENCE / BIN lengths whatever the corpus. A linear program over patterns (how many
-pieces of each length share a sequence) is solved by a revised simplex whose columns are priced by an integer knapsack; the
-patterns' rounded counts, and a first-fit of what rounding leaves, become slots. In Spark every piece gets its rank among
-the pieces of its length and takes the slot of that rank, by a join with the bounded table of slots.
+pieces of each length share a sequence) is solved by a revised simplex whose columns are priced by an integer knapsack. It
+starts from a largest-first packing, prices at a mix of the basis' prices and the best feasible ones so far (whose sum over
+the demand is a lower bound), and ends only when it is within GAP of that bound or no pattern is worth more than 1. The patterns' rounded counts, and a largest-first packing of what
+rounding leaves, become slots. In Spark every piece gets its rank among the pieces of its length and takes the slot of that
+rank, by a join with the table of slots, which is broadcast: at most (SEQUENCE / BIN) ** 2 rows of the basis' patterns and
+as many again for the rest, 2 MB or so, whatever the corpus.
 
 Ids are those of the tokenizers library for the same file (see bpe.py). Padding comes from rounding lengths: half a BIN a piece.
 
-Defined results: null and empty texts are one piece, the end id. Repeated rows are packed one by one. No rows, no rows.
+Defined results: null and empty texts are one piece, the end id. Repeated rows are packed one by one; ties of length are ranked
+by id and start. Very long texts are encoded whole and cut. Only doc_id and text are read, whatever other columns are called.
+No rows, no rows.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -27,6 +33,12 @@ from .shared import in_arrow, stored, table
 SEQUENCE = 4096
 BIN = 16
 END_ID = 2
+#: How far the linear program may be from its optimum.
+GAP = 1e-4
+#: How far pricing is pulled to the best feasible prices.
+PULL = 0.9
+#: Rounds after which the inverse is computed anew, against rounding errors.
+REFRESH = 200
 #: Pieces ranked together in one window.
 RANKED = 20_000
 
@@ -74,30 +86,88 @@ def priced(value: np.ndarray, weight: np.ndarray, room: int) -> tuple[float, np.
     return float(best[room]), many
 
 
-def patterns(weight: np.ndarray, demand: np.ndarray, room: int) -> list[tuple[int, np.ndarray]]:
-    """(count, items of each length) that together hold exactly the demand. weight: ascending, 1 to room."""
+def largest_first(weight: np.ndarray, left: np.ndarray, room: int) -> list[tuple[int, np.ndarray]]:
+    """(count, items): a pattern of the largest lengths left, as often as it fits, until nothing is left."""
+    left, made = left.copy(), []
+    while left.any():
+        items, free = np.zeros(len(weight), dtype=np.int64), room
+        for k in np.flatnonzero(left)[::-1].tolist():
+            take = min(int(left[k]), free // int(weight[k]))
+            items[k], free = take, free - take * int(weight[k])
+        n = int((left[items > 0] // items[items > 0]).min())
+        made.append((n, items))
+        left -= n * items
+    return made
+
+
+def inverted(a: np.ndarray) -> np.ndarray:
+    """The inverse by Gauss-Jordan elimination. (LAPACK's threads can wait for ever in a driver that has started a JVM.)"""
+    m = len(a)
+    both = np.hstack((a, np.eye(m)))
+    for k in range(m):
+        p = k + int(np.argmax(np.abs(both[k:, k])))
+        both[[k, p]] = both[[p, k]]
+        both[k] /= both[k, k]
+        factor = both[:, k].copy()
+        factor[k] = 0
+        both -= factor[:, None] * both[k][None, :]
+    return both[:, m:]
+
+
+def solved(weight: np.ndarray, demand: np.ndarray, room: int, gap: float = GAP) -> tuple[np.ndarray, np.ndarray, float]:
+    """The basis (a pattern a column), how often each pattern is used, and a lower bound on the number of sequences."""
     m = len(weight)
-    basis = np.diag((room // weight).astype(float))
-    inverse = np.diag(1.0 / np.diag(basis))
-    x = inverse @ demand
-    for _ in range(40 * m + 100):
-        value, column = priced(inverse.sum(axis=0), weight, room)
-        if value <= 1 + 1e-7:
+    aim = demand + np.arange(1, m + 1) / (m * 1e5)  # apart from each other, so that no pivot is degenerate and none can return
+    basis, left = np.zeros((m, m)), aim.copy()
+    for _ in range(m):  # largest first, in fractions: each pattern uses up one length, which makes it that length's column
+        items, free = np.zeros(m), room
+        for k in np.flatnonzero(left > 0)[::-1].tolist():
+            items[k] = min(free // weight[k], math.ceil(left[k]))
+            free -= int(items[k]) * int(weight[k])
+        some = np.flatnonzero(items)
+        out = some[np.argmin(left[some] / items[some])]
+        basis[:, out] = items
+        left = np.maximum(left - left[out] / items[out] * items, 0)
+        left[out] = -1
+    inverse = inverted(basis)
+    x = np.maximum(inverse @ aim, 0)
+    # prices that no pattern is worth more than 1 at; their sum over the demand is a lower bound. Lengths beyond room - t count
+    # whole, below t not at all, the others by their length.
+    steps = [np.where(weight > room - t, 1.0, np.where(weight >= t, weight / room, 0.0)) for t in range(room // 2 + 1)]
+    center = max(steps, key=lambda c: float(c @ demand))
+    bound, rounds = float(center @ demand), 0
+    while x.sum() > bound * (1 + gap):
+        dual, pull = inverse.sum(axis=0), PULL
+        while True:  # prices halfway to the best center jump about less; if they find no better pattern, those of the basis do
+            mixed = pull * center + (1 - pull) * dual
+            value, column = priced(mixed, weight, room)
+            if mixed @ demand > bound * max(value, 1.0):
+                center = mixed / max(value, 1.0)
+                bound = float(center @ demand)
+            better = dual @ column > 1 + 1e-9
+            if better or pull == 0 or x.sum() <= bound * (1 + gap):
+                break
+            pull = pull / 2 if pull > 0.1 else 0.0
+        if not better:
             break
         d = inverse @ column
-        up = d > 1e-9
-        if not up.any():
-            break
-        ratio = np.full(m, np.inf)
-        ratio[up] = x[up] / d[up]
+        ratio = np.where(d > 1e-9, x / np.where(d > 1e-9, d, 1), np.inf)
         out = int(np.argmin(ratio))
-        step = max(ratio[out], 0.0)
-        x = np.maximum(x - step * d, 0)
-        x[out] = step
-        pivot = inverse[out] / d[out]
-        inverse = inverse - np.outer(d, pivot)
-        inverse[out] = pivot
+        rounds += 1
         basis[:, out] = column
+        if rounds % REFRESH:
+            pivot = inverse[out] / d[out]
+            inverse = inverse - np.outer(d, pivot)
+            inverse[out] = pivot
+        else:
+            inverse = inverted(basis)
+        x = np.maximum(inverse @ aim, 0)
+    return basis, np.maximum(inverse @ demand, 0), bound
+
+
+def patterns(weight: np.ndarray, demand: np.ndarray, room: int) -> list[tuple[int, np.ndarray]]:
+    """(count, items of each length) that together hold exactly the demand. weight: ascending, 1 to room."""
+    basis, x, _ = solved(weight, demand, room)
     left, chosen = demand.astype(np.int64).copy(), []
     for j in np.argsort(-x):
         items = basis[:, j].astype(np.int64)
@@ -107,15 +177,7 @@ def patterns(weight: np.ndarray, demand: np.ndarray, room: int) -> list[tuple[in
         if n > 0:
             chosen.append((n, items))
             left = left - n * items
-    while left.any():  # what rounding left: largest first, each pattern as often as it fits
-        items, free = np.zeros(m, dtype=np.int64), room
-        for k in range(m - 1, -1, -1):
-            take = min(int(left[k]), free // int(weight[k]))
-            items[k], free = take, free - take * int(weight[k])
-        n = max(1, int((left[items > 0] // items[items > 0]).min()))
-        chosen.append((n, items))
-        left = left - n * items
-    return chosen
+    return chosen + largest_first(weight, left, room)
 
 
 def packed(spark: SparkSession, cut: DataFrame, sequence: int = SEQUENCE, width: int = BIN) -> DataFrame:

@@ -5,12 +5,15 @@ are made by bit_or over the listed URLs, so building it is one map-side combined
 of two, about 16 bits a listed URL and at most shared.MAX_BLOCKS (10 MB), which bounds what is broadcast whatever the list; a fuller
 filter only passes more URLs to the exact hash join, which removes every false positive.
 
-Defined results: a null URL or one without `://` has an empty host and path, fits no rule, isn't listed and is allowed.
-Repeated rows are judged one by one; an empty list blocks nothing.
+Defined results: a null or empty URL, or one without `://`, has an empty host and path, fits no rule, isn't listed and is
+allowed. Repeated rows are judged one by one; of rules of equal length that fit, the later one in order of length counts. Very
+long URLs are read whole. The input is carried as a struct, so its columns can have any names. An empty list blocks nothing;
+no pages, no rows.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,8 +25,9 @@ from .shared import sifted, table
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 #: Query parameters that don't change a page.
 TRACKING = ("utm_[^=]*", "ref", "fbclid", "gclid")
-#: Host labels of which the registered query's list is made.
+#: What puts a page on the registered query's list: a label of its host, or runs of symbols in its title.
 MARKERS = ("spam-farm", "casino-win", "cheap-pills", "free-bets", "adult-x", "ads-track")
+TITLE_JUNK = "<title>[^<]*([#*$%]{3}|[|] )"
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -38,11 +42,11 @@ def canonical(url: Column) -> Column:
     """Host without `www.` and default port, path without a trailing slash, sorted query without tracking parameters; no
     scheme, no fragment. Null if there is no host."""
     host, path = host_path(url)
-    host = F.regexp_replace(F.regexp_replace(host, "^www\\.", ""), ":(80|443)$", "")
+    host = F.regexp_replace(F.regexp_replace(host, "^www\\.", ""), ":(80|443)\\z", "")
     query = F.regexp_extract(url, "^[^?#]*\\?([^#]*)", 1)
-    kept = F.filter(F.split(query, "&"), lambda x: (x != "") & ~F.rlike(x, F.lit("^(" + "|".join(TRACKING) + ")(=|$)")))
+    kept = F.filter(F.split(query, "&"), lambda x: (x != "") & ~F.rlike(x, F.lit("^(" + "|".join(TRACKING) + ")(=|\\z)")))
     asked = F.array_join(F.array_sort(kept), "&")
-    return F.when(host != "", F.concat(host, F.regexp_replace(path, "/+$", ""), F.when(asked != "", F.concat(F.lit("?"), asked)).otherwise("")))
+    return F.when(host != "", F.concat(host, F.regexp_replace(path, "/+\\z", ""), F.when(asked != "", F.concat(F.lit("?"), asked)).otherwise("")))
 
 
 def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
@@ -64,26 +68,29 @@ def listed_among(urls: DataFrame, listed: DataFrame, key: str) -> DataFrame:
 
 
 def filter_urls(pages: DataFrame, listed: DataFrame, url: str = "url", rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
-    """pages with u_host, u_path, u_rule, u_listed and u_verdict: the rule's verdict, else block if the canonical URL is listed.
-    listed: a column `url`."""
-    host, path = host_path(F.col(url))
-    rule, verdict = rule_for(F.col("u_host"), F.col("u_path"), rules)
-    judged = pages.withColumn("u_host", host).withColumn("u_path", path).withColumn("u_key", canonical(F.col(url)))
-    hits = listed_among(judged.select("u_key"), listed.select(canonical(F.col("url")).alias("u_key")), "u_key").withColumn("u_hit", F.lit(True))
-    return (
-        judged.join(hits, "u_key", "left").withColumn("u_listed", F.coalesce("u_hit", F.lit(False)))
-        .withColumn("u_rule", rule).withColumn("u_verdict", F.coalesce(verdict, F.when(F.col("u_listed"), "block").otherwise("allow"))).drop("u_hit", "u_key")
-    )
+    """(page, host, path, rule, listed, verdict): every row of pages as the struct `page`; the rule's verdict, else block if
+    the canonical URL is listed. listed: a column `url`. Rows that the filter rules out aren't shuffled."""
+    judged = pages.select(F.struct("*").alias("page"), canonical(F.col(url)).alias("key"))
+    keys = listed.select(canonical(F.col("url")).alias("key")).where("key IS NOT NULL").distinct()
+    many = keys.count()
+    hits = listed_among(judged.select("key"), keys, "key").withColumn("hit", F.lit(True))
+    maybe = sifted(judged, "key", keys, many).join(hits, "key", "left").select("page", F.coalesce("hit", F.lit(False)).alias("listed"))
+    both = maybe.unionByName(sifted(judged, "key", keys, many, maybe=False).select("page", F.lit(False).alias("listed")))
+    host, path = host_path(F.col("page")[url])
+    rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
+    return both.select("page", "listed", host.alias("host"), path.alias("path")).select("page", "host", "path", rule.alias("rule"), "listed", F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"))
 
 
 def marked(pages: DataFrame) -> DataFrame:
-    """The list of the registered query: URLs on hosts with a label in MARKERS."""
-    return pages.where(F.rlike(host_path(F.col("url"))[0], F.lit("(^|\\.)(" + "|".join(MARKERS) + ")\\."))).select("url")
+    """The list of the registered query: URLs of pages on hosts with a label in MARKERS or with junk in their title. Other
+    spellings of such a URL are blocked with it, whatever their own title."""
+    host = F.rlike(host_path(F.col("url"))[0], F.lit("(^|\\.)(" + "|".join(MARKERS) + ")\\."))
+    return pages.where(F.coalesce(host | F.rlike("html", F.lit(TITLE_JUNK)), F.lit(False))).select("url")
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return filter_urls(pages, marked(pages)).select("page_id", F.col("u_host").alias("host"), F.col("u_path").alias("path"), F.col("u_rule").alias("rule"), F.col("u_verdict").alias("verdict"), F.col("u_listed").alias("listed"))
+    pages = table(spark, sf_dir, "pages")
+    return filter_urls(pages.select("page_id", "url"), marked(pages)).select("page.page_id", "host", "path", "rule", "verdict", "listed")
 
 
 def _oracle() -> str:
@@ -94,12 +101,16 @@ def _oracle() -> str:
         on, slash, start = text.partition("/")
         cases += f" WHEN (host = '{on}' OR ends_with(host, '.{on}')) AND starts_with(path, '{slash}{start}') THEN {{{says}|{text}}}"
     rule = "CASE" + "".join(c for c in cases) + " ELSE NULL END"
-    import re
-
     as_rule, as_verdict = re.sub(r"\{(\w+)\|([^}]*)\}", r"'\2'", rule), re.sub(r"\{(\w+)\|([^}]*)\}", r"'\1'", rule)
-    listed = f"regexp_matches(host, '(^|\\.)({'|'.join(MARKERS)})\\.')"
-    return f"""WITH p AS (SELECT page_id, {host} AS host, {path} AS path FROM pages)
-SELECT page_id, host, path, {as_rule} AS rule, coalesce({as_verdict}, CASE WHEN {listed} THEN 'block' ELSE 'allow' END) AS verdict, {listed} AS listed FROM p"""
+    marker = f"coalesce(regexp_matches(host, '(^|\\.)({'|'.join(MARKERS)})\\.') OR regexp_matches(html, '{TITLE_JUNK}'), false)"
+    query = f"array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^({'|'.join(TRACKING)})(=|\\z)'))), '&')"
+    key = "CASE WHEN h <> '' THEN h || regexp_replace(path, '/+\\z', '') || CASE WHEN q <> '' THEN '?' || q ELSE '' END END"
+    return f"""WITH p AS (SELECT page_id, url, html, {host} AS host, {path} AS path FROM pages),
+k AS (SELECT *, regexp_replace(regexp_replace(host, '^www\\.', ''), ':(80|443)\\z', '') AS h, {query} AS q FROM p),
+c AS (SELECT *, {key} AS key FROM k),
+l AS (SELECT DISTINCT key AS lk FROM c WHERE {marker} AND key IS NOT NULL),
+j AS (SELECT c.*, lk IS NOT NULL AS listed FROM c LEFT JOIN l ON key = lk)
+SELECT page_id, host, path, {as_rule} AS rule, coalesce({as_verdict}, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, listed FROM j"""
 
 
 ORACLE = _oracle()
