@@ -7,12 +7,18 @@ share one anchor; runs of anchors that occur once can't repeat and are left out.
 bounded size; each distinct run goes to its shard once, with the number of its occurrences as weight, so copies in any number
 cost one. A window repeats if its state in the automaton has a weight of two or more.
 
-An anchor with more than HOT runs (a common passage in many surroundings) first has its windows counted by hash, and its runs
-are cut to windows counted twice; that bounds the shard and drops nothing that repeats.
+An anchor with more than HOT distinct runs (a common phrase in many surroundings, or a large family of near copies) would make
+one shard grow with the corpus. Its windows are counted by hash, and each distinct window counted twice or more becomes a run
+of its own, dealt by anchor and window; the automaton of its shard decides about it. So no shard holds more than about
+SHARD_WORDS words and one anchor's HOT runs, and nothing that repeats is dropped.
+
+Automata aren't broadcast to all documents: the reference is the corpus itself, so what would be broadcast grows with it (see
+the README for figures). Each shard's automaton is built and read in one task, by the runs dealt to it.
 
 Defined results: null and blank texts have no words; documents of fewer words than a window keep all. Rows are told apart by
 key and text, so repeated rows are copies of each other. Kept words are joined by one space; texts that lose no word stay as
-they are. Overlapping windows of one text count as occurrences.
+they are. Overlapping windows of one text count as occurrences. Very long texts are read whole, in slices of rows. Other
+columns keep their values under a prefix on the way, so they can have any names. No rows, no rows.
 """
 
 from __future__ import annotations
@@ -100,13 +106,13 @@ def _with(docs: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def _asked_words(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """The word hashes of asked(key, list of (h, c, first, n, weight)) runs: one row (h, c, weight, words) each."""
+    """The word hashes of asked(key, list of (h, c, first, n, weight, deal)) runs: one row (h, c, weight, deal, words) each."""
 
     def run(batches):
         for b in batches:
             lists = b.column(1)
             bounds, item = np.asarray(lists.offsets), lists.values
-            h, c, first, n, weight = (item.field(x) for x in ("h", "c", "first", "n", "weight"))
+            h, c, first, n, weight, deal = (item.field(x) for x in ("h", "c", "first", "n", "weight", "deal"))
             first, n = np.asarray(first), np.asarray(n)
             for at, data, offsets in chunks(b.column(0)):
                 w = spaced(data, offsets)
@@ -115,9 +121,9 @@ def _asked_words(docs: DataFrame, asked: DataFrame) -> DataFrame:
                 start, size = w.text[text] + first[lo:hi], n[lo:hi] + WINDOW - 1
                 edge = np.concatenate(([0], np.cumsum(size)))
                 flat = w.hash[np.repeat(start - edge[:-1], size) + np.arange(edge[-1])] if hi > lo else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([h.slice(lo, hi - lo), c.slice(lo, hi - lo), weight.slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(flat.view(np.int64)))], ["h", "c", "weight", "words"])
+                yield pa.RecordBatch.from_arrays([h.slice(lo, hi - lo), c.slice(lo, hi - lo), weight.slice(lo, hi - lo), deal.slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(flat.view(np.int64)))], ["h", "c", "weight", "deal", "words"])
 
-    return in_arrow(_with(docs, asked).select("text", "runs"), run, "h long, c long, weight long, words array<long>")
+    return in_arrow(_with(docs, asked).select("text", "runs"), run, "h long, c long, weight long, deal long, words array<long>")
 
 
 class Automaton:
@@ -245,31 +251,27 @@ def repeated_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(key, lo, hi): spans of words covered by repeated windows of docs(key, text); spans of a document may touch."""
     counts = stored(spark, _anchor_counts(docs), "anchors")
     runs = stored(spark, _run_rows(docs).join(counts, "h"), "runs")
-    pick = F.collect_list(F.struct("h", "c", "first", "n", F.col("weight")))
-    distinct = runs.groupBy("h", "c").agg(F.min(F.struct("key", "first")).alias("at"), F.first("n").alias("n"), F.count("*").alias("weight"), F.max("m").alias("m")).select("h", "c", "n", "weight", "m", "at.key", "at.first")
+    distinct = runs.groupBy("h", "c").agg(F.min(F.struct("key", "first")).alias("at"), F.first("n").alias("n"), F.count("*").alias("weight")).select("h", "c", "n", "weight", "at.key", "at.first")
     distinct = stored(spark, distinct, "distinct")
-    # anchors of many distinct runs: windows are counted by hash, runs cut to those counted twice
     hot = stored(spark, distinct.groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") > HOT).select("h"), "hot")
-    plain = distinct.join(hot, "h", "left_anti").select("key", "h", "c", "first", "n", "weight")
+    plain = distinct.join(hot, "h", "left_anti").select("key", "h", "c", "first", "n", "weight", F.xxhash64("h").alias("deal"))
+    # windows of hot anchors, by hash; those counted twice are runs of one window
     cut = distinct.join(hot, "h", "left_semi").select("key", "h", "c", "first", "n", "weight")
-    windows = stored(spark, _window_hashes(docs, stored(spark, cut.groupBy("key").agg(pick.alias("runs")), "lists")).join(cut.select("h", "c", "weight"), ["h", "c"]), "windows")
-    twice = windows.groupBy("h", "x").agg(F.sum("weight").alias("w")).where("w > 1").select("h", "x")
-    stay = windows.join(twice, ["h", "x"], "left_semi").groupBy("h", "c", "key", "first", "weight").agg(F.array_sort(F.collect_list("at")).alias("ats"))
-    # stretches of windows that stay, as runs of their own; equal ones meet again by the hash of their windows
-    marks = F.transform("ats", lambda x, i: F.struct(x.alias("at"), (x - i).alias("run")))
-    parts = stay.withColumn("mark", F.explode(marks)).groupBy("h", "c", "key", "first", "weight", "mark.run").agg(F.min("mark.at").alias("lo"), (F.max("mark.at") + 1).alias("hi"))
-    parts = stored(spark, parts.join(windows.select("h", "c", F.col("at").alias("lo"), F.col("x").alias("x1")), ["h", "c", "lo"]).join(windows.select("h", "c", (F.col("at") + 1).alias("hi"), F.col("x").alias("x2")), ["h", "c", "hi"]).withColumn("c2", F.xxhash64("x1", "x2", F.col("hi") - F.col("lo"))), "parts")
-    again = parts.groupBy("h", "c2").agg(F.min(F.struct("key", (F.col("first") + F.col("lo")).alias("first"))).alias("at"), F.first(F.col("hi") - F.col("lo")).alias("n"), F.sum("weight").alias("weight"))
-    asked = plain.unionByName(again.select("at.key", "h", F.col("c2").alias("c"), "at.first", "n", "weight"))
-    asked = stored(spark, asked, "asked")
+    lists = lambda df, *names: stored(spark, df.groupBy("key").agg(F.collect_list(F.struct(*names)).alias("runs")), "lists")
+    windows = stored(spark, _window_hashes(docs, lists(cut, "h", "c", "first", "n")).join(cut.select("h", "c", "weight"), ["h", "c"]), "windows")
+    twice = windows.groupBy("h", "x").agg(F.sum("weight").alias("weight"), F.min(F.struct("key", (F.col("first") + F.col("at")).alias("first"))).alias("at")).where("weight > 1")
+    single = twice.select("at.key", "h", F.col("x").alias("c"), "at.first", F.lit(1).cast("long").alias("n"), "weight", F.xxhash64("h", "x").alias("deal"))
+    asked = stored(spark, plain.unionByName(single), "asked")
     words = int(asked.agg(F.sum(F.col("n") + WINDOW - 1)).first()[0] or 0)
     shards = max(1, -(-words // SHARD_WORDS))
-    sent = _asked_words(docs, stored(spark, asked.groupBy("key").agg(pick.alias("runs")), "lists"))
-    found = stored(spark, sent.groupBy(F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard")).applyInArrow(_sharded, "h long, c long, lo long, hi long"), "found")
-    dropped(spark, counts, windows, asked)
-    back = parts.select("h", F.col("c2"), "c", F.col("lo").alias("shift")).join(found.withColumnRenamed("c", "c2"), ["h", "c2"]).select("h", "c", (F.col("lo") + F.col("shift")).alias("lo"), (F.col("hi") + F.col("shift")).alias("hi"))
-    # hashes of cut runs are apart from those of whole runs only by chance of 2 ** -64; anchors tell them apart
-    whole = found.join(hot, "h", "left_anti").unionByName(back)
+    sent = _asked_words(docs, lists(asked, "h", "c", "first", "n", "weight", "deal"))
+    found = stored(spark, sent.groupBy(F.pmod("deal", F.lit(shards)).alias("shard")).applyInArrow(_sharded, "h long, c long, lo long, hi long"), "found")
+    # windows of a hot anchor's run that repeat, as stretches
+    stay = windows.join(found.join(hot, "h", "left_semi").select("h", F.col("c").alias("x")), ["h", "x"], "left_semi").groupBy("h", "c").agg(F.array_sort(F.collect_list("at")).alias("ats"))
+    marks = F.transform("ats", lambda x, i: F.struct(x.alias("at"), (x - i).alias("run")))
+    back = stay.select("h", "c", F.explode(marks).alias("mark")).groupBy("h", "c", "mark.run").agg(F.min("mark.at").alias("lo"), (F.max("mark.at") + 1).alias("hi")).select("h", "c", "lo", "hi")
+    whole = stored(spark, found.join(hot, "h", "left_anti").unionByName(back), "whole")
+    dropped(spark, counts, distinct, hot, windows, asked, found)
     return runs.select("h", "c", "key", "first").join(whole, ["h", "c"]).select("key", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi") + (WINDOW - 1)).alias("hi")).distinct()
 
 

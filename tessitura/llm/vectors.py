@@ -9,8 +9,14 @@ about RESIDENTS vectors; larger groups (copies) are split into blocks, as are th
 bounded number of either. Candidates are verified by cosine in double precision; a task gives counts and a spanning forest, not
 pairs. Equal vectors are one class from the start.
 
-Defined results: vectors that are null, zero, hold null or non-finite components or have another length than most link with
-nothing, count no links and are kept. Rows that repeat a vec_id are the same vector; a null vec_id gets a null component.
+The nearest cells are taken all at once instead of from a heap: of the pairs of ranks (r, s) in both sorted lists only those
+with (r + 1) * (s + 1) <= probes can be among them, which gives the cells that the traversal visits. Vectors of different
+lengths never link, so each length has an index of its own.
+
+Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing, count no links and
+are kept. Rows that repeat a vec_id are the same vector; a null vec_id gets a null component, is kept and links nothing. Ties
+(a cosine of exactly the threshold) link. Very long vectors are read in batches of rows. Only vec_id and embedding are read,
+whatever other columns are called. No rows, no rows.
 """
 
 from __future__ import annotations
@@ -165,34 +171,41 @@ def _met(key, group):
     return pa.table({"a": pa.array(np.concatenate((ids[node], ids[got])), pa.int64()), "b": pa.array(np.concatenate((ids[label[node]], ids[got])), pa.int64()), "n": pa.array(np.concatenate((np.zeros(len(node), np.int64), count[got])), pa.int64())})
 
 
+def _indexed(spark: SparkSession, named: DataFrame, total: int, kind: str) -> DataFrame:
+    """(v, n_links, component_id) of a stored table of distinct vectors of one length (v, id, many)."""
+    sample = named.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow()
+    grid = Grid(matrix(sample.column(0)), total)
+    placed = stored(spark, _placed(named, grid, kind).join(named.select("id", "many"), "id"), "placed")
+    homes = placed.groupBy(F.col("home").alias("g")).agg(F.count("*").alias("r"))
+    visitors = placed.select(F.explode("visits").alias("g"), "id").groupBy("g").agg(F.count("*").alias("q"))
+    blocks = homes.join(visitors, "g").select("g", F.ceil(F.col("r") / RESIDENTS).alias("nr"), F.ceil(F.col("q") / VISITORS).alias("nq"))
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    mine = placed.withColumn("g", F.col("home")).join(blocks, "g").withColumn("rb", F.pmod(F.xxhash64("id"), F.col("nr"))).withColumn("qb", spread(F.col("nq"))).withColumn("here", F.lit(True))
+    theirs = placed.withColumn("g", F.explode("visits")).join(blocks, "g").withColumn("qb", F.pmod(F.xxhash64("id"), F.col("nq"))).withColumn("rb", spread(F.col("nr"))).withColumn("here", F.lit(False))
+    columns = ["g", "rb", "qb", "here", "id", "home", "visits", "many", "v"]
+    met = stored(spark, mine.select(columns).unionByName(theirs.select(columns)).groupBy("g", "rb", "qb").applyInArrow(_met, "a long, b long, n long"), "met")
+    links = met.where("n > 0").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
+    parts = connected(spark, met.where("n = 0").select("a", "b"))
+    return named.join(links, "id", "left").join(parts, "id", "left").select("v", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+
+
 def linked(spark: SparkSession, rows: DataFrame) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of rows(vec_id, embedding)."""
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"))
     kind = rows.schema["v"].dataType.simpleString()
-    usual = rows.where(F.size("v") > 0).groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    fine = F.coalesce((F.size("v") == (usual["d"] if usual else 0)) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
+    fine = F.coalesce(F.col("vec_id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
     marked = rows.withColumn("fine", fine)
-    same = marked.where("fine").groupBy("v").agg(F.min("vec_id").alias("id"), F.countDistinct("vec_id").alias("many"))
-    named = stored(spark, same, "vectors")
-    total = named.count()
-    base = marked.where(~F.col("fine")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    if total:
-        sample = named.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow()
-        grid = Grid(matrix(sample.column(0)), total)
-        placed = stored(spark, _placed(named, grid, kind).join(named.select("id", "many"), "id"), "placed")
-        homes = placed.groupBy(F.col("home").alias("g")).agg(F.count("*").alias("r"))
-        visitors = placed.select(F.explode("visits").alias("g"), "id").groupBy("g").agg(F.count("*").alias("q"))
-        blocks = homes.join(visitors, "g").select("g", F.ceil(F.col("r") / RESIDENTS).alias("nr"), F.ceil(F.col("q") / VISITORS).alias("nq"))
-        spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-        mine = placed.withColumn("g", F.col("home")).join(blocks, "g").withColumn("rb", F.pmod(F.xxhash64("id"), F.col("nr"))).withColumn("qb", spread(F.col("nq"))).withColumn("here", F.lit(True))
-        theirs = placed.withColumn("g", F.explode("visits")).join(blocks, "g").withColumn("qb", F.pmod(F.xxhash64("id"), F.col("nq"))).withColumn("rb", spread(F.col("nr"))).withColumn("here", F.lit(False))
-        columns = ["g", "rb", "qb", "here", "id", "home", "visits", "many", "v"]
-        met = stored(spark, mine.select(columns).unionByName(theirs.select(columns)).groupBy("g", "rb", "qb").applyInArrow(_met, "a long, b long, n long"), "met")
-        links = met.where("n > 0").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
-        parts = connected(spark, met.where("n = 0").select("a", "b"))
-        whole = named.join(links, "id", "left").join(parts, "id", "left").select("v", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-        base = base.unionByName(marked.where("fine").join(whole, "v").select("vec_id", "n_links", "component_id"))
-    return base.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    named = stored(spark, marked.where("fine").groupBy("v").agg(F.min("vec_id").alias("id"), F.countDistinct("vec_id").alias("many"), F.size(F.col("v")).alias("size")), "vectors")
+    out = marked.where(~F.col("fine")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    sizes = [(r["size"], r["n"]) for r in named.groupBy("size").agg(F.count("*").alias("n")).orderBy("size").collect()]  # a row a length
+    alone = [size for size, n in sizes if n == 1]
+    found = named.where(F.col("size").isin(alone)).select("v", (F.col("many") - 1).alias("n_links"), F.col("id").alias("component_id"))
+    for size, n in sizes:
+        if n > 1:
+            found = found.unionByName(_indexed(spark, named.where(F.col("size") == size).select("v", "id", "many"), n, kind))
+    if sizes:
+        out = out.unionByName(marked.where("fine").join(found, "v").select("vec_id", "n_links", "component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
 def brute_links(rows: DataFrame, queries: DataFrame) -> DataFrame:
