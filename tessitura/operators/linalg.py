@@ -13,17 +13,23 @@ from ..functions.signal import at
 
 
 def covariance(spec: DataFrame, mask: DataFrame | None = None, block: Column | None = None, least: float = 1e-6) -> DataFrame:
-    """(utt, [blk,] f, i, j, re, im) = sum_t m x_i conj(x_j) / max(sum_t m, least). mask(utt, t, f, m); without one it is 1."""
-    x = spec if mask is None else spec.join(mask, ["utt", "t", "f"])
-    x = x.withColumn("m", F.lit(1.0)) if mask is None else x
-    keys = ["utt", "f"]
-    if block is not None:
-        x, keys = x.withColumn("blk", block), ["utt", "blk", "f"]
-    a = x.select(*keys, "t", "m", F.col("ch").alias("i"), F.col("re").alias("re1"), F.col("im").alias("im1"))
-    b = x.select(*keys, "t", F.col("ch").alias("j"), F.col("re").alias("re2"), F.col("im").alias("im2"))
+    """(utt, [blk,] f, i, j, re, im) = sum_t m x_i conj(x_j) / max(sum_t m, least). mask(utt, t, f, m); without one it is 1.
+    The mask comes as one more row of its cell. Cells are dealt by (utt, f) once; a cell's products are made in its row, for
+    i <= j only, and summed where they are."""
+    rows = spec.select("utt", "t", "f", F.struct("ch", "re", "im").alias("z"), F.lit(None).cast("double").alias("m"))
+    if mask is not None:
+        rows = rows.unionByName(mask.select("utt", "t", "f", F.lit(None).cast(rows.schema["z"].dataType).alias("z"), F.col("m").cast("double").alias("m")))
+    cell = rows.repartition("utt", "f").groupBy("utt", "t", "f").agg(F.array_sort(F.collect_list("z")).alias("z"), F.max("m").alias("m"))
+    cell = cell.where("m IS NOT NULL") if mask is not None else cell.withColumn("m", F.lit(1.0))
+    keys = ["utt", "f"] if block is None else ["utt", "blk", "f"]
+    cell = cell if block is None else cell.withColumn("blk", block)
+    pairs = F.flatten(F.transform("z", lambda a, k: F.transform(F.slice(F.col("z"), k + 1, F.size("z")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    p = cell.select(*keys, "m", F.explode(pairs).alias("p")).select(*keys, "m", F.col("p.a.ch").alias("i"), F.col("p.b.ch").alias("j"), F.col("p.a.re").alias("re1"), F.col("p.a.im").alias("im1"), F.col("p.b.re").alias("re2"), F.col("p.b.im").alias("im2"))
     z = at(suffix="1") * at(suffix="2").conj()
-    s = a.join(b, [*keys, "t"]).groupBy(*keys, "i", "j").agg(F.sum(F.col("m") * z.re).alias("re"), F.sum(F.col("m") * z.im).alias("im"), F.sum("m").alias("w"))
-    return s.select(*keys, "i", "j", *((F.col(c) / F.greatest("w", F.lit(least))).alias(c) for c in ("re", "im")))
+    s = p.groupBy(*keys, "i", "j").agg(F.sum(F.col("m") * z.re).alias("re"), F.sum(F.col("m") * z.im).alias("im"), F.sum("m").alias("w"))
+    s = s.select(*keys, "i", "j", *((F.col(c) / F.greatest("w", F.lit(least))).alias(c) for c in ("re", "im")))
+    both = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j", "re", "im"))).otherwise(F.array(F.struct("i", "j", "re", "im"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), F.col("re"), (-F.col("im")).alias("im"))))
+    return s.select(*keys, F.inline(both))
 
 
 def hermitian_error(cov: DataFrame, keys: list[str]) -> DataFrame:

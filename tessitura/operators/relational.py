@@ -8,17 +8,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.places import scratch
 
-def ordinal(df: DataFrame, key: str) -> DataFrame:
-    """df with pos, its place in key order from 0. Places are counted by key ranges, so no task holds all rows: the ranges are
-    sorted apart and shifted by the sizes of those before."""
-    from pyspark.sql.functions import spark_partition_id
 
-    ranged = df.repartitionByRange(key).sortWithinPartitions(key).withColumn("r_part", spark_partition_id())
-    edges = ranged.groupBy("r_part").agg(F.count("*").alias("n"), F.min(key).alias("lo"))
-    before = edges.select("r_part", F.coalesce(F.sum("n").over(Window.orderBy("r_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inner = F.row_number().over(Window.partitionBy("r_part").orderBy(key)) - 1
-    return ranged.withColumn("pos", inner).join(F.broadcast(before), "r_part").withColumn("pos", F.col("pos") + F.col("before")).drop("r_part", "before")
+def _ranged(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df dealt into key ranges and written once, with r_part, its range: later steps read the same ranges, whatever is retried."""
+    path = scratch(df.sparkSession, "ranged")
+    df.repartitionByRange(*keys).withColumn("r_part", F.spark_partition_id()).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _shifted(ranged: DataFrame, keys: list[str], inner: Column, size: Column, name: str) -> DataFrame:
+    """ranged with `name`: a running number inside each range plus the sizes of the ranges before. One row a range is numbered
+    in one task, no more."""
+    sizes = ranged.groupBy("r_part").agg(size.alias("r_n"))
+    before = sizes.select("r_part", F.coalesce(F.sum("r_n").over(Window.orderBy("r_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("r_before"))
+    return ranged.withColumn("r_in", inner.over(Window.partitionBy("r_part").orderBy(*keys))).join(F.broadcast(before), "r_part").withColumn(name, F.col("r_in") + F.col("r_before")).drop("r_part", "r_in", "r_before")
+
+
+def ordinal(df: DataFrame, key: str) -> DataFrame:
+    """df with pos, its place in key order from 0. Places are counted by key ranges, so no task holds all rows."""
+    return _shifted(_ranged(df, [key]), [key], F.row_number(), F.count("*"), "pos").withColumn("pos", F.col("pos") - 1)
 
 
 def lookup(df: DataFrame, default: DataFrame, key: str, value: str, fallback) -> DataFrame:
@@ -64,17 +74,23 @@ def chunked(df: DataFrame, key: str, chunks: int) -> DataFrame:
 
 
 def chunked_by_speaker(df: DataFrame, spk: str, chunks: int) -> DataFrame:
-    """df with chunk: all rows of a speaker in one. Fails if there are fewer speakers than chunks."""
-    if df.select(spk).distinct().limit(chunks).count() < chunks:
+    """df with chunk: all rows of a speaker in one, speakers in order, chunks nearly even in rows: a speaker goes where the middle
+    of its rows lies among all rows in speaker order. Fails if there are fewer speakers than chunks."""
+    size = df.groupBy(spk).agg(F.count("*").alias("r_size"))
+    if size.limit(chunks).count() < chunks:
         raise ValueError("fewer speakers than chunks")
-    return df.withColumn("chunk", F.pmod(F.xxhash64(spk), F.lit(chunks)) + 1)
+    at = _shifted(_ranged(size, [spk]), [spk], F.sum("r_size"), F.sum("r_size"), "r_end")
+    total = F.lit(df.count())
+    chunk = F.least(F.floor((F.col("r_end") - F.col("r_size") / 2) * chunks / total), F.lit(chunks - 1)) + 1
+    return df.join(at.select(spk, chunk.cast("long").alias("chunk")), spk)
 
 
 def stacked(df: DataFrame, keys: list[str]) -> DataFrame:
-    """df with row: the place of its frame when all matrices are stacked in key order. Offsets come from the matrices' sizes."""
-    size = df.groupBy(*keys).agg(F.countDistinct("t").alias("n"))
-    at = F.coalesce(F.sum("n").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.join(size.withColumn("r_at", at).drop("n"), keys).withColumn("row", F.col("r_at") + F.col("t")).drop("r_at")
+    """df with row: the place of its frame when all matrices are stacked in key order. Offsets are prefix sums of the matrices'
+    sizes by key ranges."""
+    size = df.groupBy(*keys).agg(F.countDistinct("t").alias("r_size"))
+    at = _shifted(_ranged(size, keys), keys, F.sum("r_size"), F.sum("r_size"), "r_at").select(*keys, (F.col("r_at") - F.col("r_size")).alias("r_at"))
+    return df.join(at, keys).withColumn("row", F.col("r_at") + F.col("t")).drop("r_at")
 
 
 def beside(parts: list[DataFrame], width: int) -> DataFrame:
@@ -88,11 +104,18 @@ def transposed(df: DataFrame, hermitian: bool = False) -> DataFrame:
     return out.withColumn("im", -F.col("im")) if hermitian else out
 
 
-def microphone_pairs(df: DataFrame, cell: list[str], value: list[str]) -> DataFrame:
-    """Rows of two channels i < j of a cell: value columns get suffixes 1 and 2."""
-    a = df.select(*cell, F.col("ch").alias("i"), *(F.col(v).alias(v + "1") for v in value))
-    b = df.select(*cell, F.col("ch").alias("j"), *(F.col(v).alias(v + "2") for v in value))
-    return a.join(b, cell).where("i < j")
+def channel_rows(df: DataFrame, cell: list[str], value: list[str], by: list[str] | None = None) -> DataFrame:
+    """(cell, z): one row a cell with its channels as an array of (ch, value), in order. by: deal rows by these of the cell's
+    columns, so that what follows by them needs no further shuffle."""
+    dealt = df.select(*cell, "ch", *value)
+    return (dealt.repartition(*by) if by else dealt).groupBy(*cell).agg(F.array_sort(F.collect_list(F.struct("ch", *value))).alias("z"))
+
+
+def microphone_pairs(df: DataFrame, cell: list[str], value: list[str], by: list[str] | None = None) -> DataFrame:
+    """Rows of two channels i < j of a cell: value columns get suffixes 1 and 2. Pairs are made inside the cell's row."""
+    pairs = F.flatten(F.transform("z", lambda a, k: F.transform(F.slice(F.col("z"), k + 2, F.size("z")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    p = channel_rows(df, cell, value, by).select(*cell, F.explode(pairs).alias("p"))
+    return p.select(*cell, F.col("p.a.ch").alias("i"), F.col("p.b.ch").alias("j"), *(F.col(f"p.a.{v}").alias(v + "1") for v in value), *(F.col(f"p.b.{v}").alias(v + "2") for v in value))
 
 
 def first_best(df: DataFrame, keys: list[str], value: str, order: str, largest: bool = True) -> DataFrame:

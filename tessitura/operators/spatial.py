@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.signal import EPSILON, SPEED, at, circular_delay, cis, linear_delay, omega, wrapped
-from .relational import microphone_pairs
+from .relational import channel_rows, microphone_pairs
 
 
 def steering(spark: SparkSession, angles: int, bins: int, sr: int, topo: tuple[float, ...] = (), around: int = 0, radius: float = 0.0, centre: bool = False, speed: float = SPEED, normalize: bool = False) -> DataFrame:
@@ -35,7 +35,7 @@ def steering(spark: SparkSession, angles: int, bins: int, sr: int, topo: tuple[f
 
 def phase_differences(spec: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
     """(utt, t, f, i, j, ipd in [-pi, pi)) of the given channel pairs."""
-    m = microphone_pairs(spec.withColumn("angle", at().angle()), ["utt", "t", "f"], ["angle"])
+    m = microphone_pairs(spec.withColumn("angle", at().angle()), ["utt", "t", "f"], ["angle"], ["utt", "t"])
     wanted = F.lit(False)
     for i, j in pairs:
         wanted = wanted | ((F.col("i") == i) & (F.col("j") == j))
@@ -45,7 +45,7 @@ def phase_differences(spec: DataFrame, pairs: list[tuple[int, int]]) -> DataFram
 def coherence(spec: DataFrame, context: int, channels: int) -> DataFrame:
     """(utt, t, f, msc): mean over pairs of squared coherence of the spectra averaged over 2 * context + 1 frames (what exists
     of them)."""
-    p = microphone_pairs(spec, ["utt", "t", "f"], ["re", "im"])
+    p = microphone_pairs(spec, ["utt", "t", "f"], ["re", "im"], ["utt", "f"])
     w = Window.partitionBy("utt", "f", "i", "j").orderBy("t").rowsBetween(-context, context)
     a, b = at(suffix="1"), at(suffix="2")
     x = a * b.conj()
@@ -62,7 +62,7 @@ def directional(spec: DataFrame, steer: DataFrame, pairs: list[tuple[int, int]])
 
 def srp_phat(spec: DataFrame, delays: DataFrame, bins: int, sr: int, channels: int, normalize: bool = True, floor: bool = True) -> DataFrame:
     """(utt, t, d, srp): steered response power with phase transform. delays(d, i, j, tau seconds): the grid of the array."""
-    p = microphone_pairs(spec.withColumn("angle", at().angle()), ["utt", "t", "f"], ["angle"]).select("utt", "t", "f", "i", "j", (F.col("angle1") - F.col("angle2")).alias("dphi"))
+    p = microphone_pairs(spec.withColumn("angle", at().angle()), ["utt", "t", "f"], ["angle"], ["utt", "t"]).select("utt", "t", "f", "i", "j", (F.col("angle1") - F.col("angle2")).alias("dphi"))
     gcc = p.join(F.broadcast(delays), ["i", "j"]).groupBy("utt", "t", "d", "i", "j").agg((F.sum(F.cos(F.col("dphi") + omega(F.col("f"), bins, sr) * F.col("tau"))) / bins).alias("g"))
     if normalize:
         gcc = gcc.withColumn("g", F.col("g") / F.greatest(F.max(F.abs("g")).over(Window.partitionBy("utt", "i", "j")), F.lit(EPSILON)))
@@ -82,16 +82,22 @@ def diagonal_delays(spark: SparkSession, around: int, diameter: float, angles: i
     return spark.createDataFrame(rows, "d long, i long, j long, tau double")
 
 
-def ml_likelihood(spec: DataFrame, steer: DataFrame, mask: Column | None = None, compression: float = 0.0, eps: float = EPSILON) -> DataFrame:
-    """(utt, a, ll): log likelihood of directions, -sum of log(1 - |steer^H x|^2 / (|steer|^2 |x|^2)) over cells."""
-    x, s = at("x_"), at()
-    cell = spec.withColumnsRenamed({"re": "x_re", "im": "x_im"}).join(F.broadcast(steer.drop("deg")), ["ch", "f"])
-    y = s.conj() * x
-    dot = cell.groupBy("utt", "t", "f", "a").agg(F.sum(y.re).alias("re"), F.sum(y.im).alias("im"), F.sum(x.power()).alias("xx"), F.sum(s.power()).alias("ss"), *([F.first(mask).alias("m")] if mask is not None else []))
-    part = at().power() / (F.col("ss") * F.col("xx") + eps)
-    ll = -F.ln(F.greatest(1 - part, F.lit(eps)))
+def ml_likelihood(spec: DataFrame, steer: DataFrame, mask: Column | str | None = None, compression: float = 0.0, eps: float = EPSILON) -> DataFrame:
+    """(utt, a, ll): log likelihood of directions, -sum of log(1 - |steer^H x|^2 / (|steer|^2 |x|^2)) over cells. A cell's channels
+    are one row; the steering vectors of its bin come as one broadcast row (the grid has the array's size), and each product is
+    summed inside the row. mask: a column that is the same for all channels of a cell."""
+    cell = channel_rows(spec.withColumn("m", F.col(mask) if isinstance(mask, str) else F.lit(1.0) if mask is None else mask), ["utt", "t", "f"], ["re", "im", "m"], ["utt", "t"])
+    grid = steer.groupBy("f", "a").agg(F.array_sort(F.collect_list(F.struct("ch", "re", "im"))).alias("s")).groupBy("f").agg(F.collect_list(F.struct("a", "s")).alias("grid"))
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+    re = lambda g: total(F.zip_with(g["s"], F.col("z"), lambda s, x: s["re"] * x["re"] + s["im"] * x["im"]))
+    im = lambda g: total(F.zip_with(g["s"], F.col("z"), lambda s, x: s["re"] * x["im"] - s["im"] * x["re"]))
+    ss = lambda g: total(F.transform(g["s"], lambda s: s["re"] * s["re"] + s["im"] * s["im"]))
+    xx = total(F.transform("z", lambda x: x["re"] * x["re"] + x["im"] * x["im"]))
+    cell = cell.withColumn("xx", xx).withColumn("m", F.element_at("z", 1)["m"]).join(F.broadcast(grid), "f")
+    dot = cell.select("utt", "xx", "m", F.explode(F.transform("grid", lambda g: F.struct(g["a"].alias("a"), re(g).alias("re"), im(g).alias("im"), ss(g).alias("ss")))).alias("d")).select("utt", "xx", "m", "d.*")
+    ll = -F.ln(F.greatest(1 - at().power() / (F.col("ss") * F.col("xx") + eps), F.lit(eps)))
     ll = ll * F.pow(F.col("xx"), F.lit(compression)) if compression else ll
-    return dot.groupBy("utt", "a").agg(F.sum(ll * F.col("m") if mask is not None else ll).alias("ll"))
+    return dot.groupBy("utt", "a").agg(F.sum(ll * F.col("m")).alias("ll"))
 
 
 def best_angle(score: DataFrame, value: str, largest: bool = True, keys: tuple[str, ...] = ("utt",)) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.signal import EPSILON, at, floored_log, polar
+from .windows import impulse_answer
 
 
 @dataclass(frozen=True)
@@ -181,21 +182,30 @@ def masked(spec: DataFrame, mask: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def convolved(x: Column, h: Column) -> Column:
-    """Array x convolved with array h, cut to the length of x."""
-    taps = F.size(h)
-    return F.transform(x, lambda _, n: F.aggregate(F.sequence(F.lit(0), F.least(n, taps - 1)), F.lit(0.0), lambda s, k: s + F.get(h, k) * F.get(x, n - k)))
+    """Array x convolved with array h, cut to the length of x, by the fast Fourier transform; null if either is."""
+
+    @F.arrow_udf("array<double>")
+    def run(xs: pa.Array, hs: pa.Array) -> pa.Array:
+        plain = lambda v: np.asarray(v.values.to_numpy(zero_copy_only=False), dtype=np.float64)
+        return pa.array([impulse_answer(plain(a), plain(b)) if a.is_valid and b.is_valid else None for a, b in zip(xs, hs, strict=True)], pa.list_(pa.float64()))
+
+    return run(x, h)
 
 
 def high_pass(wave: DataFrame, sr: int, cut: float = 100.0, value: str = "x") -> DataFrame:
-    """Second-order recursive high-pass with a double zero at 0 Hz, poles at the cut-off frequency."""
+    """Second-order recursive high-pass with a zero at 0 Hz and poles at the cut-off frequency, as the filter's answer to an
+    impulse, which is cut where it is below the precision of doubles."""
     w = 2 * np.pi * cut / sr
     r = float(np.exp(-w))
     b1, b2, a1 = 2 * r * float(np.cos(w)), -r * r, -(1 + r)
-    state = F.struct(F.lit(0.0).alias("u"), F.lit(0.0).alias("v"), F.array().cast("array<double>").alias("y"))
-
-    def step(s, x):
-        now = x + b1 * s["u"] + b2 * s["v"]
-        return F.struct(now.alias("u"), s["u"].alias("v"), F.array_append(s["y"], now + a1 * s["u"] + r * s["v"]).alias("y"))
+    size = 4 + int(np.log(1e-18) / np.log(r))
+    h, u, v = np.zeros(size), 0.0, 0.0
+    for n in range(size):
+        now = (1.0 if n == 0 else 0.0) + b1 * u + b2 * v
+        h[n], u, v = now + a1 * u + r * v, now, u
 
-    return wave.withColumn(value, F.aggregate(value, state, step)["y"])
+    @F.arrow_udf("array<double>")
+    def run(xs: pa.Array) -> pa.Array:
+        return pa.array([impulse_answer(np.asarray(x.values.to_numpy(zero_copy_only=False), dtype=np.float64), h[: max(len(x.values), 1)]) if x.is_valid else None for x in xs], pa.list_(pa.float64()))
 
+    return wave.withColumn(value, run(F.col(value)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,24 +39,51 @@ def folded(df: DataFrame, keys: list[str], x: str = "x") -> DataFrame:
     return df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("t", x))), lambda z: z[x]).alias("xs"))
 
 
+def impulse_answer(x: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """x convolved with h, cut to the length of x, by the fast Fourier transform."""
+    if not len(x) or not len(h):
+        return np.zeros(len(x))
+    size = 1 << (len(x) + len(h) - 2).bit_length() if len(x) + len(h) > 2 else 1
+    return np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(h, size), size)[: len(x)] if size > 1 else x * h
+
+
+def _arrays(xs: Column, kernel) -> Column:
+    """kernel(array of numbers) for each row's array, by Arrow batches; null stays null."""
+
+    @F.arrow_udf("array<double>")
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([None if not x.is_valid else kernel(np.asarray(x.values.to_numpy(zero_copy_only=False), dtype=np.float64)) for x in column], pa.list_(pa.float64()))
+
+    return run(xs)
+
+
 def smoothed(xs: Column, alpha: float) -> Column:
-    """Array of s[t] = alpha s[t-1] + (1 - alpha) x[t], from s[0] = x[0]."""
-    start = F.array(F.element_at(xs, 1))
-    rest = F.slice(xs, 2, F.greatest(F.size(xs) - 1, F.lit(0)))
-    return F.when(F.size(xs) > 0, F.aggregate(rest, start, lambda s, v: F.array_append(s, alpha * F.element_at(s, -1) + (1 - alpha) * v))).otherwise(xs)
+    """Array of s[t] = alpha s[t-1] + (1 - alpha) x[t], from s[0] = x[0]. Linear in the length: a filter whose answer is cut
+    where it is below the precision of doubles."""
 
+    def kernel(x):
+        if not len(x):
+            return x
+        reach = min(len(x), 2 + int(np.log(1e-18) / np.log(alpha))) if 0 < alpha < 1 else len(x)
+        return impulse_answer(x - x[0], (1 - alpha) * alpha ** np.arange(reach)) + x[0]
 
-def tracked(xs: Column, alpha: float, rise: float) -> Column:
-    """A noise estimate whose smoothing depends on the data: it follows falling values with alpha, rising ones rise times slower."""
-    start = F.array(F.element_at(xs, 1))
-    rest = F.slice(xs, 2, F.greatest(F.size(xs) - 1, F.lit(0)))
+    return _arrays(xs, kernel)
 
-    def step(s, v):
-        last = F.element_at(s, -1)
-        a = F.when(v > last, 1 - (1 - alpha) / rise).otherwise(F.lit(alpha))
-        return F.array_append(s, a * last + (1 - a) * v)
 
-    return F.when(F.size(xs) > 0, F.aggregate(rest, start, step)).otherwise(xs)
+def tracked(xs: Column, alpha: float, rise: float) -> Column:
+    """A noise estimate whose smoothing depends on the data: it follows falling values with alpha, rising ones rise times slower.
+    One pass over each array."""
+    up = 1 - (1 - alpha) / rise
+
+    def kernel(x):
+        out, s = x.copy(), x[0] if len(x) else 0.0
+        for t, v in enumerate(x.tolist()):
+            a = up if v > s else alpha
+            s = a * s + (1 - a) * v if t else v
+            out[t] = s
+        return out
+
+    return _arrays(xs, kernel)
 
 
 def running_minimum(df: DataFrame, keys: list[str], block: int, blocks: int, x: str = "x") -> DataFrame:
