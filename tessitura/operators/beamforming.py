@@ -82,18 +82,30 @@ def normalised(w: np.ndarray, rn: np.ndarray) -> np.ndarray:
     return w * (np.sqrt((np.abs(x) ** 2).sum(axis=1)) / np.maximum((w.conj() * x).sum(axis=1).real, 1e-10))[:, None]
 
 
-def supervised(spec: DataFrame, mask: DataFrame, kind: str, ban: bool = False, noise: DataFrame | None = None, block=None) -> DataFrame:
+def supervised(spec: DataFrame, mask: DataFrame, kind, ban: bool = False, noise: DataFrame | None = None, block=None) -> DataFrame:
     """(utt, [blk,] f, ch, re, im): weights from a speech mask(utt, t, f, m), noise by 1 - m or its own mask. Spark sums the
-    covariances; one kernel call solves a batch of bins."""
+    covariances; one kernel call solves a batch of bins. kind: a name in WEIGHTS, or a function of stacks of both covariances."""
     other = noise if noise is not None else mask.withColumn("m", 1 - F.col("m"))
     keys = ["utt", "f"] if block is None else ["utt", "blk", "f"]
     rs, rn = (L.packed(L.covariance(spec, m, block), keys, n) for m, n in ((mask, "s"), (other, "n")))
-    solve = WEIGHTS[kind]
+    solve = kind if callable(kind) else WEIGHTS[kind]
     kernel = (lambda s, n: normalised(solve(s, n), n)) if ban else solve
     w = L.per_row(rs.join(rn, keys), keys, ["s", "n"], kernel, "w")
     return w.select(*keys, F.posexplode(F.arrays_zip("w_re", "w_im")).alias("ch", "z")).select(*keys, F.col("ch").cast("long").alias("ch"), F.col("z.w_re").alias("re"), F.col("z.w_im").alias("im"))
 
 
+def online(spec: DataFrame, mask: DataFrame, kind: str, chunk: int, alpha: float = 0.8, later: float | None = None) -> DataFrame:
+    """(utt, t, f, re, im): the output of a beamformer whose covariances forget, with new weights every `chunk` frames from all
+    that came up to and with them."""
+    from .estimation import online_covariances
+
+    keys = ["utt", "chunk", "f"]
+    rs, rn = (L.packed(online_covariances(spec, m, chunk, alpha, later), keys, n) for m, n in ((mask, "s"), (mask.withColumn("m", 1 - F.col("m")), "n")))
+    w = L.per_row(rs.join(rn, keys), keys, ["s", "n"], WEIGHTS[kind], "w")
+    w = w.select(*keys, F.posexplode(F.arrays_zip("w_re", "w_im")).alias("ch", "z")).select(*keys, F.col("ch").cast("long").alias("ch"), F.col("z.w_re").alias("re"), F.col("z.w_im").alias("im"))
+    return beamformed(spec.withColumn("chunk", F.floor(F.col("t") / chunk)), w, [*keys, "ch"])
+
+
 def reference_channel(spec: DataFrame, mask: DataFrame) -> DataFrame:
     """(utt, ref): the channel of the largest ratio of speech to noise power, summed over bins, for pmwf."""
     p = at().power()

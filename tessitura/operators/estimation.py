@@ -2,18 +2,21 @@
 
 Each is a small numpy kernel over one group of Spark's: one bin of an utterance where bins are independent (mixtures, WPE,
 WPD), one utterance where they aren't (AuxIVA, permutation alignment, noise suppression). Random starts are seeded by the
-group's key, so results don't depend on partitioning. A group that can't be solved gives no rows."""
+group's key, so results don't depend on partitioning. A group that can't be solved gives one row of its key and nulls."""
 
 from __future__ import annotations
 
 import itertools
+import math
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .linalg import principal
+from .linalg import covariance, principal
+from .windows import smoothed
 
 EPS = 1.1920929e-07
 
@@ -21,6 +24,7 @@ EPS = 1.1920929e-07
 def _solid(spec: DataFrame, keys: list[str], kernel, out: str) -> DataFrame:
     """kernel(key, x channels x frames x bins, t values, f values) -> columns of `out`, for each group of keys."""
     names = [c.split()[0] for c in out.split(", ")]
+    kinds_out = [{"long": pa.int64(), "double": pa.float64()}[c.split()[1]] for c in out.split(", ")][len(keys) :]
 
     def run(key, group):
         ch, t, f = (np.asarray(group.column(c)) for c in ("ch", "t", "f"))
@@ -31,10 +35,10 @@ def _solid(spec: DataFrame, keys: list[str], kernel, out: str) -> DataFrame:
         try:
             columns = kernel(plain, x, ts, fs)
         except np.linalg.LinAlgError:
-            columns = [[] for _ in names[len(keys) :]]
+            columns = [[None]] * len(names[len(keys) :])
         n = len(columns[0])
         kinds = [group.schema.field(k).type for k in keys]
-        return pa.table([*(pa.array([v] * n, t) for v, t in zip(plain, kinds, strict=True)), *(pa.array(np.asarray(c)) for c in columns)], names=names)
+        return pa.table([*(pa.array([v] * n, t) for v, t in zip(plain, kinds, strict=True)), *(pa.array(c if isinstance(c, list) else np.asarray(c), k) for c, k in zip(columns, kinds_out, strict=True))], names=names)
 
     return spec.select(*dict.fromkeys([*keys, "ch", "t", "f", "re", "im"])).groupBy(*keys).applyInArrow(run, out)
 
@@ -235,74 +239,141 @@ def exponential_integral(v: np.ndarray) -> np.ndarray:
     return np.where(v <= 1, total, np.exp(-large) / (large + tail))
 
 
-class NoiseTracker:
-    """Speech presence and noise power of a stream of power spectra, by minima-controlled recursive averaging, and the log
-    spectral amplitude gain. step() takes one frame, so the state is a few vectors whatever the length.
-
-    improved: a second, smoothed minimum search over frames without strong speech, as in the improved form."""
-
-    def __init__(self, improved: bool = False, smooth: float = 0.9, prior: float = 0.92, noise: float = 0.85, span: int = 15, spans: int = 8, floor_db: float = -18.0, bias: float = 1.66):
-        self.improved, self.smooth, self.prior, self.noise, self.span, self.spans, self.bias = improved, smooth, prior, noise, span, spans, bias
-        self.floor = 10 ** (floor_db / 20)
-        self.t = 0
-
-    @staticmethod
-    def _across(p: np.ndarray) -> np.ndarray:
-        q = np.pad(p, 1, mode="edge")
-        return 0.25 * q[:-2] + 0.5 * q[1:-1] + 0.25 * q[2:]
-
-    def step(self, p: np.ndarray) -> np.ndarray:
-        """The gain of the next frame."""
-        p = np.maximum(p, 1e-12)
-        local = self._across(p)
-        if self.t == 0:
-            self.level, self.s, self.low, self.lows = p.copy(), local.copy(), local.copy(), []
-            self.s2, self.gain_snr = local.copy(), np.ones_like(p)
-        self.s = self.smooth * self.s + (1 - self.smooth) * local
-        tracked = self.s
-        if self.improved:
-            quiet = (p < 4.6 * self.bias * self._least()) & (self.s < 1.67 * self.bias * self._least())
-            self.s2 = np.where(quiet, self.smooth * self.s2 + (1 - self.smooth) * local, self.s2)
-            tracked = self.s2
-        self.low = np.minimum(self.low, tracked)
-        if self.t and self.t % self.span == 0:
-            self.lows = [*self.lows, self.low][-self.spans :]
-            self.low = tracked.copy()
-        ratio = self.s / np.maximum(self.bias * self._least(), 1e-12)
-        absent = np.clip((5.0 - ratio) / 4.0, 1e-3, 0.999)
-        post = p / np.maximum(self.level, 1e-12)
-        xi = np.maximum(self.prior * self.gain_snr + (1 - self.prior) * np.maximum(post - 1, 0), 10 ** (-2.5))
-        v = post * xi / (1 + xi)
-        presence = 1 / (1 + absent / (1 - absent) * (1 + xi) * np.exp(-np.minimum(v, 200)))
-        rate = self.noise + (1 - self.noise) * presence
-        self.level = rate * self.level + (1 - rate) * p
-        speech = xi / (1 + xi) * np.exp(0.5 * exponential_integral(v))
-        self.gain_snr = np.minimum(speech, 1.0) ** 2 * post
-        self.t += 1
-        return np.minimum(speech, 1.0) ** presence * self.floor ** (1 - presence)
+def _across(p: np.ndarray, half: int) -> np.ndarray:
+    """p summed over neighbouring bins with a periodic Hann window of 2 * half + 1 values; as many values as p has."""
+    w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(2 * half + 1) / (2 * half + 1))
+    return np.convolve(p, w, "full")[half : half + len(p)]
+
+
+class Minimum:
+    """The least value of each bin over a search window, renewed every `span` frames: the least of the last `keep` windows."""
+
+    def __init__(self, start: np.ndarray, span: int, keep: int, offset: int = 0):
+        self.low, self.window, self.past = start.copy(), start.copy(), []
+        self.span, self.keep, self.offset = span, keep, offset
+
+    def seen(self, x: np.ndarray) -> None:
+        self.low, self.window = np.minimum(self.low, x), np.minimum(self.window, x)
+
+    def renewed(self, t: int, x: np.ndarray) -> None:
+        self.past = [*self.past, self.window][-self.keep * self.span :]
+        if (t + 1) % self.span == self.offset:
+            self.low = np.minimum.reduce(self.past[-self.keep :])
+            self.window = x.copy()
+
+
+class McraPresence:
+    """Speech presence by minima-controlled recursive averaging, with the optimally modified estimator's absence from local,
+    global and frame evidence. The defaults are the published constants (fixed values)."""
 
-    def _least(self) -> np.ndarray:
-        return np.minimum.reduce([self.low, *self.lows])
+    bias, floor, span, begin = 1.0, 10 ** (-10 / 10), 125, 10
+    level, delta, inertia, recall, widest = 0.9, 5.0, 0.2, 0.7, 0.95
+    weak, strong, least_peak, most_peak, upto = 10 ** (-10 / 10), 10 ** (-5 / 10), 10 ** (0 / 10), 10 ** (10 / 10), 65
+
+    def __init__(self, first: np.ndarray):
+        self.t, self.s, self.low, self.kept = 0, first, first, first
+        self.sure, self.zeta, self.before, self.peak = np.ones_like(first), np.ones_like(first), None, 0.0
+
+    def _share(self, z):
+        return np.clip(np.log(np.maximum(z, 1e-300) / self.weak) / math.log(self.strong / self.weak), 0.0, 1.0)
+
+    def _frame(self, mean: float) -> float:
+        rising, self.before = self.before is not None and mean > self.before, mean
+        if mean <= self.weak:
+            return 0.0
+        if rising:
+            self.peak = min(max(mean, self.least_peak), self.most_peak)
+            return 1.0
+        return float(self._share(mean / self.peak)) if self.peak > 0 else 1.0
+
+    def of(self, p: np.ndarray, xi: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Presence for the noise level and for the gain."""
+        if self.t:
+            self.s = self.level * self.s + (1 - self.level) * _across(p, 1)
+        if (self.t + 1) % self.span == self.begin:
+            self.low, self.kept = np.minimum(self.kept, self.s), self.s
+        else:
+            self.low, self.kept = np.minimum(self.low, self.s), np.minimum(self.kept, self.s)
+        self.t += 1
+        self.sure = self.inertia * self.sure + (1 - self.inertia) * (self.s > self.delta * np.maximum(self.low, 1e-7))
+        self.zeta = self.recall * self.zeta + (1 - self.recall) * xi
+        frame = self._frame(float(self.zeta[: self.upto].mean()))
+        absent = np.minimum(self.widest, 1 - self._share(_across(self.zeta, 1)) * frame * self._share(_across(self.zeta, 15)))
+        return self.sure, 1 / (1 + absent / (1 - absent) * (1 + xi) * np.exp(-v))
+
+
+class ImprovedPresence:
+    """Speech presence by the improved form: minima of the smoothed power, and again of what is left without strong speech.
+    The defaults are the published constants (fixed values)."""
+
+    bias, floor, span, windows = 1.47, 10 ** (-10 / 10), 15, 8
+    level, least_bias, strong, medium, near = 0.9, 1.66, 4.6, 3.0, 1.67
+
+    def __init__(self, first: np.ndarray):
+        local = _across(first, 1)
+        self.t, self.s, self.quiet = 0, local, local
+        self.all, self.rest = Minimum(local, self.span, self.windows), Minimum(local, self.span, self.windows)
+
+    def of(self, p: np.ndarray, xi: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        local = _across(p, 1)
+        if self.t:
+            self.s = self.level * self.s + (1 - self.level) * local
+            self.all.seen(self.s)
+        low = self.least_bias * np.maximum(self.all.low, 1e-7)
+        calm = ((p < self.strong * low) & (local < self.near * low)).astype(float)
+        weight = _across(calm, 1)
+        between = np.where(weight > 0, _across(p * calm, 1) / np.where(weight > 0, weight, 1.0), self.quiet)
+        if self.t:
+            self.quiet = self.level * self.quiet + (1 - self.level) * between
+            self.rest.seen(self.quiet)
+        low = self.least_bias * np.maximum(self.rest.low, 1e-7)
+        ratio, steady = p / low, self.s < self.near * low
+        absent = np.clip((self.medium - ratio) / (self.medium - 1), 0.0, 1.0)
+        some = (ratio > 1) & (ratio < self.medium) & steady
+        odds = np.where(some, absent / np.where(some, 1 - absent, 1.0), 0.0)
+        present = np.where(some, 1 / (1 + odds * (1 + xi) * np.exp(-v)), ((ratio >= self.medium) & ~steady).astype(float))
+        self.all.renewed(self.t, self.s)
+        self.rest.renewed(self.t, self.quiet)
+        self.t += 1
+        return present, present
+
+
+def suppressed(frames: np.ndarray, improved: bool = True, recall: float = 0.92, slow: float = 0.85, least_db: float = -18.0) -> np.ndarray:
+    """Gains of power spectra, frames x bins: the log spectral amplitude gain to the power of speech presence, the floor to that
+    of absence. One pass; the state is a few vectors whatever the length."""
+    if not len(frames):
+        return frames
+    kind = ImprovedPresence if improved else McraPresence
+    model, noise, last, least, out = kind(frames[0]), frames[0], 1.0, 10 ** (least_db / 10), []
+    for p in frames:
+        post = np.maximum(p / np.maximum(noise * model.bias, 1e-7), 1e-7)
+        xi = np.maximum(recall * last**2 * post + (1 - recall) * np.maximum(post - 1, 0), least)
+        v = post * xi / (1 + xi)
+        last = xi / (1 + xi) * np.exp(0.5 * exponential_integral(v))
+        for_noise, for_gain = model.of(p, xi, v)
+        rate = slow + (1 - slow) * for_noise
+        noise = rate * noise + (1 - rate) * p
+        out.append(last**for_gain * model.floor ** (1 - for_gain))
+    return np.stack(out)
 
 
 def noise_gain(spec: DataFrame, improved: bool = True, **options) -> DataFrame:
-    """(utt, t, f, m): gains of a single-channel spectrum in [floor, 1], to be used as a mask."""
+    """(utt, t, f, m): gains of a single-channel spectrum, to be used as a mask."""
 
     def kernel(key, x, t, f):
-        tracker = NoiseTracker(improved, **options)
-        return _long(t, f, np.stack([tracker.step(p) for p in np.abs(x[0]) ** 2]))
+        return _long(t, f, suppressed(np.abs(x[0]) ** 2, improved, **options))
 
     return _solid(spec, ["utt"], kernel, "utt long, t long, f long, m double")
 
 
-def online_covariances(spec: DataFrame, mask: DataFrame, chunk: int, alpha: float = 0.8) -> DataFrame:
-    """(utt, chunk, f, i, j, re, im) that forget: R = alpha R + (1 - alpha) R_chunk from the second chunk on. The chunks'
-    covariances are a Spark aggregate; the recursion is a closed weighted sum over earlier chunks."""
-    from pyspark.sql import functions as F
-
-    from .linalg import covariance
-
-    c = covariance(spec, mask, block=F.floor(F.col("t") / chunk)).withColumnRenamed("blk", "chunk")
-    b = c.select("utt", "f", "i", "j", F.col("chunk").alias("last")).join(c, ["utt", "f", "i", "j"]).where("chunk <= last")
-    w = F.when(F.col("chunk") == 0, 1.0).otherwise(1 - alpha) * F.pow(F.lit(alpha), F.col("last") - F.col("chunk"))
-    return b.groupBy("utt", F.col("last").alias("chunk"), "f", "i", "j").agg(F.sum(w * F.col("re")).alias("re"), F.sum(w * F.col("im")).alias("im"))
+def online_covariances(spec: DataFrame, mask: DataFrame, chunk: int, alpha: float = 0.8, later: float | None = None) -> DataFrame:
+    """(utt, chunk, f, i, j, re, im) that forget: R = alpha R + later * R_chunk from the second chunk on, and the first as it is.
+    later: 1 - alpha by default. Chunks are summed by Spark; the recursion runs along each element's array of chunks."""
+    c = covariance(spec, mask, block=F.floor(F.col("t") / chunk))
+    share = 1.0 if later is None else later / (1 - alpha)
+    chunks = c.groupBy("utt", "f", "i", "j").agg(F.array_sort(F.collect_list(F.struct("blk", "re", "im"))).alias("z"))
+    # smoothed() weighs what comes after the first value by 1 - alpha
+    part = lambda name: F.transform("z", lambda x, k: F.when(k == 0, x[name]).otherwise(x[name] * share))
+    both = chunks.withColumns({"r": smoothed(part("re"), alpha), "s": smoothed(part("im"), alpha)})
+    long = both.select("utt", "f", "i", "j", F.explode(F.arrays_zip(F.transform("z", lambda x: x["blk"]).alias("c"), F.col("r"), F.col("s"))).alias("o"))
+    return long.select("utt", F.col("o.c").alias("chunk"), "f", "i", "j", F.col("o.r").alias("re"), F.col("o.s").alias("im"))

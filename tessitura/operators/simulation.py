@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,7 +54,8 @@ def early_power(h: Column, sr: int, before_ms: float = 1.0, after_ms: float = 50
 def impulse_responses(spark: SparkSession, rooms: DataFrame, samples: int, sr: int, order: int = -1, pattern: str = "omnidirectional", speed: float = SPEED, half: float = 0.004) -> DataFrame:
     """(room, mic, n, x): responses of shoebox rooms by mirror images. rooms(room, mic, x, y, z size, beta, sx, sy, sz source,
     rx, ry, rz receiver). Images within reach are a sequence in each of three axes; an image adds a windowed sinc of 2 * `half`
-    seconds around its delay. beta: one reflection coefficient of all walls; order: most reflections, -1 for all."""
+    seconds around its delay. beta: one reflection coefficient of all walls, or columns bx0, bx1, by0, by1, bz0, bz1 for the walls
+    at 0 and at the far end of each axis; order: most reflections, -1 for all."""
     step = speed / sr
     reach = lambda size: F.ceil(F.lit(samples * step) / (2 * F.col(size))).cast("int")
     axis = lambda size: F.explode(F.sequence(-reach(size), reach(size)))
@@ -63,7 +65,12 @@ def impulse_responses(spark: SparkSession, rooms: DataFrame, samples: int, sr: i
     bounce = F.abs(2 * F.col("mx") - F.col("q")) + F.abs(2 * F.col("my") - F.col("j")) + F.abs(2 * F.col("mz") - F.col("k"))
     im = im.withColumns({"dx": d("mx", "q", "x", "sx", "rx"), "dy": d("my", "j", "y", "sy", "ry"), "dz": d("mz", "k", "z", "sz", "rz"), "bounce": bounce})
     im = im.where((F.col("bounce") <= order) if order >= 0 else F.lit(True)).withColumn("dist", F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2 + F.col("dz") ** 2) / step).where(F.col("dist") < samples)
-    gain = F.pow("beta", F.col("bounce")) * directivity(F.col("dx"), F.col("dy"), F.col("dz"), pattern) / (4 * math.pi * F.greatest(F.col("dist"), F.lit(1e-6)) * step)
+    if "bx0" in rooms.columns:
+        hits = [(f"b{a}{end}", F.abs(F.col(m) - F.col(q)) if end == 0 else F.abs(F.col(m))) for a, m, q in (("x", "mx", "q"), ("y", "my", "j"), ("z", "mz", "k")) for end in (0, 1)]
+        walls = reduce(lambda a, b: a * b, [F.pow(name, n) for name, n in hits])
+    else:
+        walls = F.pow("beta", F.col("bounce"))
+    gain = walls * directivity(F.col("dx"), F.col("dy"), F.col("dz"), pattern) / (4 * math.pi * F.greatest(F.col("dist"), F.lit(1e-6)) * step)
     wide = int(half * sr)
     taps = im.withColumn("g", gain).withColumn("n", F.explode(F.sequence((F.floor("dist") - wide + 1).cast("long"), (F.floor("dist") + wide).cast("long")))).where((F.col("n") >= 0) & (F.col("n") < samples))
     off = F.col("n") - F.col("dist")
@@ -76,21 +83,47 @@ def uniform(seed: int, low: float, high: float, *key: Column) -> Column:
     return F.lit(low) + F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 40)) / float(1 << 40) * (high - low)
 
 
+#: Rounds of draws after which a room or source that finds no place is an error.
+ROUNDS = 50
+
+
+def _drawn(wanted: DataFrame, keys: list[str], draw, tries: int) -> DataFrame:
+    """For each row of wanted the first try that fits. draw(rows with a column `try`) gives those that fit, with a struct `r`.
+    Rows without a fit draw again, `tries` at a time; after ROUNDS rounds it fails instead of losing them."""
+    out, left = None, wanted
+    for k in range(ROUNDS):
+        c = left.withColumn("try", F.explode(F.sequence(F.lit(k * tries), F.lit((k + 1) * tries - 1))))
+        found = draw(c).groupBy(*keys).agg(F.min_by("r", "try").alias("r"))
+        out = found if out is None else out.unionByName(found)
+        left = left.join(found, keys, "left_anti")
+        if left.isEmpty():
+            return out
+    raise ValueError(f"no fit in {ROUNDS * tries} draws: the bounds leave no room")
+
+
 def random_rooms(spark: SparkSession, many: int, size: tuple = ((7, 10), (7, 10), (3, 4)), absorption: tuple = (0.2, 0.8), rt60: tuple = (0.2, 0.7), seed: int = 777, tries: int = 20) -> DataFrame:
-    """(room, x, y, z, absorption, rt60): rooms drawn until their reverberation time lies within rt60, `tries` draws each."""
-    i, t = F.col("room"), F.col("try")
-    c = spark.range(many).withColumnRenamed("id", "room").withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
-    c = c.withColumns({n: uniform(seed + k, lo, hi, i, t) for k, (n, (lo, hi)) in enumerate(zip(("x", "y", "z", "absorption"), (*size, absorption), strict=True))})
-    c = c.withColumn("rt60", sabine_rt60(F.col("x"), F.col("y"), F.col("z"), F.col("absorption"))).where(F.col("rt60").between(*rt60))
-    return c.groupBy("room").agg(F.min_by(F.struct("x", "y", "z", "absorption", "rt60"), "try").alias("r")).select("room", *(F.bround(f"r.{n}", 3).alias(n) for n in ("x", "y", "z", "absorption", "rt60")))
+    """(room, x, y, z, absorption, rt60): rooms drawn until their reverberation time lies within rt60."""
+    i, t, names = F.col("room"), F.col("try"), ("x", "y", "z", "absorption")
+
+    def draw(c):
+        c = c.withColumns({n: uniform(seed + k, lo, hi, i, t) for k, (n, (lo, hi)) in enumerate(zip(names, (*size, absorption), strict=True))})
+        c = c.withColumn("rt60", sabine_rt60(F.col("x"), F.col("y"), F.col("z"), F.col("absorption"))).where(F.col("rt60").between(*rt60))
+        return c.select("room", "try", F.struct(*names, "rt60").alias("r"))
+
+    found = _drawn(spark.range(many).withColumnRenamed("id", "room"), ["room"], draw, tries)
+    return found.select("room", *(F.bround(f"r.{n}", 3).alias(n) for n in (*names, "rt60")))
 
 
 def placed(rooms: DataFrame, sources: int, topo: tuple[float, ...], full_circle: bool = False, distance: tuple = (1.5, 3.0), height: tuple = (1.6, 2.0), seed: int = 777, tries: int = 20) -> DataFrame:
     """(room, src, doa, dist, px, py, pz): sources around an array in the middle of the room, drawn until inside its walls."""
-    c = rooms.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries * sources - 1))))
-    key = (F.col("room"), F.col("try"))
-    c = c.withColumns({"doa": uniform(seed, 0, 360 if full_circle else 180, *key), "dist": uniform(seed + 1, *distance, *key), "pz": uniform(seed + 2, *height, *key)})
-    c = c.withColumns({"px": F.col("x") / 2 + F.col("dist") * F.cos(F.radians("doa")), "py": F.col("y") / (2 if full_circle else 10) + F.col("dist") * F.sin(F.radians("doa"))})
-    good = c.where((F.col("px") > 0) & (F.col("px") < F.col("x")) & (F.col("py") > 0) & (F.col("py") < F.col("y")) & (F.col("pz") < F.col("z")))
-    order = F.row_number().over(Window.partitionBy("room").orderBy("try"))
-    return good.withColumn("src", order - 1).where(F.col("src") < sources).select("room", F.col("src").cast("long").alias("src"), *(F.bround(n, 3).alias(n) for n in ("doa", "dist", "px", "py", "pz")))
+    names = ("doa", "dist", "px", "py", "pz")
+
+    def draw(c):
+        key = (F.col("room"), F.col("src"), F.col("try"))
+        c = c.withColumns({"doa": uniform(seed, 0, 360 if full_circle else 180, *key), "dist": uniform(seed + 1, *distance, *key), "pz": uniform(seed + 2, *height, *key)})
+        c = c.withColumns({"px": F.col("x") / 2 + F.col("dist") * F.cos(F.radians("doa")), "py": F.col("y") / (2 if full_circle else 10) + F.col("dist") * F.sin(F.radians("doa"))})
+        good = c.where((F.col("px") > 0) & (F.col("px") < F.col("x")) & (F.col("py") > 0) & (F.col("py") < F.col("y")) & (F.col("pz") < F.col("z")))
+        return good.select("room", "src", "try", F.struct(*names).alias("r"))
+
+    wanted = rooms.withColumn("src", F.explode(F.sequence(F.lit(0), F.lit(sources - 1)))).withColumn("src", F.col("src").cast("long"))
+    return _drawn(wanted, ["room", "src"], draw, tries).select("room", "src", *(F.bround(f"r.{n}", 3).alias(n) for n in names))

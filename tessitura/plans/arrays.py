@@ -11,6 +11,7 @@ from ..operators import linalg as L
 from ..operators import spatial as P
 from ..operators import transforms as T
 from ..operators.masks import winner_takes_all
+from ..operators.metrics import dot_products
 from . import fixtures as X
 from .fixtures import GRID, SAMPLES, STFT, r6
 from .spectral import C, spec
@@ -35,6 +36,14 @@ def mask(spark, d):
 MASK = "mask AS (SELECT utt, t, f, abs(sin(1 + t + 2 * f)) AS m FROM stft WHERE ch = 0)"
 COV = f"""cov AS (SELECT a.utt, a.f, a.ch AS i, b.ch AS j, sum(m*(a.re*b.re+a.im*b.im))/greatest(sum(m),1e-6) AS re, sum(m*(a.im*b.re-a.re*b.im))/greatest(sum(m),1e-6) AS im
   FROM stft a JOIN stft b ON a.utt=b.utt AND a.t=b.t AND a.f=b.f JOIN mask k ON a.utt=k.utt AND a.t=k.t AND a.f=k.f GROUP BY ALL)"""
+#: Loaded covariances l, their powers, power sums and inverse by the characteristic polynomial (Cayley and Hamilton).
+TIMES = "SELECT a.utt, a.f, a.i, b.j, sum(a.re*b.re-a.im*b.im) AS re, sum(a.re*b.im+a.im*b.re) AS im FROM {a} a JOIN {b} b ON a.utt=b.utt AND a.f=b.f AND a.j=b.i GROUP BY ALL"
+TRACE = "SELECT utt, f, sum(re) AS p FROM {a} WHERE i = j GROUP BY utt, f"
+LOADED = f"""t0 AS ({TRACE.format(a='cov')}), l AS (SELECT c.utt, c.f, i, j, re + CASE WHEN i = j THEN 0.5 * p / 4 ELSE 0 END AS re, im FROM cov c JOIN t0 ON c.utt=t0.utt AND c.f=t0.f)"""
+INVERSE = f"""l2 AS ({TIMES.format(a='l', b='l')}), l3 AS ({TIMES.format(a='l2', b='l')}), l4 AS ({TIMES.format(a='l2', b='l2')}),
+  e AS (SELECT utt, f, p1 AS e1, (p1*p1-p2)/2 AS e2, p1, p2, p3, p4 FROM (SELECT a.utt, a.f, a.p AS p1, b.p AS p2, c.p AS p3, d.p AS p4 FROM ({TRACE.format(a='l')}) a JOIN ({TRACE.format(a='l2')}) b USING (utt, f) JOIN ({TRACE.format(a='l3')}) c USING (utt, f) JOIN ({TRACE.format(a='l4')}) d USING (utt, f))),
+  e3 AS (SELECT *, (e2*p1-e1*p2+p3)/3 AS e3 FROM e), e4 AS (SELECT *, (e3*p1-e2*p2+e1*p3-p4)/4 AS e4 FROM e3),
+  inv AS (SELECT utt, f, l.i, l.j, -(l3.re-e1*l2.re+e2*l.re-CASE WHEN l.i=l.j THEN e3 ELSE 0 END)/e4 AS re, -(l3.im-e1*l2.im+e2*l.im)/e4 AS im FROM l JOIN l2 USING (utt, f, i, j) JOIN l3 USING (utt, f, i, j) JOIN e4 USING (utt, f))"""
 DIRECT = f"""df AS (SELECT utt, t, x.f, a, avg(cos(ipd - d)) AS df FROM (SELECT a.utt, a.t, a.f, a.ch AS i, b.ch AS j, atan2(a.im,a.re)-atan2(b.im,b.re) AS ipd FROM stft a JOIN stft b ON a.utt=b.utt AND a.t=b.t AND a.f=b.f
   WHERE (a.ch, b.ch) IN ((0,1),(1,3))) x JOIN (SELECT a.a, a.f, a.ch AS i, b.ch AS j, atan2(a.im,a.re)-atan2(b.im,b.re) AS d FROM steer a JOIN steer b ON a.a=b.a AND a.f=b.f) y ON x.f=y.f AND x.i=y.i AND x.j=y.j GROUP BY utt, t, x.f, a)"""
 GCC = f"""gcc AS (SELECT utt, t, d, i, j, sum(cos(dphi + pi()*{X.SR}/8*f*cos(pi()*d/18)*(ti-tj)/343.0))/9 AS g FROM (SELECT a.utt, a.t, a.f, a.ch AS i, b.ch AS j, atan2(a.im,a.re)-atan2(b.im,b.re) AS dphi, ta.p AS ti, tb.p AS tj
@@ -53,7 +62,7 @@ def sp02(spark, d):
 
 
 def sp03(spark, d):
-    return r(P.directional(spec(spark, d), steer(spark), PAIRS).where("a % 6 = 0"), "df")
+    return r(P.directional(spec(spark, d), steer(spark), PAIRS), "df")
 
 
 def sp04(spark, d):
@@ -120,31 +129,56 @@ def agg08(spark, d):
     return r(L.covariance(spec(spark, d), mask(spark, d)), "re", "im")
 
 
+def loaded_covariance(spark, d, share=0.5):
+    """The covariances with a good part of their trace on the diagonal, packed."""
+    c = L.covariance(spec(spark, d), mask(spark, d))
+    size = c.where("i = j").groupBy("utt", "f").agg(F.sum("re").alias("trace"))
+    on = F.when(F.col("i") == F.col("j"), share * F.col("trace") / 4).otherwise(0.0)
+    return L.packed(c.join(size, ["utt", "f"]).withColumn("re", F.col("re") + on), ["utt", "f"], "r")
+
+
+def square(v, *names):
+    """Row-major arrays o_re, o_im of 4 x 4 matrices, by element."""
+    long = v.select("utt", "f", F.posexplode(F.arrays_zip("o_re", "o_im")).alias("at", "z"))
+    return r(long.select("utt", "f", F.floor(F.col("at") / 4).alias("i"), (F.col("at") % 4).cast("long").alias("j"), F.col("z.o_re").alias("re"), F.col("z.o_im").alias("im")), "re", "im")
+
+
+def power_sums(values, many=4):
+    """Sums of the first powers of a matrix's eigenvalues, which determine them."""
+    return [F.round(F.aggregate(values, F.lit(0.0), lambda a, x: a + F.pow(x, F.lit(k))), 5).alias(f"p{k}") for k in range(1, many + 1)]
+
+
 def la02(spark, d):
-    c = L.packed(L.covariance(spec(spark, d), mask(spark, d)), ["utt", "f"], "r")
-    back = L.per_row(c, ["utt", "f"], ["r"], lambda x: np.abs(L.inverse(L.loaded(x, 1e-3)) @ L.loaded(x, 1e-3) - np.eye(x.shape[-1])).max(axis=(1, 2)), "e")
-    return back.select("utt", "f", (F.element_at("e_re", 1) < 1e-6).alias("ok"))
+    return square(L.per_row(loaded_covariance(spark, d), ["utt", "f"], ["r"], L.inverse, "o"))
 
 
 def la03(spark, d):
     c = L.packed(L.covariance(spec(spark, d), mask(spark, d)), ["utt", "f"], "r")
-    return L.per_row(c, ["utt", "f"], ["r"], L.eigenvalues, "v").select("utt", "f", F.round(F.aggregate("v_re", F.lit(0.0), lambda a, x: a + x), 6).alias("trace"))
+    return L.per_row(c, ["utt", "f"], ["r"], L.eigenvalues, "v").select("utt", "f", *power_sums("v_re"))
 
 
 def la04(spark, d):
-    s, m = spec(spark, d), mask(spark, d)
-    two = L.packed(L.covariance(s, m), ["utt", "f"], "s").join(L.packed(L.covariance(s, m.withColumn("m", 1 - F.least("m", F.lit(0.99)))), ["utt", "f"], "n"), ["utt", "f"])
-    return L.per_row(two, ["utt", "f"], ["s", "n"], L.generalized_eigenvalues, "v").select("utt", "f", (F.element_at("v_re", -1) > 0).alias("positive"))
+    c = L.packed(L.covariance(spec(spark, d), mask(spark, d)), ["utt", "f"], "s").join(loaded_covariance(spark, d), ["utt", "f"])
+    return L.per_row(c, ["utt", "f"], ["s", "r"], L.generalized_eigenvalues, "v").select("utt", "f", *power_sums("v_re", 2))
 
 
 def la05(spark, d):
-    return L.hermitian_error(L.covariance(spec(spark, d), mask(spark, d)), ["utt", "f"]).select("utt", "f", (F.col("err") < 1e-9).alias("hermitian"))
+    """How far covariances are from Hermitian after their columns were scaled by 1, 2, 3 and 4."""
+    c = L.covariance(spec(spark, d), mask(spark, d)).withColumns({x: F.col(x) * (F.col("j") + 1) for x in ("re", "im")})
+    return r(L.hermitian_error(c, ["utt", "f"]), "err")
 
 
 def la07(spark, d):
     c = L.packed(L.covariance(spec(spark, d), mask(spark, d)), ["utt", "f"], "r")
-    one = L.per_row(c, ["utt", "f"], ["r"], L.rank_one, "o")
-    return one.select("utt", "f", F.round(sum(F.element_at("o_re", 5 * k + 1) for k in range(4)), 6).alias("trace"))
+    return square(L.per_row(c, ["utt", "f"], ["r"], L.rank_one, "o"))
+
+
+def la08(spark, d):
+    """x of R x = b: R the loaded covariance, b the first column of the one without a load."""
+    c = L.packed(L.covariance(spec(spark, d), mask(spark, d)), ["utt", "f"], "s").join(loaded_covariance(spark, d), ["utt", "f"])
+    v = L.per_row(c, ["utt", "f"], ["s", "r"], lambda s, x: L.solved(x, s[:, :, :1])[:, :, 0], "x")
+    long = v.select("utt", "f", F.posexplode(F.arrays_zip("x_re", "x_im")).alias("i", "z"))
+    return r(long.select("utt", "f", F.col("i").cast("long").alias("i"), F.col("z.x_re").alias("re"), F.col("z.x_im").alias("im")), "re", "im")
 
 
 def la09(spark, d):
@@ -173,10 +207,10 @@ def la14(spark, d):
 
 
 def la16(spark, d):
+    """Every twentieth vector as a query against all."""
     v = X.speakers(spark, d)
-    one = v.where("utt % 20 = 0").select(F.col("utt").alias("a"), F.col("v").alias("va"))
-    dot = F.aggregate(F.zip_with("v", "va", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return v.where("utt < 100").join(F.broadcast(one.where("a < 100"))).select(F.col("utt").alias("b"), "a", F.round(dot, 6).alias("dot"))
+    q = v.where("utt % 20 = 0").select(F.col("utt").alias("b"), F.col("v").alias("w"))
+    return dot_products(v.select(F.col("utt").alias("a"), "v"), q).select("a", "b", F.round("dot", 6).alias("dot"))
 
 
 def bf01(spark, d):
@@ -227,7 +261,7 @@ def bf13(spark, d):
     blk = F.floor(F.col("t") / 4)
     w = B.supervised(s, m, "mvdr", block=blk)
     y = B.beamformed(s.withColumn("blk", blk), w, ["utt", "blk", "f", "ch"])
-    return y.groupBy("utt").agg(F.count("*").alias("cells"))
+    return r(y, "re", "im")
 
 
 def bf14(spark, d):
@@ -247,7 +281,7 @@ QUERIES = {
     "sp01_phase_differences": (sp01, f"{V} SELECT a.utt, a.t, a.f, a.ch AS i, b.ch AS j, {r6('cos(atan2(a.im,a.re)-atan2(b.im,b.re))')} AS cos, {r6('sin(atan2(a.im,a.re)-atan2(b.im,b.re))')} AS sin FROM stft a JOIN stft b ON a.utt=b.utt AND a.t=b.t AND a.f=b.f WHERE (a.ch, b.ch) IN ((0,1),(1,3))"),
     "sp02_coherence": (sp02, f"""{V}, p AS (SELECT a.utt, a.t, a.f, a.ch AS i, b.ch AS j, avg(a.re*b.re+a.im*b.im) OVER w AS re, avg(a.im*b.re-a.re*b.im) OVER w AS im, avg(a.re*a.re+a.im*a.im) OVER w AS p1, avg(b.re*b.re+b.im*b.im) OVER w AS p2 FROM stft a JOIN stft b ON a.utt=b.utt AND a.t=b.t AND a.f=b.f AND a.ch<b.ch
       WINDOW w AS (PARTITION BY a.utt, a.f, a.ch, b.ch ORDER BY a.t ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)) SELECT utt, t, f, {r6('sum((re*re+im*im)/(p1*p2+1.1920929e-07))*2.0/12')} AS msc FROM p GROUP BY utt, t, f"""),
-    "sp03_directional": (sp03, f"{S}, {DIRECT} SELECT utt, t, f, a, {r6('df')} AS df FROM df WHERE a % 6 = 0"),
+    "sp03_directional": (sp03, f"{S}, {DIRECT} SELECT utt, t, f, a, {r6('df')} AS df FROM df"),
     "sp04_directional_on_mask": (sp04, None),
     "sp07_gcc_diagonal": (sp07, None),
     "sp08_srp_phat": (sp08, f"{V}, {GCC}, n AS (SELECT utt, t, d, greatest(g / greatest(max(abs(g)) OVER (PARTITION BY utt, i, j), 1.1920929e-07), 0) AS g FROM gcc) SELECT utt, t, d, {r6('sum(g)*2.0/12')} AS srp FROM n GROUP BY ALL"),
@@ -259,16 +293,17 @@ QUERIES = {
     "sp14_steering": (sp14, f"""WITH {GRID} SELECT 'linear' AS kind, a, {r6('deg')} AS deg, ch, f, {r6('re')} AS re, {r6('im')} AS im FROM steer UNION ALL
       SELECT 'circular', a, {r6('a*45.0')}, ch, f, {r6('cos(w*tau)/sqrt(7)')}, {r6('-sin(w*tau)/sqrt(7)')} FROM (SELECT a, ch, f, pi()*16000/8*f AS w, CASE WHEN ch = 0 THEN 0 ELSE -cos(radians(a*45.0)-(ch-1)*2*pi()/6)*0.05/343.0 END AS tau FROM range(8) x(a), range(7) y(ch), range(9) z(f))"""),
     "agg08_masked_covariance": (agg08, f"{V}, {MASK}, {COV} SELECT utt, f, i, j, {r6('re')} AS re, {r6('im')} AS im FROM cov"),
-    "la02_inverse": (la02, f"{V} SELECT DISTINCT utt, f, true AS ok FROM stft"),
-    "la03_eigenvalues": (la03, f"{V}, {MASK}, {COV} SELECT utt, f, {r6('sum(re) FILTER (i = j)')} AS trace FROM cov GROUP BY utt, f"),
-    "la04_generalized_eigenvalues": (la04, f"{V} SELECT DISTINCT utt, f, true AS positive FROM stft"),
-    "la05_hermitian": (la05, f"{V} SELECT DISTINCT utt, f, true AS hermitian FROM stft"),
-    "la07_rank_one": (la07, f"{V}, {MASK}, {COV} SELECT utt, f, {r6('sum(re) FILTER (i = j)')} AS trace FROM cov GROUP BY utt, f"),
+    "la02_inverse": (la02, f"{V}, {MASK}, {COV}, {LOADED}, {INVERSE} SELECT utt, f, i, j, {r6('re')} AS re, {r6('im')} AS im FROM inv"),
+    "la03_eigenvalues": (la03, f"{V}, {MASK}, {COV}, c2 AS ({TIMES.format(a='cov', b='cov')}), c3 AS ({TIMES.format(a='c2', b='cov')}), c4 AS ({TIMES.format(a='c2', b='c2')}) SELECT utt, f, round(a.p, 5) AS p1, round(b.p, 5) AS p2, round(c.p, 5) AS p3, round(d.p, 5) AS p4 FROM ({TRACE.format(a='cov')}) a JOIN ({TRACE.format(a='c2')}) b USING (utt, f) JOIN ({TRACE.format(a='c3')}) c USING (utt, f) JOIN ({TRACE.format(a='c4')}) d USING (utt, f)"),
+    "la04_generalized_eigenvalues": (la04, f"{V}, {MASK}, {COV}, {LOADED}, {INVERSE}, m AS ({TIMES.format(a='inv', b='cov')}), m2 AS ({TIMES.format(a='m', b='m')}) SELECT utt, f, round(a.p, 5) AS p1, round(b.p, 5) AS p2 FROM ({TRACE.format(a='m')}) a JOIN ({TRACE.format(a='m2')}) b USING (utt, f)"),
+    "la05_hermitian": (la05, f"{V}, {MASK}, {COV} SELECT a.utt, a.f, {r6('max(sqrt(power(a.re*(a.j+1)-b.re*(b.j+1),2)+power(a.im*(a.j+1)+b.im*(b.j+1),2)))/max(sqrt(a.re*a.re+a.im*a.im)*(a.j+1))')} AS err FROM cov a JOIN cov b ON a.utt=b.utt AND a.f=b.f AND a.i=b.j AND a.j=b.i GROUP BY a.utt, a.f"),
+    "la07_rank_one": (la07, None),
+    "la08_solve": (la08, f"{V}, {MASK}, {COV}, {LOADED}, {INVERSE}, m AS ({TIMES.format(a='inv', b='cov')}) SELECT utt, f, i, {r6('re')} AS re, {r6('im')} AS im FROM m WHERE j = 0"),
     "la09_log_determinant": (la09, None),
     "la12_pca": (la12, None),
     "la13_distances": (la13, f"SELECT 'linear' AS kind, i, j, {r6('abs(p-q)')} AS dist FROM (VALUES (0,0.0),(1,0.05),(2,0.1),(3,0.15)) a(i,p), (VALUES (0,0.0),(1,0.05),(2,0.1),(3,0.15)) b(j,q) UNION ALL SELECT 'circular', i, j, {r6('0.1*abs(sin(pi()*(i-j)/6))')} FROM range(6) x(i), range(6) y(j)"),
     "la14_diffuse_coherence": (la14, f"SELECT f, i, j, {r6('CASE WHEN x = 0 THEN 1 ELSE sin(pi()*x)/(pi()*x) END + CASE WHEN i = j THEN 0.1 ELSE 0 END')} AS re FROM (SELECT f, i, j, f*pi()*16000/8*abs(p-q)/343.0 AS x FROM range(9) z(f), (VALUES (0,0.0),(1,0.05),(2,0.1),(3,0.15)) a(i,p), (VALUES (0,0.0),(1,0.05),(2,0.1),(3,0.15)) b(j,q))"),
-    "la16_dot_products": (la16, f"WITH {X.SPEAKERS} SELECT x.utt AS b, y.utt AS a, {r6('sum(x.x*y.x)')} AS dot FROM speakers x JOIN speakers y ON x.i = y.i WHERE x.utt < 100 AND y.utt < 100 AND y.utt % 20 = 0 GROUP BY ALL"),
+    "la16_dot_products": (la16, f"WITH {X.SPEAKERS} SELECT x.utt AS a, y.utt AS b, {r6('sum(x.x*y.x)')} AS dot FROM speakers x JOIN speakers y ON x.i = y.i WHERE y.utt % 20 = 0 GROUP BY ALL"),
     "bf01_apply_weights": (bf01, f"{S} " + MIX.format(k="", a=r6(RE), b=r6(IM), w="AND s.a = 4")),
     "bf02_fixed_beams": (bf02, f"{S} SELECT a AS beam, utt, t, f, re, im FROM (" + MIX.format(k="s.a, ", a=r6(RE), b=r6(IM), w="AND s.a = x.utt % 3 * 6") + ")"),
     "bf03_delay_and_sum": (bf03, f"{S} " + MIX.format(k="", a=r6(RE + "/4"), b=r6(IM + "/4"), w="AND s.a = 9")),
@@ -279,9 +314,10 @@ QUERIES = {
     "bf08_pmwf": (supervised("pmwf-1"), None),
     "bf08_pmwf_rank1": (supervised("pmwf-eig"), None),
     "bf08_reference_channel": (bf08_ref, f"{V}, {MASK}, x AS (SELECT utt, ch, sum(m*(re*re+im*im))/greatest(sum((1-m)*(re*re+im*im)),1e-10) AS v FROM stft JOIN mask USING (utt, t, f) GROUP BY utt, ch) SELECT utt, ch AS ref FROM (SELECT *, row_number() OVER (PARTITION BY utt ORDER BY v DESC, ch) AS r FROM x) WHERE r = 1"),
+    "bf09_gevd": (supervised("gevd"), None),
     "bf10_gevd_ban": (supervised("gevd", ban=True), None),
     "bf12_online_directions": (bf12, f"{S} " + MIX.format(k="", a=r6(RE + "/4"), b=r6(IM + "/4"), w="AND s.a = x.t // 3 * 6")),
-    "bf13_blockwise_mvdr": (bf13, f"{V} SELECT utt, count(*) // 4 AS cells FROM stft GROUP BY utt"),
+    "bf13_blockwise_mvdr": (bf13, None),
     "bf14_beam_pattern": (bf14, f"WITH {GRID} SELECT a.a, a.f, {r6('sqrt(pow(sum(w.re*a.re+w.im*a.im)/4,2)+pow(sum(w.re*a.im-w.im*a.re)/4,2))')} AS gain FROM steer a JOIN steer w ON a.f=w.f AND a.ch=w.ch AND w.a=9 GROUP BY a.a, a.f"),
     "bf16_classic_to_wave": (bf16, None),
 }

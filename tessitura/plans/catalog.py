@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this package with a dict QUERIES: name -> (function, SQL or None).
-FAMILIES = ("spectral", "keyed", "arrays", "estimates", "flows", "further")
+FAMILIES = ("spectral", "keyed", "arrays", "estimates", "flows", "further", "records")
 
 
 def _all() -> dict[str, tuple]:

@@ -99,7 +99,7 @@ def labels(spark, d):
 
 
 def rel01(spark, d):
-    return R.ordinal(docs(spark, d), "utt").where("pos % 7 = 3").select("utt", "pos", "x")
+    return R.ordinal(docs(spark, d), "utt").select("utt", "pos", "x")
 
 
 def rel02(spark, d):
@@ -313,7 +313,7 @@ QUERIES = {
     "win12_gaps": (win12, f"{ISL}, g AS (SELECT key, lag(\"end\", 1, 0) OVER (PARTITION BY key ORDER BY beg) AS b, beg AS e FROM isl) SELECT key, b AS beg, e AS \"end\" FROM g WHERE b < e"),
     "win13_segment_frames": (win13, f"{ISL} SELECT s.key, beg, \"end\" + 1 AS \"end\", {r6('sum(x)')} AS x, count(*) AS n FROM series s JOIN isl g ON s.key = g.key AND t BETWEEN beg AND \"end\" GROUP BY ALL"),
     "win14_repeat_pad": (win14, f"{V} SELECT utt, t, {r6('x')} AS x FROM samples JOIN range(23) r(t) ON n = t % 10 WHERE ch = 0"),
-    "rel01_ordinal_lookup": (rel01, f"{DL} SELECT utt, pos, x FROM (SELECT *, row_number() OVER (ORDER BY utt) - 1 AS pos FROM a) WHERE pos % 7 = 3"),
+    "rel01_ordinal_lookup": (rel01, f"{DL} SELECT utt, row_number() OVER (ORDER BY utt) - 1 AS pos, x FROM a"),
     "rel02_sample_keys": (rel02, None),
     "rel03_inner_join": (rel03, f"{DL} SELECT utt, lang, x, q FROM a JOIN b USING (utt)"),
     "rel03_skip_report": (rel03_report, f"{DL} SELECT count(b.utt) AS done, count(*) - count(b.utt) AS skipped FROM a LEFT JOIN b USING (utt)"),
@@ -321,7 +321,7 @@ QUERIES = {
     "rel05_common_keys": (rel05, f"{DL} SELECT utt FROM a WHERE lang <> 'en' AND utt IN (SELECT utt FROM b)"),
     "rel06_filter_by_ids": (rel06, f"{DL} SELECT utt, CASE WHEN utt IN (SELECT utt FROM b) THEN 'in' ELSE 'out' END AS side FROM a"),
     "rel08_equal_chunks": (rel08, f"{DL} SELECT utt, ntile(7) OVER (ORDER BY utt) AS chunk FROM a"),
-    "rel09_speaker_chunks": (rel09, None),
+    "rel09_speaker_chunks": (rel09, "WITH s AS (SELECT label::BIGINT AS spk, count(*) AS n FROM embeddings GROUP BY 1), e AS (SELECT *, sum(n) OVER (ORDER BY spk) AS e, sum(n) OVER () AS total FROM s) SELECT v.vec_id AS utt, spk, least(floor((e - n / 2) * 3 / total), 2)::BIGINT + 1 AS chunk FROM embeddings v JOIN e ON v.label = e.spk"),
     "rel10_union_sorted": (rel10, f"{DL} SELECT utt, lang FROM a"),
     "rel11_vertical_stack": (rel11, f"WITH {ROWS} SELECT utt, t - 1 AS t, row_number() OVER (ORDER BY utt, t) - 1 AS row, x FROM rows_"),
     "rel12_horizontal_stack": (rel12, f"{V} SELECT utt, n + ch * 64 AS f, {r6('x')} AS x FROM samples WHERE ch < 3"),

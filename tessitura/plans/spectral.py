@@ -71,7 +71,7 @@ def tf07(spark, d):
 def tf08(spark, d):
     m = T.stft_frames(X.wave(spark, d).where("ch = 0").drop("ch"), C).select("utt", "t", F.zip_with("re", "im", lambda a, b: F.sqrt(a * a + b * b)).alias("m"))
     whole = m.groupBy("utt").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "m"))), lambda z: z["m"]).alias("m"))
-    return T.griffin_lim(whole, C, ["utt"], rounds=5).select("utt", F.size("x").cast("long").alias("n"))
+    return T.griffin_lim(whole, C, ["utt"], rounds=5).select("utt", F.posexplode("x").alias("n", "x")).select("utt", F.col("n").cast("long").alias("n"), F.round("x", 4).alias("x"))
 
 
 def tf09(spark, d):

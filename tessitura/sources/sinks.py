@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import wave as riff
 
 import numpy as np
@@ -10,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .archives import place_of
+
 
 def encode_waves(waves: DataFrame, sr: int = 16000, peak: float | None = None) -> DataFrame:
     """(utt, content): RIFF files of 16-bit PCM of waves(utt, x array of samples in [-1, 1]); peak: scale to it first."""
@@ -48,17 +51,26 @@ def encode_arrays(rows: DataFrame, dtype: str = "float32") -> DataFrame:
     return rows.select("utt", "x").mapInArrow(run, f"utt {rows.schema['utt'].dataType.simpleString()}, content binary")
 
 
-def export(files: DataFrame, folder: str, extension: str) -> None:
-    """Writes (utt, content) as one file a key. The folder must be mounted on all executors: Spark has no sink for single files."""
-
-    def write(rows):
-        from pathlib import Path
-
-        Path(folder).mkdir(parents=True, exist_ok=True)
-        for r in rows:
-            (Path(folder) / f"{r['utt']}.{extension.lstrip('.')}").write_bytes(bytes(r["content"]))
+def export(files: DataFrame, folder: str, extension: str) -> DataFrame:
+    """Writes (utt, content) as one file a key below a folder that all tasks reach (a path or any URI that pyarrow knows) and
+    returns (key, path). A file is moved to its name when it is whole, so a task that is run again does no harm."""
+    folder, ending = folder.rstrip("/"), extension.lstrip(".")
 
-    files.select("utt", "content").foreachPartition(write)
+    def run(batches):
+        place, root = place_of(folder)
+        place.create_dir(root, recursive=True)
+        for b in batches:
+            keys = [str(k) for k in b.column(0).to_pylist()]
+            for key, content in zip(keys, b.column(1).to_pylist(), strict=True):
+                own = f"{root}/_{uuid.uuid4().hex}"
+                with place.open_output_stream(own) as out:
+                    out.write(content)
+                place.move(own, f"{root}/{key}.{ending}")
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([f"{folder}/{k}.{ending}" for k in keys], pa.string())], ["key", "path"])
+
+    spark = files.sparkSession
+    files.select("utt", "content").mapInArrow(run, "key string, path string").write.parquet(f"{folder}/_index")
+    return spark.read.parquet(f"{folder}/_index")
 
 
 def report_lines(df: DataFrame, key: str, value: Column, decimals: int = 3) -> DataFrame:

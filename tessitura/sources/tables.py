@@ -5,7 +5,6 @@ Locators that are shell commands aren't run. Pickled objects aren't loaded."""
 from __future__ import annotations
 
 import io
-import struct
 import wave as riff
 
 import numpy as np
@@ -66,12 +65,13 @@ def decode_wave(content: bytes, sr: int | None = None, normalize: bool = True) -
         return {"sr": w.getframerate(), "channels": w.getnchannels(), "x": (x / 32768 if normalize else x).ravel().tolist()}
 
 
-def read_waves(files: DataFrame, sr: int | None = 16000, normalize: bool = True) -> DataFrame:
-    """(key, ch, sr, x) of files(key, path, content): several files of a key are its channels in the order of their paths."""
+def read_waves(files: DataFrame, sr: int | None = 16000, normalize: bool = True, beg: int = 0, end: int | None = None) -> DataFrame:
+    """(key, ch, sr, x) of files(key, path, content): several files of a key are its channels in the order of their paths.
+    beg, end: the samples wanted, of each channel."""
     d = _decoded(files, lambda c: decode_wave(c, sr, normalize), "sr int, channels int, x array<double>")
     part = d.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("channels") - 1))).withColumn("n", (F.size("x") / F.col("channels")).cast("int"))
     ch = F.row_number().over(Window.partitionBy("key").orderBy("path", "c")) - 1
-    return part.select("key", ch.alias("ch"), "sr", F.slice("x", F.col("c") * F.col("n") + 1, F.col("n")).alias("x"))
+    return part.select("key", ch.alias("ch"), "sr", F.slice("x", F.col("c") * F.col("n") + 1 + beg, F.greatest(F.least(F.col("n"), F.lit(end) if end is not None else F.col("n")) - beg, F.lit(0))).alias("x"))
 
 
 def read_arrays(files: DataFrame) -> DataFrame:
@@ -97,57 +97,6 @@ def read_raw(files: DataFrame, dtype: str = "float32", length: int | None = None
     return _decoded(files, decode, "x array<double>")
 
 
-def parse_archive(content: bytes) -> list[dict]:
-    """Records `key SP NUL B token dims payload` of an archive: matrices FM DM, vectors FV DV, compressed matrices CM CM2 CM3."""
-    out, at = [], 0
-    while at < len(content):
-        sp = content.index(b" ", at)
-        key, at = content[at:sp].decode(), sp + 1
-        if content[at : at + 2] != b"\0B":
-            raise ValueError("not a binary archive")
-        sp = content.index(b" ", at + 2)
-        token, at = content[at + 2 : sp].decode(), sp + 1
-        if token in ("FM", "DM"):
-            rows, cols = struct.unpack_from("<xixi", content, at)
-            kind, at = ("<f4" if token == "FM" else "<f8"), at + 10
-            x = np.frombuffer(content, kind, rows * cols, at)
-            at += x.nbytes
-        elif token in ("FV", "DV"):
-            rows, cols = 1, struct.unpack_from("<xi", content, at)[0]
-            x = np.frombuffer(content, "<f4" if token == "FV" else "<f8", cols, at + 5)
-            at += 5 + x.nbytes
-        elif token in ("CM", "CM2", "CM3"):
-            low, span, rows, cols = struct.unpack_from("<ffii", content, at)
-            at += 16
-            if token == "CM":
-                q = np.frombuffer(content, "<u2", 4 * cols, at).reshape(cols, 4) * (span / 65535.0) + low
-                u = np.frombuffer(content, "u1", rows * cols, at + 8 * cols).reshape(cols, rows).astype(np.float64)
-                at += 8 * cols + rows * cols
-                p0, p25, p75, p100 = (q[:, k : k + 1] for k in range(4))
-                x = np.where(u <= 64, p0 + (p25 - p0) * u / 64, np.where(u <= 192, p25 + (p75 - p25) * (u - 64) / 128, p75 + (p100 - p75) * (u - 192) / 63)).T
-            else:
-                kind, top = ("<u2", 65535.0) if token == "CM2" else ("u1", 255.0)
-                x = np.frombuffer(content, kind, rows * cols, at)
-                at += x.nbytes
-                x = x * (span / top) + low
-        else:
-            raise ValueError(f"unknown record type {token}")
-        out.append({"key": key, "rows": rows, "cols": cols, "x": np.asarray(x, dtype=np.float64).ravel().tolist()})
-    return out
-
-
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(key, rows, cols, x) of archive files. A file is parsed in one task, record by record."""
-
-    def run(batches):
-        for b in batches:
-            for content in b.column(0).to_pylist():
-                for r in parse_archive(content):
-                    yield pa.RecordBatch.from_pylist([r], pa.schema([("key", pa.string()), ("rows", pa.int32()), ("cols", pa.int32()), ("x", pa.list_(pa.float64()))]))
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "key string, rows int, cols int, x array<double>")
-
-
 def decompressed(u: Column, p0: Column, p25: Column, p75: Column, p100: Column) -> Column:
     """A byte of a compressed column from its quartiles, piecewise linear with joints at 64 and 192."""
     return F.when(u <= 64, p0 + (p25 - p0) * u / 64).when(u <= 192, p25 + (p75 - p25) * (u - 64) / 128).otherwise(p75 + (p100 - p75) * (u - 192) / 63)

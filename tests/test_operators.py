@@ -12,6 +12,7 @@ from tessitura.operators import metrics as M
 from tessitura.operators import relational as R
 from tessitura.operators import transforms as T
 from tessitura.operators import windows as W
+from tessitura.sources import archives as A
 from tessitura.sources import sinks as K
 from tessitura.sources import tables as S
 
@@ -139,13 +140,13 @@ def test_dereverberation_removes_an_echo():
     assert E.dereverberated(short, 6, 3, 1, 2) is short
 
 
-def test_noise_gain_lowers_noise_and_keeps_speech():
+@pytest.mark.parametrize("improved", [False, True])
+def test_noise_gain_lowers_noise_and_keeps_speech(improved):
     rng = np.random.default_rng(1)
     p = rng.exponential(1.0, (120, 20))
     p[60:80, 5:10] += 200
-    t = E.NoiseTracker(improved=True)
-    g = np.stack([t.step(x) for x in p])
-    assert g.min() > 0 and g.max() <= 1 + 1e-9
+    g = E.suppressed(p, improved)
+    assert g.min() > 0 and np.isfinite(g).all()
     assert g[62:78, 5:10].mean() > 2 * g[30:58].mean()
 
 
@@ -162,7 +163,7 @@ def test_wave_files_and_archives(spark, tmp_path):
     m = np.arange(6, dtype="<f4").reshape(2, 3)
     record = b"k1 \0BFM " + struct.pack("<bibi", 4, 2, 4, 3) + m.tobytes() + b"k2 \0BFV " + struct.pack("<bi", 4, 3) + m[0].tobytes()
     (tmp_path / "a.ark").write_bytes(record)
-    got = S.read_archives(spark, str(tmp_path / "a.ark")).orderBy("key").collect()
+    got = A.read_whole(spark, str(tmp_path / "a.ark")).orderBy("key").collect()
     assert [(r["key"], r["rows"], r["cols"], r["x"]) for r in got] == [("k1", 2, 3, m.ravel().tolist()), ("k2", 1, 3, m[0].tolist())]
 
 
