@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.signal import EPSILON, SPEED, directivity, sabine_rt60, sinc, snr_gain
+from ..sources.places import scratch
 
 
 def power(x: Column) -> Column:
@@ -93,7 +94,9 @@ def _drawn(wanted: DataFrame, keys: list[str], draw, tries: int) -> DataFrame:
     out, left = None, wanted
     for k in range(ROUNDS):
         c = left.withColumn("try", F.explode(F.sequence(F.lit(k * tries), F.lit((k + 1) * tries - 1))))
-        found = draw(c).groupBy(*keys).agg(F.min_by("r", "try").alias("r"))
+        path = scratch(wanted.sparkSession, "drawn")  # written, so that no round draws again what those before drew
+        draw(c).groupBy(*keys).agg(F.min_by("r", "try").alias("r")).write.parquet(path)
+        found = wanted.sparkSession.read.parquet(path)
         out = found if out is None else out.unionByName(found)
         left = left.join(found, keys, "left_anti")
         if left.isEmpty():

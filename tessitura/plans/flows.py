@@ -9,6 +9,7 @@ from ..sources import tables as T
 from ..streaming import online as O
 from . import fixtures as X
 from .fixtures import SAMPLES, SERIES, r6
+from .keyed import SEGMENTS, TRACKED
 
 
 def instant(c):
@@ -37,7 +38,7 @@ def st04(spark, d):
 
 def st05(spark, d):
     s = O.folded(O.event_stream(spark, d), "user_id", ["event_type"], ["ts", "event_id"], O.segmenting(3, frozenset(("click", "purchase"))), (0, 0, -1), "t long, c long, open long", "key long, beg long, end long")
-    return O.drained(spark, s)
+    return O.all_segments(spark, s, "user_id")
 
 
 def st05_sessions(spark, d):
@@ -125,8 +126,8 @@ QUERIES = {
     "st01_tumbling_stream": (st01, "SELECT epoch(date_trunc('day', ts))::BIGINT AS at, count(*) AS n, round(sum(value), 4) + 0.0 AS x FROM events GROUP BY 1"),
     "st02_hopping_stream": (st02, "SELECT epoch(date_trunc('day', ts) - to_days(k::INT))::BIGINT AS at, count(*) AS n, round(sum(value), 4) + 0.0 AS x FROM events, range(2) r(k) GROUP BY 1"),
     "st03_forgetting_stream": (st03, f"WITH {SERIES} SELECT a.key, a.t, {r6('sum(CASE WHEN b.t = 0 THEN b.x ELSE (1 - 0.73519) * b.x END * 0.73519 ** (a.t - b.t))')} AS s FROM series a JOIN series b ON a.key = b.key AND b.t <= a.t GROUP BY a.key, a.t"),
-    "st04_noise_stream": (st04, None),
-    "st05_segment_stream": (st05, None),
+    "st04_noise_stream": (st04, TRACKED),
+    "st05_segment_stream": (st05, SEGMENTS),
     "st05_sessions": (st05_sessions, "SELECT user_id, floor(min(epoch(ts)))::BIGINT AS at, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, g"),
     "src02_script": (src02, "SELECT page_id::VARCHAR AS key, url AS value FROM pages"),
     "src03_script_tokens": (src03, "SELECT page_id::VARCHAR AS key, 3::BIGINT AS n, url AS last FROM pages"),

@@ -298,17 +298,25 @@ def fn_rooms(spark, d):
 DL = "WITH a AS (SELECT doc_id AS utt, lang, n_chars::DOUBLE AS x FROM documents), b AS (SELECT doc_id AS utt, quality::BIGINT AS q FROM labels)"
 V = f"WITH {SAMPLES} "
 ISL = f"{WS}, isl AS (SELECT key, min(t) AS beg, max(t) AS \"end\" FROM (SELECT *, t - row_number() OVER (PARTITION BY key ORDER BY t) AS g FROM series WHERE kind IN ('click', 'purchase')) GROUP BY key, g)"
+#: Folds as recursive queries: a step a frame, all keys at once.
+TRACKED = f"""WITH RECURSIVE {SERIES.replace(' AS (', ' AS MATERIALIZED (', 1)}, r AS (SELECT key, t, x AS s FROM series WHERE t = 0 UNION ALL SELECT n.key, n.t, CASE WHEN n.x > r.s THEN 0.925 * r.s + 0.075 * n.x ELSE 0.7 * r.s + 0.3 * n.x END
+  FROM r JOIN series n ON n.key = r.key AND n.t = r.t + 1) SELECT key, t, {r6('s')} AS s FROM r"""
+SEGMENTS = f"""WITH RECURSIVE {SERIES.replace(' AS (', ' AS MATERIALIZED (', 1)}, a AS MATERIALIZED (SELECT key, t, kind IN ('click', 'purchase') AS active FROM series),
+r AS (SELECT key, -1::BIGINT AS t, 0 AS c, -1::BIGINT AS opened, -1::BIGINT AS beg FROM a WHERE t = 0 UNION ALL
+  SELECT key, t, CASE WHEN opened >= 0 AND d <= 0 THEN 0 ELSE d END, CASE WHEN opened < 0 AND d >= 3 THEN greatest(t - 3, 0) WHEN opened >= 0 AND d <= 0 THEN -1 ELSE opened END, CASE WHEN opened >= 0 AND d <= 0 THEN opened ELSE -1 END
+  FROM (SELECT n.key, n.t, r.opened, CASE WHEN n.active THEN least(r.c + 1, 3) WHEN r.opened >= 0 THEN r.c - 1 ELSE r.c END AS d FROM r JOIN a n ON n.key = r.key AND n.t = r.t + 1))
+SELECT key, beg, t AS "end" FROM r WHERE beg >= 0 UNION ALL SELECT key, opened, t FROM r WHERE opened >= 0 AND (key, t) IN (SELECT key, max(t) FROM a GROUP BY key)"""
 QUERIES = {
     "win01_taps": (win01, WS + "SELECT key, t, x, " + ", ".join(f"lag(x, {2 + k}, 0) OVER (PARTITION BY key ORDER BY t) AS tap{k}" for k in range(3)) + " FROM series"),
     "win02_moving_average": (win02, f"{WS} SELECT key, t, {r6('greatest(avg(x) OVER (PARTITION BY key ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 1e-6)')} AS m FROM series"),
     "win03_clamped_average": (win03, f"{WS}, n AS (SELECT key, max(t) AS last FROM series GROUP BY key) SELECT s.key, s.t, {r6('sum(o.x) / 5')} AS m FROM series s JOIN n USING (key), range(-2, 3) r(c), series o WHERE o.key = s.key AND o.t = least(greatest(s.t + c, 0), last) GROUP BY s.key, s.t"),
     "win04_exponential_smoothing": (win04, f"{WS} SELECT a.key, a.t, {r6('sum(CASE WHEN b.t = 0 THEN b.x ELSE (1 - 0.73519) * b.x END * 0.73519 ** (a.t - b.t))')} AS s FROM series a JOIN series b ON a.key = b.key AND b.t <= a.t GROUP BY a.key, a.t"),
-    "win05_noise_tracking": (win05, None),
+    "win05_noise_tracking": (win05, TRACKED),
     "win06_running_minimum": (win06, f"{WS} SELECT a.key, a.t, min(b.x) AS low FROM series a JOIN series b ON a.key = b.key AND b.t <= a.t AND b.t // 5 > a.t // 5 - 3 GROUP BY a.key, a.t"),
     "win08_frequency_smoothing": (win08, f"{V} SELECT utt, n AS f, {r6('0.5*x + 0.25*(lag(x, 1, 0) OVER w + lead(x, 1, 0) OVER w)')} AS m FROM samples WHERE ch = 0 WINDOW w AS (PARTITION BY utt ORDER BY n)"),
     "win09_tumbling_blocks": (win09, f"{WS}, b AS (SELECT *, t // 10 AS block, least(t // 10, greatest(count(*) OVER (PARTITION BY key) // 10 - 1, 0)) AS merged FROM series) SELECT key, block, merged, count(*) AS n, {r6('avg(x)')} AS m FROM b GROUP BY key, block, merged"),
     "win10_hopping_lookback": (win10, f"{WS}, c AS (SELECT key, unnest(range(max(t) // 8 + 1)) AS chunk FROM series GROUP BY key) SELECT key, chunk, count(*) AS n, min(t) AS lo, max(t) AS hi FROM c JOIN series s USING (key) WHERE t >= greatest(chunk * 8 - 5, 0) AND t < chunk * 8 + 8 GROUP BY key, chunk"),
-    "win11_hysteresis_segments": (win11, None),
+    "win11_hysteresis_segments": (win11, SEGMENTS),
     "win11_islands": (win11_islands, f"{ISL} SELECT * FROM isl"),
     "win12_gaps": (win12, f"{ISL}, g AS (SELECT key, lag(\"end\", 1, 0) OVER (PARTITION BY key ORDER BY beg) AS b, beg AS e FROM isl) SELECT key, b AS beg, e AS \"end\" FROM g WHERE b < e"),
     "win13_segment_frames": (win13, f"{ISL} SELECT s.key, beg, \"end\" + 1 AS \"end\", {r6('sum(x)')} AS x, count(*) AS n FROM series s JOIN isl g ON s.key = g.key AND t BETWEEN beg AND \"end\" GROUP BY ALL"),

@@ -33,7 +33,8 @@ def sessions(stream: DataFrame, gap: str, late: str = "1 hour") -> DataFrame:
 
 
 def folded(stream: DataFrame, key: str, columns: list[str], order: list[str], step: Callable, start: tuple, state: str, out: str) -> DataFrame:
-    """A recursion over each key's rows in their order: step(state, *values) -> (state, rows). The state is all that is kept."""
+    """A recursion over each key's rows: step(state, *values) -> (state, rows). The state is all that is kept. Rows are put in
+    order inside a micro-batch; from one to the next they must come in order, as a source partitioned by key gives them."""
 
     def run(group, frames: Iterator[pd.DataFrame], kept):
         now = kept.get if kept.exists else start
@@ -71,7 +72,7 @@ def tracking(alpha: float, rise: float) -> Callable:
 
 
 def segmenting(cache: int, active: frozenset) -> Callable:
-    """Voice segments as they close: see operators.windows.hysteresis. State (t, count, open)."""
+    """Voice segments as they close: see operators.windows.hysteresis. State (t, count, open); `all_segments` adds what is open."""
 
     def step(state, kind):
         t, c, opened = state
@@ -88,12 +89,20 @@ def segmenting(cache: int, active: frozenset) -> Callable:
     return step
 
 
-def drained(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
-    """What a stream gives for all that is there now, through a file sink in the shared folder."""
+def drained(spark: SparkSession, stream: DataFrame, mode: str = "append", left: bool = False):
+    """What a stream gives for all that is there now, through a file sink in the shared folder. left: also what the stream's
+    state holds at that moment, as (key's columns, state's columns)."""
     path = scratch(spark, "stream")
     if mode == "append":
         q = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     else:
         q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{path}/out")).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+    out = spark.read.schema(stream.schema).parquet(f"{path}/out")
+    return (out, spark.read.format("statestore").load(f"{path}/state").select("key.*", "value.groupState.*")) if left else out
+
+
+def all_segments(spark: SparkSession, stream: DataFrame, key: str) -> DataFrame:
+    """(key, beg, end): the closed segments of a stream of `segmenting` and those still open, which end with the last frame seen."""
+    closed, state = drained(spark, stream, left=True)
+    return closed.unionByName(state.where("open >= 0").select(F.col(key).alias("key"), F.col("open").alias("beg"), (F.col("t") - 1).alias("end")))
