@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -58,16 +60,8 @@ def _arrays(xs: Column, kernel) -> Column:
 
 
 def smoothed(xs: Column, alpha: float) -> Column:
-    """Array of s[t] = alpha s[t-1] + (1 - alpha) x[t], from s[0] = x[0]. Linear in the length: a filter whose answer is cut
-    where it is below the precision of doubles."""
-
-    def kernel(x):
-        if not len(x):
-            return x
-        reach = min(len(x), 2 + int(np.log(1e-18) / np.log(alpha))) if 0 < alpha < 1 else len(x)
-        return impulse_answer(x - x[0], (1 - alpha) * alpha ** np.arange(reach)) + x[0]
-
-    return _arrays(xs, kernel)
+    """Array of s[t] = alpha s[t-1] + (1 - alpha) x[t], from s[0] = x[0]. One pass over each array."""
+    return _arrays(xs, lambda x: np.array(list(accumulate(x.tolist(), lambda s, v: alpha * s + (1 - alpha) * v)), dtype=np.float64))
 
 
 def tracked(xs: Column, alpha: float, rise: float) -> Column:
@@ -75,15 +69,11 @@ def tracked(xs: Column, alpha: float, rise: float) -> Column:
     One pass over each array."""
     up = 1 - (1 - alpha) / rise
 
-    def kernel(x):
-        out, s = x.copy(), x[0] if len(x) else 0.0
-        for t, v in enumerate(x.tolist()):
-            a = up if v > s else alpha
-            s = a * s + (1 - a) * v if t else v
-            out[t] = s
-        return out
+    def step(s, v):
+        a = up if v > s else alpha
+        return a * s + (1 - a) * v
 
-    return _arrays(xs, kernel)
+    return _arrays(xs, lambda x: np.array(list(accumulate(x.tolist(), step)), dtype=np.float64))
 
 
 def running_minimum(df: DataFrame, keys: list[str], block: int, blocks: int, x: str = "x") -> DataFrame:

@@ -9,7 +9,7 @@ from ..sources import tables as T
 from ..streaming import online as O
 from . import fixtures as X
 from .fixtures import SAMPLES, SERIES, r6
-from .keyed import SEGMENTS, TRACKED
+from .keyed import SEGMENTS, TRACKED, scaled_round
 
 
 def instant(c):
@@ -33,7 +33,7 @@ def st03(spark, d):
 
 def st04(spark, d):
     s = O.folded(O.event_stream(spark, d), "user_id", ["value"], ["ts", "event_id"], O.tracking(0.7, 4.0), (0, 0.0), "t long, s double", "key long, t long, s double")
-    return O.drained(spark, s).select("key", "t", F.round("s", 6).alias("s"))
+    return O.drained(spark, s).select("key", "t", scaled_round(F.col("s")).alias("s"))
 
 
 def st05(spark, d):

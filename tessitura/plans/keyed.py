@@ -22,8 +22,13 @@ def flags(spark, d):
     return s(spark, d).withColumn("active", F.col("kind").isin("click", "purchase"))
 
 
-def exploded(df, keys, *arrays):
-    return df.select(*keys, F.posexplode(F.arrays_zip(*arrays)).alias("t", "z")).select(*keys, F.col("t").cast("long").alias("t"), *(F.round(f"z.{a}", 6).alias(a) for a in arrays))
+def exploded(df, keys, *arrays, rounded=lambda c: F.round(c, 6)):
+    return df.select(*keys, F.posexplode(F.arrays_zip(*arrays)).alias("t", "z")).select(*keys, F.col("t").cast("long").alias("t"), *(rounded(F.col(f"z.{a}")).alias(a) for a in arrays))
+
+
+def scaled_round(c):
+    """Rounded to six places in binary, as SQL does it here: folds of short decimal numbers end in exact ties."""
+    return F.round(c * 1e6) / 1e6
 
 
 def win01(spark, d):
@@ -46,7 +51,7 @@ def win04(spark, d):
 
 def win05(spark, d):
     f = W.folded(s(spark, d), ["key"])
-    return exploded(f.select("key", W.tracked(F.col("xs"), 0.7, 4.0).alias("s")), ["key"], "s")
+    return exploded(f.select("key", W.tracked(F.col("xs"), 0.7, 4.0).alias("s")), ["key"], "s", rounded=scaled_round)
 
 
 def win06(spark, d):
@@ -299,8 +304,8 @@ DL = "WITH a AS (SELECT doc_id AS utt, lang, n_chars::DOUBLE AS x FROM documents
 V = f"WITH {SAMPLES} "
 ISL = f"{WS}, isl AS (SELECT key, min(t) AS beg, max(t) AS \"end\" FROM (SELECT *, t - row_number() OVER (PARTITION BY key ORDER BY t) AS g FROM series WHERE kind IN ('click', 'purchase')) GROUP BY key, g)"
 #: Folds as recursive queries: a step a frame, all keys at once.
-TRACKED = f"""WITH RECURSIVE {SERIES.replace(' AS (', ' AS MATERIALIZED (', 1)}, r AS (SELECT key, t, x AS s FROM series WHERE t = 0 UNION ALL SELECT n.key, n.t, CASE WHEN n.x > r.s THEN 0.925 * r.s + 0.075 * n.x ELSE 0.7 * r.s + 0.3 * n.x END
-  FROM r JOIN series n ON n.key = r.key AND n.t = r.t + 1) SELECT key, t, {r6('s')} AS s FROM r"""
+TRACKED = f"""WITH RECURSIVE {SERIES.replace(' AS (', ' AS MATERIALIZED (', 1)}, r AS (SELECT key, t, x AS s FROM series WHERE t = 0 UNION ALL SELECT n.key, n.t, CASE WHEN n.x > r.s THEN up * r.s + (1 - up) * n.x ELSE down * r.s + (1 - down) * n.x END
+  FROM r CROSS JOIN (SELECT 0.7::DOUBLE AS down, 1 - (1 - 0.7::DOUBLE) / 4 AS up) k JOIN series n ON n.key = r.key AND n.t = r.t + 1) SELECT key, t, {r6('s')} AS s FROM r"""
 SEGMENTS = f"""WITH RECURSIVE {SERIES.replace(' AS (', ' AS MATERIALIZED (', 1)}, a AS MATERIALIZED (SELECT key, t, kind IN ('click', 'purchase') AS active FROM series),
 r AS (SELECT key, -1::BIGINT AS t, 0 AS c, -1::BIGINT AS opened, -1::BIGINT AS beg FROM a WHERE t = 0 UNION ALL
   SELECT key, t, CASE WHEN opened >= 0 AND d <= 0 THEN 0 ELSE d END, CASE WHEN opened < 0 AND d >= 3 THEN greatest(t - 3, 0) WHEN opened >= 0 AND d <= 0 THEN -1 ELSE opened END, CASE WHEN opened >= 0 AND d <= 0 THEN opened ELSE -1 END
