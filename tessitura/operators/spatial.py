@@ -82,11 +82,11 @@ def diagonal_delays(spark: SparkSession, around: int, diameter: float, angles: i
     return spark.createDataFrame(rows, "d long, i long, j long, tau double")
 
 
-def ml_likelihood(spec: DataFrame, steer: DataFrame, mask: Column | str | None = None, compression: float = 0.0, eps: float = EPSILON) -> DataFrame:
-    """(utt, a, ll): log likelihood of directions, -sum of log(1 - |steer^H x|^2 / (|steer|^2 |x|^2)) over cells. A cell's channels
+def ml_likelihood(spec: DataFrame, steer: DataFrame, mask: Column | str | None = None, compression: float = 0.0, eps: float = EPSILON, keys: tuple[str, ...] = ("utt",)) -> DataFrame:
+    """(keys, a, ll): log likelihood of directions, -sum of log(1 - |steer^H x|^2 / (|steer|^2 |x|^2)) over cells. A cell's channels
     are one row; the steering vectors of its bin come as one broadcast row (the grid has the array's size), and each product is
     summed inside the row. mask: a column that is the same for all channels of a cell."""
-    cell = channel_rows(spec.withColumn("m", F.col(mask) if isinstance(mask, str) else F.lit(1.0) if mask is None else mask), ["utt", "t", "f"], ["re", "im", "m"], ["utt", "t"])
+    cell = channel_rows(spec.withColumn("m", F.col(mask) if isinstance(mask, str) else F.lit(1.0) if mask is None else mask), [*keys, "t", "f"], ["re", "im", "m"], [*keys, "t"])
     grid = steer.groupBy("f", "a").agg(F.array_sort(F.collect_list(F.struct("ch", "re", "im"))).alias("s")).groupBy("f").agg(F.collect_list(F.struct("a", "s")).alias("grid"))
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
     re = lambda g: total(F.zip_with(g["s"], F.col("z"), lambda s, x: s["re"] * x["re"] + s["im"] * x["im"]))
@@ -94,10 +94,10 @@ def ml_likelihood(spec: DataFrame, steer: DataFrame, mask: Column | str | None =
     ss = lambda g: total(F.transform(g["s"], lambda s: s["re"] * s["re"] + s["im"] * s["im"]))
     xx = total(F.transform("z", lambda x: x["re"] * x["re"] + x["im"] * x["im"]))
     cell = cell.withColumn("xx", xx).withColumn("m", F.element_at("z", 1)["m"]).join(F.broadcast(grid), "f")
-    dot = cell.select("utt", "xx", "m", F.explode(F.transform("grid", lambda g: F.struct(g["a"].alias("a"), re(g).alias("re"), im(g).alias("im"), ss(g).alias("ss")))).alias("d")).select("utt", "xx", "m", "d.*")
+    dot = cell.select(*keys, "xx", "m", F.explode(F.transform("grid", lambda g: F.struct(g["a"].alias("a"), re(g).alias("re"), im(g).alias("im"), ss(g).alias("ss")))).alias("d")).select(*keys, "xx", "m", "d.*")
     ll = -F.ln(F.greatest(1 - at().power() / (F.col("ss") * F.col("xx") + eps), F.lit(eps)))
     ll = ll * F.pow(F.col("xx"), F.lit(compression)) if compression else ll
-    return dot.groupBy("utt", "a").agg(F.sum(ll * F.col("m")).alias("ll"))
+    return dot.groupBy(*keys, "a").agg(F.sum(ll * F.col("m")).alias("ll"))
 
 
 def best_angle(score: DataFrame, value: str, largest: bool = True, keys: tuple[str, ...] = ("utt",)) -> DataFrame:

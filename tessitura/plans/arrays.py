@@ -12,6 +12,7 @@ from ..operators import spatial as P
 from ..operators import transforms as T
 from ..operators.masks import winner_takes_all
 from ..operators.metrics import dot_products
+from ..operators.windows import hopping
 from . import fixtures as X
 from .fixtures import GRID, SAMPLES, STFT, r6
 from .spectral import C, spec
@@ -120,6 +121,13 @@ def sp13(spark, d):
     return out
 
 
+def sp13_online(spark, d):
+    """A direction for every three frames, from them and the two before."""
+    s = hopping(spec(spark, d).join(mask(spark, d), ["utt", "t", "f"]), 3, 2)
+    ll = P.ml_likelihood(s, steer(spark), mask="m", keys=("utt", "chunk")).withColumn("ll", F.round("ll", 6))
+    return P.best_angle(ll, "ll", keys=("utt", "chunk"))
+
+
 def sp14(spark, d):
     circular = P.steering(spark, 8, X.BINS, X.SR, around=6, radius=0.05, centre=True, normalize=True).withColumn("kind", F.lit("circular"))
     return r(steer(spark).withColumn("kind", F.lit("linear")).unionByName(circular), "deg", "re", "im")
@@ -290,6 +298,8 @@ QUERIES = {
     "sp11_srp_ssl": (sp11, f"{S}, {DIRECT} SELECT utt, a, {r6('a*10.0')} AS deg FROM (SELECT utt, a, row_number() OVER (PARTITION BY utt ORDER BY round(sum(df), 6) DESC, a) AS r FROM df GROUP BY utt, a) WHERE r = 1"),
     "sp12_music_ssl": (sp12, None),
     "sp13_masked_ssl": (sp13, None),
+    "sp13_online_ssl": (sp13_online, f"""{S}, {MASK}, {ML.replace('ll AS (SELECT utt, a,', 'll AS (SELECT utt, t, a,').replace('GROUP BY utt, a)', 'GROUP BY utt, t, a)')}, c AS (SELECT utt, c AS chunk, a, round(sum(ll), 6) AS ll FROM ll, range(3) r(c) WHERE t >= c * 3 - 2 AND t < c * 3 + 3 GROUP BY ALL)
+      SELECT utt, chunk, a FROM (SELECT *, row_number() OVER (PARTITION BY utt, chunk ORDER BY ll DESC, a) AS r FROM c) WHERE r = 1"""),
     "sp14_steering": (sp14, f"""WITH {GRID} SELECT 'linear' AS kind, a, {r6('deg')} AS deg, ch, f, {r6('re')} AS re, {r6('im')} AS im FROM steer UNION ALL
       SELECT 'circular', a, {r6('a*45.0')}, ch, f, {r6('cos(w*tau)/sqrt(7)')}, {r6('-sin(w*tau)/sqrt(7)')} FROM (SELECT a, ch, f, pi()*16000/8*f AS w, CASE WHEN ch = 0 THEN 0 ELSE -cos(radians(a*45.0)-(ch-1)*2*pi()/6)*0.05/343.0 END AS tau FROM range(8) x(a), range(7) y(ch), range(9) z(f))"""),
     "agg08_masked_covariance": (agg08, f"{V}, {MASK}, {COV} SELECT utt, f, i, j, {r6('re')} AS re, {r6('im')} AS im FROM cov"),

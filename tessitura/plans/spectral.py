@@ -54,6 +54,13 @@ def tf04(spark, d):
     return x.select("utt", "ch", F.posexplode("x").alias("n", "x")).select("utt", "ch", F.col("n").cast("long").alias("n"), F.round("x", 6).alias("x"))
 
 
+def tf05(spark, d):
+    """Waves scaled to a largest magnitude of their own, as 16-bit numbers."""
+    s = spec(spark, d).where("ch = 0").withColumn("peak", (F.col("utt") % 5 + 1) / 8.0)
+    x = T.istft(s, C, ["utt"], peak="peak").select("utt", F.posexplode("x").alias("n", "x"))
+    return x.select("utt", F.col("n").cast("long").alias("n"), F.round("x", 6).alias("x"), F.round(F.col("x") * 32767, 0).cast("long").alias("pcm"))
+
+
 def tf06(spark, d):
     s = spec(spark, d).where("ch = 0").drop("ch")
     m, p = T.spectrogram(s), T.spectrogram(s, power=True, log=True).withColumnRenamed("m", "logpow")
@@ -171,6 +178,7 @@ QUERIES = {
     "tf02_stft_symmetric": (tf01_hamming, W + X.stft_sql("samples", "utt, ch", "stft", window=f"(0.54 - 0.46 * cos(2 * pi() * k / {X.LEN - 1}))") + f" SELECT utt, ch, t, f, {r6('re')} AS re, {r6('im')} AS im FROM stft"),
     "tf03_frame_counts": (tf03, f"{W} n AS (SELECT utt, ch, count(*) AS n FROM samples GROUP BY ALL) SELECT utt, ch, (n - {X.LEN}) // {X.HOP} + 1 AS frames, (n - {X.LEN}) // {X.HOP} * {X.HOP} + {X.LEN} AS samples FROM n"),
     "tf04_istft": (tf04, f"{W}{STFT} " + _overlap("stft", "utt, ch")),
+    "tf05_renormalised": (tf05, f"{W}{STFT}, o AS ({_overlap('stft', 'utt, ch').replace('(round(', '((', 1).replace(', 6) + 0.0) AS x', ')) AS x', 1)}), p AS (SELECT utt, n, x * (utt % 5 + 1) / 8.0 / (max(abs(x)) OVER (PARTITION BY utt) + 1.1920929e-07) AS x FROM o WHERE ch = 0) SELECT utt, n, {r6('x')} AS x, round(x * 32767)::BIGINT AS pcm FROM p"),
     "tf06_spectrogram": (tf06, f"{W}{STFT} SELECT utt, t, f, {r6('sqrt(re*re+im*im)')} AS m, {r6(f'ln(greatest(re*re+im*im, {EPS}))')} AS logpow FROM stft WHERE ch = 0"),
     "tf07_fbank": (tf07, f"{W}{STFT} SELECT utt, t, b, {r6(f'ln(greatest(sum(w * sqrt(re*re+im*im)), {EPS}))')} AS m FROM stft JOIN (VALUES {_MEL}) x(b, f, w) USING (f) WHERE ch = 0 GROUP BY utt, t, b"),
     "tf08_griffin_lim": (tf08, None),
