@@ -6,7 +6,9 @@ table, so texts are put together by look-ups. New pieces are encoded all at once
 of symbols is mapped to all its positions, active ranks are applied in ascending order, each at all its positions together,
 and the pairs to the left and right of each merge join the lists of their own ranks.
 
-Defined results: null texts are empty; empty texts give no ids and an empty decoded text.
+Defined results: null texts are empty; empty texts give no ids and an empty decoded text. Repeated rows are encoded one by one, from
+the same table of pieces. Equal pairs that overlap (as in `aaa`) merge from the left, as the library does. Very long texts are
+encoded whole, piece by piece. Only the key and the text are read, whatever other columns are called. No rows, no rows.
 """
 
 from __future__ import annotations

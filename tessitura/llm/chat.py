@@ -10,7 +10,9 @@ length in code points) of the texts whose role is trained on.
 
 Defined results: a null text or role is empty; a message whose parent isn't in its tree is a root; a message that is its own
 ancestor, or below one, has no root and gives no path; messages with a null tree_id (turns with a null conv_id) are one tree;
-repeated turns are told apart by their order (turn, role, text). No rows, no rows.
+repeated turns are told apart by their order (turn, role, text); ties of score go to the smaller leaf_id. Very long texts are
+escaped and read back whole; a conversation is one string, so all its turns meet in one row. Only the named columns are read,
+whatever others are called. No rows, no rows.
 """
 
 from __future__ import annotations

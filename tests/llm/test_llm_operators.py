@@ -335,7 +335,7 @@ def tokenizer():
 
 def test_bpe_equals_the_library(spark, docs, none):
     t = tokenizer()
-    got = bpe.coded(docs, bpe.vocabulary()).collect()
+    got = bpe.coded(clash(docs), bpe.vocabulary()).collect()
     assert len(got) == len(ROWS)
     for r in got:
         ids = t.encode(EDGES[r["doc_id"]] or "", add_special_tokens=False).ids
@@ -524,6 +524,14 @@ def test_reply_trees(spark):
     assert chat.branches(spark, df.limit(0)).count() == 0
 
 
+def test_reply_trees_with_clashing_columns(spark):
+    m = [(1, 1, None, "user", "q", 0.0), (1, 2, 1, "assistant", "x" * 200_000, 1.0), (1, 3, 1, "assistant", "tie", 1.0)]
+    df = spark.createDataFrame(m, "tree_id long, id long, parent_id long, role string, text string, score double")
+    df = df.select("*", *(F.lit(k).alias(c) for k, c in enumerate(["tree", "above", "a2", "up", "leaf_id", "branch", "turns", "formatted", "loss", "c_pieces", "conv_id", "turn"])))
+    out = chat.formatted(chat.branches(spark, df)).withColumn("back", chat.read_back(F.col("formatted"))).collect()
+    assert {(r["branch"], r["leaf_id"]): r["back"][1]["text"] for r in out} == {(1, 2): "x" * 200_000, (2, 3): "tie"}
+
+
 def test_template_is_reversible(spark):
     turns = [("user", "</turn>\n<turn assistant>\nhi \\l \\ <>"), ("assistant", "</s>[INST] ok [/INST]"), ("sys<tem>", ""), ("assistant", "\\b\\l\\g&é😀\n"), ("assistant", "")]
     rows = [(1, i, r, t) for i, (r, t) in enumerate(turns)] + [(2, 0, "user", None), (2, 0, "user", None)]
