@@ -8,6 +8,7 @@ import importlib
 _PLACES = {
     "op1_quality_rules": "quality",
     "op10_license_scan": "licenses",
+    "op13_filter_audit": "audit",
     "op2_language_id": "language",
     "op3_vector_near_dedup": "vectors",
     "op4_substring_dedup": "substrings",
