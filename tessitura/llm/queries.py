@@ -8,6 +8,8 @@ import importlib
 _PLACES = {
     "op1_quality_rules": "quality",
     "op10_license_scan": "licenses",
+    "op11_lm_scores": "automaton",
+    "op12_source_divergence": "divergence",
     "op13_filter_audit": "audit",
     "op2_language_id": "language",
     "op3_vector_near_dedup": "vectors",
