@@ -37,8 +37,8 @@ SLICE = 16384
 #: Groups of a seat, on average, until a language has MAX_SEATS seats; then seats hold more.
 PER_SEAT = 8
 MAX_SEATS = 16
-#: Counters that a task gathers before it sends them on.
-MAX_HELD = 1 << 19
+#: Bytes of text that a task counts at once, and of all texts for one shard of the terms, about.
+CHUNK, SHARD = 1 << 23, 1 << 24
 
 _TERM = np.zeros(256, dtype=bool)
 _TERM[128:] = True
@@ -46,63 +46,99 @@ _TERM[65:91] = True
 _TERM[97:123] = True
 
 
-def _batch_counts(batch: pa.RecordBatch):
-    """(language, source, term, occurrences, documents) of a batch, a group without a term once with term null."""
-    groups = pa.table({"lang": batch.column(1).fill_null(""), "source": batch.column(2).fill_null("")})
-    names = groups.group_by(["lang", "source"]).aggregate([])
-    codes = {(a, b): k for k, (a, b) in enumerate(zip(names["lang"].to_pylist(), names["source"].to_pylist(), strict=True))}
-    code = np.array([codes[x] for x in zip(groups["lang"].to_pylist(), groups["source"].to_pylist(), strict=True)], dtype=np.int64)
-    yield from ((a, b, None, 0, 0) for a, b in codes)
-    back = list(codes)
-    for at, data, offsets in chunks(batch.column(0), 1 << 22):
-        w = Words(LOWER[data], offsets, _TERM[data])
-        if not len(w):
-            continue
-        _, first, term = np.unique(w.hash, return_index=True, return_inverse=True)
-        doc = w.owner()
-        many = len(first)
-        order = np.argsort(term * (len(offsets) - 1) + doc, kind="stable")  # by term, then document
-        t, d = term[order], doc[order]
-        new = np.append(True, (t[1:] != t[:-1]) | (d[1:] != d[:-1]))
-        pairs, n = t[new] + many * code[at + d[new]], np.diff(np.append(np.flatnonzero(new), len(t)))
-        pair, where = np.unique(pairs, return_inverse=True)
-        total, docs = np.bincount(where, n).astype(np.int64).tolist(), np.bincount(where).tolist()
-        raw = w.data.tobytes()
-        text = [raw[a:b].decode() for a, b in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)]
-        for p, x, y in zip(pair.tolist(), total, docs, strict=True):
-            yield (*back[p // many], text[p % many], x, y)
-
-
-_COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
-
-
-def _counts(batches):
-    held: dict[tuple, list[int]] = {}
-
-    def sent():
-        keys = list(held)
-        values = np.array(list(held.values()), dtype=np.int64).reshape(-1, 2)
-        held.clear()
-        columns = [pa.array([k[i] for k in keys], pa.string()) for i in range(3)]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(values[:, 0]), pa.array(values[:, 1])], schema=_COUNTS)
-
+def _joined(batches):
+    """Tables of about CHUNK bytes of text each."""
+    held, size = [], 0
     for batch in batches:
-        for *key, n, docs in _batch_counts(batch):
-            if (x := held.get(key := tuple(key))) is None:
-                held[key] = [n, docs]
-            else:
-                x[0] += n
-                x[1] += docs
-            if len(held) >= MAX_HELD:
-                yield sent()
+        held.append(batch)
+        size += batch.column(0).nbytes
+        if size >= CHUNK:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
     if held:
-        yield sent()
-
-
-def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """(lang, source, term, n, docs): occurrences and documents of each term in each group; term null once for each group."""
-    rows = in_arrow(docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source")), _counts, "lang string, source string, term string, n long, docs long")
-    return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+        yield pa.Table.from_batches(held)
+
+
+_COUNTED = pa.schema([("lang", pa.string()), ("shard", pa.int32()), ("sources", pa.list_(pa.string())), ("terms", pa.binary()), ("counts", pa.binary())])
+
+
+def _counted(shards: int):
+    def run(batches):
+        """For each language and shard of term hashes a row: its terms, and for each (term, source) their numbers in this row, the
+        occurrences and the documents."""
+        for rows in _joined(batches):
+            langs, sources = (rows.column(k).fill_null("").combine_chunks().dictionary_encode() for k in (1, 2))
+            names, many = sources.dictionary.to_pylist(), len(sources.dictionary)
+            group = langs.indices.to_numpy().astype(np.int64) * many + sources.indices.to_numpy()
+            out, hashes, owner, text = [], [], [], {}
+            for at, data, offsets in chunks(rows.column(0), 1 << 19):  # hashing needs some ten times the bytes
+                w = Words(LOWER[data], offsets, _TERM[data])
+                hashes.append(w.hash)
+                owner.append(at + w.owner())
+                one, first = np.unique(w.hash, return_index=True)
+                raw = w.data.tobytes()
+                for h, a, b in zip(one.tolist(), w.start[first].tolist(), w.end[first].tolist(), strict=True):
+                    if h not in text:
+                        text[h] = raw[a:b]
+            if not text:
+                continue
+            kinds, term = np.unique(np.concatenate(hashes), return_inverse=True)
+            pair = np.sort(term * rows.num_rows + np.concatenate(owner))  # by term (in the order of their hashes), then document
+            begin = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+            t, d = np.divmod(pair[begin], rows.num_rows)
+            shard = (((kinds >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
+            code = (group[d] // many * len(kinds) + t) * many + group[d] % many  # by language, term, source
+            code, where = np.unique(code, return_inverse=True)
+            n, docs = np.bincount(where, np.diff(np.append(begin, len(pair)))).astype(np.int64), np.bincount(where)
+            t, lang, source = code // many % len(kinds), code // many // len(kinds), code % many
+            cut = np.flatnonzero(np.append(True, (lang[1:] != lang[:-1]) | (shard[t[1:]] != shard[t[:-1]]))).tolist()
+            for a, b in zip(cut, [*cut[1:], len(code)], strict=True):
+                mine, local = np.unique(t[a:b], return_inverse=True)
+                counts = np.stack([local, source[a:b], n[a:b], docs[a:b]]).astype("<i4")
+                out.append((langs.dictionary[int(lang[a])].as_py(), int(shard[t[a]]), names, b" ".join(text[x] for x in kinds[mine].tolist()), counts.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _COUNTED, strict=True)], schema=_COUNTED)
+
+    return run
+
+
+def _kept(min_docs: int):
+    def run(key, rows):
+        """Adds up a shard of a language's terms and keeps those that stand in enough documents: their counts in each source, and
+        with source null in all."""
+        rows = rows.to_pylist()
+        names = {x: k for k, x in enumerate(dict.fromkeys(x for r in rows for x in r["sources"]))}
+        terms = pa.concat_arrays([pa.array(r["terms"].split(b" "), pa.binary()) for r in rows]).dictionary_encode()
+        at, t, s, n, docs = 0, [], [], [], []
+        numbers = terms.indices.to_numpy().astype(np.int64)
+        for r in rows:
+            local, source, a, b = np.frombuffer(r["counts"], "<i4").reshape(4, -1).astype(np.int64)
+            t.append(numbers[at + local])
+            s.append(np.array([names[x] for x in r["sources"]])[source])
+            n.append(a)
+            docs.append(b)
+            at += int(local.max()) + 1
+        t, s, n, docs = map(np.concatenate, (t, s, n, docs))
+        enough = np.bincount(t, docs) >= min_docs
+        own = enough[t]
+        code, where = np.unique(t[own] * (len(names) + 1) + s[own], return_inverse=True)
+        code = np.append(code, np.flatnonzero(enough) * (len(names) + 1) + len(names))
+        total = np.append(np.bincount(where, n[own]), np.bincount(t, n, len(enough))[enough]).astype(np.int64)
+        return pa.table({
+            "lang": pa.array([key[0].as_py()] * len(code), pa.string()),
+            "source": pa.array([*names, None], pa.string()).take(pa.array(code % (len(names) + 1))),
+            "term": terms.dictionary.take(pa.array(code // (len(names) + 1))).cast(pa.string()),
+            "n": total,
+        })
+
+    return run
+
+
+def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_docs: int = MIN_DOCS) -> DataFrame:
+    """(lang, source, term, n) of kept terms; with source null those of the whole language. Terms are counted in each task, then
+    added up by language and range of the term's hash, a shard for SHARD bytes of the corpus."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    sent = in_arrow(docs.select(text, lang, source), _counted(max(1, -(-size // SHARD))), "lang string, shard int, sources array<string>, terms binary, counts binary")
+    return sent.groupBy("lang", "shard").applyInArrow(_kept(min_docs), "lang string, source string, term string, n long")
 
 
 # ---------------------------------------------------------------- vectors of a slice
@@ -144,24 +180,20 @@ def _pack(key, rows):
     return pa.table({"lang": pa.array([key[0].as_py()], pa.string()), "source": pa.array([key[1].as_py()], pa.string()), "slice": pa.array([key[2].as_py()], pa.int32()), "vector": pa.array([data], pa.binary())})
 
 
-def vectors(spark: SparkSession, counts: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
+def vectors(spark: SparkSession, counts: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(vectors, terms). Vectors: one for each group and slice, and with source null one for each language, slice and seat. Terms:
     (lang, slice, id, term), numbered within a slice in UTF-8 order."""
-    by_term = counts.where("term IS NOT NULL").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")).where(F.col("docs") >= min_docs)
-    by_term = stored(spark, by_term.select("lang", "term", "n"), "terms")
-    groups = counts.where("term IS NULL").select("lang", "source").distinct()
+    by_term = counts.where("source IS NULL")
     seats = F.least(F.lit(MAX_SEATS), 2 * F.ceil(F.count("*") / (2 * PER_SEAT))).cast("int").alias("seats")
     langs = groups.groupBy("lang").agg(seats).join(by_term.groupBy("lang").agg(F.count("*").alias("many"), F.sum("n").alias("all")), "lang", "left").fillna(0)
-    langs = langs.withColumn("slices", F.greatest(F.lit(1), F.ceil(F.col("many") / SLICE)).cast("int"))
+    langs = stored(spark, langs.withColumn("slices", F.greatest(F.lit(1), F.ceil(F.col("many") / SLICE)).cast("int")), "langs")
     dealt = by_term.join(langs.select("lang", "slices"), "lang").withColumn("slice", F.pmod(F.xxhash64("term"), F.col("slices")).cast("int"))
     slices = dealt.groupBy("lang", "slice").agg(F.array_sort(F.collect_list("term")).alias("found"))  # about SLICE terms each
     terms = stored(spark, slices.select("lang", "slice", F.size("found").alias("size"), F.posexplode("found").alias("id", "term")), "slices")
-    known = stored(spark, counts.join(terms, ["lang", "term"]).select("lang", "source", "slice", "id", "n"), "known")
-    whole = known.groupBy("lang", "slice", "id").agg(F.sum("n").alias("n")).select("lang", F.lit(None).cast("string").alias("source"), "slice", "id", "n")
-    kind = "lang string, source string, slice int, vector binary"
-    packs = known.unionByName(whole).groupBy("lang", "source", "slice").applyInArrow(_pack, kind)
+    known = counts.join(terms, ["lang", "term"]).select("lang", "source", "slice", "id", "n")
+    packs = known.groupBy("lang", "source", "slice").applyInArrow(_pack, "lang string, source string, slice int, vector binary")
     sizes = terms.groupBy("lang", "slice").agg(F.first("size").alias("size"))
-    totals = known.groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    totals = counts.where("source IS NOT NULL").groupBy("lang", "source").agg(F.sum("n").alias("total"))
     place = F.pmod(F.xxhash64("source"), F.col("seats")).cast("int")
     cells = groups.join(langs, "lang").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     own = cells.join(totals, ["lang", "source"], "left").join(packs.where("source IS NOT NULL"), ["lang", "source", "slice"], "left").withColumn("seat", place)
@@ -239,8 +271,9 @@ def rotated(cells: DataFrame, rounds: int) -> DataFrame:
 
 def diverging(spark: SparkSession, docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_docs: int = MIN_DOCS) -> DataFrame:
     """(lang, source, part, item, value, rank), see above."""
-    counts = stored(spark, term_counts(docs, text, lang, source), "counts")
-    cells, terms = vectors(spark, counts, min_docs)
+    counts = stored(spark, term_counts(docs, text, lang, source, min_docs), "counts")
+    groups = stored(spark, docs.select(F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.coalesce(F.col(source), F.lit("")).alias("source")).distinct(), "groups")
+    cells, terms = vectors(spark, counts, groups)
     seats = cells.agg(F.max("seats")).first()[0] or 1
     met = stored(spark, rotated(cells, seats - 1), "met")
     pairs = met.where("id IS NULL").groupBy("lang", "source", "item").agg(F.sum("value").alias("value")).withColumn("part", F.lit("pair"))
