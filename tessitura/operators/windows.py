@@ -1,15 +1,16 @@
-"""Window operators over series (keys, t, x). Each partitions by the series' key; sequential ones fold an ordered array."""
+"""Window operators over series (keys, t, x). Each partitions by the series' key; sequential ones are
+prefix scans over blocks (scans)."""
 
 from __future__ import annotations
 
-from itertools import accumulate
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import scans
+
 
 def _w(keys: list[str], t: str = "t"):
     return Window.partitionBy(*keys).orderBy(t)
@@ -60,20 +61,8 @@ def _arrays(xs: Column, kernel) -> Column:
 
 
 def smoothed(xs: Column, alpha: float) -> Column:
-    """Array of s[t] = alpha s[t-1] + (1 - alpha) x[t], from s[0] = x[0]. One pass over each array."""
-    return _arrays(xs, lambda x: np.array(list(accumulate(x.tolist(), lambda s, v: alpha * s + (1 - alpha) * v)), dtype=np.float64))
-
-
-def tracked(xs: Column, alpha: float, rise: float) -> Column:
-    """A noise estimate whose smoothing depends on the data: it follows falling values with alpha, rising ones rise times slower.
-    One pass over each array."""
-    up = 1 - (1 - alpha) / rise
-
-    def step(s, v):
-        a = up if v > s else alpha
-        return a * s + (1 - a) * v
-
-    return _arrays(xs, lambda x: np.array(list(accumulate(x.tolist(), step)), dtype=np.float64))
+    """Array of s[t] = alpha s[t-1] + (1 - alpha) x[t], from s[0] = x[0], for short arrays; series of any length: scans.along."""
+    return _arrays(xs, lambda x: scans.Exponential(alpha).run(x, None))
 
 
 def running_minimum(df: DataFrame, keys: list[str], block: int, blocks: int, x: str = "x") -> DataFrame:
@@ -121,25 +110,7 @@ def hysteresis(df: DataFrame, keys: list[str], cache: int, active: str = "active
     """(keys, beg, end) of voice segments. A counter rises with active frames and, inside a segment, falls with others; a
     segment opens when it reaches `cache` (and then starts `cache` frames back, not before 0) and closes at 0. Outside a
     segment inactive frames don't lower the counter. An open segment closes with the last frame."""
-    xs = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("t", active))).alias("z"))
-    kind = "array<struct<beg:bigint,end:bigint>>"
-    start = F.struct(F.lit(0).alias("c"), F.lit(-1).cast("long").alias("open"), F.array().cast(kind).alias("out"))
-
-    def step(s, v):
-        inside = s["open"] >= 0
-        c = F.when(v[active], F.least(s["c"] + 1, F.lit(cache))).when(inside, s["c"] - 1).otherwise(s["c"])
-        opens, closes = ~inside & (c >= cache), inside & (c <= 0)
-        return F.struct(
-            F.when(closes, 0).otherwise(c).alias("c"),
-            F.when(opens, F.greatest(v["t"] - cache, F.lit(0))).when(closes, F.lit(-1).cast("long")).otherwise(s["open"]).alias("open"),
-            F.when(closes, F.array_append(s["out"], F.struct(s["open"].alias("beg"), v["t"].alias("end")))).otherwise(s["out"]).alias("out"),
-        )
-
-    def finish(s):
-        return F.when(s["open"] >= 0, F.array_append(s["out"], F.struct(s["open"].alias("beg"), F.lit(-1).cast("long").alias("end")))).otherwise(s["out"])
-
-    seg = xs.select(*keys, F.element_at("z", -1)["t"].alias("w_t"), F.explode(F.aggregate("z", start, step, finish)).alias("g"))
-    return seg.select(*keys, F.col("g.beg").alias("beg"), F.when(F.col("g.end") < 0, F.col("w_t")).otherwise(F.col("g.end")).alias("end"))
+    return scans.segments(df, keys, cache, active)
 
 
 def gaps(segments: DataFrame, keys: list[str]) -> DataFrame:

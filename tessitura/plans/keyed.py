@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import signal as S
 from ..operators import relational as R
+from ..operators import scans as C
 from ..operators import windows as W
 from . import fixtures as X
 from .fixtures import ROWS, SAMPLES, SERIES, r6
@@ -45,13 +46,11 @@ def win03(spark, d):
 
 
 def win04(spark, d):
-    f = W.folded(s(spark, d), ["key"])
-    return exploded(f.select("key", W.smoothed(F.col("xs"), 0.73519).alias("s")), ["key"], "s")
+    return C.along(s(spark, d), ["key"], C.Exponential(0.73519)).select("key", "t", F.round("s", 6).alias("s"))
 
 
 def win05(spark, d):
-    f = W.folded(s(spark, d), ["key"])
-    return exploded(f.select("key", W.tracked(F.col("xs"), 0.7, 4.0).alias("s")), ["key"], "s", rounded=scaled_round)
+    return C.along(s(spark, d), ["key"], C.Tracking(0.7, 4.0)).select("key", "t", scaled_round(F.col("s")).alias("s"))
 
 
 def win06(spark, d):
