@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import scans as C
 from ..sources import sinks as K
 from ..sources import tables as T
+from ..sources.places import scratch
 from ..streaming import online as O
+from ..streaming import ordered as N
+from . import estimates
 from . import fixtures as X
+from .estimates import mask, spec
 from .fixtures import SAMPLES, SERIES, r6
 from .keyed import SEGMENTS, TRACKED, scaled_round
 
@@ -26,19 +31,33 @@ def st02(spark, d):
     return w.select(instant(F.col("window.start")), "n", F.round("x", 4).alias("x"))
 
 
+def followed(kind):
+    """Each user's values in event time, whatever the order that files and batches give them in."""
+    return lambda spark, d: N.ended(spark, O.event_stream(spark, d), "user_id", N.Followed(kind), "1 hour").withColumnRenamed("user_id", "key")
+
+
 def st03(spark, d):
-    s = O.folded(O.event_stream(spark, d), "user_id", ["value"], ["ts", "event_id"], O.forgetting(0.73519), (0, 0.0), "t long, s double", "key long, t long, s double")
-    return O.drained(spark, s).select("key", "t", F.round("s", 6).alias("s"))
+    return followed(C.Exponential(0.73519))(spark, d).select("key", "t", F.round("s", 6).alias("s"))
+
+
+def st03_covariances(spark, d):
+    """Frames that come in three files, in rough order of time only."""
+    frame, folder = N.frames(spec(spark, d), mask(spark, d)), scratch(spark, "frames")
+    at = F.least(F.lit(2), F.floor((F.col("t") + F.col("utt") % 2) / 3))
+    for k in range(3):
+        frame.where(at == k).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(frame.schema).parquet(folder)
+    out = N.unpacked(N.ended(spark, stream, "utt", N.Covariances(3, 0.8, X.BINS), "2 seconds"), X.BINS)
+    return out.select("utt", "chunk", "f", "i", "j", F.round("re", 6).alias("re"), F.round("im", 6).alias("im"))
 
 
 def st04(spark, d):
-    s = O.folded(O.event_stream(spark, d), "user_id", ["value"], ["ts", "event_id"], O.tracking(0.7, 4.0), (0, 0.0), "t long, s double", "key long, t long, s double")
-    return O.drained(spark, s).select("key", "t", scaled_round(F.col("s")).alias("s"))
+    return followed(C.Tracking(0.7, 4.0))(spark, d).select("key", "t", scaled_round(F.col("s")).alias("s"))
 
 
 def st05(spark, d):
-    s = O.folded(O.event_stream(spark, d), "user_id", ["event_type"], ["ts", "event_id"], O.segmenting(3, frozenset(("click", "purchase"))), (0, 0, -1), "t long, c long, open long", "key long, beg long, end long")
-    return O.all_segments(spark, s, "user_id")
+    s = N.ended(spark, O.event_stream(spark, d), "user_id", N.Segmented(3, ("click", "purchase")), "1 hour")
+    return s.withColumnRenamed("user_id", "key")
 
 
 def st05_sessions(spark, d):
@@ -126,6 +145,7 @@ QUERIES = {
     "st01_tumbling_stream": (st01, "SELECT epoch(date_trunc('day', ts))::BIGINT AS at, count(*) AS n, round(sum(value), 4) + 0.0 AS x FROM events GROUP BY 1"),
     "st02_hopping_stream": (st02, "SELECT epoch(date_trunc('day', ts) - to_days(k::INT))::BIGINT AS at, count(*) AS n, round(sum(value), 4) + 0.0 AS x FROM events, range(2) r(k) GROUP BY 1"),
     "st03_forgetting_stream": (st03, f"WITH {SERIES} SELECT a.key, a.t, {r6('sum(CASE WHEN b.t = 0 THEN b.x ELSE (1 - 0.73519) * b.x END * 0.73519 ** (a.t - b.t))')} AS s FROM series a JOIN series b ON a.key = b.key AND b.t <= a.t GROUP BY a.key, a.t"),
+    "st03_covariance_stream": (st03_covariances, estimates.QUERIES["bf11_online_covariance"][1]),
     "st04_noise_stream": (st04, TRACKED),
     "st05_segment_stream": (st05, SEGMENTS),
     "st05_sessions": (st05_sessions, "SELECT user_id, floor(min(epoch(ts)))::BIGINT AS at, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, g"),

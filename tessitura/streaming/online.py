@@ -1,10 +1,7 @@
-"""Online forms for Structured Streaming: blocks in event time, and recursions that keep a small state for each key."""
+"""Online forms for Structured Streaming: blocks in event time. Recurrences in event time: see `ordered`."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,77 +29,12 @@ def sessions(stream: DataFrame, gap: str, late: str = "1 hour") -> DataFrame:
     return stream.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("window"), "user_id").agg(F.count("*").alias("n"))
 
 
-def folded(stream: DataFrame, key: str, columns: list[str], order: list[str], step: Callable, start: tuple, state: str, out: str) -> DataFrame:
-    """A recursion over each key's rows: step(state, *values) -> (state, rows). The state is all that is kept. Rows are put in
-    order inside a micro-batch; from one to the next they must come in order, as a source partitioned by key gives them."""
-
-    def run(group, frames: Iterator[pd.DataFrame], kept):
-        now = kept.get if kept.exists else start
-        rows = []
-        for row in pd.concat(list(frames)).sort_values(order).itertuples(index=False):
-            now, made = step(now, *(getattr(row, c) for c in columns))
-            rows += [(*group, *m) for m in made]
-        kept.update(now)
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in out.split(", ")])
-
-    return stream.select(key, *dict.fromkeys([*columns, *order])).groupBy(key).applyInPandasWithState(run, out, state, "append", "NoTimeout")
-
-
-def forgetting(alpha: float) -> Callable:
-    """s = alpha s + (1 - alpha) x, from the first value. State (t, s)."""
-
-    def step(state, x):
-        t, s = state
-        s = float(x) if t == 0 else alpha * s + (1 - alpha) * float(x)
-        return (t + 1, s), [(t, s)]
-
-    return step
-
-
-def tracking(alpha: float, rise: float) -> Callable:
-    """A noise level that follows falling values with alpha and rising ones more slowly. State (t, s)."""
-
-    def step(state, x):
-        t, s = state
-        a = 1 - (1 - alpha) / rise if x > s else alpha
-        s = float(x) if t == 0 else a * s + (1 - a) * float(x)
-        return (t + 1, s), [(t, s)]
-
-    return step
-
-
-def segmenting(cache: int, active: frozenset) -> Callable:
-    """Voice segments as they close: see operators.windows.hysteresis. State (t, count, open); `all_segments` adds what is open."""
-
-    def step(state, kind):
-        t, c, opened = state
-        if kind in active:
-            c = min(c + 1, cache)
-        elif opened >= 0:
-            c -= 1
-        if opened < 0 and c >= cache:
-            return (t + 1, c, max(t - cache, 0)), []
-        if opened >= 0 and c <= 0:
-            return (t + 1, 0, -1), [(opened, t)]
-        return (t + 1, c, opened), []
-
-    return step
-
-
-def drained(spark: SparkSession, stream: DataFrame, mode: str = "append", left: bool = False):
-    """What a stream gives for all that is there now, through a file sink in the shared folder. left: also what the stream's
-    state holds at that moment, as (key's columns, state's columns)."""
+def drained(spark: SparkSession, stream: DataFrame, mode: str = "append"):
+    """What a stream gives for all that is there now, through a file sink in the shared folder."""
     path = scratch(spark, "stream")
     if mode == "append":
         q = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     else:
         q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{path}/out")).trigger(availableNow=True).start()
     q.awaitTermination()
-    out = spark.read.schema(stream.schema).parquet(f"{path}/out")
-    return (out, spark.read.format("statestore").load(f"{path}/state").select("key.*", "value.groupState.*")) if left else out
-
-
-def all_segments(spark: SparkSession, stream: DataFrame, key: str) -> DataFrame:
-    """(key, beg, end): the closed segments of a stream of `segmenting` and those still open, which end with the last frame seen."""
-    closed, state = drained(spark, stream, left=True)
-    return closed.unionByName(state.where("open >= 0").select(F.col(key).alias("key"), F.col("open").alias("beg"), (F.col("t") - 1).alias("end")))
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
