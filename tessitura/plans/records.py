@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..sources import archive_source as S
 from ..sources import archives as A
 from ..sources import sinks as K
 from ..sources import tables as T
@@ -29,6 +30,14 @@ def src05(spark, d):
     return values(A.read_whole(spark, folder))
 
 
+def udf02(spark, d):
+    """Written and read by the data source, by tasks of 4 kB each."""
+    folder = scratch(spark, "archives")
+    S.registered(spark)
+    records(spark, d).write.format("archives").option("token", "DM").mode("append").save(folder)
+    return values(S.read_split(spark, folder, 4096))
+
+
 def src10(spark, d):
     return values(A.read_at(A.write_archives(records(spark, d, 1), scratch(spark, "archives"), "DV")))
 
@@ -91,6 +100,7 @@ BACK = f"{V} SELECT {KEY} AS key, n, {r6('x')} AS x FROM samples"
 QUERIES = {
     "src05_sequential_archives": (src05, BACK),
     "src10_random_access": (src10, BACK),
+    "udf02_archive_source": (udf02, BACK),
     "src12_extended_raw": (src12, BACK),
     "snk05_extended_raw_vectors": (snk05, BACK),
     "src15_table_specifiers": (src15, f"{V} SELECT {KEY} AS key, n, {r6('x * k')} AS x, how FROM samples, (VALUES ('scp', 2), ('ark', 1)) v(how, k)"),

@@ -187,7 +187,12 @@ def read_at(index: DataFrame, kind: str = "archive") -> DataFrame:
 
 
 def read_whole(spark: SparkSession, path: str, kind: str = "archive") -> DataFrame:
-    """All records of the files below a path, front to back: one task a file. Large files: read_at with their index."""
+    """All records of the files below a path. Archives are cut at byte ranges (see archive_source). Extended-raw records have no
+    mark to find them by: one task reads a file from front to back; for large files of these use read_at with their index."""
+    if kind == "archive":
+        from .archive_source import read_split
+
+        return read_split(spark, path)
     parse = FORMATS[kind]
 
     def run(batches):
@@ -236,7 +241,7 @@ def wave_headers(files: DataFrame) -> DataFrame:
                         raise ValueError(f"{path} is no RIFF wave")
                     at, found = 12, {}
                     while at + 8 <= f.size() and "data" not in found:
-                        name, size = struct.unpack("<4si", f.read_at(8, at))
+                        name, size = struct.unpack("<4sI", f.read_at(8, at))
                         found[name.decode("latin-1").strip()] = (at + 8, size)
                         at += 8 + size + size % 2
                     _, channels, sr, _, block, _ = struct.unpack("<hhiihh", f.read_at(16, found["fmt"][0]))
