@@ -6,7 +6,6 @@ group's key, so results don't depend on partitioning. A group that can't be solv
 
 from __future__ import annotations
 
-import itertools
 import math
 import zlib
 
@@ -16,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .linalg import covariance, principal
+from .assignment import assigned
 from .windows import smoothed
 
 EPS = 1.1920929e-07
@@ -112,7 +112,7 @@ def mixture_masks(spec: DataFrame, classes: int = 2, rounds: int = 20, angular:
 
 def aligned(masks: DataFrame, rounds: int = 10) -> DataFrame:
     """(utt, k, t, f, m): classes of all bins put in one order. Each bin takes the permutation whose masks correlate best with
-    the mean over the other bins, until none changes. Permutations are enumerated: classes are few."""
+    the mean over the other bins, found as an assignment, until none changes."""
 
     def run(key, group):
         k, t, f = (np.asarray(group.column(c)) for c in ("k", "t", "f"))
@@ -125,9 +125,9 @@ def aligned(masks: DataFrame, rounds: int = 10) -> DataFrame:
             for b in range(len(fs)):
                 centre = unit(np.delete(m, b, axis=0).mean(axis=0)) if len(fs) > 1 else unit(m[b])
                 score = unit(m[b]) @ centre.T
-                best = max(itertools.permutations(range(len(ks))), key=lambda p: sum(score[p[i], i] for i in range(len(ks))))
-                if best != tuple(range(len(ks))):
-                    m[b] = m[b][list(best)]
+                best = assigned(-score.T[None])[0]
+                if (best != np.arange(len(ks))).any():
+                    m[b] = m[b][best]
                     moved = True
             if not moved:
                 break

@@ -119,9 +119,16 @@ def gaps(segments: DataFrame, keys: list[str]) -> DataFrame:
     return segments.withColumn("w_b", before).where("w_b < beg").select(*keys, F.col("w_b").alias("beg"), F.col("beg").alias("end"))
 
 
-def within(df: DataFrame, segments: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of df inside each segment [beg, end): a range join by key."""
-    return df.join(segments, keys).where((F.col("t") >= F.col("beg")) & (F.col("t") < F.col("end")))
+def within(df: DataFrame, segments: DataFrame, keys: list[str], width: float | None = None) -> DataFrame:
+    """Rows of df inside each segment [beg, end): a join by key and bin of time. A segment is dealt to all bins of `width` that it
+    touches (the mean length of a segment unless given), a row to its own, so that rows meet the segments near them only."""
+    if width is None:
+        width = segments.agg(F.avg((F.col("end") - F.col("beg")).cast("double"))).first()[0]
+    width = F.lit(max(float(width or 1.0), 1e-9))
+    bins = F.sequence(F.floor(F.col("beg") / width), F.floor(F.col("end") / width))
+    dealt = segments.where("beg < end").withColumn("w_bin", F.explode(bins))
+    found = df.withColumn("w_bin", F.floor(F.col("t") / width)).join(dealt, [*keys, "w_bin"])
+    return found.where((F.col("t") >= F.col("beg")) & (F.col("t") < F.col("end"))).drop("w_bin")
 
 
 def repeated_to(xs: Column, n: int) -> Column:

@@ -88,13 +88,24 @@ def met02(spark, d):
     est = x.where("ch < 2").select("utt", "n", F.col("ch").alias("est_spk"), F.col("x").alias("est"))
     ref = x.where("ch > 1").select("utt", "n", (F.col("ch") - 2).alias("ref_spk"), F.col("x").alias("ref"))
     s = M.si_snr(est.join(ref, ["utt", "n"]), ["utt", "est_spk", "ref_spk"])
-    return M.best_permutation(spark, s, ["utt"], 2).select("utt", F.round("value", 6).alias("value"), "p")
+    return M.best_permutation(s, ["utt"], 2).select("utt", F.round("value", 6).alias("value"), "p")
 
 
 def met03(spark, d):
     return M.sdr(X.pair(spark, d).select("utt", F.col("y").alias("est"), F.col("a").alias("ref")), 4).select("utt", F.round("value", 3).alias("value"))
 
 
+def met03_scores(spark, d):
+    """SDR, SIR and SAR of channels 2 and 3 mixed either way, against both, in the better order, filters of 16 taps."""
+    ch = F.array_sort(F.collect_list(F.struct("ch", "x")))
+    w = X.wave(spark, d).groupBy("utt").agg(ch.alias("z")).where("size(z) = 4")
+    x = [F.col("z")[k]["x"] for k in range(4)]
+    mix = lambda a, b, c: F.zip_with(F.zip_with(a, b, lambda p, q: p + 0.3 * q), c, lambda p, q: p + 0.1 * q)
+    s = M.separation_scores(w.select("utt", F.array(mix(x[3], x[2], x[0]), mix(x[2], x[3], x[1])).alias("ests"), F.array(x[2], x[3]).alias("refs")), 16)
+    best = M.best_permutation(s.select("utt", "est_spk", "ref_spk", F.col("sir").alias("value")), ["utt"], 2)
+    return s.join(best.select("utt", "p"), "utt").where((F.col("est_spk") == F.col("ref_spk")) == (F.col("p") == 0)).select("utt", "est_spk", "ref_spk", *(F.round(c, 3).alias(c) for c in ("sdr", "sir", "sar")))
+
+
 def met05(spark, d):
     return M.word_errors(X.transcripts(spark, d), ["conv_id", "turn"]).select("conv_id", "turn", "err", "len", F.round("wer", 6).alias("wer"))
 
@@ -104,7 +115,7 @@ def met04(spark, d):
     c = X.read(spark, d, "conversations")
     said = lambda k, name: c.select("conv_id", (F.col("turn") - k).alias("turn"), F.coalesce(F.split(F.btrim("text"), "\\s+"), F.array().cast("array<string>")).alias(name))
     four = said(0, "h0").join(said(1, "h1"), ["conv_id", "turn"]).join(said(2, "r0"), ["conv_id", "turn"]).join(said(3, "r1"), ["conv_id", "turn"])
-    return M.permuted_word_errors(spark, four.select("conv_id", "turn", F.array("h0", "h1").alias("hyps"), F.array("r0", "r1").alias("refs")), ["conv_id", "turn"], 2)
+    return M.permuted_word_errors(four.select("conv_id", "turn", F.array("h0", "h1").alias("hyps"), F.array("r0", "r1").alias("refs")), ["conv_id", "turn"], 2)
 
 
 def agg05(spark, d):
@@ -207,6 +218,7 @@ QUERIES = {
     "met01_si_snr": (met01, f"{V}, {PAIR}, {_SI} SELECT utt, {r6('value')} AS value FROM si"),
     "met02_permuted_si_snr": (met02, f"{V}, s AS (SELECT utt, i, j, {SNR} AS v FROM " + MOM.format(k="utt, i, j", q="SELECT a.utt, a.ch AS i, b.ch - 2 AS j, a.x AS e, b.x AS r FROM samples a JOIN samples b ON a.utt=b.utt AND a.n=b.n AND a.ch<2 AND b.ch>1") + f"), p AS (SELECT utt, CASE WHEN i = j THEN 0 ELSE 1 END AS p, avg(v) AS v FROM s GROUP BY ALL) SELECT utt, {r6('max(v)')} AS value, CASE WHEN round(max(v) FILTER (p = 0), 9) >= round(max(v) FILTER (p = 1), 9) THEN 0 ELSE 1 END::BIGINT AS p FROM p GROUP BY utt"),
     "met03_sdr": (met03, None),
+    "met03_separation_scores": (met03_scores, None),
     "met05_word_errors": (met05, None),
     "met04_permuted_word_errors": (met04, None),
     "agg05_ratio_report": (agg05, None),

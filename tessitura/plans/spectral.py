@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.signal import at, window_value
+from ..operators import blocks as B
 from ..operators import masks as M
 from ..operators import transforms as T
 from . import fixtures as X
@@ -40,6 +41,18 @@ def tf01(spark, d):
     return rounded(spec(spark, d), "re", "im")
 
 
+def tf01_blocks(spark, d):
+    """The same from waves in blocks of 24 samples."""
+    f = B.stft_frames(B.cut(X.wave(spark, d), ["utt", "ch"], 24), C, ["utt", "ch"], 24)
+    return rounded(f.select("utt", "ch", "t", F.posexplode(F.arrays_zip("re", "im")).alias("f", "z")).select("utt", "ch", "t", F.col("f").cast("long").alias("f"), "z.re", "z.im"), "re", "im")
+
+
+def tf04_blocks(spark, d):
+    f = B.stft_frames(B.cut(X.wave(spark, d), ["utt", "ch"], 24), C, ["utt", "ch"], 24)
+    x = B.istft_blocks(f, C, ["utt", "ch"], 40)
+    return x.select("utt", "ch", "blk", F.posexplode("x").alias("n", "x")).select("utt", "ch", (F.col("blk") * 40 + F.col("n")).alias("n"), F.round("x", 6).alias("x"))
+
+
 def tf01_hamming(spark, d):
     return rounded(T.stft(X.wave(spark, d), T.StftConfig(X.LEN, X.HOP, False, window="hamming", periodic=False, pad="zero")), "re", "im")
 
@@ -177,6 +190,8 @@ QUERIES = {
     "tf01_stft": (tf01, f"{W}{STFT} SELECT utt, ch, t, f, {r6('re')} AS re, {r6('im')} AS im FROM stft"),
     "tf02_stft_symmetric": (tf01_hamming, W + X.stft_sql("samples", "utt, ch", "stft", window=f"(0.54 - 0.46 * cos(2 * pi() * k / {X.LEN - 1}))") + f" SELECT utt, ch, t, f, {r6('re')} AS re, {r6('im')} AS im FROM stft"),
     "tf03_frame_counts": (tf03, f"{W} n AS (SELECT utt, ch, count(*) AS n FROM samples GROUP BY ALL) SELECT utt, ch, (n - {X.LEN}) // {X.HOP} + 1 AS frames, (n - {X.LEN}) // {X.HOP} * {X.HOP} + {X.LEN} AS samples FROM n"),
+    "tf01_stft_blocks": (tf01_blocks, f"{W}{STFT} SELECT utt, ch, t, f, {r6('re')} AS re, {r6('im')} AS im FROM stft"),
+    "tf04_istft_blocks": (tf04_blocks, f"{W}{STFT} " + _overlap("stft", "utt, ch")),
     "tf04_istft": (tf04, f"{W}{STFT} " + _overlap("stft", "utt, ch")),
     "tf05_renormalised": (tf05, f"{W}{STFT}, o AS ({_overlap('stft', 'utt, ch').replace('(round(', '((', 1).replace(', 6) + 0.0) AS x', ')) AS x', 1)}), p AS (SELECT utt, n, x * (utt % 5 + 1) / 8.0 / (max(abs(x)) OVER (PARTITION BY utt) + 1.1920929e-07) AS x FROM o WHERE ch = 0) SELECT utt, n, {r6('x')} AS x, round(x * 32767)::BIGINT AS pcm FROM p"),
     "tf06_spectrogram": (tf06, f"{W}{STFT} SELECT utt, t, f, {r6('sqrt(re*re+im*im)')} AS m, {r6(f'ln(greatest(re*re+im*im, {EPS}))')} AS logpow FROM stft WHERE ch = 0"),
