@@ -14,8 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .linalg import covariance, principal
+from . import families
 from .assignment import assigned
+from .linalg import covariance, principal
 from .windows import smoothed
 
 EPS = 1.1920929e-07
@@ -53,50 +54,19 @@ def _seed(key: tuple, seed: int = 777) -> np.random.Generator:
     return np.random.default_rng(zlib.crc32(repr((seed, *key)).encode()))
 
 
-def _quadratic(y: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, float]:
-    """y^H R^-1 y of each frame and log det R; R with floored eigenvalues. y: channels x frames."""
-    v, u = np.linalg.eigh((r + r.conj().T) / 2)
-    v = np.maximum(v, EPS * max(v[-1], EPS))
-    z = u.conj().T @ y
-    return ((np.abs(z) ** 2) / v[:, None]).sum(axis=0), float(np.log(v).sum())
-
-
 def mixture(y: np.ndarray, classes: int, rounds: int, rng: np.random.Generator, angular: bool = False, start: np.ndarray | None = None, weights: bool = False) -> np.ndarray:
     """Posteriors classes x frames of a complex Gaussian mixture with time-varying scales, or of a complex angular central
     Gaussian mixture of normalised observations. y: channels x frames."""
-    m, t = y.shape
-    if angular:
-        y = y / np.maximum(np.sqrt((np.abs(y) ** 2).sum(axis=0)), EPS)
-    outer = np.einsum("it,jt->tij", y, y.conj())
+    kind = families.FAMILIES["angular" if angular else "gaussian"]
+    y = kind.prepared(y)
+    r, gamma = kind.start(y, classes, rng)
     if start is not None:
-        gamma = start
-    elif classes == 2 and not angular:
-        gamma = None
-    else:
-        gamma = rng.random((classes, t))
-        gamma = gamma / gamma.sum(axis=0)
+        r, gamma = np.stack([np.eye(len(y), dtype=complex)] * classes), start
     alpha = np.full(classes, 1.0 / classes)
-    r = np.stack([outer.mean(axis=0), np.eye(m, dtype=complex)]) if gamma is None else np.stack([np.eye(m, dtype=complex)] * classes)
-    scale = np.stack([np.maximum(_quadratic(y, r[k])[0] / m, EPS) for k in range(classes)])
-    for step in range(rounds + 1):
-        if gamma is None or step:
-            like = []
-            for k in range(classes):
-                q, logdet = _quadratic(y, r[k])
-                like.append(np.log(alpha[k] + EPS) - logdet - (m * np.log(np.maximum(q, EPS)) if angular else m * np.log(scale[k]) + q / scale[k]))
-            like = np.stack(like)
-            gamma = np.exp(like - like.max(axis=0))
-            gamma = gamma / gamma.sum(axis=0)
-        if step == rounds:
-            break
-        for k in range(classes):
-            q = np.maximum(_quadratic(y, r[k])[0], EPS)
-            w = gamma[k] * m / q
-            r[k] = np.einsum("t,tij->ij", w, outer) / max(gamma[k].sum(), EPS)
-            scale[k] = np.maximum(_quadratic(y, r[k])[0] / m, EPS)
-        if weights:
-            alpha = gamma.mean(axis=1)
-    return gamma
+    if not rounds and gamma is not None:
+        return gamma
+    alpha, r = families.rounds_of(kind, y, alpha, r, gamma, rounds, weights)
+    return families.posteriors(kind, y, alpha, r)
 
 
 def mixture_masks(spec: DataFrame, classes: int = 2, rounds: int = 20, angular: bool = False, update_alpha: bool = False, seed: int = 777) -> DataFrame:

@@ -13,6 +13,36 @@ from ..functions.signal import EPSILON, SPEED, directivity, sabine_rt60, sinc, s
 from ..sources.places import scratch
 
 
+#: What a plan of mixtures must keep to: a rule and its condition, on arrays (null: empty) of one row a mixture.
+RULES = {
+    "a response for every speaker, or none": "size(speaker_rirs) IN (0, size(speakers))",
+    "ratios for more than one speaker": "size(speakers) <= 1 OR size(sdrs) > 0",
+    "a ratio for every speaker but the first": "size(sdrs) = 0 OR size(sdrs) = size(speakers) - 1",
+    "a beginning for every speaker, or none": "size(speaker_begins) IN (0, size(speakers))",
+    "a response for every noise, or none": "size(noises) = 0 OR size(noise_rirs) IN (0, size(noises))",
+    "a ratio for every noise": "size(noises) = 0 OR size(noise_snrs) = size(noises)",
+    "a beginning for every noise, or none": "size(noises) = 0 OR size(noise_begins) IN (0, size(noises))",
+    "a ratio for isotropic noise": "size(isotropic) = 0 OR size(isotropic_snrs) > 0",
+    "as many channels in every response": "size(array_distinct(rir_channels)) <= 1",
+}
+_LISTS = ("speakers", "speaker_rirs", "sdrs", "speaker_begins", "noises", "noise_rirs", "noise_snrs", "noise_begins", "isotropic", "isotropic_snrs", "rir_channels")
+
+
+def violations(plan: DataFrame, key: str = "utt") -> DataFrame:
+    """(rule, n, first): how many mixtures break each rule, and the first that does, from one aggregate of the plan. Lists that the
+    plan has no column for are empty."""
+    lists = plan.select(key, *((F.coalesce(F.col(c), F.array()) if c in plan.columns else F.array()).alias(c) for c in _LISTS))
+    broken = [F.struct(F.lit(rule).alias("rule"), F.count_if(~F.expr(ok)).alias("n"), F.min(F.when(~F.expr(ok), F.col(key))).alias("first")) for rule, ok in RULES.items()]
+    return lists.agg(F.array(*broken).alias("v")).select(F.inline("v"))
+
+
+def validated(plan: DataFrame, key: str = "utt") -> DataFrame:
+    """The plan, if it keeps to all rules; else an error that names the rules broken, before anything is simulated."""
+    said = F.concat(F.lit("the plan lacks "), F.col("rule"), F.lit(": "), F.col("n").cast("string"), F.lit(" mixtures, first "), F.col("first").cast("string"))
+    violations(plan, key).select(F.assert_true(F.col("n") == 0, said)).collect()
+    return plan
+
+
 def power(x: Column) -> Column:
     """Mean square of an array."""
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v) / F.size(x)

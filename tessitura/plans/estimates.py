@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions.signal import at
 from ..operators import estimation as E
+from ..operators import families as A
 from ..operators import masks as K
 from ..operators import metrics as M
 from ..operators import relational as R
 from ..operators import simulation as S
 from ..operators import transforms as T
+from ..sources.places import scratch
 from . import fixtures as X
 from .arrays import COV, MASK, mask
 from .fixtures import PAIR, SAMPLES, STFT, r6
@@ -31,6 +33,29 @@ def em02(spark, d):
     return cells(E.aligned(E.mixture_masks(spec(spark, d), 2, 5, angular=True, update_alpha=True)), "m")
 
 
+def em03(spark, d):
+    """Four rounds, stored, then two more from there; bins of even utterances had all six before and are passed over."""
+    s = spec(spark, d)
+    done = A.fitted(s.where("utt % 2 = 0"), rounds=6)
+    path = scratch(spark, "model")
+    A.fitted(s.where("utt % 2 = 1"), rounds=4).unionByName(done).write.parquet(path)
+    model = A.fitted(s, rounds=6, model=spark.read.parquet(path))
+    return cells(A.masks_of(s, model), "m")
+
+
+def sim05(spark, d):
+    """Orders as plans of mixtures: lines are speakers, some with a response; returned lines are noises."""
+    line = X.read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("utt"))
+    listed = lambda on, value="l_quantity": F.collect_list(F.when(on, F.col(value)))
+    yes, returned = F.lit(True), F.col("l_returnflag") == "R"
+    plan = line.agg(
+        listed(yes).alias("speakers"), listed(F.col("l_linestatus") == "O").alias("speaker_rirs"), listed(F.col("l_linenumber") > 1).alias("sdrs"),
+        listed(returned).alias("noises"), listed(returned & (F.col("l_discount") > 0.05)).alias("noise_snrs"), listed(F.col("l_linenumber") == 1, "l_tax").alias("isotropic"), listed(F.col("l_linenumber") == 2).alias("isotropic_snrs"),
+        listed(yes, "l_linenumber").alias("rir_channels"),
+    )
+    return S.violations(plan).withColumn("first", F.coalesce("first", F.lit(-1).cast("long")))
+
+
 def em04(spark, d):
     s = spec(spark, d).withColumn("p", at().power())
     n = s.groupBy("utt", "t", "f").agg(F.sqrt(F.sum("p")).alias("size"))
@@ -140,7 +165,7 @@ def sim01(spark, d):
 
 def sim02(spark, d):
     x = X.samples(spark, d).where("ch = 0").select("utt", "n", "x")
-    noise = X.wave(spark, d).where("ch = 1").select("utt", F.slice("x", 1, 20).alias("x"), F.lit(5).cast("long").alias("begin"), F.lit(10.0).alias("snr"))
+    noise = X.wave(spark, d).where("ch = 1").select("utt", "x", F.lit(5).cast("long").alias("begin"), F.lit(10.0).alias("snr"))
     y = S.peak_normalised(S.add_noise(x, noise, ["utt"]), ["utt"], ["noise"])
     return y.select("utt", "n", F.round("x", 6).alias("x"), F.round("noise", 6).alias("noise"))
 
@@ -218,6 +243,13 @@ QUERIES = {
     "met01_si_snr": (met01, f"{V}, {PAIR}, {_SI} SELECT utt, {r6('value')} AS value FROM si"),
     "met02_permuted_si_snr": (met02, f"{V}, s AS (SELECT utt, i, j, {SNR} AS v FROM " + MOM.format(k="utt, i, j", q="SELECT a.utt, a.ch AS i, b.ch - 2 AS j, a.x AS e, b.x AS r FROM samples a JOIN samples b ON a.utt=b.utt AND a.n=b.n AND a.ch<2 AND b.ch>1") + f"), p AS (SELECT utt, CASE WHEN i = j THEN 0 ELSE 1 END AS p, avg(v) AS v FROM s GROUP BY ALL) SELECT utt, {r6('max(v)')} AS value, CASE WHEN round(max(v) FILTER (p = 0), 9) >= round(max(v) FILTER (p = 1), 9) THEN 0 ELSE 1 END::BIGINT AS p FROM p GROUP BY utt"),
     "met03_sdr": (met03, None),
+    "em03_resumed_masks": (em03, None),
+    "sim05_plan_checks": (sim05, """WITH p AS (SELECT l_orderkey AS utt, count(*) AS s, count(*) FILTER (l_linestatus = 'O') AS r, count(*) FILTER (l_linenumber > 1) AS d,
+      count(*) FILTER (l_returnflag = 'R') AS n, count(*) FILTER (l_returnflag = 'R' AND l_discount > 0.05) AS q, count(*) FILTER (l_linenumber = 1) AS i, count(*) FILTER (l_linenumber = 2) AS j, count(DISTINCT l_linenumber) AS c FROM lineitem GROUP BY 1),
+      b AS (SELECT utt, unnest([{'rule': 'a response for every speaker, or none', 'bad': r NOT IN (0, s)}, {'rule': 'ratios for more than one speaker', 'bad': s > 1 AND d = 0}, {'rule': 'a ratio for every speaker but the first', 'bad': d <> 0 AND d <> s - 1},
+        {'rule': 'a beginning for every speaker, or none', 'bad': false}, {'rule': 'a response for every noise, or none', 'bad': false}, {'rule': 'a ratio for every noise', 'bad': n <> 0 AND q <> n}, {'rule': 'a beginning for every noise, or none', 'bad': false},
+        {'rule': 'a ratio for isotropic noise', 'bad': i <> 0 AND j = 0}, {'rule': 'as many channels in every response', 'bad': c > 1}]) AS x FROM p)
+      SELECT x.rule AS rule, count(*) FILTER (x.bad) AS n, coalesce(min(utt) FILTER (x.bad), -1) AS first FROM b GROUP BY 1"""),
     "met03_separation_scores": (met03_scores, None),
     "met05_word_errors": (met05, None),
     "met04_permuted_word_errors": (met04, None),
@@ -225,8 +257,8 @@ QUERIES = {
     "met06_class_si_snr": (met06, f"{V}, {PAIR}, {_SI}, c AS (SELECT value, CASE utt % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'NG' END AS cls FROM si) SELECT coalesce(cls, 'ALL') AS cls, count(*) AS n, round(avg(value), 4) + 0.0 AS mean FROM c GROUP BY ROLLUP (cls)"),
     "met07_verification": (met07, f"WITH {X.SPEAKERS}, c AS (SELECT spk, i, avg(x) AS y FROM speakers GROUP BY ALL) SELECT s.utt, c.spk, round(sum(s.x*c.y), 2) + 0.0 AS score, CASE WHEN s.spk = c.spk THEN 'target' ELSE 'nontarget' END AS kind FROM speakers s JOIN c USING (i) GROUP BY s.utt, s.spk, c.spk"),
     "sim01_mix_speakers": (sim01, f"{V}, p AS (SELECT utt, avg(x*x) FILTER (ch = 0) AS p0, avg(x*x) FILTER (ch = 1) AS p1 FROM samples GROUP BY utt) SELECT utt, n + ch * 8 AS n, {r6('sum(x * CASE WHEN ch = 0 THEN 1 ELSE sqrt(p0/(p1*10**(-0.3)+1.1920929e-07)) END)')} AS x FROM samples JOIN p USING (utt) WHERE ch < 2 GROUP BY utt, n + ch * 8"),
-    "sim02_add_noise": (sim02, f"""{V}, p AS (SELECT utt, avg(x*x) FILTER (ch = 0) AS ps, avg(x*x) FILTER (ch = 1 AND n < 20) AS pn FROM samples GROUP BY utt), y AS (SELECT a.utt, a.n, CASE WHEN a.n < 5 THEN 0 ELSE b.x * sqrt(ps/(pn*10**1.0+1.1920929e-07)) END AS noise, a.x AS s
-      FROM samples a JOIN p USING (utt) JOIN samples b ON b.utt = a.utt AND b.ch = 1 AND b.n = (a.n + 15) % 20 WHERE a.ch = 0) SELECT utt, n, {r6('(s+noise)*0.9/(max(abs(s+noise)) OVER (PARTITION BY utt)+1.1920929e-07)')} AS x, {r6('noise*0.9/(max(abs(s+noise)) OVER (PARTITION BY utt)+1.1920929e-07)')} AS noise FROM y"""),
+    "sim02_add_noise": (sim02, f"""{V}, p AS (SELECT utt, avg(x*x) FILTER (ch = 0) AS ps, avg(x*x) FILTER (ch = 1) AS pn FROM samples GROUP BY utt), y AS (SELECT a.utt, a.n, CASE WHEN a.n < 5 THEN 0 ELSE b.x * sqrt(ps/(pn*10**1.0+1.1920929e-07)) END AS noise, a.x AS s
+      FROM samples a JOIN p USING (utt) JOIN samples b ON b.utt = a.utt AND b.ch = 1 AND b.n = (a.n + 59) % 64 WHERE a.ch = 0) SELECT utt, n, {r6('(s+noise)*0.9/(max(abs(s+noise)) OVER (PARTITION BY utt)+1.1920929e-07)')} AS x, {r6('noise*0.9/(max(abs(s+noise)) OVER (PARTITION BY utt)+1.1920929e-07)')} AS noise FROM y"""),
     "sim07_early_power": (sim07, f"{V}, k AS (SELECT utt, arg_max(n, abs(x)) AS p FROM samples WHERE ch = 0 GROUP BY utt) SELECT utt, {r6('sum(x*x)/count(*)')} AS p FROM samples JOIN k USING (utt) WHERE ch = 0 AND n >= k.p - 5 AND n < k.p + 20 GROUP BY utt"),
     "sim08_impulse_response": (sim08, f"""WITH m AS (SELECT mic, rx, mx, my, mz, q, j, k, (1-2*q)*2.0-rx+2*mx*5.0 AS dx, (1-2*j)*3.5-1.5+2*my*4.0 AS dy, (1-2*k)*2.0-2.0+2*mz*6.0 AS dz, abs(2*mx-q)+abs(2*my-j)+abs(2*mz-k) AS b
       FROM (VALUES (0, 2.0::DOUBLE), (1, 1.0::DOUBLE)) r(mic, rx), range(-2, 3) a(mx), range(-2, 3) b(my), range(-2, 3) c(mz), range(2) e(q), range(2) f(j), range(2) g(k)), d AS (SELECT *, sqrt(dx*dx+dy*dy+dz*dz)/(343.0/16000) AS dist FROM m WHERE b <= 2)

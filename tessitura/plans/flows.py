@@ -96,13 +96,13 @@ def src14(spark, d):
 
 
 def src08(spark, d):
-    w = X.wave(spark, d).where("ch = 0").select("utt", "x")
+    w = X.wave(spark, d).select((F.col("utt") * 4 + F.col("ch")).alias("utt"), "x")
     files = K.encode_arrays(w, "float64").select(F.col("utt").cast("string").alias("key"), F.lit("").alias("path"), "content")
     return T.read_arrays(files).select(F.col("key").cast("long").alias("utt"), F.col("cols").cast("long").alias("n"), F.round(F.aggregate("x", F.lit(0.0), lambda a, x: a + x), 6).alias("x"))
 
 
 def src11(spark, d):
-    w = X.wave(spark, d).where("ch = 0").select("utt", "x")
+    w = X.wave(spark, d).select((F.col("utt") * 4 + F.col("ch")).alias("utt"), "x")
     files = K.encode_arrays(w, "float64").select(F.col("utt").cast("string").alias("key"), F.lit("").alias("path"), F.expr("substr(content, length(content) - 511, 512)").alias("content"))
     return T.read_raw(files, "float64", 64).select(F.col("key").cast("long").alias("utt"), F.round(F.aggregate("x", F.lit(0.0), lambda a, x: a + x), 6).alias("x"))
 
@@ -136,8 +136,8 @@ def snk09(spark, d):
 
 def viz05(spark, d):
     """A wide matrix in panels of 16 columns, log10, by its largest value."""
-    x = X.samples(spark, d).where("ch = 0")
-    return x.select("utt", F.floor(F.col("n") / 16).alias("panel"), (F.col("n") % 16).alias("f"), F.round(F.log10(F.abs("x") + 1e-6), 6).alias("x"))
+    x = X.samples(spark, d)
+    return x.select("utt", "ch", F.floor(F.col("n") / 16).alias("panel"), (F.col("n") % 16).alias("f"), F.round(F.log10(F.abs("x") + 1e-6), 6).alias("x"))
 
 
 V = f"WITH {SAMPLES} "
@@ -152,8 +152,8 @@ QUERIES = {
     "src02_script": (src02, "SELECT page_id::VARCHAR AS key, url AS value FROM pages"),
     "src03_script_tokens": (src03, "SELECT page_id::VARCHAR AS key, 3::BIGINT AS n, url AS last FROM pages"),
     "src07_segments": (src07, f"{V} SELECT seg, utt, ch, count(*) AS n, {r6('sum(x)')} AS x FROM samples JOIN (VALUES (0::BIGINT, 0, 16), (1::BIGINT, 16, 40)) c(seg, b, e) ON n >= b AND n < e GROUP BY ALL"),
-    "src08_npy_round_trip": (src08, f"{V} SELECT utt, count(*) AS n, {r6('sum(x)')} AS x FROM samples WHERE ch = 0 GROUP BY utt"),
-    "src11_raw_binary": (src11, f"{V} SELECT utt, {r6('sum(x)')} AS x FROM samples WHERE ch = 0 GROUP BY utt"),
+    "src08_npy_round_trip": (src08, f"{V} SELECT utt * 4 + ch AS utt, count(*) AS n, {r6('sum(x)')} AS x FROM samples GROUP BY ALL"),
+    "src11_raw_binary": (src11, f"{V} SELECT utt * 4 + ch AS utt, {r6('sum(x)')} AS x FROM samples GROUP BY ALL"),
     "src13_decompression": (src13, f"SELECT k, {r6('CASE WHEN u <= 64 THEN -1+1.5*u/64 WHEN u <= 192 THEN 0.5+1.5*(u-64)/128 ELSE 2.0+5.0*(u-192)/63 END')} AS x FROM (SELECT p_partkey AS k, p_partkey*37%256 AS u FROM part)"),
     "src14_wave_round_trip": (src14, f"{V} SELECT utt, ch, n, least(greatest(round_even(x*32768, 0), -32768), 32767)::BIGINT AS x FROM samples"),
     "src16_channel_scripts": (src16, "WITH c AS (SELECT doc_id AS key, k AS ch, source AS value FROM documents, range(3) r(k) WHERE doc_id % (k + 2) = 0) SELECT * FROM c WHERE key IN (SELECT key FROM c GROUP BY key HAVING count(*) > 1)"),
@@ -161,5 +161,5 @@ QUERIES = {
     "src20_room_json": (src20, "SELECT r_regionkey::BIGINT AS room, 0.4::DOUBLE AS beta, 2::BIGINT AS mics, k AS src, 'spk' || (k + 1) || '.wav' AS loc, (r_regionkey * 30 + k + 1)::DOUBLE AS doa, 1.5::DOUBLE AS dst FROM region, range(2) x(k)"),
     "snk08_report_lines": (snk08, "SELECT l_orderkey || chr(9) || printf('%.3f', round(avg(l_quantity), 3)) AS value FROM lineitem GROUP BY l_orderkey"),
     "snk09_unwritten": (snk09, "SELECT doc_id AS utt FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"),
-    "viz05_panels": (viz05, f"{V} SELECT utt, n // 16 AS panel, n % 16 AS f, {r6('log10(abs(x)+1e-6)')} AS x FROM samples WHERE ch = 0"),
+    "viz05_panels": (viz05, f"{V} SELECT utt, ch, n // 16 AS panel, n % 16 AS f, {r6('log10(abs(x)+1e-6)')} AS x FROM samples"),
 }

@@ -43,13 +43,13 @@ def agg13(spark, d):
     return p.groupBy("utt", "n").agg(F.round(F.avg(F.col("x1") * F.col("x2")), 6).alias("m"))
 
 
-def square(spark, d):
-    """(utt, i, j, re, im): four samples of four channels as a complex matrix."""
-    return X.samples(spark, d).where("n < 4").select("utt", F.col("ch").alias("i"), F.col("n").alias("j"), F.col("x").alias("re"), (F.col("x") * F.col("n") / 2).alias("im"))
+def wide(spark, d):
+    """(utt, i, j, re, im): all samples of four channels as a complex matrix."""
+    return X.samples(spark, d).select("utt", F.col("ch").alias("i"), F.col("n").alias("j"), F.col("x").alias("re"), (F.col("x") * F.col("n") / 2).alias("im"))
 
 
 def la01(spark, d):
-    a = square(spark, d)
+    a = wide(spark, d)
     y = L.multiplied(a, R.transposed(a, hermitian=True), ["utt"])
     return y.select("utt", "i", "j", F.round("re", 6).alias("re"), F.round("im", 6).alias("im"))
 
@@ -116,7 +116,7 @@ QUERIES = {
     "agg10_counts": (agg10, f"WITH {ROWS} SELECT utt, count(*) AS done, count(*) FILTER (x > 40) AS clipped, {r6('100.0 * count(*) FILTER (x > 40) / count(*)')} AS percent FROM rows_ GROUP BY utt"),
     "agg11_silence": (agg11, f"WITH {SERIES} SELECT key, {r6('avg(CASE WHEN 10*log10(x*x+1e-5) < 40 THEN 1.0 ELSE 0.0 END)')} AS silent FROM series GROUP BY key"),
     "agg13_pair_mean": (agg13, f"{V} SELECT a.utt, a.n, {r6('avg(a.x*b.x)')} AS m FROM samples a JOIN samples b ON a.utt = b.utt AND a.n = b.n AND a.ch < b.ch GROUP BY ALL"),
-    "la01_product": (la01, f"{V}, m AS (SELECT utt, ch AS i, n AS j, x AS re, x * n / 2 AS im FROM samples WHERE n < 4) SELECT a.utt, a.i, b.i AS j, {r6('sum(a.re*b.re+a.im*b.im)')} AS re, {r6('sum(a.im*b.re-a.re*b.im)')} AS im FROM m a JOIN m b ON a.utt = b.utt AND a.j = b.j GROUP BY ALL"),
+    "la01_product": (la01, f"{V}, m AS (SELECT utt, ch AS i, n AS j, x AS re, x * n / 2 AS im FROM samples) SELECT a.utt, a.i, b.i AS j, {r6('sum(a.re*b.re+a.im*b.im)')} AS re, {r6('sum(a.im*b.re-a.re*b.im)')} AS im FROM m a JOIN m b ON a.utt = b.utt AND a.j = b.j GROUP BY ALL"),
     "la01_vectors": (la01_vectors, f"{SPEC} SELECT a.utt, a.t, {r6('sum(a.re*b.re+a.im*b.im)')} AS dot_re, {r6('sum(a.re*b.im-a.im*b.re)')} AS dot_im, {r6('sum(b.re+2*a.re)')} AS axpy_re, {r6('sum(b.im+2*a.im)')} AS axpy_im, {r6('sqrt(sum(a.re*a.re+a.im*a.im)*sum(b.re*b.re+b.im*b.im))')} AS ger FROM stft a JOIN stft b ON a.utt=b.utt AND a.t=b.t AND a.f=b.f AND a.ch=0 AND b.ch=1 GROUP BY a.utt, a.t"),
     "la10_diagonal": (la10, f"{SPEC}, {MASK}, {COV} SELECT utt, f, i, j, {r6('re + CASE WHEN i = j THEN 1.5 ELSE 0 END')} AS re, {r6('im')} AS im FROM cov"),
     "rel19_bin_major": (rel19, f"{SPEC} SELECT utt, f, t, count(*) AS channels, {r6('arg_min(re, ch)')} AS first, {r6('arg_max(re, ch)')} AS last FROM stft GROUP BY utt, f, t"),

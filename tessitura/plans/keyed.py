@@ -58,8 +58,8 @@ def win06(spark, d):
 
 
 def win08(spark, d):
-    x = X.samples(spark, d).where("ch = 0").withColumnRenamed("n", "f")
-    return W.neighbours(x, ["utt"], [0.25, 0.5, 0.25]).select("utt", "f", F.round("s", 6).alias("m"))
+    x = X.samples(spark, d).withColumnRenamed("n", "f")
+    return W.neighbours(x, ["utt", "ch"], [0.25, 0.5, 0.25]).select("utt", "ch", "f", F.round("s", 6).alias("m"))
 
 
 def win09(spark, d):
@@ -90,8 +90,8 @@ def win13(spark, d):
 
 
 def win14(spark, d):
-    w = X.wave(spark, d).where("ch = 0").select("utt", W.repeated_to(F.slice("x", 1, 10), 23).alias("x"))
-    return exploded(w, ["utt"], "x")
+    w = X.wave(spark, d).select("utt", "ch", W.repeated_to(F.col("x"), 150).alias("x"))
+    return exploded(w, ["utt", "ch"], "x")
 
 
 def docs(spark, d):
@@ -187,7 +187,7 @@ def rel18(spark, d):
 
 
 def rel20(spark, d):
-    x = X.samples(spark, d).where("n < 4").select("utt", F.col("ch").alias("i"), F.col("n").alias("j"), F.round("x", 6).alias("re"), F.round(-F.col("x"), 6).alias("im"))
+    x = X.samples(spark, d).select("utt", F.col("ch").alias("i"), F.col("n").alias("j"), F.round("x", 6).alias("re"), F.round(-F.col("x"), 6).alias("im"))
     return R.transposed(x, hermitian=True).select("utt", "i", "j", "re", "im")
 
 
@@ -248,7 +248,7 @@ def agg12(spark, d):
 
 
 def agg14(spark, d):
-    x = X.samples(spark, d).where("n < 4")
+    x = X.samples(spark, d)
     return x.groupBy("utt").agg(F.round(F.sum("x"), 6).alias("total"), F.round(F.sum(F.when(F.col("ch") == F.col("n"), F.col("x")).otherwise(0.0)), 6).alias("trace"), F.count_if(F.isnan("x")).alias("nans"))
 
 
@@ -317,14 +317,14 @@ QUERIES = {
     "win04_exponential_smoothing": (win04, f"{WS} SELECT a.key, a.t, {r6('sum(CASE WHEN b.t = 0 THEN b.x ELSE (1 - 0.73519) * b.x END * 0.73519 ** (a.t - b.t))')} AS s FROM series a JOIN series b ON a.key = b.key AND b.t <= a.t GROUP BY a.key, a.t"),
     "win05_noise_tracking": (win05, TRACKED),
     "win06_running_minimum": (win06, f"{WS} SELECT a.key, a.t, min(b.x) AS low FROM series a JOIN series b ON a.key = b.key AND b.t <= a.t AND b.t // 5 > a.t // 5 - 3 GROUP BY a.key, a.t"),
-    "win08_frequency_smoothing": (win08, f"{V} SELECT utt, n AS f, {r6('0.5*x + 0.25*(lag(x, 1, 0) OVER w + lead(x, 1, 0) OVER w)')} AS m FROM samples WHERE ch = 0 WINDOW w AS (PARTITION BY utt ORDER BY n)"),
+    "win08_frequency_smoothing": (win08, f"{V} SELECT utt, ch, n AS f, {r6('0.5*x + 0.25*(lag(x, 1, 0) OVER w + lead(x, 1, 0) OVER w)')} AS m FROM samples WINDOW w AS (PARTITION BY utt, ch ORDER BY n)"),
     "win09_tumbling_blocks": (win09, f"{WS}, b AS (SELECT *, t // 10 AS block, least(t // 10, greatest(count(*) OVER (PARTITION BY key) // 10 - 1, 0)) AS merged FROM series) SELECT key, block, merged, count(*) AS n, {r6('avg(x)')} AS m FROM b GROUP BY key, block, merged"),
     "win10_hopping_lookback": (win10, f"{WS}, c AS (SELECT key, unnest(range(max(t) // 8 + 1)) AS chunk FROM series GROUP BY key) SELECT key, chunk, count(*) AS n, min(t) AS lo, max(t) AS hi FROM c JOIN series s USING (key) WHERE t >= greatest(chunk * 8 - 5, 0) AND t < chunk * 8 + 8 GROUP BY key, chunk"),
     "win11_hysteresis_segments": (win11, SEGMENTS),
     "win11_islands": (win11_islands, f"{ISL} SELECT * FROM isl"),
     "win12_gaps": (win12, f"{ISL}, g AS (SELECT key, lag(\"end\", 1, 0) OVER (PARTITION BY key ORDER BY beg) AS b, beg AS e FROM isl) SELECT key, b AS beg, e AS \"end\" FROM g WHERE b < e"),
     "win13_segment_frames": (win13, f"{ISL} SELECT s.key, beg, \"end\" + 1 AS \"end\", {r6('sum(x)')} AS x, count(*) AS n FROM series s JOIN isl g ON s.key = g.key AND t BETWEEN beg AND \"end\" GROUP BY ALL"),
-    "win14_repeat_pad": (win14, f"{V} SELECT utt, t, {r6('x')} AS x FROM samples JOIN range(23) r(t) ON n = t % 10 WHERE ch = 0"),
+    "win14_repeat_pad": (win14, f"{V} SELECT utt, ch, t, {r6('x')} AS x FROM samples JOIN range(150) r(t) ON n = t % 64"),
     "rel01_ordinal_lookup": (rel01, f"{DL} SELECT utt, row_number() OVER (ORDER BY utt) - 1 AS pos, x FROM a"),
     "rel02_sample_keys": (rel02, None),
     "rel03_inner_join": (rel03, f"{DL} SELECT utt, lang, x, q FROM a JOIN b USING (utt)"),
@@ -342,7 +342,7 @@ QUERIES = {
     "rel16_map_lookup": (rel16, f"{DL} SELECT utt, coalesce(q * 90.0, 45.0)::DOUBLE AS doa FROM a LEFT JOIN b USING (utt)"),
     "rel17_doa_validity": (rel17, "SELECT p_partkey AS k, p_size * 9.0 - 20 BETWEEN 0 AND 180 AS linear, p_size * 9.0 - 20 >= 0 AND p_size * 9.0 - 20 < 360 AS circular FROM part"),
     "rel18_speaker_lists": (rel18, f"SELECT label::BIGINT AS spk, count(*) AS n, {r6('sum(embedding[1]::DOUBLE)')} AS s FROM embeddings GROUP BY 1"),
-    "rel20_hermitian": (rel20, f"{V} SELECT utt, n AS i, ch AS j, {r6('x')} AS re, {r6('x')} AS im FROM samples WHERE n < 4"),
+    "rel20_hermitian": (rel20, f"{V} SELECT utt, n AS i, ch AS j, {r6('x')} AS re, {r6('x')} AS im FROM samples"),
     "rel21_slices": (rel21, f"{V} SELECT utt, ch, n - 10 AS n, {r6('x')} AS x FROM samples WHERE n BETWEEN 10 AND 19 AND ch < 2"),
     "rel22_common_length": (rel22, f"{V} SELECT a.utt, count(*) AS n, {r6('sum(a.x*b.x)')} AS xy FROM samples a JOIN samples b ON a.utt = b.utt AND a.n = b.n AND a.ch = 0 AND b.ch = 1 WHERE a.n < 40 GROUP BY a.utt"),
     "agg01_wave_stats": (agg01, f"{V} SELECT utt, {r6('max(abs(x))')} AS maxabs, max(n) + 1 AS nsamps, {r6('(max(n) + 1) / 16000')} AS duration, {r6('avg(x*x) FILTER (ch = 0)')} AS power FROM samples GROUP BY utt"),
@@ -353,7 +353,7 @@ QUERIES = {
     "agg07_cmvn": (agg07, f"{V} SELECT utt, ch, n, {r6('(x - avg(x) OVER w) / stddev_pop(x) OVER w')} AS x FROM samples WINDOW w AS (PARTITION BY utt, ch)"),
     "agg09_peak_normalisation": (agg09, f"{V} SELECT utt, ch, n, {r6('x / max(abs(x)) OVER (PARTITION BY utt)')} AS whole, {r6('x / max(abs(x)) OVER (PARTITION BY utt, ch)')} AS by_row, {r6('x / max(abs(x)) OVER (PARTITION BY utt, n)')} AS by_column FROM samples"),
     "agg12_stack": (agg12, f"SELECT label::BIGINT AS spk, count(*) AS n, {r6('arg_min(embedding[1]::DOUBLE, vec_id)')} AS first, {r6('arg_max(embedding[1]::DOUBLE, vec_id)')} AS last FROM embeddings GROUP BY 1"),
-    "agg14_sum_trace_nan": (agg14, f"{V} SELECT utt, {r6('sum(x)')} AS total, {r6('coalesce(sum(x) FILTER (ch = n), 0)')} AS trace, count(*) FILTER (isnan(x)) AS nans FROM samples WHERE n < 4 GROUP BY utt"),
+    "agg14_sum_trace_nan": (agg14, f"{V} SELECT utt, {r6('sum(x)')} AS total, {r6('coalesce(sum(x) FILTER (ch = n), 0)')} AS trace, count(*) FILTER (isnan(x)) AS nans FROM samples GROUP BY utt"),
     "top01_first_best": (top01, f"WITH {ROWS} SELECT utt, t, x FROM (SELECT *, row_number() OVER (PARTITION BY utt ORDER BY x DESC, t) AS r FROM rows_) WHERE r = 1"),
     "top04_first_rows": (top04, f"WITH {ROWS} SELECT utt, t, x FROM rows_ ORDER BY utt, t LIMIT 25"),
     "set02_intersect": (set02, f"{DL} SELECT utt FROM a INTERSECT SELECT utt FROM b"),

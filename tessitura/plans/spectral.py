@@ -110,7 +110,7 @@ def tf10(spark, d):
 
 def tf11(spark, d):
     w = X.wave(spark, d)
-    h = w.where("ch = 1").select("utt", F.slice("x", 1, 8).alias("h"))
+    h = w.where("ch = 1").select("utt", F.col("x").alias("h"))
     x = w.where("ch = 0").join(h, "utt").select("utt", F.posexplode(T.convolved(F.col("x"), F.col("h"))).alias("n", "x"))
     return x.select("utt", F.col("n").cast("long").alias("n"), F.round("x", 6).alias("x"))
 
@@ -199,7 +199,7 @@ QUERIES = {
     "tf08_griffin_lim": (tf08, None),
     "tf09_resynthesis_phase": (tf09, f"{W}{STFT} SELECT a.utt, a.t, a.f, {r6('sqrt(a.re*a.re+a.im*a.im)*cos(atan2(b.im,b.re))')} AS re, {r6('sqrt(a.re*a.re+a.im*a.im)*sin(atan2(b.im,b.re))')} AS im FROM stft a JOIN stft b ON a.utt = b.utt AND a.t = b.t AND a.f = b.f AND a.ch = 0 AND b.ch = 1"),
     "tf10_mask_separation": (tf10, f"{BOTH}, z AS (SELECT utt, t, f, s / sqrt(s*s + d*d + {EPS}) * yr AS re, s / sqrt(s*s + d*d + {EPS}) * yi AS im FROM both_) " + _overlap("z", "utt")),
-    "tf11_convolution": (tf11, f"{W} h AS (SELECT utt, n AS k, x AS h FROM samples WHERE ch = 1 AND n < 8) SELECT utt, n + k AS n, {r6('sum(x * h)')} AS x FROM samples JOIN h USING (utt) WHERE ch = 0 AND n + k < 64 GROUP BY utt, n + k"),
+    "tf11_convolution": (tf11, f"{W} h AS (SELECT utt, n AS k, x AS h FROM samples WHERE ch = 1) SELECT utt, n + k AS n, {r6('sum(x * h)')} AS x FROM samples JOIN h USING (utt) WHERE ch = 0 AND n + k < 64 GROUP BY utt, n + k"),
     "tf12_high_pass": (tf12, f"""WITH RECURSIVE {SAMPLES.replace(' AS (', ' AS MATERIALIZED (', 1)}, c AS (SELECT exp(-2 * pi() * 100 / 16000) AS p, cos(2 * pi() * 100 / 16000) AS q),
       r AS (SELECT utt, ch, -1::BIGINT AS n, 0::DOUBLE AS y, 0::DOUBLE AS u, 0::DOUBLE AS v FROM samples WHERE n = 0 UNION ALL SELECT utt, ch, n, w - (1 + p) * u + p * v, w, u
         FROM (SELECT s.utt, s.ch, s.n, s.x + 2 * p * q * r.u - p * p * r.v AS w, r.u, r.v, p FROM r JOIN samples s ON s.utt = r.utt AND s.ch = r.ch AND s.n = r.n + 1, c))
