@@ -65,9 +65,35 @@ def matrices(column_re, column_im) -> np.ndarray:
     return x.reshape(n, side, side)
 
 
+def _each(kernel, stacks: list[np.ndarray]) -> np.ndarray:
+    """The kernel's result for each row, flattened; not a number where it has none. All at once, or one by one if one can't be solved."""
+    many = len(stacks[0])
+    good = np.logical_and.reduce([np.isfinite(x).all(axis=(1, 2)) for x in stacks])
+    safe = [np.where(good[:, None, None], x, np.eye(x.shape[1], x.shape[2])) for x in stacks]
+    try:
+        y = np.array(kernel(*safe), dtype=complex).reshape(many, -1)
+    except np.linalg.LinAlgError:
+        found: list[np.ndarray | None] = []
+        for k in range(many):
+            try:
+                found.append(np.asarray(kernel(*(x[k : k + 1] for x in safe))).ravel())
+            except np.linalg.LinAlgError:
+                found.append(None)
+        size = next((len(x) for x in found if x is not None), 1)
+        y = np.stack([np.full(size, np.nan) if x is None else x for x in found]).astype(complex)
+    y[~good] = np.nan
+    return y
+
+
+def unsolved(df: DataFrame, out: str) -> DataFrame:
+    """(n): how many rows of what `per_row` gave have no result."""
+    return df.agg(F.count_if(F.col(f"{out}_re").isNull()).alias("n"))
+
+
 def per_row(df: DataFrame, keys: list[str], inputs: list[str], kernel, out: str, size: str = "vector") -> DataFrame:
     """keys, out_re, out_im: kernel(stack of each input's matrices) -> stack of vectors or matrices, flattened. All rows of an
-    Arrow batch are solved in one call; no shuffle."""
+    Arrow batch are solved in one call; no shuffle. A row whose matrices hold anything but finite numbers, or that the kernel can't
+    solve, gives nulls; `unsolved` counts them. The others of its batch aren't affected."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in keys)
     columns = [*keys, *(f"{x}_{p}" for x in inputs for p in ("re", "im"))]
 
@@ -76,9 +102,12 @@ def per_row(df: DataFrame, keys: list[str], inputs: list[str], kernel, out: str,
             if not b.num_rows:
                 continue
             col = dict(zip(columns, b.columns, strict=True))
-            y = np.asarray(kernel(*(matrices(col[f"{x}_re"], col[f"{x}_im"]) for x in inputs))).reshape(b.num_rows, -1)
+            stacks = [matrices(col[f"{x}_re"], col[f"{x}_im"]) for x in inputs]
+            y = _each(kernel, stacks)
+            bad = ~np.isfinite(y).all(axis=1)
             bounds = pa.array(np.arange(b.num_rows + 1) * y.shape[1], pa.int32())
-            parts = [pa.ListArray.from_arrays(bounds, pa.array(np.ascontiguousarray(v).ravel().astype(np.float64))) for v in (y.real, y.imag)]
+            mask = pa.array(bad)
+            parts = [pa.ListArray.from_arrays(bounds, pa.array(np.ascontiguousarray(v).ravel().astype(np.float64)), mask=mask) for v in (y.real, y.imag)]
             yield pa.RecordBatch.from_arrays([*(col[k] for k in keys), *parts], [*keys, f"{out}_re", f"{out}_im"])
 
     return df.select(*columns).mapInArrow(run, f"{fields}, {out}_re array<double>, {out}_im array<double>")
