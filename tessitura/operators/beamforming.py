@@ -83,14 +83,12 @@ def normalised(w: np.ndarray, rn: np.ndarray) -> np.ndarray:
 
 
 def supervised(spec: DataFrame, mask: DataFrame, kind, ban: bool = False, noise: DataFrame | None = None, block=None) -> DataFrame:
-    """(utt, [blk,] f, ch, re, im): weights from a speech mask(utt, t, f, m), noise by 1 - m or its own mask. Spark sums the
-    covariances; one kernel call solves a batch of bins. kind: a name in WEIGHTS, or a function of stacks of both covariances."""
-    other = noise if noise is not None else mask.withColumn("m", 1 - F.col("m"))
+    """(utt, [blk,] f, ch, re, im): weights from a speech mask(utt, t, f, m), noise by 1 - m or its own mask. Spark sums both
+    covariances in one pass; one kernel call solves a batch of bins. kind: a name in WEIGHTS, or a function of stacks of both covariances."""
     keys = ["utt", "f"] if block is None else ["utt", "blk", "f"]
-    rs, rn = (L.packed(L.covariance(spec, m, block), keys, n) for m, n in ((mask, "s"), (other, "n")))
     solve = kind if callable(kind) else WEIGHTS[kind]
     kernel = (lambda s, n: normalised(solve(s, n), n)) if ban else solve
-    w = L.per_row(rs.join(rn, keys), keys, ["s", "n"], kernel, "w")
+    w = L.per_row(L.two_covariances(spec, mask, noise, block), keys, ["s", "n"], kernel, "w")
     return w.select(*keys, F.posexplode(F.arrays_zip("w_re", "w_im")).alias("ch", "z")).select(*keys, F.col("ch").cast("long").alias("ch"), F.col("z.w_re").alias("re"), F.col("z.w_im").alias("im"))
 
 

@@ -32,6 +32,32 @@ def covariance(spec: DataFrame, mask: DataFrame | None = None, block: Column | N
     return s.select(*keys, F.inline(both))
 
 
+def two_covariances(spec: DataFrame, mask: DataFrame, noise: DataFrame | None = None, block: Column | None = None, least: float = 1e-6) -> DataFrame:
+    """(utt, [blk,] f, s_re, s_im, n_re, n_im): covariances by mask(utt, t, f, m) and by its complement, or by a mask of the noise,
+    packed. A cell's products are made once and summed under both weights; cells are dealt by (utt, f) once, for all that follows."""
+    z = F.struct("ch", "re", "im")
+    none = F.lit(None).cast("double")
+    rows = spec.select("utt", "t", "f", z.alias("z"), none.alias("s"), none.alias("n"))
+    void = F.lit(None).cast(rows.schema["z"].dataType)
+    m = F.col("m").cast("double")
+    rows = rows.unionByName(mask.select("utt", "t", "f", void.alias("z"), m.alias("s"), (1 - m if noise is None else none).alias("n")))
+    if noise is not None:
+        rows = rows.unionByName(noise.select("utt", "t", "f", void.alias("z"), none.alias("s"), m.alias("n")))
+    cell = rows.repartition("utt", "f").groupBy("utt", "t", "f").agg(F.array_sort(F.collect_list("z")).alias("z"), F.max("s").alias("s"), F.max("n").alias("n"))
+    keys = ["utt", "f"] if block is None else ["utt", "blk", "f"]
+    cell = cell if block is None else cell.withColumn("blk", block)
+    pairs = F.flatten(F.transform("z", lambda a, k: F.transform(F.slice(F.col("z"), k + 1, F.size("z")), lambda b: F.struct(a["ch"].alias("i"), b["ch"].alias("j"), (a["re"] * b["re"] + a["im"] * b["im"]).alias("re"), (a["im"] * b["re"] - a["re"] * b["im"]).alias("im")))))
+    p = cell.select(*keys, "s", "n", F.inline(pairs))
+    sums = p.groupBy(*keys, "i", "j").agg(*(F.sum(F.col(w) * F.col(c)).alias(f"{w}_{c}") for w in "sn" for c in ("re", "im")), F.sum("s").alias("ws"), F.sum("n").alias("wn"))
+    scaled = {f"{w}_{c}": F.col(f"{w}_{c}") / F.greatest(f"w{w}", F.lit(least)) for w in "sn" for c in ("re", "im")}
+    upper = sums.where("ws IS NOT NULL AND wn IS NOT NULL").select(*keys, "i", "j", *(v.alias(k) for k, v in scaled.items()))
+    here = F.struct("i", "j", *scaled)
+    there = F.struct(F.col("j").alias("i"), F.col("i").alias("j"), *((-F.col(k) if k.endswith("im") else F.col(k)).alias(k) for k in scaled))
+    both = upper.select(*keys, F.explode(F.when(F.col("i") == F.col("j"), F.array(here)).otherwise(F.array(here, there))).alias("x"))
+    full = both.groupBy(*keys).agg(F.array_sort(F.collect_list("x")).alias("x"))
+    return full.select(*keys, *(F.col("x")[k].alias(k) for k in scaled))
+
+
 def hermitian_error(cov: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, err): largest difference between a matrix and its conjugate transpose, relative to its largest element."""
     b = cov.select(*keys, F.col("i").alias("j"), F.col("j").alias("i"), F.col("re").alias("re2"), F.col("im").alias("im2"))

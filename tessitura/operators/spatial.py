@@ -1,17 +1,21 @@
 """Spatial features and source localisation on long-form spectra spec(utt, ch, t, f, re, im).
 
-Steering tables steer(a, ch, f, re, im) have angles x microphones x bins rows, a constant of the geometry, so they are broadcast."""
+Steering tables steer(a, ch, f, re, im) have angles x microphones x bins rows, a constant of the geometry, so every task holds them."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.signal import EPSILON, SPEED, at, circular_delay, cis, linear_delay, omega, wrapped
+from .linalg import matrices, per_row, principal
 from .relational import channel_rows, microphone_pairs
+from .steered import cross_correlations, each, of_channels, steering_array, summed
+from .windows import clamped_average
 
 
 def steering(spark: SparkSession, angles: int, bins: int, sr: int, topo: tuple[float, ...] = (), around: int = 0, radius: float = 0.0, centre: bool = False, speed: float = SPEED, normalize: bool = False) -> DataFrame:
@@ -53,21 +57,84 @@ def coherence(spec: DataFrame, context: int, channels: int) -> DataFrame:
     return s.groupBy("utt", "t", "f").agg((F.sum(at().power() / (F.col("p1") * F.col("p2") + EPSILON)) * (2.0 / (channels * (channels - 1)))).alias("msc"))
 
 
+def _pairwise(steer: DataFrame, pairs: list[tuple[int, int]]):
+    """A kernel of cells with phases `angle`: the mean over pairs of the cosine between observed and steered phase differences."""
+    channels, vectors = steering_array(steer)
+    turn, at_ = np.angle(vectors), {int(c): k for k, c in enumerate(channels)}
+    side = [(at_[i], at_[j]) for i, j in pairs]
+
+    def kernel(b):
+        there, angle = of_channels(b, ("angle",), channels)
+        f = b.column("f").to_numpy(zero_copy_only=False)
+        total, many = np.zeros((len(f), turn.shape[1])), np.zeros(len(f))
+        for i, j in side:
+            d = np.cos((angle[:, i] - angle[:, j])[:, None] - (turn[f, :, i] - turn[f, :, j]))
+            good = there[:, i] & there[:, j] & np.isfinite(d).all(axis=1)
+            total[good] += d[good]
+            many += good
+        return np.where(many[:, None] > 0, total / np.maximum(many, 1)[:, None], np.nan)
+
+    return kernel
+
+
+def _phases(spec: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
+    """The cells (utt, t, f, z) of the pairs' channels, with phases, dealt by frame."""
+    return channel_rows(spec.where(F.col("ch").isin(*{c for p in pairs for c in p})).withColumn("angle", at().angle()), ["utt", "t", "f"], ["angle"], ["utt", "t"])
+
+
 def directional(spec: DataFrame, steer: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
-    """(utt, t, f, a, df): mean over pairs of the cosine between observed and steered phase differences."""
-    seen = phase_differences(spec, pairs)
-    want = microphone_pairs(steer.withColumn("angle", at().angle()), ["a", "f"], ["angle"]).select("a", "f", "i", "j", (F.col("angle1") - F.col("angle2")).alias("d"))
-    return seen.join(F.broadcast(want), ["f", "i", "j"]).groupBy("utt", "t", "f", "a").agg(F.avg(F.cos(F.col("ipd") - F.col("d"))).alias("df"))
+    """(utt, t, f, a, df): mean over pairs of the cosine between observed and steered phase differences. Angles count from 0."""
+    return each(_phases(spec, pairs), ["utt", "t", "f"], _pairwise(steer, pairs), "a", "df")
+
+
+def directional_scores(spec: DataFrame, steer: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
+    """(utt, a, score): the directional features added over all cells."""
+    return summed(_phases(spec, pairs), ["utt"], _pairwise(steer, pairs), "score")
+
+
+def correlated(spec: DataFrame, delays: DataFrame, bins: int, sr: int) -> tuple[DataFrame, int]:
+    """((utt, t, g, peak), pairs): generalised cross-correlations of every frame, see `cross_correlations`. delays(d, i, j, tau
+    seconds), d counted from 0."""
+    grid = delays.select("i", "j", "d", "tau").toPandas().sort_values(["i", "j", "d"])
+    pairs = [(int(i), int(j)) for i, j in grid[["i", "j"]].drop_duplicates().itertuples(index=False)]
+    tau = grid["tau"].to_numpy().reshape(len(pairs), -1)
+    turns = math.pi * sr / (bins - 1) * np.arange(bins)
+    return cross_correlations(_phases(spec, pairs), ["utt", "t"], pairs, tau, turns), len(pairs)
 
 
 def srp_phat(spec: DataFrame, delays: DataFrame, bins: int, sr: int, channels: int, normalize: bool = True, floor: bool = True) -> DataFrame:
-    """(utt, t, d, srp): steered response power with phase transform. delays(d, i, j, tau seconds): the grid of the array."""
-    p = microphone_pairs(spec.withColumn("angle", at().angle()), ["utt", "t", "f"], ["angle"], ["utt", "t"]).select("utt", "t", "f", "i", "j", (F.col("angle1") - F.col("angle2")).alias("dphi"))
-    gcc = p.join(F.broadcast(delays), ["i", "j"]).groupBy("utt", "t", "d", "i", "j").agg((F.sum(F.cos(F.col("dphi") + omega(F.col("f"), bins, sr) * F.col("tau"))) / bins).alias("g"))
+    """(utt, t, d, srp): steered response power with phase transform. delays(d, i, j, tau seconds): the grid of the array. Each pair
+    is scaled by its largest magnitude in the utterance."""
+    gcc, many = correlated(spec, delays, bins, sr)
     if normalize:
-        gcc = gcc.withColumn("g", F.col("g") / F.greatest(F.max(F.abs("g")).over(Window.partitionBy("utt", "i", "j")), F.lit(EPSILON)))
-    g = F.greatest(F.col("g"), F.lit(0.0)) if floor else F.col("g")
-    return gcc.groupBy("utt", "t", "d").agg((F.sum(g) * (2.0 / (channels * (channels - 1)))).alias("srp"))
+        most = gcc.select("utt", F.posexplode("peak").alias("p", "v")).groupBy("utt", "p").agg(F.max("v").alias("v"))
+        most = most.groupBy("utt").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "v"))), lambda x: x["v"]).alias("most"))
+        most = most.withColumnRenamed("utt", "of")
+        gcc = gcc.join(most, F.col("utt").eqNullSafe(F.col("of"))).select("utt", "t", "g", "most")
+
+    def kernel(b):
+        g = b.column("g").flatten().to_numpy().reshape(b.num_rows, many, -1) / bins
+        if normalize:
+            g = g / np.maximum(b.column("most").flatten().to_numpy().reshape(b.num_rows, many, 1) / bins, EPSILON)
+        return (np.maximum(g, 0.0) if floor else g).sum(axis=1) * (2.0 / (channels * (channels - 1)))
+
+    return each(gcc, ["utt", "t"], kernel, "d", "srp")
+
+
+def srp_smoothed(spec: DataFrame, delays: DataFrame, bins: int, sr: int, context: int = 0) -> DataFrame:
+    """(utt, t, d, srp): the sum over pairs and bins, not scaled, then the mean of 2 * context + 1 frames (the first and last
+    repeated beyond the ends), then no less than 0."""
+    gcc, many = correlated(spec, delays, bins, sr)
+    rows = each(gcc, ["utt", "t"], lambda b: b.column("g").flatten().to_numpy().reshape(b.num_rows, many, -1).sum(axis=1), "d", "x")
+    rows = clamped_average(rows, ["utt", "d"], context) if context else rows.withColumn("s", F.col("x"))
+    return rows.select("utt", "t", "d", F.greatest("s", F.lit(0.0)).alias("srp"))
+
+
+def line_delays(spark: SparkSession, topo: tuple[float, ...], points: int, by_delay: bool = True, speed: float = SPEED) -> DataFrame:
+    """(d, i, j, tau) of a linear array over all its pairs: equal steps of delay from the largest to the smallest, or of angle."""
+    far = {(i, j): abs(topo[j] - topo[i]) / speed for i in range(len(topo)) for j in range(i + 1, len(topo))}
+    at_ = (lambda d: 1 - 2 * d / (points - 1)) if by_delay else (lambda d: math.cos(d * math.pi / points))
+    return spark.createDataFrame([(d, i, j, at_(d) * most) for (i, j), most in far.items() for d in range(points)], "d long, i long, j long, tau double")
 
 
 def linear_delays(spark: SparkSession, topo: tuple[float, ...], angles: int, speed: float = SPEED) -> DataFrame:
@@ -83,21 +150,39 @@ def diagonal_delays(spark: SparkSession, around: int, diameter: float, angles: i
 
 
 def ml_likelihood(spec: DataFrame, steer: DataFrame, mask: Column | str | None = None, compression: float = 0.0, eps: float = EPSILON, keys: tuple[str, ...] = ("utt",)) -> DataFrame:
-    """(keys, a, ll): log likelihood of directions, -sum of log(1 - |steer^H x|^2 / (|steer|^2 |x|^2)) over cells. A cell's channels
-    are one row; the steering vectors of its bin come as one broadcast row (the grid has the array's size), and each product is
-    summed inside the row. mask: a column that is the same for all channels of a cell."""
-    cell = channel_rows(spec.withColumn("m", F.col(mask) if isinstance(mask, str) else F.lit(1.0) if mask is None else mask), [*keys, "t", "f"], ["re", "im", "m"], [*keys, "t"])
-    grid = steer.groupBy("f", "a").agg(F.array_sort(F.collect_list(F.struct("ch", "re", "im"))).alias("s")).groupBy("f").agg(F.collect_list(F.struct("a", "s")).alias("grid"))
-    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
-    re = lambda g: total(F.zip_with(g["s"], F.col("z"), lambda s, x: s["re"] * x["re"] + s["im"] * x["im"]))
-    im = lambda g: total(F.zip_with(g["s"], F.col("z"), lambda s, x: s["re"] * x["im"] - s["im"] * x["re"]))
-    ss = lambda g: total(F.transform(g["s"], lambda s: s["re"] * s["re"] + s["im"] * s["im"]))
-    xx = total(F.transform("z", lambda x: x["re"] * x["re"] + x["im"] * x["im"]))
-    cell = cell.withColumn("xx", xx).withColumn("m", F.element_at("z", 1)["m"]).join(F.broadcast(grid), "f")
-    dot = cell.select(*keys, "xx", "m", F.explode(F.transform("grid", lambda g: F.struct(g["a"].alias("a"), re(g).alias("re"), im(g).alias("im"), ss(g).alias("ss")))).alias("d")).select(*keys, "xx", "m", "d.*")
-    ll = -F.ln(F.greatest(1 - at().power() / (F.col("ss") * F.col("xx") + eps), F.lit(eps)))
-    ll = ll * F.pow(F.col("xx"), F.lit(compression)) if compression else ll
-    return dot.groupBy(*keys, "a").agg(F.sum(ll * F.col("m")).alias("ll"))
+    """(keys, a, ll): log likelihood of directions, -sum of log(1 - |steer^H x|^2 / (|steer|^2 |x|^2)) over cells. mask: a column
+    that is the same for all channels of a cell. Angles count from 0."""
+    channels, vectors = steering_array(steer)
+    size = (np.abs(vectors) ** 2).sum(axis=2)
+    weight = F.col(mask) if isinstance(mask, str) else F.lit(1.0) if mask is None else mask
+    cell = channel_rows(spec.withColumn("m", weight), [*keys, "t", "f"], ["re", "im", "m"], [*keys, "t"]).withColumn("m", F.element_at("z", 1)["m"].cast("double"))
+
+    def kernel(b):
+        _, re, im = of_channels(b, ("re", "im"), channels)
+        x, f, m = re + 1j * im, b.column("f").to_numpy(zero_copy_only=False), b.column("m").to_numpy(zero_copy_only=False)
+        power, out = (np.abs(x) ** 2).sum(axis=1), np.zeros((len(f), size.shape[1]))
+        for k in np.unique(f):
+            rows = np.flatnonzero(f == k)
+            met = np.abs(x[rows] @ vectors[k].conj().T) ** 2
+            ll = -np.log(np.maximum(1 - met / (size[k] * power[rows, None] + eps), eps))
+            out[rows] = ll * (m[rows] * power[rows] ** compression)[:, None]
+        return out
+
+    return summed(cell, list(keys), kernel, "ll")
+
+
+def music_scores(cov: DataFrame, steer: DataFrame) -> DataFrame:
+    """(utt, a, e): what is left of steering vectors in the noise subspace of packed covariances (utt, f, r_re, r_im), added over bins;
+    the direction of the least is the source's. Bins that can't be decomposed add nothing."""
+    _, vectors = steering_array(steer)
+    apart = lambda r: np.eye(r.shape[-1]) - np.einsum("ni,nj->nij", principal(r), principal(r).conj())
+    left = per_row(cov, ["utt", "f"], ["r"], apart, "p").where("p_re IS NOT NULL")
+
+    def kernel(b):
+        a = vectors[b.column("f").to_numpy(zero_copy_only=False)]
+        return np.einsum("nai,nij,naj->na", a.conj(), matrices(b.column("p_re"), b.column("p_im")), a, optimize=True).real
+
+    return summed(left, ["utt"], kernel, "e")
 
 
 def best_angle(score: DataFrame, value: str, largest: bool = True, keys: tuple[str, ...] = ("utt",)) -> DataFrame:

@@ -88,25 +88,25 @@ def sp09(spark, d):
     return r(P.srp_phat(spec(spark, d), P.linear_delays(spark, X.TOPO, 19), X.BINS, X.SR, 4, normalize=False), "srp")
 
 
+def sp09_smoothed(spark, d):
+    """Equal steps of delay, raw sums over pairs, the mean of three frames."""
+    return r(P.srp_smoothed(spec(spark, d), P.line_delays(spark, X.TOPO, 21, speed=X.SPEED), X.BINS, X.SR, 1), "srp")
+
+
 def sp10(spark, d):
     s = spec(spark, d).join(mask(spark, d), ["utt", "t", "f"])
     return r(P.ml_likelihood(s, steer(spark), mask="m"), "ll")
 
 
 def sp11(spark, d):
-    s = P.directional(spec(spark, d), steer(spark), PAIRS).groupBy("utt", "a").agg(F.round(F.sum("df"), 6).alias("score"))
-    return P.best_angle(s, "score").join(steer(spark).select("a", "deg").distinct(), "a").select("utt", "a", F.round("deg", 6).alias("deg"))
+    s = P.directional_scores(spec(spark, d), steer(spark), PAIRS)
+    return P.best_angle(r(s, "score"), "score").join(steer(spark).select("a", "deg").distinct(), "a").select("utt", "a", F.round("deg", 6).alias("deg"))
 
 
 def sp12(spark, d):
     """Noise subspace of the covariance: directions of least projection."""
-    v = L.per_row(L.packed(L.covariance(spec(spark, d), mask(spark, d)), ["utt", "f"], "r"), ["utt", "f"], ["r"], lambda x: np.eye(x.shape[-1]) - np.einsum("ni,nj->nij", L.principal(x), L.principal(x).conj()), "p")
-    p = v.select("utt", "f", F.posexplode(F.arrays_zip("p_re", "p_im")).alias("at", "z")).select("utt", "f", F.floor(F.col("at") / 4).alias("i"), (F.col("at") % 4).cast("long").alias("j"), F.col("z.p_re").alias("re"), F.col("z.p_im").alias("im"))
-    a = steer(spark).select("a", "f", F.col("ch").alias("i"), F.col("re").alias("a_re"), F.col("im").alias("a_im"))
-    b = steer(spark).select("a", "f", F.col("ch").alias("j"), F.col("re").alias("b_re"), F.col("im").alias("b_im"))
-    q = at("a_").conj() * at() * at("b_")
-    e = p.join(F.broadcast(a), ["f", "i"]).join(F.broadcast(b), ["a", "f", "j"]).groupBy("utt", "a").agg(F.round(F.sum(q.re), 6).alias("e"))
-    return P.best_angle(e, "e", largest=False)
+    e = P.music_scores(L.packed(L.covariance(spec(spark, d), mask(spark, d)), ["utt", "f"], "r"), steer(spark))
+    return P.best_angle(r(e, "e"), "e", largest=False)
 
 
 def sp13(spark, d):
@@ -294,6 +294,9 @@ QUERIES = {
     "sp07_gcc_diagonal": (sp07, None),
     "sp08_srp_phat": (sp08, f"{V}, {GCC}, n AS (SELECT utt, t, d, greatest(g / greatest(max(abs(g)) OVER (PARTITION BY utt, i, j), 1.1920929e-07), 0) AS g FROM gcc) SELECT utt, t, d, {r6('sum(g)*2.0/12')} AS srp FROM n GROUP BY ALL"),
     "sp09_srp_phat_raw": (sp09, f"{V}, {GCC} SELECT utt, t, d, {r6('sum(greatest(g, 0))*2.0/12')} AS srp FROM gcc GROUP BY ALL"),
+    "sp09_srp_smoothed": (sp09_smoothed, f"""{V}, g AS (SELECT a.utt, a.t, d, sum(cos(atan2(a.im,a.re)-atan2(b.im,b.re)+pi()*{X.SR}/8*a.f*abs(tb.p-ta.p)/343.0*(1-d/10.0))) AS g
+      FROM stft a JOIN stft b ON a.utt=b.utt AND a.t=b.t AND a.f=b.f AND a.ch<b.ch JOIN (VALUES (0,0.0),(1,0.05),(2,0.1),(3,0.15)) ta(c,p) ON ta.c=a.ch JOIN (VALUES (0,0.0),(1,0.05),(2,0.1),(3,0.15)) tb(c,p) ON tb.c=b.ch, range(21) x(d) GROUP BY ALL)
+      SELECT x.utt, x.t, x.d, {r6('greatest(sum(y.g)/3, 0)')} AS srp FROM g x, range(-1, 2) o(k) JOIN g y ON y.utt=x.utt AND y.d=x.d AND y.t=least(greatest(x.t+k, 0), 6) GROUP BY ALL"""),
     "sp10_ml_ssl": (sp10, f"{S}, {MASK}, {ML} SELECT utt, a, {r6('ll')} AS ll FROM ll"),
     "sp11_srp_ssl": (sp11, f"{S}, {DIRECT} SELECT utt, a, {r6('a*10.0')} AS deg FROM (SELECT utt, a, row_number() OVER (PARTITION BY utt ORDER BY round(sum(df), 6) DESC, a) AS r FROM df GROUP BY utt, a) WHERE r = 1"),
     "sp12_music_ssl": (sp12, None),
