@@ -11,8 +11,9 @@ length in code points) of the texts whose role is trained on.
 Defined results: a null text or role is empty; a message whose parent isn't in its tree is a root; a message that is its own
 ancestor, or below one, has no root and gives no path; messages with a null tree_id (turns with a null conv_id) are one tree;
 repeated turns are told apart by their order (turn, role, text); ties of score go to the smaller leaf_id. Very long texts are
-escaped and read back whole; a conversation is one string, so all its turns meet in one row. Only the named columns are read,
-whatever others are called. No rows, no rows.
+escaped and read back whole; a conversation is one string, so all its turns meet in one row. Rows that repeat a message's id in
+its tree are one message, the first of them by parent_id, role, text and score (nulls first), so that a path never holds an id
+twice; messages without an id take no part. Only the named columns are read, whatever others are called. No rows, no rows.
 """
 
 from __future__ import annotations
@@ -35,9 +36,15 @@ def unescape(c: Column) -> Column:
     return F.replace(F.replace(F.replace(c, F.lit("\\l"), F.lit("<")), F.lit("\\g"), F.lit(">")), F.lit("\\b"), F.lit("\\"))
 
 
+def one_each(messages: DataFrame) -> DataFrame:
+    """messages(tree_id, id, parent_id, role, text, score) with one row for each id of a tree."""
+    first = F.min(F.struct("parent_id", "role", "text", "score")).alias("first")
+    return messages.where(F.col("id").isNotNull()).groupBy("tree_id", "id").agg(first).select("tree_id", "id", "first.*")
+
+
 def paths(spark: SparkSession, messages: DataFrame) -> DataFrame:
     """(tree_id, leaf_id, up, id) for every message `up` steps above a leaf, for leaves that reach a root.
-    messages(tree_id, id, parent_id). Each of the jumps holds for each message the one 2 ** k steps above it. Trees are joined
+    messages(tree_id, id, parent_id), an id once in a tree (see `one_each`). Each of the jumps holds for each message the one 2 ** k steps above it. Trees are joined
     by struct(tree_id), which is never null, so that messages without a tree_id are a tree too."""
     m = messages.select(F.struct("tree_id").alias("tree"), "id", "parent_id")
     jump = m.join(m.select("tree", F.col("id").alias("parent_id")), ["tree", "parent_id"], "left_semi").select("tree", "id", F.col("parent_id").alias("above"))
@@ -64,6 +71,7 @@ def branches(spark: SparkSession, messages: DataFrame, best: int | None = None)
     """(tree_id, leaf_id, branch, turns): one row for each path, with branch 1 the best by mean score (ties: smallest leaf_id)
     and turns = array of (role, text) from the root. messages(tree_id, id, parent_id, role, text, score); best: how many
     branches of a tree to keep, all by default."""
+    messages = stored(spark, one_each(messages), "messages")
     on = paths(spark, messages).select(F.struct("tree_id").alias("tree"), "leaf_id", "up", "id").join(messages.select(F.struct("tree_id").alias("tree"), "id", "role", "text", "score"), ["tree", "id"]).withColumn("tree_id", F.col("tree.tree_id"))
     whole = on.groupBy("tree_id", "leaf_id").agg(
         F.avg(F.coalesce("score", F.lit(0.0))).alias("score"),
@@ -108,7 +116,7 @@ def linear(turns: DataFrame) -> DataFrame:
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
-    out = formatted(branches(spark, stored(spark, linear(rows), "messages"), best=1)).withColumn("turns", read_back(F.col("formatted"))).withColumn("masked", masked(F.col("formatted"), F.col("loss")))
+    out = formatted(branches(spark, linear(rows), best=1)).withColumn("turns", read_back(F.col("formatted"))).withColumn("masked", masked(F.col("formatted"), F.col("loss")))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(F.col("tree_id").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("masked").cast("long").alias("loss_chars"), F.sha2("masked", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 

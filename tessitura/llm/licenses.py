@@ -1,9 +1,10 @@
 """License scans by a positional rare-token index.
 
 Templates are licence texts, notices and short statements with mandatory key phrases. Their words are posted with their
-positions, and weigh by inverse document frequency, counted over all documents. In each file, for every template all of whose
-mandatory words it holds, the file's LOOKED_UP highest-IDF words among them are looked up: each of their places in the file
-says where the template would start. Where the starts of all of them agree within SLACK words, the key phrases are verified
+positions, and weigh by inverse document frequency, counted over all documents. A file's licence words are looked up in the
+postings: a word leads to the templates of which it is the highest-IDF mandatory word, so the work follows the words that a file
+holds, not the number of templates. A template all of whose mandatory words the file holds is intersected by its LOOKED_UP
+highest-IDF ones: each of their places in the file says where the template would start. Where the starts of all of them agree within SLACK words, the key phrases are verified
 word by word, each within SLACK of its place. Slack lets a text leave out or insert words, such as "either" in "General
 Public License, either version 3". A template's coverage is the share of its distinct words that stand in the stretch of its
 length, SLACK words more on both sides; it must be LEAST or more.
@@ -117,7 +118,14 @@ class Index:
             mandatory = sorted({at + i for at, k in phrases for i in range(len(k))})
             looked = self.rarest(body, mandatory)[:LOOKED_UP]
             needed = np.searchsorted(self.words, np.unique(body[mandatory]))
-            self.templates.append((label, body, phrases, looked, needed))
+            ids = np.searchsorted(self.words, body)
+            keyed = [(shift, k, self.rarest(k, range(len(k)))[0]) for shift, k in phrases]
+            self.templates.append((label, ids, [(shift, k, q, int(np.searchsorted(self.words, k[q]))) for shift, k, q in keyed], looked, needed))
+        #: Of each licence word the templates that it leads to, as one array by word and its bounds.
+        leads = np.array([ids[looked[0]] for _, ids, _, looked, _ in self.templates], dtype=np.int64)
+        self.led = np.argsort(leads, kind="stable")
+        self.bounds = np.searchsorted(leads[self.led], np.arange(len(self.words) + 1))
+        self.leading = np.unique(leads)
 
     def rarest(self, phrase: np.ndarray, among) -> list[int]:
         """Positions by falling IDF of their words, ties to the left."""
@@ -144,27 +152,48 @@ def near(starts: np.ndarray, others: np.ndarray, slack: int) -> np.ndarray:
     return (at < len(others)) & (others[np.minimum(at, max(len(others) - 1, 0))] <= starts + slack) if len(others) else np.zeros(len(starts), dtype=bool)
 
 
-def found(x: np.ndarray, body: np.ndarray, phrases: list[tuple[int, np.ndarray]], looked: list[int]) -> float:
-    """The best coverage of a template in one text's word hashes, or 0 where its key phrases don't stand."""
-    posted = [np.flatnonzero(x == body[q]) - q for q in looked]
-    start = posted[0]
-    for other in posted[1:]:
-        start = start[near(start, other, 2 * SLACK)]  # both lie within SLACK of the first phrase's place
+class Postings:
+    """Where the licence words of a slice of texts stand, by text and word."""
+
+    def __init__(self, w: Words, index: Index):
+        self.w, self.many = w, len(index.words)
+        at = np.minimum(np.searchsorted(index.words, w.hash), self.many - 1)
+        spots = np.flatnonzero(index.words[at] == w.hash)
+        key = w.owner()[spots] * self.many + at[spots]
+        order = np.argsort(key, kind="stable")
+        self.key, self.spots = key[order], spots[order]
+        self.held = np.unique(self.key)
+        self.word = np.full(len(w.hash), -1, dtype=np.int32)
+        self.word[spots] = at[spots]
+
+    def holds(self, text: int, words: np.ndarray) -> bool:
+        want = text * self.many + words
+        at = np.searchsorted(self.held, want)
+        return bool((at < len(self.held)).all() and (self.held[at] == want).all())
+
+    def places(self, text: int, word: int) -> np.ndarray:
+        """Ascending, counted from the text's first word."""
+        lo, hi = np.searchsorted(self.key, [text * self.many + word, text * self.many + word + 1])
+        return self.spots[lo:hi] - self.w.text[text]
+
+
+def found(p: Postings, d: int, ids: np.ndarray, phrases: list[tuple[int, np.ndarray, int, int]], looked: list[int]) -> float:
+    """The best coverage of a template (its words' numbers) in text d, or 0 where its key phrases don't stand."""
+    start = p.places(d, int(ids[looked[0]])) - looked[0]
+    for q in looked[1:]:
+        start = start[near(start, p.places(d, int(ids[q])) - q, 2 * SLACK)]  # both lie within SLACK of the first phrase's place
     if not len(start):
         return 0.0
-    places = []
-    for shift, k in phrases:
-        p = np.flatnonzero(x[: len(x) - len(k) + 1] == k[0]) if len(x) >= len(k) else np.zeros(0, dtype=np.int64)
-        for j in range(1, len(k)):
-            p = p[x[p + j] == k[j]]
-        places.append(p - shift)
-    first = places[0]
-    for other in places[1:]:
-        first = first[near(first, other, SLACK)]
+    lo, hi = int(p.w.text[d]), int(p.w.text[d + 1])
+    first: np.ndarray | None = None
+    for shift, phrase, q, word in phrases:
+        at = p.places(d, word) - q
+        at = at[stands(p.w, at + lo, np.full(len(at), d), phrase)] - shift
+        first = at if first is None else first[near(first, at, SLACK)]
     first = first[near(first, start, SLACK)]
-    distinct, best = np.unique(body), 0.0
+    distinct, best = np.unique(ids), 0.0
     for s in first.tolist():
-        around = x[max(0, s - SLACK) : max(0, s + len(body) + SLACK)]
+        around = p.word[max(lo, lo + s - SLACK) : max(lo, min(hi, lo + s + len(ids) + SLACK))]
         best = max(best, float(np.isin(distinct, around).mean()))
     return best if best >= LEAST else 0.0
 
@@ -173,10 +202,8 @@ def scan(w: Words, index: Index) -> list[tuple[int, int, int | None, int | None,
     """For each text: words, places, first, last, base labels, labels, score."""
     n = len(w.text) - 1
     owner = w.owner()
-    at = np.minimum(np.searchsorted(index.words, w.hash), len(index.words) - 1)
-    spots = np.flatnonzero(index.words[at] == w.hash)
-    holds = np.zeros((n, len(index.words)), dtype=bool)
-    holds[owner[spots], at[spots]] = True
+    posted = Postings(w, index)
+    spots = np.sort(posted.spots)
     spots = spots[np.argsort(w.hash[spots], kind="stable")]
     keys = w.hash[spots]
     places, first, last = np.zeros(n, dtype=np.int64), np.full(n, np.iinfo(np.int64).max), np.full(n, -1)
@@ -196,10 +223,11 @@ def scan(w: Words, index: Index) -> list[tuple[int, int, int | None, int | None,
         for d in np.unique(of).tolist():
             based[d].add(label)
             labels[d].add(label)
-    for label, body, phrases, looked, needed in index.templates:
-        for d in np.flatnonzero(holds[:, needed].all(axis=1)).tolist():
-            cover = found(w.hash[w.text[d] : w.text[d + 1]], body, phrases, looked)
-            if cover:
+    for at in posted.held[np.isin(posted.held % posted.many, index.leading)].tolist():
+        d, word = divmod(at, posted.many)
+        for k in index.led[index.bounds[word] : index.bounds[word + 1]].tolist():
+            label, ids, phrases, looked, needed = index.templates[k]
+            if posted.holds(d, needed) and (cover := found(posted, d, ids, phrases, looked)):
                 labels[d].add(label)
                 score[d] = max(score[d], cover)
     size = np.diff(w.text)

@@ -117,15 +117,27 @@ def bloom(keys: DataFrame, key: str, many: int) -> tuple[DataFrame, int]:
     return keyed.groupBy("b_block").agg(*(F.bit_or(f"b{k}").alias(f"f{k}") for k in range(8))), n
 
 
-def sifted(df: DataFrame, key: str, keys: DataFrame, many: int, maybe: bool = True) -> DataFrame:
-    """Rows of df whose key may be one of keys(key): all that are and few others. maybe=False: those that certainly aren't one,
-    null keys included. The filter is broadcast within its bound; with more keys than it has room for it lets more rows pass."""
+def _met(df: DataFrame, key: str, keys: DataFrame, many: int, how: str) -> tuple[DataFrame, Column]:
+    """df joined to the filter's blocks, and whether the filter has a row's key."""
     blocks, n = bloom(keys, key, many)
     hit = F.lit(True)
     for k in range(8):
         bit = _bits(F.col(key))[k]
         hit = hit & (F.col(f"f{k}").bitwiseAND(bit) == bit)
-    found = df.withColumn("b_block", _block(F.col(key), n)).join(F.broadcast(blocks), "b_block", "inner" if maybe else "left")
+    return df.withColumn("b_block", _block(F.col(key), n)).join(F.broadcast(blocks), "b_block", how), hit
+
+
+def flagged(df: DataFrame, key: str, keys: DataFrame, many: int, flag: str) -> DataFrame:
+    """df with a boolean `flag`: whether its key may be one of keys(key). True for all that are and few others, false for null
+    keys."""
+    found, hit = _met(df, key, keys, many, "left")
+    return found.select(*df.columns, (F.col(key).isNotNull() & F.coalesce(hit, F.lit(False))).alias(flag))
+
+
+def sifted(df: DataFrame, key: str, keys: DataFrame, many: int, maybe: bool = True) -> DataFrame:
+    """Rows of df whose key may be one of keys(key): all that are and few others. maybe=False: those that certainly aren't one,
+    null keys included. The filter is broadcast within its bound; with more keys than it has room for it lets more rows pass."""
+    found, hit = _met(df, key, keys, many, "inner" if maybe else "left")
     return found.where(hit if maybe else ~F.coalesce(hit, F.lit(False))).select(*df.columns)
 
 

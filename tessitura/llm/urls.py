@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import sifted, table
+from .shared import flagged, stored, table
 
 #: (verdict, rule): host, then path.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -59,23 +59,15 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tu
     return rule, verdict
 
 
-def listed_among(urls: DataFrame, listed: DataFrame, key: str) -> DataFrame:
-    """Distinct keys of `urls` that are in `listed` (one column each, named key). Only the filter's possible hits reach the
-    exact join."""
-    listed = listed.where(F.col(key).isNotNull()).select(key).distinct()
-    possible = sifted(urls.where(F.col(key).isNotNull()).select(key), key, listed, listed.count()).distinct()
-    return possible.join(listed, key, "left_semi")
-
-
 def filter_urls(pages: DataFrame, listed: DataFrame, url: str = "url", rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
     """(page, host, path, rule, listed, verdict): every row of pages as the struct `page`; the rule's verdict, else block if
-    the canonical URL is listed. listed: a column `url`. Rows that the filter rules out aren't shuffled."""
-    judged = pages.select(F.struct("*").alias("page"), canonical(F.col(url)).alias("key"))
-    keys = listed.select(canonical(F.col("url")).alias("key")).where("key IS NOT NULL").distinct()
-    many = keys.count()
-    hits = listed_among(judged.select("key"), keys, "key").withColumn("hit", F.lit(True))
-    maybe = sifted(judged, "key", keys, many).join(hits, "key", "left").select("page", F.coalesce("hit", F.lit(False)).alias("listed"))
-    both = maybe.unionByName(sifted(judged, "key", keys, many, maybe=False).select("page", F.lit(False).alias("listed")))
+    the canonical URL is listed. listed: a column `url`. The list's keys are stored, so whatever they are taken from is read once;
+    rows that the filter rules out aren't shuffled, and the others meet the keys in an exact hash join."""
+    spark = pages.sparkSession
+    keys = stored(spark, listed.select(canonical(F.col("url")).alias("key")).where("key IS NOT NULL").distinct(), "listed")
+    judged = flagged(pages.select(F.struct("*").alias("page"), canonical(F.col(url)).alias("key")), "key", keys, keys.count(), "maybe")
+    hits = judged.where("maybe").join(keys.withColumn("hit", F.lit(True)), "key", "left").select("page", F.coalesce("hit", F.lit(False)).alias("listed"))
+    both = hits.unionByName(judged.where("NOT maybe").select("page", F.lit(False).alias("listed")))
     host, path = host_path(F.col("page")[url])
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     return both.select("page", "listed", host.alias("host"), path.alias("path")).select("page", "host", "path", rule.alias("rule"), "listed", F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"))

@@ -404,6 +404,23 @@ def test_knapsack_by_enumeration():
 
 # ------------------------------------------------------------------ licences
 
+def test_many_templates_cost_what_they_hit(spark, monkeypatch):
+    """A thousand further templates that no file holds the words of are never walked."""
+    more = tuple((f"t{i}", f"licence{i} holder{i} may use software{i} freely", (f"licence{i} holder{i}",)) for i in range(1000))
+    rows = [(0, "x licence7 holder7 may use software7 freely y"), (1, "licence8 and holder8 apart"), (2, "holder9 licence9 may use"), (3, "all rights reserved"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    idf = {h: 1.0 for h in licenses.vocabulary(licenses.BASE, licenses.TEMPLATES + more)}
+    index = licenses.Index(licenses.BASE, licenses.TEMPLATES + more, idf)
+    got = {r["doc_id"]: r["labels"] for r in licenses.scanned(df, index).collect()}
+    assert got == {0: "t7", 1: "", 2: "", 3: "all-rights-reserved", 4: ""}
+    seen = []
+    monkeypatch.setattr(licenses.Postings, "holds", lambda self, text, words: seen.append(text) or False)
+    raw = [t.encode() for _, t in rows if t]
+    w = licenses.read(np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0] + [len(t) for t in raw]))
+    licenses.scan(w, index)
+    assert 0 < len(seen) < 40
+
+
 def test_licences_by_brute_force(spark, docs, none):
     index = licenses.weighed(docs)
     got = licenses.scanned(docs, index).collect()
@@ -524,6 +541,15 @@ def test_reply_trees(spark):
     assert chat.branches(spark, df.limit(0)).count() == 0
 
 
+def test_repeated_ids_are_one_message(spark):
+    """Rows of one id don't mix branches: the first by parent, role, text and score stands for all."""
+    m = [(1, 1, None, "user", "a", 0.0), (1, 1, None, "user", "a", 0.0), (1, 2, 1, "assistant", "b2", 1.0), (1, 2, 1, "assistant", "b", 3.0), (1, 3, 2, "user", "c", 1.0), (1, None, 3, "user", "no id", 9.0), (None, 1, None, "user", "other tree", 0.0), (1, 3, 2, "user", "c", 1.0)]
+    df = spark.createDataFrame(m, "tree_id long, id long, parent_id long, role string, text string, score double")
+    out = chat.branches(spark, df).collect()
+    assert {(r["tree_id"], r["leaf_id"], r["branch"]): [(t["role"], t["text"]) for t in r["turns"]] for r in out} == {(1, 3, 1): [("user", "a"), ("assistant", "b"), ("user", "c")], (None, 1, 1): [("user", "other tree")]}
+    assert len(out) == 2
+
+
 def test_reply_trees_with_clashing_columns(spark):
     m = [(1, 1, None, "user", "q", 0.0), (1, 2, 1, "assistant", "x" * 200_000, 1.0), (1, 3, 1, "assistant", "tie", 1.0)]
     df = spark.createDataFrame(m, "tree_id long, id long, parent_id long, role string, text string, score double")
@@ -560,6 +586,20 @@ def test_url_rules_and_list(spark):
     assert urls.filter_urls(df, listed.limit(0)).count() == len(u) + 1 and urls.filter_urls(df.limit(0), listed).count() == 0
 
 
+def test_the_list_is_read_once(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    out = urls.op8_url_filters(spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "html" not in plan and out.count() == pages.count()
+
+
+def test_very_long_urls(spark):
+    long = "http://x.net/" + "a/" * 50_000
+    pages = spark.createDataFrame([(1, long), (2, long + "b"), (3, long + "?utm_source=z#y")], "page_id long, url string")
+    out = urls.filter_urls(pages, pages.where("page_id = 1").select("url"))
+    assert {r["page"]["page_id"]: r["verdict"] for r in out.collect()} == {1: "block", 2: "allow", 3: "block"}
+
+
 def test_false_positives_are_removed(spark, monkeypatch):
     """A filter of one block lets most URLs pass; the exact join still finds the listed ones only."""
     monkeypatch.setattr(shared, "MAX_BLOCKS", 1)
