@@ -180,6 +180,13 @@ def rank_one(r: np.ndarray, noise: np.ndarray | None = None) -> np.ndarray:
     return out * (np.trace(r, axis1=1, axis2=2) / np.maximum(np.trace(out, axis1=1, axis2=2).real, 1e-15))[:, None, None]
 
 
+def rebuilt(r: np.ndarray, inverted: bool = False, floor: float = 1.1920929e-07) -> np.ndarray:
+    """Hermitian matrices scaled to a largest eigenvalue of 1, with eigenvalues floored, put together again; or their inverses."""
+    v, u = np.linalg.eigh((r + r.conj().transpose(0, 2, 1)) / 2)
+    v = np.maximum(v / np.maximum(v[:, -1:], floor), floor)
+    return (u * (1 / v if inverted else v)[:, None, :]) @ u.conj().transpose(0, 2, 1)
+
+
 def log_determinant(r: np.ndarray, floor: float = 1.1920929e-07) -> np.ndarray:
     """Of the matrix scaled to a largest eigenvalue of 1, eigenvalues floored."""
     v = eigenvalues(r)

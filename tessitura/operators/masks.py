@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.signal import EPSILON, Complex, compressed, decibel
+from ..functions.signal import EPSILON, Complex, at, compressed, decibel
 
 
 def pair_mask(clean: Complex, noisy: Complex, kind: str) -> Column:
@@ -41,6 +41,14 @@ def speaker_masks(spec: DataFrame, cell: list[str], spk: str = "spk") -> DataFra
     return spec.withColumn("irm", F.col("m") / (F.sum("m").over(w) + EPSILON)).withColumn("ibm", F.when(first, 1.0).otherwise(0.0))
 
 
+def mixture_masks(spec: DataFrame, mix: DataFrame, cell: list[str]) -> DataFrame:
+    """(cell, spk, iam, psm) of spec(cell, spk, re, im) within mix(cell, re, im): a speaker's magnitude by the mixture's, and the
+    same times the cosine between their phases. Cells without a mixture are left out."""
+    y = mix.select(*cell, F.col("re").alias("y_re"), F.col("im").alias("y_im"))
+    iam = at().abs() / (at("y_").abs() + EPSILON)
+    return spec.join(y, cell).select(*cell, "spk", iam.alias("iam"), (iam * F.cos(at("y_").angle() - at().angle())).alias("psm"))
+
+
 def cluster_labels(spec: DataFrame, utt: list[str], beta: float = 40.0, spk: str = "spk") -> DataFrame:
     """(utt, t, f, label): the loudest speaker of a cell, -1 in cells more than beta dB below the utterance's loudest."""
     cell = spec.groupBy(*utt, "t", "f").agg(F.max(F.struct("m", (-F.col(spk)).alias("s"))).alias("top"), F.sum("m").alias("all"))

@@ -194,6 +194,27 @@ def la09(spark, d):
     return L.per_row(c, ["utt", "f"], ["r"], L.log_determinant, "d").select("utt", "f", F.round(F.element_at("d_re", 1), 4).alias("logdet"))
 
 
+def la09_rebuilt(spark, d):
+    """Scaled covariances and their inverses from floored eigenvalues, as long rows."""
+    c = L.packed(L.covariance(spec(spark, d), mask(spark, d)), ["utt", "f"], "r")
+    out = None
+    for how, inverted in (("matrix", False), ("inverse", True)):
+        x = L.per_row(c, ["utt", "f"], ["r"], lambda r_, inverted=inverted: L.rebuilt(r_, inverted), "m")
+        x = x.select("utt", "f", F.lit(how).alias("how"), F.posexplode(F.arrays_zip("m_re", "m_im")).alias("at", "z")).select("utt", "f", "how", F.col("at").cast("long").alias("at"), F.col("z.m_re").alias("re"), F.col("z.m_im").alias("im"))
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+def bf04_circular(spark, d):
+    """One microphone in the centre of three, looking to 80 degrees."""
+    _, vectors = P.steering_array(P.steering(spark, 9, X.BINS, X.SR, around=3, radius=0.05, centre=True, speed=X.SPEED))
+    far = np.zeros((4, 4))
+    far[1:, 1:] = B.circular_distances(3, 0.05)
+    far[0, 1:] = far[1:, 0] = 0.05
+    w = B.super_directive(spark, vectors[:, 2], B.diffuse(far, X.BINS, X.SR, X.SPEED, load=1e-5))
+    return r(B.beamformed(spec(spark, d), F.broadcast(w), ["f", "ch"]), "re", "im")
+
+
 def la12(spark, d):
     """Principal components: the covariance is summed by Spark, 64 x 64 numbers are decomposed, rows are projected by Spark."""
     from pyspark.ml.feature import PCA
@@ -313,6 +334,7 @@ QUERIES = {
     "la07_rank_one": (la07, None),
     "la08_solve": (la08, f"{V}, {MASK}, {COV}, {LOADED}, {INVERSE}, m AS ({TIMES.format(a='inv', b='cov')}) SELECT utt, f, i, {r6('re')} AS re, {r6('im')} AS im FROM m WHERE j = 0"),
     "la09_log_determinant": (la09, None),
+    "la09_rebuilt": (la09_rebuilt, None),
     "la12_pca": (la12, None),
     "la13_distances": (la13, f"SELECT 'linear' AS kind, i, j, {r6('abs(p-q)')} AS dist FROM (VALUES (0,0.0),(1,0.05),(2,0.1),(3,0.15)) a(i,p), (VALUES (0,0.0),(1,0.05),(2,0.1),(3,0.15)) b(j,q) UNION ALL SELECT 'circular', i, j, {r6('0.1*abs(sin(pi()*(i-j)/6))')} FROM range(6) x(i), range(6) y(j)"),
     "la14_diffuse_coherence": (la14, f"SELECT f, i, j, {r6('CASE WHEN x = 0 THEN 1 ELSE sin(pi()*x)/(pi()*x) END + CASE WHEN i = j THEN 0.1 ELSE 0 END')} AS re FROM (SELECT f, i, j, f*pi()*16000/8*abs(p-q)/343.0 AS x FROM range(9) z(f), (VALUES (0,0.0),(1,0.05),(2,0.1),(3,0.15)) a(i,p), (VALUES (0,0.0),(1,0.05),(2,0.1),(3,0.15)) b(j,q))"),
@@ -321,6 +343,7 @@ QUERIES = {
     "bf02_fixed_beams": (bf02, f"{S} SELECT a AS beam, utt, t, f, re, im FROM (" + MIX.format(k="s.a, ", a=r6(RE), b=r6(IM), w="AND s.a = x.utt % 3 * 6") + ")"),
     "bf03_delay_and_sum": (bf03, f"{S} " + MIX.format(k="", a=r6(RE + "/4"), b=r6(IM + "/4"), w="AND s.a = 9")),
     "bf04_super_directive": (bf04, None),
+    "bf04_super_directive_circular": (bf04_circular, None),
     "bf06_mvdr": (supervised("mvdr"), None),
     "bf07_mpdr": (supervised("mpdr"), None),
     "bf07_mpdr_whitened": (supervised("mpdr-whiten"), None),

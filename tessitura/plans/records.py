@@ -94,6 +94,17 @@ def src06(spark, d):
     return x.select("key", F.col("n").cast("long").alias("n"), F.round(F.col("x") * 32768, 0).cast("long").alias("x"))
 
 
+def src19(spark, d):
+    """A script for each of four speakers; speaker k lacks every (k + 2)th utterance, so others than all are left out."""
+    w = X.wave(spark, d)
+    lines = [w.where((F.col("ch") == k) & (F.col("utt") % (k + 2) != 0)).select(F.format_string("u%d spk%d/u%d.wav", "utt", "ch", "utt").alias("value")) for k in range(4)]
+    return T.speakers_of([T.parse_script(x) for x in lines])
+
+
+def snk07(spark, d):
+    return K.config_json(X.read(spark, d, "supplier"), "s_suppkey", "s_name", "s_nationkey")
+
+
 V = f"WITH {SAMPLES}"
 KEY = "utt || '-' || ch"
 BACK = f"{V} SELECT {KEY} AS key, n, {r6('x')} AS x FROM samples"
@@ -107,5 +118,7 @@ QUERIES = {
     "src17_complex_matrices": (src17, f"{V}, {STFT} SELECT {KEY} AS key, t, f, {r6('re')} AS re, {r6('im')} AS im FROM stft"),
     "snk10_conversions": (snk10, BACK),
     "src18_wave_headers": (src18, f"{V} SELECT {KEY} AS key, 16000::BIGINT AS sr, 1::BIGINT AS channels, count(*) AS samples, {r6('count(*) / 16000')} AS seconds FROM samples WHERE n <= utt % 60 GROUP BY utt, ch"),
+    "src19_speaker_scripts": (src19, "SELECT 'u' || vec_id // 4 AS key, vec_id % 4 AS spk, 'spk' || vec_id % 4 || '/u' || vec_id // 4 || '.wav' AS value FROM embeddings WHERE (vec_id // 4) % 2 <> 0 AND (vec_id // 4) % 3 <> 0 AND (vec_id // 4) % 5 <> 0"),
+    "snk07_config_json": (snk07, "SELECT to_json({'s_suppkey': s_suppkey, 's_name': s_name, 's_nationkey': s_nationkey})::VARCHAR AS value FROM supplier"),
     "src06_wave_range": (src06, f"{V} SELECT {KEY} AS key, n - 10 AS n, least(greatest(round_even(x*32768, 0), -32768), 32767)::BIGINT AS x FROM samples WHERE n BETWEEN 10 AND 29"),
 }

@@ -148,6 +148,13 @@ def msk04(spark, d):
     return rounded(M.speaker_masks(magnitudes(spark, d), ["utt", "t", "f"]).drop("m"), "irm")
 
 
+def msk04_mixture(spark, d):
+    """All channels as speakers of their sum."""
+    s = spec(spark, d).withColumnRenamed("ch", "spk")
+    mix = s.groupBy("utt", "t", "f").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+    return rounded(M.mixture_masks(s, mix, ["utt", "t", "f"]), "iam", "psm")
+
+
 def msk06(spark, d):
     return M.cluster_labels(magnitudes(spark, d), ["utt"], beta=12.0)
 
@@ -212,6 +219,8 @@ QUERIES = {
     "msk02_clip_report": (msk02, f"{BOTH} SELECT utt, count(*) AS cells, count(*) FILTER (m > 1 OR m < 0) AS clipped, {r6('avg(greatest(least(m, 1), 0))')} AS mean FROM (SELECT utt, s*turn/greatest(y,{EPS}) AS m FROM both_) GROUP BY utt"),
     "msk03_noise_masks": (msk03, f"{BOTH} SELECT utt, t, f, {r6(f's/(s+d+{EPS})')} AS irm_linear, CASE WHEN s > d THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS ibm, {r6(f's*s/(s*s+d*d+{EPS})')} AS wiener FROM both_"),
     "msk04_speaker_masks": (msk04, f"{MAG} SELECT utt, spk, t, f, {r6(f'm/(sum(m) OVER w+{EPS})')} AS irm, CASE WHEN row_number() OVER (w ORDER BY m DESC, spk) = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS ibm FROM mag WINDOW w AS (PARTITION BY utt, t, f)"),
+    "msk04_mixture_masks": (msk04_mixture, f"""{W}{STFT}, y AS (SELECT utt, t, f, sum(re) AS yr, sum(im) AS yi FROM stft GROUP BY ALL)
+      SELECT utt, t, f, ch AS spk, {r6(f'sqrt(re*re+im*im)/(sqrt(yr*yr+yi*yi)+{EPS})')} AS iam, {r6(f'sqrt(re*re+im*im)/(sqrt(yr*yr+yi*yi)+{EPS})*cos(atan2(yi,yr)-atan2(im,re))')} AS psm FROM stft JOIN y USING (utt, t, f)"""),
     "msk06_cluster_labels": (msk06, f"{MAG}, c AS (SELECT utt, t, f, arg_max(spk, m) AS s, 20*log10(sum(m)+{EPS}) AS db FROM mag GROUP BY ALL) SELECT utt, t, f, CASE WHEN db < max(db) OVER (PARTITION BY utt) - 12 THEN -1 ELSE s END AS label FROM c"),
     "msk07_winner_takes_all": (msk07, f"{MAG} SELECT utt, spk, t, f, CASE WHEN m = max(m) OVER (PARTITION BY utt, t, f) THEN {r6('m')} ELSE 0.0001 END AS m FROM mag"),
     "msk08_energy_vad": (msk08, f"{MAG}, e AS (SELECT utt, t, f, round(m, 9) AS e FROM mag WHERE spk = 0) SELECT utt, t, f, CASE WHEN sum(e) OVER (PARTITION BY utt ORDER BY e, t, f ROWS UNBOUNDED PRECEDING) > sum(e) OVER (PARTITION BY utt) * 0.2 THEN 1.0::DOUBLE ELSE 0.0001 END AS m FROM e"),

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import io
 import wave as riff
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -117,6 +118,12 @@ def channels_of(scripts: list[DataFrame]) -> DataFrame:
     return out.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").drop("n")
 
 
+def speakers_of(scripts: list[DataFrame]) -> DataFrame:
+    """(key, spk, value) of one script for each speaker, spk counted from 0: the keys that every script has."""
+    rows = reduce(DataFrame.unionByName, [s.withColumn("spk", F.lit(k).cast("long")) for k, s in enumerate(scripts)])
+    return rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where(F.col("n") == len(scripts)).select("key", "spk", "value")
+
+
 ROOM = "struct<beta:double,receiver_location:array<array<double>>,room_size:array<double>,receiver_geometric:array<double>,spk:array<struct<pos:array<double>,doa:double,dst:double,loc:string>>>"
 
 

@@ -106,6 +106,29 @@ def test_online_beamformer(spark):
                 close(np.abs(re + 1j * im)[u, 3 * k : 3 * k + 3, f], out, rtol=1e-2, atol=1e-3)
 
 
+def test_circular_super_directive_beamformer(spark):
+    re, im = grid(got(spark, "bf04_super_directive_circular", "utt", "t", "f"), ["re", "im"], (len(WAVE), FRAMES, BINS))
+    spots = np.array([(0, 0), *((0.05 * np.cos(2 * np.pi * k / 3), 0.05 * np.sin(2 * np.pi * k / 3)) for k in range(3))])
+    far = np.linalg.norm(spots[:, None] - spots, axis=2)
+    look = np.array([np.cos(np.radians(80)), np.sin(np.radians(80))])
+    for f in range(BINS):
+        omega = np.pi * 16000 / 8 * f
+        d = np.exp(1j * omega * (spots @ look) / 343)
+        w = np.linalg.solve(np.sinc(omega * far / 343) + 1e-5 * np.eye(4), d)
+        w = w / (d.conj() @ w)
+        close((re + 1j * im)[:, :, f], np.einsum("c,uct->ut", w.conj(), X[..., f]), rtol=1e-3, atol=1e-3)
+
+
+def test_rebuilt_covariances(spark):
+    df = got(spark, "la09_rebuilt", "utt", "f", "how", "at")
+    z = (df["re"] + 1j * df["im"]).to_numpy().reshape(len(WAVE), BINS, 2, 4, 4)
+    for u, f in itertools.product(UTTS, range(BINS)):
+        r = cov(X[u, :, :, f], MASK[:, f])
+        v, w = np.linalg.eigh(r / np.linalg.norm(r, 2))
+        close(z[u, f, 1], sum(max(a, EPS) * np.outer(b, b.conj()) for a, b in zip(v, w.T)), atol=1e-6)
+        close(z[u, f, 0] @ z[u, f, 1], np.eye(4), atol=1e-6)
+
+
 def test_blockwise_and_super_directive_beamformers(spark):
     re, im = grid(got(spark, "bf13_blockwise_mvdr", "utt", "t", "f"), ["re", "im"], (len(WAVE), FRAMES, BINS))
     for u, f in itertools.product(UTTS, range(BINS)):
