@@ -6,7 +6,8 @@ probability 1 - 7e-6; the pipeline's stage has a threshold of 0.8 and more bands
 
 1. shingles that no other candidate has are counted; a class with too many of them can't reach the threshold and goes;
 2. each class is compared with one leader, the least id of its buckets (linear in the classes); what links makes parts;
-3. only buckets that still hold several parts are compared further, and buckets of equal members once. A bucket is dealt into
+3. only buckets that still hold several parts are compared further, and buckets of equal members once. Hot buckets are salted
+   wherever rows meet by bucket. A bucket is dealt into
    blocks of bounded size by salt, parts that fill a block apart from the rest, and pairs of blocks meet in separate tasks,
    bit set against bit set; no part is compared with itself. Only a spanning forest of the links leaves a task.
 
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import LOWER, chunks, connected, dropped, grams, in_arrow, mix, paired, sifted, spaced, stored, table
@@ -36,6 +37,9 @@ BANDS, ROWS = 16, 4
 STAGE_PERCENT, STAGE_BANDS = 80, 24
 #: Shingles and classes of a block of the exact comparison.
 BLOCK_SHINGLES, BLOCK_CLASSES = 200_000, 256
+#: A bucket with more than one in HOT_SHARE of all places in shared buckets is hot, so fewer than HOT_SHARE buckets are. Its rows
+#: are shuffled as SALTS keys.
+HOT_SHARE, SALTS = 1024, 64
 
 
 def shingled(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -168,30 +172,51 @@ def _compared(group, percent: int):
     return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
 
 
-def _blocks(cells: DataFrame, compared: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _hot(shared: DataFrame) -> Column:
+    """Whether a row's `cell` is a hot one of shared(cell, many)."""
+    total = shared.agg(F.sum("many")).first()[0] or 0
+    found = [r.cell for r in shared.where(F.col("many") * HOT_SHARE > total).select("cell").collect()]
+    return F.expr(f"cell IN ({', '.join(f'{c}L' for c in found)})") if found else F.lit(False)
+
+
+def _salt(hot: Column, *by: str) -> Column:
+    """The salt of a row of a bucket: one of SALTS where the bucket is hot, else 0."""
+    return F.when(hot, F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).otherwise(0).alias("salt")
+
+
+def _spread(df: DataFrame, hot: Column) -> DataFrame:
+    """df, which has one row or a few for each bucket, with a row for each salt of the bucket."""
+    return df.withColumn("salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+
+
+def _blocks(spark: SparkSession, cells: DataFrame, compared: DataFrame, hot: Column) -> tuple[DataFrame, DataFrame]:
     """Members (cell, part, k, id, label) of buckets that need comparing, by blocks (part, k) of a bucket, and the pairs
-    (cell, part, k, part2, k2) of blocks to compare. cells(cell, id, label, n), compared(id, leader): done already.
-    part: the label of a part that fills blocks of its own, or -1 for all smaller ones."""
+    (cell, part, k, part2, k2) of blocks to compare. cells(cell, salt, id, label, n), compared(id, leader): done already.
+    part: the label of a part that fills blocks of its own, or -1 for all smaller ones. Members are stored before their blocks
+    are paired, so that both come from the same dealing; room is counted in whole numbers for the same reason."""
     of = cells.join(compared, "id", "left").groupBy("cell")
     seen = of.agg(
         F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("many"), F.min("id").alias("first"), F.max("id").alias("last"),
         F.bit_xor(F.xxhash64("id")).alias("all"), F.max_by("leader", "id").alias("leader"),
     )
     open_ = seen.where("lo < hi AND NOT (many = 2 AND leader <=> first)").groupBy("many", "first", "last", "all").agg(F.min("cell").alias("cell")).select("cell")
-    member = cells.join(open_, "cell")
-    room = F.sum(F.greatest(F.col("n") / BLOCK_SHINGLES, F.lit(1.0 / BLOCK_CLASSES)))
+    member = cells.join(_spread(open_, hot), ["cell", "salt"])
+    room = F.sum(F.greatest(F.col("n"), F.lit(-(-BLOCK_SHINGLES // BLOCK_CLASSES))))
+    needed = F.ceil(F.col("room") / BLOCK_SHINGLES)
     parts = member.groupBy("cell", "label").agg(room.alias("room"))
-    own = parts.where("room > 1").select("cell", "label", F.ceil("room").alias("nb"))
-    rest = parts.where("room <= 1").groupBy("cell").agg(F.ceil(F.sum("room")).alias("ns"))
-    dealt = member.join(own, ["cell", "label"], "left").join(rest, "cell", "left").select(
+    own = _spread(parts.where(F.col("room") > BLOCK_SHINGLES).select("cell", "label", needed.alias("nb")), hot)
+    rest = _spread(parts.where(F.col("room") <= BLOCK_SHINGLES).groupBy("cell").agg(F.sum("room").alias("room")).select("cell", needed.alias("ns")), hot)
+    dealt = member.join(own, ["cell", "salt", "label"], "left").join(rest, ["cell", "salt"], "left").select(
         "cell", F.when(F.col("nb").isNull(), F.lit(-1).cast("long")).otherwise(F.col("label")).alias("part"),
         F.when(F.col("nb").isNull(), F.pmod(F.xxhash64("label"), F.col("ns"))).otherwise(F.pmod(F.xxhash64("id"), F.col("nb"))).alias("k"), "id", "label",
     )
+    dealt = stored(spark, dealt, "blocks")
     block = dealt.groupBy("cell", "part", "k").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    two = block.select("cell", F.col("part").alias("part2"), F.col("k").alias("k2"))
+    two = _spread(block.select("cell", F.col("part").alias("part2"), F.col("k").alias("k2")), hot)
     apart = F.struct("part", "k") < F.struct("part2", "k2")
     inside = (F.col("part") == F.col("part2")) & (F.col("k") == F.col("k2")) & (F.col("lo") < F.col("hi"))
-    return dealt, block.join(two, "cell").where(inside | (apart & ((F.col("part") == -1) | (F.col("part") != F.col("part2"))))).select("cell", "part", "k", "part2", "k2")
+    met = block.withColumn("salt", _salt(hot, "part", "k")).join(two, ["cell", "salt"])
+    return dealt, met.where(inside | (apart & ((F.col("part") == -1) | (F.col("part") != F.col("part2"))))).select("cell", "part", "k", "part2", "k2")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -208,8 +233,10 @@ def classes(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, bands:
     same = sketch.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min_by(F.struct("id", F.col("n_shingles").alias("n"), "bands"), "id").alias("c"))
     named = stored(spark, same.select("d1", "d2", "c.id", "c.n", "c.bands"), "classes")
     cells = named.select("id", F.explode("bands").alias("cell"))
-    shared = cells.groupBy("cell").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("cell")
-    cells = stored(spark, cells.join(shared, "cell"), "cells")
+    met = cells.groupBy("cell").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("many")).where("lo < hi")
+    shared = stored(spark, met.select("cell", "many"), "shared")
+    hot = _hot(shared)
+    cells = stored(spark, cells.withColumn("salt", _salt(hot, "id")).join(_spread(shared.select("cell"), hot), ["cell", "salt"]), "cells")
     wanted = stored(spark, cells.select("id").distinct(), "wanted")
     texts = sifted(docs.select("id", "text"), "id", wanted, wanted.count())  # before they are shuffled
     sets = stored(spark, _sets(texts.join(wanted, "id", "left_semi")), "sets")
@@ -217,19 +244,18 @@ def classes(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, bands:
     single = sets.select("id", F.explode("s").alias("h")).groupBy("h").agg(F.min("id").alias("id"), F.count("*").alias("c")).where("c = 1").groupBy("id").agg(F.count("*").alias("u"))
     alive = stored(spark, sets.select("id", "n").join(single, "id", "left").where(100 * (F.col("n") - F.coalesce("u", F.lit(0))) >= percent * F.col("n")).select("id", "n"), "alive")
     buckets = cells.join(alive, "id")
-    leader = buckets.groupBy("cell").agg(F.min("id").alias("leader"))
-    pairs = stored(spark, buckets.join(leader, "cell").where("leader < id").groupBy("id").agg(F.min("leader").alias("leader")), "pairs")
+    leader = _spread(buckets.groupBy("cell").agg(F.min("id").alias("leader")), hot)
+    pairs = stored(spark, buckets.join(leader, ["cell", "salt"]).where("leader < id").groupBy("id").agg(F.min("leader").alias("leader")), "pairs")
     one, two = sets.select("id", "n", "s"), sets.select(F.col("id").alias("leader"), F.col("n").alias("n2"), F.col("s").alias("s2"))
     near = pairs.join(one, "id").join(two, "leader").where(_similar(F.size(F.array_intersect("s", "s2")), F.col("n"), F.col("n2"), percent))
     part = connected(spark, near.select(F.col("leader").alias("a"), F.col("id").alias("b"))).select("id", F.col("component_id").alias("label"))
-    dealt, duo = _blocks(buckets.join(part, "id", "left").withColumn("label", F.coalesce("label", "id")), pairs)
-    dealt = stored(spark, dealt, "blocks")
+    dealt, duo = _blocks(spark, buckets.join(part, "id", "left").withColumn("label", F.coalesce("label", "id")), pairs, hot)
     task = duo.withColumn("one", F.struct("part", "k", F.lit(0).alias("side"))).withColumn("two", F.struct(F.col("part2").alias("part"), F.col("k2").alias("k"), F.lit(1).alias("side")))
     same_block = (F.col("part") == F.col("part2")) & (F.col("k") == F.col("k2"))
     task = task.select("cell", F.struct("part", "k", "part2", "k2").alias("duo"), F.explode(F.when(same_block, F.array("one")).otherwise(F.array("one", "two"))).alias("x")).select("cell", "duo", "x.part", "x.k", "x.side")
     group = dealt.join(task, ["cell", "part", "k"]).join(sets, "id").select("cell", "duo", "label", "side", "n", "s")
     more = connected(spark, group.groupBy("cell", "duo").applyInArrow(lambda key, g: _compared(g, percent), "a long, b long")).select(F.col("id").alias("label"), "component_id")
-    dropped(spark, cells, wanted, sets, alive, pairs, dealt)
+    dropped(spark, shared, cells, wanted, sets, alive, pairs, dealt)
     final = named.select("d1", "d2", "id").join(part, "id", "left").withColumn("label", F.coalesce("label", "id")).join(more, "label", "left").select("d1", "d2", F.coalesce("component_id", "label").alias("component_id"))
     out = sketch.select("doc_id", "n_shingles", "d1", "d2").join(final, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     if not sketch.where("doc_id IS NULL AND n_shingles > 0").isEmpty():  # a component's name is a doc_id, if one of its rows has any

@@ -219,9 +219,11 @@ def components(n, linked):
     return [find(i) for i in range(n)]
 
 
-@pytest.mark.parametrize("size", [256, 3])
-def test_near_dups_by_brute_force(spark, docs, none, size, monkeypatch):
+@pytest.mark.parametrize(("size", "share"), [(256, 1024), (3, 1024), (3, 0), (3, 8)])
+def test_near_dups_by_brute_force(spark, docs, none, size, share, monkeypatch):
+    """Blocks of any size, and every, no and some buckets hot."""
     monkeypatch.setattr(neardup, "BLOCK_CLASSES", size)
+    monkeypatch.setattr(neardup, "HOT_SHARE", share)
     s = [shingles(t) for t in EDGES]
     want = components(len(s), lambda a, b: bool(s[a]) and 100 * len(s[a] & s[b]) >= 85 * len(s[a] | s[b]))
     got = neardup.classes(spark, docs).collect()
@@ -234,6 +236,19 @@ def test_near_dups_by_brute_force(spark, docs, none, size, monkeypatch):
         assert kept.columns == clash(docs).columns and {r["doc_id"] for r in kept.select("doc_id").collect()} == set(want)
 
 
+def test_salted_rows_meet_their_bucket_once(spark):
+    """Rows of a hot bucket take many keys; each still meets the bucket's own row, and no bucket's row twice."""
+    rows = spark.createDataFrame([(i, -7 if i % 3 else i) for i in range(3000)], "id long, cell long")
+    many = rows.groupBy("cell").agg(F.count("*").alias("many"))
+    hot = neardup._hot(many)
+    salted = rows.withColumn("salt", neardup._salt(hot, "id"))
+    keys = {r["cell"]: r["n"] for r in salted.groupBy("cell").agg(F.count_distinct("salt").alias("n")).collect()}
+    assert keys.pop(-7) == neardup.SALTS and set(keys.values()) == {1}
+    met = salted.join(neardup._spread(many, hot), ["cell", "salt"])
+    assert met.count() == met.select("id").distinct().count() == 3000
+    assert neardup._spread(many, neardup._hot(many.limit(0))).count() == many.count()
+
+
 def test_many_edited_copies(spark):
     """A group of near copies around one original: links that only pairs of copies have must not be lost."""
     rng = np.random.default_rng(8)
