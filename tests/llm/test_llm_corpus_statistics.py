@@ -149,6 +149,18 @@ def test_divergence_like_a_loop(spark, docs, slices, seat, monkeypatch):
     assert [tuple(r) for r in divergence.diverging(spark, clash(docs), min_docs=4).collect() if tuple(r) not in set(got)] == []
 
 
+def test_divergence_of_a_task_with_several_batches(spark, docs):
+    """A table of texts counted at once is made of Arrow batches; a text keeps its language and source in each."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "4")
+    try:
+        got = [tuple(r) for r in divergence.diverging(spark, docs, min_docs=4).collect()]
+    finally:
+        spark.conf.set(name, before)
+    assert len(set(got)) == len(got) and set(got) == expected_divergence(ROWS, 4)
+
+
 def test_divergence_of_nothing(spark, none):
     assert divergence.diverging(spark, none).count() == 0
     rows = [(1, "a", "en", "x"), (2, None, "en", "y"), (3, "b", "de", "x")]
