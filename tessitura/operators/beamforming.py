@@ -84,12 +84,12 @@ def normalised(w: np.ndarray, rn: np.ndarray) -> np.ndarray:
 
 def supervised(spec: DataFrame, mask: DataFrame, kind, ban: bool = False, noise: DataFrame | None = None, block=None) -> DataFrame:
     """(utt, [blk,] f, ch, re, im): weights from a speech mask(utt, t, f, m), noise by 1 - m or its own mask. Spark sums both
-    covariances in one pass; one kernel call solves a batch of bins. kind: a name in WEIGHTS, or a function of stacks of both covariances."""
+    covariances in one pass; one kernel call solves a batch of bins. kind: a name in WEIGHTS, or a function of stacks of both covariances.
+    A recording that lacks channels gets weights for those it has; a reference channel by number is counted among them."""
     keys = ["utt", "f"] if block is None else ["utt", "blk", "f"]
     solve = kind if callable(kind) else WEIGHTS[kind]
     kernel = (lambda s, n: normalised(solve(s, n), n)) if ban else solve
-    w = L.per_row(L.two_covariances(spec, mask, noise, block), keys, ["s", "n"], kernel, "w")
-    return w.select(*keys, F.posexplode(F.arrays_zip("w_re", "w_im")).alias("ch", "z")).select(*keys, F.col("ch").cast("long").alias("ch"), F.col("z.w_re").alias("re"), F.col("z.w_im").alias("im"))
+    return L.by_channel(L.per_row(L.two_covariances(spec, mask, noise, block), [*keys, "ch"], ["s", "n"], kernel, "w"), keys, "ch", "w")
 
 
 def online(spec: DataFrame, mask: DataFrame, kind: str, chunk: int, alpha: float = 0.8, later: float | None = None) -> DataFrame:
@@ -99,8 +99,7 @@ def online(spec: DataFrame, mask: DataFrame, kind: str, chunk: int, alpha: float
 
     keys = ["utt", "chunk", "f"]
     rs, rn = (L.packed(online_covariances(spec, m, chunk, alpha, later), keys, n) for m, n in ((mask, "s"), (mask.withColumn("m", 1 - F.col("m")), "n")))
-    w = L.per_row(rs.join(rn, keys), keys, ["s", "n"], WEIGHTS[kind], "w")
-    w = w.select(*keys, F.posexplode(F.arrays_zip("w_re", "w_im")).alias("ch", "z")).select(*keys, F.col("ch").cast("long").alias("ch"), F.col("z.w_re").alias("re"), F.col("z.w_im").alias("im"))
+    w = L.by_channel(L.per_row(rs.join(rn, keys), [*keys, "s_ch"], ["s", "n"], WEIGHTS[kind], "w"), keys, "s_ch", "w")
     return beamformed(spec.withColumn("chunk", F.floor(F.col("t") / chunk)), w, [*keys, "ch"])
 
 

@@ -33,8 +33,8 @@ def covariance(spec: DataFrame, mask: DataFrame | None = None, block: Column | N
 
 
 def two_covariances(spec: DataFrame, mask: DataFrame, noise: DataFrame | None = None, block: Column | None = None, least: float = 1e-6) -> DataFrame:
-    """(utt, [blk,] f, s_re, s_im, n_re, n_im): covariances by mask(utt, t, f, m) and by its complement, or by a mask of the noise,
-    packed. A cell's products are made once and summed under both weights; cells are dealt by (utt, f) once, for all that follows."""
+    """(utt, [blk,] f, ch, s_re, s_im, n_re, n_im): covariances by mask(utt, t, f, m) and by its complement, or by a mask of the
+    noise, packed, with the channels of their rows. A cell's products are made once and summed under both weights; cells are dealt by (utt, f) once, for all that follows."""
     z = F.struct("ch", "re", "im")
     none = F.lit(None).cast("double")
     rows = spec.select("utt", "t", "f", z.alias("z"), none.alias("s"), none.alias("n"))
@@ -55,7 +55,7 @@ def two_covariances(spec: DataFrame, mask: DataFrame, noise: DataFrame | None =
     there = F.struct(F.col("j").alias("i"), F.col("i").alias("j"), *((-F.col(k) if k.endswith("im") else F.col(k)).alias(k) for k in scaled))
     both = upper.select(*keys, F.explode(F.when(F.col("i") == F.col("j"), F.array(here)).otherwise(F.array(here, there))).alias("x"))
     full = both.groupBy(*keys).agg(F.array_sort(F.collect_list("x")).alias("x"))
-    return full.select(*keys, *(F.col("x")[k].alias(k) for k in scaled))
+    return full.select(*keys, _channels("x").alias("ch"), *(F.col("x")[k].alias(k) for k in scaled))
 
 
 def hermitian_error(cov: DataFrame, keys: list[str]) -> DataFrame:
@@ -78,19 +78,36 @@ def diagonal_added(a: DataFrame, value: float) -> DataFrame:
 
 
 def packed(cov: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """(keys, name_re, name_im): each matrix as row-major arrays."""
+    """(keys, name_ch, name_re, name_im): each matrix as row-major arrays, and its channels in order. A channel that a recording
+    lacks has no row or column."""
     z = F.array_sort(F.collect_list(F.struct("i", "j", "re", "im")))
-    return cov.groupBy(*keys).agg(z.alias("z")).select(*keys, F.transform("z", lambda x: x["re"]).alias(f"{name}_re"), F.transform("z", lambda x: x["im"]).alias(f"{name}_im"))
+    return cov.groupBy(*keys).agg(z.alias("z")).select(*keys, _channels("z").alias(f"{name}_ch"), F.transform("z", lambda x: x["re"]).alias(f"{name}_re"), F.transform("z", lambda x: x["im"]).alias(f"{name}_im"))
+
+
+def _channels(z: str) -> Column:
+    return F.array_distinct(F.transform(z, lambda x: x["i"]))
 
 
 def matrices(column_re, column_im) -> np.ndarray:
-    """Row-major arrays as a stack of square matrices."""
+    """Row-major arrays as a stack of square matrices, all of one size."""
     x = np.asarray(column_re.flatten()) + 1j * np.asarray(column_im.flatten())
     n = len(column_re)
     side = int(round(np.sqrt(len(x) / n))) if n else 0
     return x.reshape(n, side, side)
 
 
+def same_sizes(columns: list) -> list[np.ndarray]:
+    """The rows of a batch by the lengths of these arrays: for each combination that occurs, its rows."""
+    lengths = np.stack([c.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) for c in columns], axis=1)
+    kinds, kind = np.unique(lengths, axis=0, return_inverse=True)
+    return [np.flatnonzero(kind.ravel() == k) for k in range(len(kinds))]
+
+
+def _square(column) -> bool:
+    many = len(column[0].values) if column[0].is_valid else 0
+    return many > 0 and round(np.sqrt(many)) ** 2 == many
+
+
 def _each(kernel, stacks: list[np.ndarray]) -> np.ndarray:
     """The kernel's result for each row, flattened; not a number where it has none. All at once, or one by one if one can't be solved."""
     many = len(stacks[0])
@@ -111,6 +128,12 @@ def _each(kernel, stacks: list[np.ndarray]) -> np.ndarray:
     return y
 
 
+def by_channel(df: DataFrame, keys: list[str], ch: str, out: str) -> DataFrame:
+    """(keys, ch, re, im): the elements of vectors out_re, out_im as rows, under the channels that array `ch` names."""
+    long = df.select(*keys, F.explode(F.arrays_zip(F.col(ch).alias("c"), F.col(f"{out}_re").alias("re"), F.col(f"{out}_im").alias("im"))).alias("z"))
+    return long.select(*keys, F.col("z.c").cast("long").alias("ch"), F.col("z.re").alias("re"), F.col("z.im").alias("im"))
+
+
 def unsolved(df: DataFrame, out: str) -> DataFrame:
     """(n): how many rows of what `per_row` gave have no result."""
     return df.agg(F.count_if(F.col(f"{out}_re").isNull()).alias("n"))
@@ -118,8 +141,9 @@ def unsolved(df: DataFrame, out: str) -> DataFrame:
 
 def per_row(df: DataFrame, keys: list[str], inputs: list[str], kernel, out: str, size: str = "vector") -> DataFrame:
     """keys, out_re, out_im: kernel(stack of each input's matrices) -> stack of vectors or matrices, flattened. All rows of an
-    Arrow batch are solved in one call; no shuffle. A row whose matrices hold anything but finite numbers, or that the kernel can't
-    solve, gives nulls; `unsolved` counts them. The others of its batch aren't affected."""
+    Arrow batch whose matrices have one size are solved in one call; no shuffle. A row whose matrices hold anything but finite
+    numbers or aren't square, or that the kernel can't solve, gives nulls; `unsolved` counts them. The others of its batch aren't
+    affected."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in keys)
     columns = [*keys, *(f"{x}_{p}" for x in inputs for p in ("re", "im"))]
 
@@ -128,12 +152,19 @@ def per_row(df: DataFrame, keys: list[str], inputs: list[str], kernel, out: str,
             if not b.num_rows:
                 continue
             col = dict(zip(columns, b.columns, strict=True))
-            stacks = [matrices(col[f"{x}_re"], col[f"{x}_im"]) for x in inputs]
-            y = _each(kernel, stacks)
-            bad = ~np.isfinite(y).all(axis=1)
-            bounds = pa.array(np.arange(b.num_rows + 1) * y.shape[1], pa.int32())
-            mask = pa.array(bad)
-            parts = [pa.ListArray.from_arrays(bounds, pa.array(np.ascontiguousarray(v).ravel().astype(np.float64)), mask=mask) for v in (y.real, y.imag)]
+            width, found = np.zeros(b.num_rows, dtype=np.int64), []
+            for rows in same_sizes([col[f"{x}_re"] for x in inputs]):
+                of = {c: col[c].take(pa.array(rows)) for c in columns[len(keys) :]}
+                if all(_square(of[f"{x}_re"]) for x in inputs):
+                    y = _each(kernel, [matrices(of[f"{x}_re"], of[f"{x}_im"]) for x in inputs])
+                    good = np.isfinite(y).all(axis=1)
+                    width[rows[good]] = y.shape[1]
+                    found.append((rows[good], y[good]))
+            bounds = np.append(0, np.cumsum(width))
+            flat = np.zeros(bounds[-1], dtype=complex)
+            for rows, y in found:
+                flat[bounds[rows][:, None] + np.arange(y.shape[1])] = y
+            parts = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.ascontiguousarray(v)), mask=pa.array(width == 0)) for v in (flat.real, flat.imag)]
             yield pa.RecordBatch.from_arrays([*(col[k] for k in keys), *parts], [*keys, f"{out}_re", f"{out}_im"])
 
     return df.select(*columns).mapInArrow(run, f"{fields}, {out}_re array<double>, {out}_im array<double>")

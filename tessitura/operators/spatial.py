@@ -7,12 +7,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.signal import EPSILON, SPEED, at, circular_delay, cis, linear_delay, omega, wrapped
-from .linalg import matrices, per_row, principal
+from .linalg import matrices, per_row, principal, same_sizes
 from .relational import channel_rows, microphone_pairs
 from .steered import cross_correlations, each, of_channels, steering_array, summed
 from .windows import clamped_average
@@ -150,21 +151,21 @@ def diagonal_delays(spark: SparkSession, around: int, diameter: float, angles: i
 
 
 def ml_likelihood(spec: DataFrame, steer: DataFrame, mask: Column | str | None = None, compression: float = 0.0, eps: float = EPSILON, keys: tuple[str, ...] = ("utt",)) -> DataFrame:
-    """(keys, a, ll): log likelihood of directions, -sum of log(1 - |steer^H x|^2 / (|steer|^2 |x|^2)) over cells. mask: a column
-    that is the same for all channels of a cell. Angles count from 0."""
+    """(keys, a, ll): log likelihood of directions, -sum of log(1 - |steer^H x|^2 / (|steer|^2 |x|^2)) over cells. |steer| goes over
+    the channels that a cell has. mask: a column that is the same for all channels of a cell. Angles count from 0."""
     channels, vectors = steering_array(steer)
-    size = (np.abs(vectors) ** 2).sum(axis=2)
+    size = np.abs(vectors) ** 2
     weight = F.col(mask) if isinstance(mask, str) else F.lit(1.0) if mask is None else mask
     cell = channel_rows(spec.withColumn("m", weight), [*keys, "t", "f"], ["re", "im", "m"], [*keys, "t"]).withColumn("m", F.element_at("z", 1)["m"].cast("double"))
 
     def kernel(b):
-        _, re, im = of_channels(b, ("re", "im"), channels)
+        there, re, im = of_channels(b, ("re", "im"), channels)
         x, f, m = re + 1j * im, b.column("f").to_numpy(zero_copy_only=False), b.column("m").to_numpy(zero_copy_only=False)
-        power, out = (np.abs(x) ** 2).sum(axis=1), np.zeros((len(f), size.shape[1]))
+        power, out = (np.abs(x) ** 2).sum(axis=1), np.zeros((len(f), vectors.shape[1]))
         for k in np.unique(f):
             rows = np.flatnonzero(f == k)
             met = np.abs(x[rows] @ vectors[k].conj().T) ** 2
-            ll = -np.log(np.maximum(1 - met / (size[k] * power[rows, None] + eps), eps))
+            ll = -np.log(np.maximum(1 - met / ((there[rows] @ size[k].T) * power[rows, None] + eps), eps))
             out[rows] = ll * (m[rows] * power[rows] ** compression)[:, None]
         return out
 
@@ -172,15 +173,22 @@ def ml_likelihood(spec: DataFrame, steer: DataFrame, mask: Column | str | None =
 
 
 def music_scores(cov: DataFrame, steer: DataFrame) -> DataFrame:
-    """(utt, a, e): what is left of steering vectors in the noise subspace of packed covariances (utt, f, r_re, r_im), added over bins;
-    the direction of the least is the source's. Bins that can't be decomposed add nothing."""
-    _, vectors = steering_array(steer)
+    """(utt, a, e): what is left of steering vectors in the noise subspace of packed covariances (utt, f, r_ch, r_re, r_im), added over
+    bins; the direction of the least is the source's. Bins that can't be decomposed add nothing. Channels that a recording or the
+    steering table lacks take no part."""
+    channels, vectors = steering_array(steer)
     apart = lambda r: np.eye(r.shape[-1]) - np.einsum("ni,nj->nij", principal(r), principal(r).conj())
-    left = per_row(cov, ["utt", "f"], ["r"], apart, "p").where("p_re IS NOT NULL")
+    left = per_row(cov, ["utt", "f", "r_ch"], ["r"], apart, "p").where("p_re IS NOT NULL")
 
     def kernel(b):
-        a = vectors[b.column("f").to_numpy(zero_copy_only=False)]
-        return np.einsum("nai,nij,naj->na", a.conj(), matrices(b.column("p_re"), b.column("p_im")), a, optimize=True).real
+        f, out = b.column("f").to_numpy(zero_copy_only=False), np.zeros((b.num_rows, vectors.shape[1]))
+        for rows in same_sizes([b.column("p_re")]):
+            ch, re, im = (b.column(c).take(pa.array(rows)) for c in ("r_ch", "p_re", "p_im"))
+            ch = np.asarray(ch.flatten()).reshape(len(rows), -1)
+            at = np.minimum(np.searchsorted(channels, ch), len(channels) - 1)
+            a = np.take_along_axis(vectors[f[rows]], at[:, None, :], axis=2) * (channels[at] == ch)[:, None, :]
+            out[rows] = np.einsum("nai,nij,naj->na", a.conj(), matrices(re, im), a, optimize=True).real
+        return out
 
     return summed(left, ["utt"], kernel, "e")
 

@@ -68,9 +68,8 @@ def sp03(spark, d):
 
 def sp04(spark, d):
     s = spec(spark, d)
-    v = L.per_row(L.packed(L.covariance(s, mask(spark, d)), ["utt", "f"], "r"), ["utt", "f"], ["r"], L.principal, "v")
-    long = v.select("utt", "f", F.posexplode(F.arrays_zip("v_re", "v_im")).alias("ch", "z")).select("utt", "f", F.col("ch").cast("long").alias("ch"), F.col("z.v_re").alias("re"), F.col("z.v_im").alias("im"))
-    ang = long.withColumn("angle", at().angle())
+    v = L.per_row(L.packed(L.covariance(s, mask(spark, d)), ["utt", "f"], "r"), ["utt", "f", "r_ch"], ["r"], L.principal, "v")
+    ang = L.by_channel(v, ["utt", "f"], "r_ch", "v").withColumn("angle", at().angle())
     d01 = ang.where("ch = 0").select("utt", "f", F.col("angle").alias("a0")).join(ang.where("ch = 1").select("utt", "f", F.col("angle").alias("a1")), ["utt", "f"])
     return P.phase_differences(s, [(0, 1)]).join(d01, ["utt", "f"]).select("utt", "t", "f", F.round(F.cos(F.col("ipd") - (F.col("a0") - F.col("a1"))), 6).alias("df"))
 
@@ -146,9 +145,10 @@ def loaded_covariance(spark, d, share=0.5):
 
 
 def square(v, *names):
-    """Row-major arrays o_re, o_im of 4 x 4 matrices, by element."""
-    long = v.select("utt", "f", F.posexplode(F.arrays_zip("o_re", "o_im")).alias("at", "z"))
-    return r(long.select("utt", "f", F.floor(F.col("at") / 4).alias("i"), (F.col("at") % 4).cast("long").alias("j"), F.col("z.o_re").alias("re"), F.col("z.o_im").alias("im")), "re", "im")
+    """Row-major arrays o_re, o_im of matrices, by element, under the channels r_ch of their rows and columns."""
+    long = v.select("utt", "f", "r_ch", F.posexplode(F.arrays_zip("o_re", "o_im")).alias("at", "z"))
+    ch = lambda k: F.get("r_ch", k.cast("int")).cast("long")
+    return r(long.select("utt", "f", ch(F.floor(F.col("at") / F.size("r_ch"))).alias("i"), ch(F.col("at") % F.size("r_ch")).alias("j"), F.col("z.o_re").alias("re"), F.col("z.o_im").alias("im")), "re", "im")
 
 
 def power_sums(values, many=4):
@@ -157,7 +157,7 @@ def power_sums(values, many=4):
 
 
 def la02(spark, d):
-    return square(L.per_row(loaded_covariance(spark, d), ["utt", "f"], ["r"], L.inverse, "o"))
+    return square(L.per_row(loaded_covariance(spark, d), ["utt", "f", "r_ch"], ["r"], L.inverse, "o"))
 
 
 def la03(spark, d):
@@ -178,15 +178,14 @@ def la05(spark, d):
 
 def la07(spark, d):
     c = L.packed(L.covariance(spec(spark, d), mask(spark, d)), ["utt", "f"], "r")
-    return square(L.per_row(c, ["utt", "f"], ["r"], L.rank_one, "o"))
+    return square(L.per_row(c, ["utt", "f", "r_ch"], ["r"], L.rank_one, "o"))
 
 
 def la08(spark, d):
     """x of R x = b: R the loaded covariance, b the first column of the one without a load."""
     c = L.packed(L.covariance(spec(spark, d), mask(spark, d)), ["utt", "f"], "s").join(loaded_covariance(spark, d), ["utt", "f"])
-    v = L.per_row(c, ["utt", "f"], ["s", "r"], lambda s, x: L.solved(x, s[:, :, :1])[:, :, 0], "x")
-    long = v.select("utt", "f", F.posexplode(F.arrays_zip("x_re", "x_im")).alias("i", "z"))
-    return r(long.select("utt", "f", F.col("i").cast("long").alias("i"), F.col("z.x_re").alias("re"), F.col("z.x_im").alias("im")), "re", "im")
+    v = L.per_row(c, ["utt", "f", "r_ch"], ["s", "r"], lambda s, x: L.solved(x, s[:, :, :1])[:, :, 0], "x")
+    return r(L.by_channel(v, ["utt", "f"], "r_ch", "x").withColumnRenamed("ch", "i"), "re", "im")
 
 
 def la09(spark, d):

@@ -5,6 +5,7 @@ import pytest
 
 from tessitura.operators import beamforming as B
 from tessitura.operators import linalg as L
+from tessitura.operators import spatial as P
 from tessitura.sources import places
 
 
@@ -54,3 +55,55 @@ def test_no_local_folder_on_a_cluster():
 
     with pytest.raises(ValueError, match="checkpoint.dir"):
         places.scratch(Session(), "x")
+
+
+def recordings(spark, channels, seed=3):
+    """(spec, mask): recordings with these channels each, five frames, two bins."""
+    rng = np.random.default_rng(seed)
+    cells = [(u, c, t, f, float(rng.normal()), float(rng.normal())) for u, own in channels.items() for c in own for t in range(5) for f in range(2)]
+    masks = [(u, t, f, float(rng.random())) for u in channels for t in range(5) for f in range(2)]
+    return spark.createDataFrame(cells, "utt long, ch long, t long, f long, re double, im double"), spark.createDataFrame(masks, "utt long, t long, f long, m double")
+
+
+@pytest.mark.parametrize("kind", ["mvdr", "mpdr-whiten", "pmwf-eig", "gevd"])
+def test_weights_of_recordings_that_lack_channels(spark, kind):
+    """Recordings of four, three, two and one channels in one batch: each is solved as if alone, under its own channels."""
+    has = {0: (0, 1, 2, 3), 1: (0, 2, 3), 2: (0, 3), 3: (0,)}
+    spec, mask = recordings(spark, has)
+    spec, mask = spec.coalesce(1), mask.coalesce(1)
+    got = {(r["utt"], r["f"], r["ch"]): complex(r["re"], r["im"]) for r in B.supervised(spec, mask, kind).collect()}
+    assert set(got) == {(u, f, c) for u, own in has.items() for c in own for f in range(2)}
+    covs = {(m, r["utt"], r["f"], r["i"], r["j"]): complex(r["re"], r["im"]) for m, x in (("s", mask), ("n", mask.selectExpr("utt", "t", "f", "1 - m AS m"))) for r in L.covariance(spec, x).collect()}
+    for u, own in has.items():
+        for f in range(2):
+            s, n = (np.array([[[covs[m, u, f, i, j] for j in own] for i in own]]) for m in "sn")
+            want = B.WEIGHTS[kind](s, n)[0]
+            mine = np.array([got[u, f, c] for c in own])
+            assert np.isclose(abs(np.vdot(want, mine)), np.linalg.norm(want) * np.linalg.norm(mine)) and np.isclose(np.linalg.norm(want), np.linalg.norm(mine), rtol=1e-6)
+
+
+def test_online_weights_and_subspaces_of_recordings_that_lack_channels(spark):
+    spec, mask = recordings(spark, {0: (0, 1, 2, 3), 1: (0, 2, 3), 2: (0,)})
+    assert B.online(spec, mask, "mvdr", 3).count() == 3 * 5 * 2
+    steer = P.steering(spark, 5, 2, 16000, topo=(0.0, 0.05, 0.1, 0.15)).select("a", "ch", "f", "re", "im")
+    cov = L.covariance(spec, mask)
+    got = {(r["utt"], r["a"]): r["e"] for r in P.music_scores(L.packed(cov, ["utt", "f"], "r"), steer).collect()}
+    alone = P.music_scores(L.packed(cov.where("utt = 1"), ["utt", "f"], "r"), steer.where("ch <> 1"))
+    assert len(got) == 15 and all(np.isclose(got[1, r["a"]], r["e"]) for r in alone.collect())
+    assert all(abs(got[2, a]) < 1e-9 for a in range(5))
+
+
+def test_matrices_that_are_not_square_give_nulls(spark):
+    rows_ = [(0, [1.0, 0.0, 0.0, 2.0], [0.0] * 4), (1, [1.0, 2.0, 3.0], [0.0] * 3), (2, [4.0], [0.0]), (3, [], [])]
+    df = spark.createDataFrame(rows_, "k long, r_re array<double>, r_im array<double>").coalesce(1)
+    got = {r["k"]: r["x_re"] for r in L.per_row(df, ["k"], ["r"], L.inverse, "x").collect()}
+    assert got == {0: [1.0, 0.0, 0.0, 0.5], 1: None, 2: [0.25], 3: None}
+
+
+def test_likelihood_goes_over_the_channels_there_are(spark):
+    spec, mask = recordings(spark, {0: (0, 1, 2, 3), 1: (0, 2, 3), 2: (0, 1)})
+    steer = P.steering(spark, 5, 2, 16000, topo=(0.0, 0.05, 0.1, 0.15)).select("a", "ch", "f", "re", "im")
+    whole = {(r["utt"], r["a"]): r["ll"] for r in P.ml_likelihood(spec.join(mask, ["utt", "t", "f"]), steer, mask="m").collect()}
+    for u, own in ((1, "ch <> 1"), (2, "ch < 2")):
+        alone = P.ml_likelihood(spec.where(f"utt = {u}").join(mask, ["utt", "t", "f"]), steer.where(own), mask="m").collect()
+        assert len(alone) == 5 and all(np.isclose(whole[u, r["a"]], r["ll"]) for r in alone)
