@@ -5,6 +5,7 @@ import pytest
 
 from tessitura.operators import beamforming as B
 from tessitura.operators import linalg as L
+from tessitura.operators import metrics as M
 from tessitura.operators import spatial as P
 from tessitura.sources import places
 
@@ -107,3 +108,32 @@ def test_likelihood_goes_over_the_channels_there_are(spark):
     for u, own in ((1, "ch <> 1"), (2, "ch < 2")):
         alone = P.ml_likelihood(spec.where(f"utt = {u}").join(mask, ["utt", "t", "f"]), steer.where(own), mask="m").collect()
         assert len(alone) == 5 and all(np.isclose(whole[u, r["a"]], r["ll"]) for r in alone)
+
+
+def test_dot_products_meet_in_blocks_and_lots(spark, monkeypatch):
+    """More queries than a block and more rows than a lot, lengths that differ, and vectors that are null or hold a null."""
+    for name, x in (("BLOCK", 5), ("ROWS", 7), ("PRODUCTS", 11)):
+        monkeypatch.setattr(M, name, x)
+    rng = np.random.default_rng(4)
+    v = {k: None if k == 3 else [float(x) for x in rng.normal(size=2 if k % 9 == 5 else 3)] for k in range(31)}
+    v[8][1] = None
+    v[12] = []
+    rows_ = spark.createDataFrame([(k, f"s{k}", x) for k, x in v.items()], "a long, name string, v array<double>")
+    queries = spark.createDataFrame([(k, v[k]) for k in v if k % 2 == 0], "b long, w array<double>")
+    out = M.dot_products(rows_, queries)
+    got = {(r["a"], r["name"], r["b"]): r["dot"] for r in out.collect()}
+    assert out.count() == len(got) == 31 * 16
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode(d_q" not in plan and "Join" not in plan
+    for (a, name, b), dot in got.items():
+        x, y = v[a], v[b]
+        fits = x is not None and y is not None and None not in x and None not in y and len(x) == len(y)
+        assert name == f"s{a}" and (np.isclose(dot, np.dot(x, y)) if fits else dot is None)
+
+
+def test_dot_products_of_nothing(spark):
+    none = spark.createDataFrame([], "a long, v array<double>")
+    some = spark.createDataFrame([(1, [1.0])], "a long, v array<double>")
+    asked = spark.createDataFrame([(2, [3.0])], "b long, w array<double>")
+    assert M.dot_products(none, asked).collect() == [] and M.dot_products(some, asked.limit(0)).collect() == []
+    assert [tuple(r) for r in M.dot_products(some, asked).collect()] == [(1, 2, 3.0)]
