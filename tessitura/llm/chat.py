@@ -45,22 +45,23 @@ def one_each(messages: DataFrame) -> DataFrame:
 def paths(spark: SparkSession, messages: DataFrame) -> DataFrame:
     """(tree_id, leaf_id, up, id) for every message `up` steps above a leaf, for leaves that reach a root.
     messages(tree_id, id, parent_id), an id once in a tree (see `one_each`). Each of the jumps holds for each message the one 2 ** k steps above it. Trees are joined
-    by struct(tree_id), which is never null, so that messages without a tree_id are a tree too."""
+    by struct(tree_id), which is never null, so that messages without a tree_id are a tree too. All joins are merges: both sides grow
+    with the messages, and broadcasts of every round would gather in the driver."""
     m = messages.select(F.struct("tree_id").alias("tree"), "id", "parent_id")
-    jump = m.join(m.select("tree", F.col("id").alias("parent_id")), ["tree", "parent_id"], "left_semi").select("tree", "id", F.col("parent_id").alias("above"))
+    jump = m.join(m.select("tree", F.col("id").alias("parent_id")).hint("merge"), ["tree", "parent_id"], "left_semi").select("tree", "id", F.col("parent_id").alias("above"))
     jumps = [stored(spark, jump, "jump")]
     left = [jumps[0].select("tree", "id").distinct().count()]
     # messages with 2 ** k above them: if there are as many for the next k, no chain ends between the two, and theirs never do
     while left[-1] and (len(left) < 2 or left[-1] < left[-2]):
         j = jumps[-1]
-        jumps.append(stored(spark, j.join(j.select("tree", F.col("id").alias("above"), F.col("above").alias("a2")), ["tree", "above"]).select("tree", "id", F.col("a2").alias("above")), "jump"))
+        jumps.append(stored(spark, j.join(j.select("tree", F.col("id").alias("above"), F.col("above").alias("a2")).hint("merge"), ["tree", "above"]).select("tree", "id", F.col("a2").alias("above")), "jump"))
         left.append(jumps[-1].select("tree", "id").distinct().count())
-    leaves = m.join(jumps[0].select("tree", F.col("above").alias("id")).distinct(), ["tree", "id"], "left_anti")
+    leaves = m.join(jumps[0].select("tree", F.col("above").alias("id")).distinct().hint("merge"), ["tree", "id"], "left_anti")
     if left[-1]:
-        leaves = leaves.join(jumps[-1].select("tree", "id").distinct(), ["tree", "id"], "left_anti")
+        leaves = leaves.join(jumps[-1].select("tree", "id").distinct().hint("merge"), ["tree", "id"], "left_anti")
     found = stored(spark, leaves.select("tree", F.col("id").alias("leaf_id"), F.lit(0).cast("long").alias("up"), "id"), "paths")
     for k, jump in enumerate(jumps):
-        more = found.join(jump, ["tree", "id"]).select("tree", "leaf_id", (F.col("up") + (1 << k)).alias("up"), F.col("above").alias("id"))
+        more = found.join(jump.hint("merge"), ["tree", "id"]).select("tree", "leaf_id", (F.col("up") + (1 << k)).alias("up"), F.col("above").alias("id"))
         longer = stored(spark, found.unionByName(more), "paths")
         dropped(spark, found, jump)
         found = longer
@@ -72,7 +73,7 @@ def branches(spark: SparkSession, messages: DataFrame, best: int | None = None)
     and turns = array of (role, text) from the root. messages(tree_id, id, parent_id, role, text, score); best: how many
     branches of a tree to keep, all by default."""
     messages = stored(spark, one_each(messages), "messages")
-    on = paths(spark, messages).select(F.struct("tree_id").alias("tree"), "leaf_id", "up", "id").join(messages.select(F.struct("tree_id").alias("tree"), "id", "role", "text", "score"), ["tree", "id"]).withColumn("tree_id", F.col("tree.tree_id"))
+    on = paths(spark, messages).select(F.struct("tree_id").alias("tree"), "leaf_id", "up", "id").join(messages.select(F.struct("tree_id").alias("tree"), "id", "role", "text", "score").hint("merge"), ["tree", "id"]).withColumn("tree_id", F.col("tree.tree_id"))
     whole = on.groupBy("tree_id", "leaf_id").agg(
         F.avg(F.coalesce("score", F.lit(0.0))).alias("score"),
         F.transform(F.sort_array(F.collect_list(F.struct((-F.col("up")).alias("at"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"),

@@ -762,3 +762,14 @@ def test_query_equals_its_sql(spark, name):
     got, want = queries.queries()[name](spark, d).toPandas(), con.execute(queries.oracle_sql()[name]).df()
     plain = lambda x: sorted(tuple(None if v is None or v != v else str(v) for v in row) for row in x[sorted(x.columns)].itertuples(index=False))
     assert sorted(got.columns) == sorted(want.columns) and len(got) > 20 and plain(got) == plain(want)
+
+
+def test_paths_of_a_reply_tree_are_joined_without_broadcasts(spark, monkeypatch):
+    """Whatever the driver would gather for a broadcast grows with the messages and adds up over the rounds."""
+    plans, kept = [], chat.stored
+    monkeypatch.setattr(chat, "stored", lambda s, df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), kept(s, df, name))[1])
+    rows = [(1, k, k - 1 if k else None, "user", f"t{k}", 0.0) for k in range(9)]
+    got = chat.branches(spark, spark.createDataFrame(rows, "tree_id long, id long, parent_id long, role string, text string, score double"))
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    assert [[t["text"] for t in r["turns"]] for r in got.collect()] == [[f"t{k}" for k in range(9)]]
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
