@@ -41,14 +41,28 @@ def scan_folder(spark: SparkSession, folder: str, extension: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", f"*.{extension.lstrip('.')}").load(folder).select(file_key(F.col("path")).alias("key"), "path", "content")
 
 
+#: Bytes of files' contents that a task decodes at once, about.
+PIECE = 1 << 20
+
+
+def pieces(batch: pa.RecordBatch):
+    """Slices of a batch with about PIECE bytes of its last column each, or one longer file."""
+    size = np.cumsum([len(x.as_buffer() or b"") for x in batch.column(batch.num_columns - 1)])
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + PIECE, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def _decoded(files: DataFrame, decode, schema: str) -> DataFrame:
-    """files' other columns and the columns of decode(bytes) -> dict."""
+    """files' other columns and the columns of decode(bytes) -> dict. Decoded files of one piece of a batch are held at once."""
     rest = [f for f in files.schema if f.name != "content"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
     target = pa.schema([(n, {"int": pa.int32(), "long": pa.int64(), "array<double>": pa.list_(pa.float64())}[t]) for n, t in (c.split() for c in schema.split(", "))])
 
     def run(batches):
-        for b in batches:
+        for b in (x for whole in batches for x in pieces(whole)):
             rows = [decode(x) for x in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *pa.Table.from_pylist(rows, target).combine_chunks().columns] if not rows else [*b.columns[:-1], *(pa.array([r[f.name] for r in rows], f.type) for f in target)], [*(f.name for f in rest), *target.names])
 
@@ -63,7 +77,7 @@ def decode_wave(content: bytes, sr: int | None = None, normalize: bool = True) -
         if w.getsampwidth() != 2:
             raise ValueError("only 16-bit samples are read")
         x = np.frombuffer(w.readframes(w.getnframes()), dtype="<i2").reshape(-1, w.getnchannels()).T.astype(np.float64)
-        return {"sr": w.getframerate(), "channels": w.getnchannels(), "x": (x / 32768 if normalize else x).ravel().tolist()}
+        return {"sr": w.getframerate(), "channels": w.getnchannels(), "x": (x / 32768 if normalize else x).ravel()}
 
 
 def read_waves(files: DataFrame, sr: int | None = 16000, normalize: bool = True, beg: int = 0, end: int | None = None) -> DataFrame:
@@ -81,7 +95,7 @@ def read_arrays(files: DataFrame) -> DataFrame:
     def decode(content):
         a = np.load(io.BytesIO(content), allow_pickle=False)
         a = np.atleast_2d(a)
-        return {"rows": a.shape[0], "cols": a.shape[1], "x": a.astype(np.float64).ravel().tolist()}
+        return {"rows": a.shape[0], "cols": a.shape[1], "x": a.astype(np.float64).ravel()}
 
     return _decoded(files, decode, "rows int, cols int, x array<double>")
 
@@ -93,7 +107,7 @@ def read_raw(files: DataFrame, dtype: str = "float32", length: int | None = None
         a = np.frombuffer(content, dtype=np.dtype(dtype).newbyteorder("<"))
         if length is not None and len(a) != length:
             raise ValueError(f"{len(a)} values instead of {length}")
-        return {"x": a.astype(np.float64).tolist()}
+        return {"x": a.astype(np.float64)}
 
     return _decoded(files, decode, "x array<double>")
 

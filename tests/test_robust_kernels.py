@@ -1,6 +1,7 @@
 """Matrices that can't be solved cost their own row only."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessitura.operators import beamforming as B
@@ -8,6 +9,8 @@ from tessitura.operators import linalg as L
 from tessitura.operators import metrics as M
 from tessitura.operators import spatial as P
 from tessitura.sources import places
+from tessitura.sources import sinks as K
+from tessitura.sources import tables as T
 
 
 def rows(spark, stack):
@@ -137,3 +140,14 @@ def test_dot_products_of_nothing(spark):
     asked = spark.createDataFrame([(2, [3.0])], "b long, w array<double>")
     assert M.dot_products(none, asked).collect() == [] and M.dot_products(some, asked.limit(0)).collect() == []
     assert [tuple(r) for r in M.dot_products(some, asked).collect()] == [(1, 2, 3.0)]
+
+
+def test_files_are_decoded_in_pieces(spark, monkeypatch):
+    """A batch of many files isn't decoded at once; a file larger than a piece is one."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array([b"x" * n for n in (3, 3, 3, 20, 0, 0, 9)], pa.binary())], ["k", "content"])
+    monkeypatch.setattr(T, "PIECE", 7)
+    assert [b.column(0).to_pylist() for b in T.pieces(batch)] == [[0, 1], [2], [3], [4, 5], [6]]
+    assert list(T.pieces(batch.slice(0, 0))) == []
+    arrays = spark.range(40).selectExpr("id AS utt", "transform(sequence(0, int(id)), i -> double(i + id)) AS x").coalesce(1)
+    files = K.encode_arrays(arrays, "float64").selectExpr("string(utt) AS key", "'' AS path", "content")
+    assert {int(r["key"]): r["x"] for r in T.read_arrays(files).collect()} == {k: [float(i + k) for i in range(k + 1)] for k in range(40)}
