@@ -96,3 +96,49 @@ def test_each_rule_of_a_plan(spark, broken, rule):
     plan = spark.createDataFrame([(5, *row.values())], "utt long, " + ", ".join(f"{n} array<double>" for n in row))
     with pytest.raises(Exception, match=rule):
         S.validated(plan)
+
+
+def uneven(spark):
+    """Bins of several sizes, one that lacks a cell, one without a number, more rows than an Arrow batch of the tests has."""
+    rng = np.random.default_rng(4)
+    rows = [(u, c, t, f, *rng.normal(size=2).tolist()) for u in range(5) for c in range(2 + u % 2) for t in range(6 + u) for f in range(3) if (u, c, t, f) != (2, 1, 3, 1)]
+    rows += [(9, c, t, 0, float("nan"), 0.0) for c in range(2) for t in range(4)]
+    y = {}
+    for u, c, t, f, a, b in rows:
+        y.setdefault((u, f), np.zeros((2 + u % 2 if u < 5 else 2, 6 + u if u < 5 else 4), complex))[c, t] = a + 1j * b
+    return spark.createDataFrame(rows, "utt long, ch long, t long, f long, re double, im double").repartition(4), y
+
+
+@pytest.fixture
+def small_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_models_are_fitted_in_batches_of_whole_bins(spark, small_batches, tmp_path):
+    df, y = uneven(spark)
+    df = df.where("utt <> 9")
+    A.fitted(df.where("utt <> 1"), rounds=2).unionByName(A.fitted(df.where("utt = 1"), rounds=3)).write.parquet(str(tmp_path / "some"))
+    whole, later = A.fitted(df, rounds=5), A.fitted(df, rounds=5, model=spark.read.parquet(str(tmp_path / "some")))
+    assert "FlatMap" not in plan_of(whole) + plan_of(later) + plan_of(A.masks_of(df, whole))
+    assert same(later, whole, "alpha", "re", "im", "rounds") and later.count() == len(y) - 1
+    got = table(A.masks_of(df, later), "utt", "f", "k", "t")
+    for key, x in y.items():
+        want = E.mixture(x, 2, 5, None) if key != (9, 0) else np.zeros((0, 0))
+        found = {k[2:]: r["m"] for k, r in got.items() if k[:2] == key}
+        assert len(found) == want.size and all(abs(v - want[k]) < 1e-9 for k, v in found.items())
+
+
+def test_a_bin_that_cannot_be_solved_leaves_the_others():
+    def kernel(at):
+        if at == slice(None) or at == 1:
+            raise np.linalg.LinAlgError
+        return (np.full(2, at),)
+
+    found = A.attempted(A.FAMILIES["gaussian"], 3, kernel)
+    assert found[1] is None and found[0][0][0] == 0 and found[2][0][0] == 2
