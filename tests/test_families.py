@@ -120,6 +120,21 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("angular", [False, True])
+def test_masks_are_made_in_batches_of_whole_bins(spark, small_batches, angular):
+    """As one bin alone, however batches cut them; no Python group for each bin."""
+    df, y = uneven(spark)
+    masks = E.mixture_masks(df, 2, 4, angular, angular)
+    assert "FlatMap" not in plan_of(masks)
+    got = {}
+    for r in masks.collect():
+        got.setdefault((r["utt"], r["f"]), {})[r["k"], r["t"]] = r["m"]
+    assert got.keys() == y.keys()
+    for key, x in y.items():
+        want = E.mixture(x if key != (9, 0) else x * np.nan, 2, 4, E._seed(key), angular, weights=angular)
+        assert len(got[key]) == want.size and all(np.isclose(got[key][k, t], want[k, t], atol=1e-9, equal_nan=True) for k, t in got[key])
+
+
 def test_models_are_fitted_in_batches_of_whole_bins(spark, small_batches, tmp_path):
     df, y = uneven(spark)
     df = df.where("utt <> 9")
