@@ -1,13 +1,16 @@
 """Recurrences in event time over streams whose rows come out of order.
 
-Each key keeps the rows that the watermark has not passed in a list state, and what the recurrence has come to in a value state.
+Each key keeps the rows that the watermark has not passed in list states, and what the recurrence has come to in a value state. What a
+micro-batch brings a key is kept as one block of Arrow bytes, so that the state costs a step for each key of a batch and not for each
+row; what is left of blocks when the watermark has passed their first rows, no more than what may come late, is kept by rows.
 A timer at the earliest waiting row wakes the key when the watermark passes it; all rows up to the watermark are then final, are
 put in order and folded, and leave the state. So the result doesn't depend on how the rows were cut into micro-batches. Rows
 that come later than the watermark allows are dropped by Spark. `ended` also folds what still waits when a stream has ended.
 
 A fold is an object with `rows` and `state` (schemas of what waits, its columns' first being the event time, and of what is kept),
 `out` (schema of the results, without the key), `step(state or None, frame in order) -> (state, results)` with results as a
-list of tuples, and `close(state) -> results` for the end of a stream."""
+list of tuples, and `close(state) -> results` for the end of a stream. A fold whose `closing` is False adds nothing at the end, so that
+only keys whose rows still wait are looked at then."""
 
 from __future__ import annotations
 
@@ -16,9 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import TimestampType
 
 from ..operators.scans import Exponential, Hysteresis, Tracking
 from ..sources.places import scratch
@@ -41,6 +46,20 @@ def _plain(frame: pd.DataFrame, columns: list[str]) -> list[tuple]:
     return [tuple(map(plain, r)) for r in frame[columns].astype(object).itertuples(index=False, name=None)]
 
 
+def _block(frame: pd.DataFrame) -> bytes:
+    rows, out = pa.RecordBatch.from_pandas(frame, preserve_index=False).replace_schema_metadata(), pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, rows.schema) as w:
+        w.write_batch(rows)
+    return out.getvalue().to_pybytes()
+
+
+def _rows(blocks: list[bytes], plain: pd.DataFrame) -> pd.DataFrame:
+    """The rows of blocks and those kept one by one."""
+    parts = [pa.ipc.open_stream(b).read_all().to_pandas() for b in blocks]
+    parts = parts + [plain] if len(plain) or not parts else parts
+    return parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+
+
 class InOrder(StatefulProcessor):
     """Buffers a key's rows until the watermark has passed them, then folds them in the order of their columns."""
 
@@ -50,40 +69,47 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
+        self.blocks = handle.getListState("blocks", "block binary")
         self.waiting = handle.getListState("waiting", self.fold.rows)
         self.kept = handle.getValueState("kept", self.fold.state)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows))
-        self.waiting.appendList(_plain(new, self.columns))
-        self.handle.registerTimer(_ms(new[self.columns[0]].min()))
+        first = []
+        for new in rows:
+            self.blocks.appendValue((_block(new[self.columns]),))
+            first.append(int(_ms(new[self.columns[0]]).min()))
+        self.handle.registerTimer(min(first))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         till = timerValues.getCurrentWatermarkInMs()
-        if not self.waiting.exists():
+        blocks = [bytes(r[0]) for r in self.blocks.get()]
+        plain = pd.DataFrame(list(self.waiting.get()), columns=self.columns)
+        if not blocks and plain.empty:
             return
-        frame = pd.DataFrame(list(self.waiting.get()), columns=self.columns)
-        final = np.array([_ms(v) for v in frame[self.columns[0]]]) <= till
+        frame = _rows(blocks, plain)
+        final = _ms(frame[self.columns[0]]) <= till
         if final.any():
             state = self.kept.get() if self.kept.exists() else None
             state, made = self.fold.step(state, frame[final].sort_values(_order(self.fold.rows), ignore_index=True))
             self.kept.update(tuple(state))
             if made:
                 yield pd.DataFrame([(key[0], *r) for r in made], columns=[self.key, *self.results])
-        rest = frame[~final]
-        if len(rest):
+        if blocks:
+            self.blocks.clear()
+        if not final.all():
+            rest = frame[~final]
             self.waiting.put(_plain(rest, self.columns))
-            self.handle.registerTimer(_ms(rest[self.columns[0]].min()))
-        else:
+            self.handle.registerTimer(int(_ms(rest[self.columns[0]]).min()))
+        elif len(plain):
             self.waiting.clear()
 
     def close(self) -> None:
         pass
 
 
-def _ms(v) -> int:
-    return int(pd.Timestamp(v).timestamp() * 1000)
+def _ms(instants: pd.Series) -> np.ndarray:
+    return pd.to_datetime(instants).to_numpy().astype("datetime64[us]").astype(np.int64) // 1000
 
 
 def ordered(stream: DataFrame, key: str, fold, late: str) -> DataFrame:
@@ -103,11 +129,14 @@ def ended(spark: SparkSession, stream: DataFrame, key: str, fold, late: str) ->
         out = ordered(stream, key, fold, late)
         q = out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
         q.awaitTermination()
-        kept = spark.read.format("statestore").option("stateVarName", "kept").load(f"{path}/state").select(f"key.{key}", F.col("value").alias("kept"))
-        waiting = spark.read.format("statestore").option("stateVarName", "waiting").load(f"{path}/state").select(f"key.{key}", "list_element.*")
+        state = lambda name: spark.read.format("statestore").option("stateVarName", name).load(f"{path}/state")
+        kept = state("kept").select(f"key.{key}", F.col("value").alias("kept"))
+        waiting = state("waiting").select(f"key.{key}", "list_element.*")
+        blocks = state("blocks").select(f"key.{key}", "list_element.block")
     finally:
         spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
     columns, results = _names(fold.rows), _names(fold.out)
+    ts = columns[0]
 
     def finish(key_of, states: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         state, made = None, []
@@ -115,29 +144,38 @@ def ended(spark: SparkSession, stream: DataFrame, key: str, fold, late: str) ->
             s = states["kept"].iloc[0]
             state = tuple(s[c] for c in _names(fold.state))
         if len(rows):
-            state, made = fold.step(state, rows[columns].sort_values(_order(fold.rows), ignore_index=True))
+            whole = rows["block"].notna()
+            plain = rows[~whole]
+            # rows were stored from the worker's local times, and are read as such again
+            plain = plain.assign(**{ts: [None if pd.isna(v) else TimestampType().fromInternal(int(v)) for v in plain[ts]]})
+            frame = _rows([bytes(b) for b in rows.loc[whole, "block"]], plain[columns])
+            state, made = fold.step(state, frame.sort_values(_order(fold.rows), ignore_index=True))
         made = made + fold.close(state)
         return pd.DataFrame([(key_of[0], *r) for r in made], columns=[key, *results])
 
-    # the reader needs the store's provider at run time, so both are stored before the setting is gone
+    # the reader needs the store's provider at run time, so all are stored before the setting is gone
     stored = lambda df, name: (df.write.parquet(f"{path}/{name}"), spark.read.schema(df.schema).parquet(f"{path}/{name}"))[1]
     spark.conf.set(setting, ROCKS)
     try:
-        kept, waiting = stored(kept, "kept"), stored(waiting, "waiting")
+        kept, waiting, blocks = stored(kept, "kept"), stored(waiting.withColumn(ts, F.unix_micros(ts)), "waiting"), stored(blocks, "blocks")
     finally:
         spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
+    waiting = waiting.unionByName(blocks, allowMissingColumns=True)
+    if not getattr(fold, "closing", True):
+        kept = kept.join(waiting.select(key).distinct(), key, "left_semi")
     rest = kept.groupBy(key).cogroup(waiting.groupBy(key)).applyInPandas(finish, out.schema)
     return spark.read.schema(out.schema).parquet(f"{path}/out").unionByName(rest)
 
 
 
-
 # ---------------------------------------------------------------- folds
 
 @dataclass(frozen=True)
 class Followed:
     """(t, s) of a recurrence of operators.scans along a key's rows: t counts them from 0."""
 
+    closing = False
+
     kind: Exponential | Tracking
     rows: str = "ts timestamp, event_id long, value double"
     state: str = "t long, s double"

@@ -84,3 +84,16 @@ def test_covariances_of_a_shuffled_stream(spark, tmp_path):
     got = {(r["utt"], r["chunk"], r["f"], r["i"], r["j"]): (r["re"], r["im"]) for r in S.unpacked(out, bins).collect()}
     want = {(r["utt"], r["chunk"], r["f"], r["i"], r["j"]): (r["re"], r["im"]) for r in E.online_covariances(spec, mask, 3).collect()}
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-12) for k in want)
+
+
+def test_the_state_does_not_keep_rows_one_by_one(spark, events, tmp_path):
+    """Before the watermark passes them, the rows that a micro-batch brings are blocks, however many rows a key has."""
+    q = S.ordered(files(spark, events, tmp_path, 2, F.col("event_id") % 2), "user_id", S.Followed(C.Exponential(0.5)), "400 days")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", S.ROCKS)
+    try:
+        q.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+        kept = {n: spark.read.format("statestore").option("stateVarName", n).load(str(tmp_path / "state")).count() for n in ("waiting", "blocks")}
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass") if before is None else spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    assert kept["waiting"] == 0 and 0 < kept["blocks"] <= 2 * events.select("user_id").distinct().count()
