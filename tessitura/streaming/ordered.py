@@ -1,16 +1,16 @@
 """Recurrences in event time over streams whose rows come out of order.
 
-Each key keeps the rows that the watermark has not passed in list states, and what the recurrence has come to in a value state. What a
-micro-batch brings a key is kept as one block of Arrow bytes, so that the state costs a step for each key of a batch and not for each
-row; what is left of blocks when the watermark has passed their first rows, no more than what may come late, is kept by rows.
-A timer at the earliest waiting row wakes the key when the watermark passes it; all rows up to the watermark are then final, are
+Keys share the state of one of BUCKETS buckets: list states of the rows that the watermark has not passed, and of what the recurrence of
+each key has come to. What a micro-batch brings a bucket is kept as blocks of Arrow bytes, so that the state costs a step for each bucket
+of a batch and not for each row or key; what is left of blocks when the watermark has passed their first rows, no more than what may come
+late, is kept by rows. A task holds one bucket at once.
+A timer at the earliest waiting row wakes the bucket when the watermark passes it; all rows up to the watermark are then final, are
 put in order and folded, and leave the state. So the result doesn't depend on how the rows were cut into micro-batches. Rows
 that come later than the watermark allows are dropped by Spark. `ended` also folds what still waits when a stream has ended.
 
 A fold is an object with `rows` and `state` (schemas of what waits, its columns' first being the event time, and of what is kept),
 `out` (schema of the results, without the key), `step(state or None, frame in order) -> (state, results)` with results as a
-list of tuples, and `close(state) -> results` for the end of a stream. A fold whose `closing` is False adds nothing at the end, so that
-only keys whose rows still wait are looked at then."""
+list of tuples, and `close(state) -> results` for the end of a stream."""
 
 from __future__ import annotations
 
@@ -28,6 +28,7 @@ from pyspark.sql.types import TimestampType
 from ..operators.scans import Exponential, Hysteresis, Tracking
 from ..sources.places import scratch
 
+BUCKETS = 1024
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -60,24 +61,34 @@ def _rows(blocks: list[bytes], plain: pd.DataFrame) -> pd.DataFrame:
     return parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
 
 
+def _by_key(frame: pd.DataFrame, fold) -> Iterator[tuple[str | None, pd.DataFrame]]:
+    """(key as a string, its rows in order)."""
+    frame = frame.sort_values(["of", *_order(fold.rows)], ignore_index=True)
+    cuts = (np.flatnonzero(np.diff(pd.factorize(frame["of"], use_na_sentinel=False)[0])) + 1).tolist()
+    for a, b in zip([0, *cuts], [*cuts, len(frame)], strict=True):
+        of, part = frame["of"].iloc[a], frame.iloc[a:b].drop(columns="of")
+        part.index = pd.RangeIndex(len(part))
+        yield None if pd.isna(of) else of, part
+
+
 class InOrder(StatefulProcessor):
-    """Buffers a key's rows until the watermark has passed them, then folds them in the order of their columns."""
+    """Buffers a bucket's rows until the watermark has passed them, then folds each key's in the order of their columns."""
 
-    def __init__(self, key: str, fold):
-        self.key, self.fold = key, fold
-        self.columns, self.results = _names(fold.rows), _names(fold.out)
+    def __init__(self, fold):
+        self.fold, self.ts = fold, _names(fold.rows)[0]
+        self.columns, self.results = ["of", *_names(fold.rows)], ["of", *_names(fold.out)]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.blocks = handle.getListState("blocks", "block binary")
-        self.waiting = handle.getListState("waiting", self.fold.rows)
-        self.kept = handle.getValueState("kept", self.fold.state)
+        self.waiting = handle.getListState("waiting", f"of string, {self.fold.rows}")
+        self.kept = handle.getListState("kept", f"of string, {self.fold.state}")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = []
         for new in rows:
             self.blocks.appendValue((_block(new[self.columns]),))
-            first.append(int(_ms(new[self.columns[0]]).min()))
+            first.append(int(_ms(new[self.ts]).min()))
         self.handle.registerTimer(min(first))
         return iter(())
 
@@ -88,19 +99,22 @@ class InOrder(StatefulProcessor):
         if not blocks and plain.empty:
             return
         frame = _rows(blocks, plain)
-        final = _ms(frame[self.columns[0]]) <= till
+        final = _ms(frame[self.ts]) <= till
         if final.any():
-            state = self.kept.get() if self.kept.exists() else None
-            state, made = self.fold.step(state, frame[final].sort_values(_order(self.fold.rows), ignore_index=True))
-            self.kept.update(tuple(state))
+            states, made = {r[0]: tuple(r[1:]) for r in self.kept.get()}, []
+            for of, part in _by_key(frame[final], self.fold):
+                state, new = self.fold.step(states.get(of), part)
+                states[of] = tuple(state)
+                made += [(of, *r) for r in new]
+            self.kept.put([(of, *state) for of, state in states.items()])
             if made:
-                yield pd.DataFrame([(key[0], *r) for r in made], columns=[self.key, *self.results])
+                yield pd.DataFrame(made, columns=self.results)
         if blocks:
             self.blocks.clear()
         if not final.all():
             rest = frame[~final]
             self.waiting.put(_plain(rest, self.columns))
-            self.handle.registerTimer(int(_ms(rest[self.columns[0]]).min()))
+            self.handle.registerTimer(int(_ms(rest[self.ts]).min()))
         elif len(plain):
             self.waiting.clear()
 
@@ -114,10 +128,10 @@ def _ms(instants: pd.Series) -> np.ndarray:
 
 def ordered(stream: DataFrame, key: str, fold, late: str) -> DataFrame:
     """The stream of the fold's results, (key, *out), as rows become final. late: how far behind the newest a row may come."""
-    ts = _names(fold.rows)[0]
-    kind = stream.schema[key].dataType.simpleString()
-    rows = stream.withWatermark(ts, late).select(key, *_names(fold.rows))
-    return rows.groupBy(key).transformWithStateInPandas(InOrder(key, fold), outputStructType=f"{key} {kind}, {fold.out}", outputMode="Append", timeMode="EventTime")
+    ts, kind = _names(fold.rows)[0], stream.schema[key].dataType.simpleString()
+    rows = stream.withWatermark(ts, late).select(F.pmod(F.xxhash64(key), F.lit(BUCKETS)).alias("bucket"), F.col(key).cast("string").alias("of"), *_names(fold.rows))
+    out = rows.groupBy("bucket").transformWithStateInPandas(InOrder(fold), outputStructType=f"of string, {fold.out}", outputMode="Append", timeMode="EventTime")
+    return out.select(F.col("of").cast(kind).alias(key), *_names(fold.out))
 
 
 def ended(spark: SparkSession, stream: DataFrame, key: str, fold, late: str) -> DataFrame:
@@ -130,28 +144,27 @@ def ended(spark: SparkSession, stream: DataFrame, key: str, fold, late: str) ->
         q = out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
         q.awaitTermination()
         state = lambda name: spark.read.format("statestore").option("stateVarName", name).load(f"{path}/state")
-        kept = state("kept").select(f"key.{key}", F.col("value").alias("kept"))
-        waiting = state("waiting").select(f"key.{key}", "list_element.*")
-        blocks = state("blocks").select(f"key.{key}", "list_element.block")
+        kept = state("kept").select("key.bucket", "list_element.of", F.col("list_element").alias("kept"))
+        waiting = state("waiting").select("key.bucket", "list_element.*")
+        blocks = state("blocks").select("key.bucket", "list_element.block")
     finally:
         spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
-    columns, results = _names(fold.rows), _names(fold.out)
-    ts = columns[0]
-
-    def finish(key_of, states: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        state, made = None, []
-        if len(states):
-            s = states["kept"].iloc[0]
-            state = tuple(s[c] for c in _names(fold.state))
+    columns, results = ["of", *_names(fold.rows)], ["of", *_names(fold.out)]
+    ts = columns[1]
+
+    def finish(bucket, states: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        known = {s["of"]: tuple(s[c] for c in _names(fold.state)) for s in states["kept"]}
+        parts, made = {}, []
         if len(rows):
             whole = rows["block"].notna()
             plain = rows[~whole]
             # rows were stored from the worker's local times, and are read as such again
             plain = plain.assign(**{ts: [None if pd.isna(v) else TimestampType().fromInternal(int(v)) for v in plain[ts]]})
-            frame = _rows([bytes(b) for b in rows.loc[whole, "block"]], plain[columns])
-            state, made = fold.step(state, frame.sort_values(_order(fold.rows), ignore_index=True))
-        made = made + fold.close(state)
-        return pd.DataFrame([(key_of[0], *r) for r in made], columns=[key, *results])
+            parts = dict(_by_key(_rows([bytes(b) for b in rows.loc[whole, "block"]], plain[columns]), fold))
+        for of in dict.fromkeys([*known, *parts]):
+            state, new = fold.step(known.get(of), parts[of]) if of in parts else (known[of], [])
+            made += [(of, *r) for r in new + fold.close(state)]
+        return pd.DataFrame(made, columns=results)
 
     # the reader needs the store's provider at run time, so all are stored before the setting is gone
     stored = lambda df, name: (df.write.parquet(f"{path}/{name}"), spark.read.schema(df.schema).parquet(f"{path}/{name}"))[1]
@@ -161,9 +174,8 @@ def ended(spark: SparkSession, stream: DataFrame, key: str, fold, late: str) ->
     finally:
         spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
     waiting = waiting.unionByName(blocks, allowMissingColumns=True)
-    if not getattr(fold, "closing", True):
-        kept = kept.join(waiting.select(key).distinct(), key, "left_semi")
-    rest = kept.groupBy(key).cogroup(waiting.groupBy(key)).applyInPandas(finish, out.schema)
+    rest = kept.groupBy("bucket").cogroup(waiting.groupBy("bucket")).applyInPandas(finish, f"of string, {fold.out}")
+    rest = rest.select(F.col("of").cast(out.schema[key].dataType).alias(key), *_names(fold.out))
     return spark.read.schema(out.schema).parquet(f"{path}/out").unionByName(rest)
 
 
@@ -174,8 +186,6 @@ def ended(spark: SparkSession, stream: DataFrame, key: str, fold, late: str) ->
 class Followed:
     """(t, s) of a recurrence of operators.scans along a key's rows: t counts them from 0."""
 
-    closing = False
-
     kind: Exponential | Tracking
     rows: str = "ts timestamp, event_id long, value double"
     state: str = "t long, s double"
