@@ -176,6 +176,13 @@ def loaded(r: np.ndarray, share: float = 1e-10) -> np.ndarray:
     return r + (share * np.trace(r, axis1=1, axis2=2).real / n + 1e-15)[:, None, None] * np.eye(n)
 
 
+def whitening(noise: np.ndarray, share: float = 1e-10) -> np.ndarray:
+    """Inverse Cholesky factors. Only matrices that are singular, or nearly so, get a load; the others are factored as they are."""
+    v = np.linalg.eigvalsh(noise)
+    near = v[:, 0] <= share * v[:, -1]
+    return np.linalg.inv(np.linalg.cholesky(np.where(near[:, None, None], loaded(noise, share), noise)))
+
+
 def inverse(r: np.ndarray) -> np.ndarray:
     return np.linalg.inv(r)
 
@@ -193,13 +200,13 @@ def principal(r: np.ndarray, noise: np.ndarray | None = None) -> np.ndarray:
     """The eigenvector of the largest (generalised) eigenvalue; the generalised problem is whitened by a Cholesky factor."""
     if noise is None:
         return np.linalg.eigh(r)[1][:, :, -1]
-    low = np.linalg.inv(np.linalg.cholesky(loaded(noise)))
+    low = whitening(noise)
     v = np.linalg.eigh(low @ r @ low.conj().transpose(0, 2, 1))[1][:, :, -1]
     return (low.conj().transpose(0, 2, 1) @ v[:, :, None])[:, :, 0]
 
 
 def generalized_eigenvalues(r: np.ndarray, noise: np.ndarray) -> np.ndarray:
-    low = np.linalg.inv(np.linalg.cholesky(loaded(noise)))
+    low = whitening(noise)
     return np.linalg.eigvalsh(low @ r @ low.conj().transpose(0, 2, 1))
 
 

@@ -97,6 +97,19 @@ def test_online_weights_and_subspaces_of_recordings_that_lack_channels(spark):
     assert all(abs(got[2, a]) < 1e-9 for a in range(5))
 
 
+def test_generalised_eigenvalues_carry_no_load(spark):
+    """Noise that can be factored is taken as it is; only the singular one is loaded."""
+    rng = np.random.default_rng(5)
+    a, b = (rng.normal(size=(6, 4, 9)) + 1j * rng.normal(size=(6, 4, 9)) for _ in "rn")
+    r, n = (x @ x.conj().transpose(0, 2, 1) for x in (a, b))
+    n[5] = n[5, :, :1] @ n[5, :, :1].conj().T
+    got = L.generalized_eigenvalues(r, n)
+    want = np.sort(np.linalg.eigvals(np.linalg.solve(n[:5], r[:5])).real, axis=1)
+    assert np.allclose(got[:5], want, rtol=1e-12, atol=0) and np.isfinite(got[5]).all()
+    v = L.principal(r, n)[:5, :, None]
+    assert np.allclose(r[:5] @ v, want[:, -1:, None] * (n[:5] @ v), rtol=0, atol=1e-11)
+
+
 def test_matrices_that_are_not_square_give_nulls(spark):
     rows_ = [(0, [1.0, 0.0, 0.0, 2.0], [0.0] * 4), (1, [1.0, 2.0, 3.0], [0.0] * 3), (2, [4.0], [0.0]), (3, [], [])]
     df = spark.createDataFrame(rows_, "k long, r_re array<double>, r_im array<double>").coalesce(1)
