@@ -95,11 +95,11 @@ def supervised(spec: DataFrame, mask: DataFrame, kind, ban: bool = False, noise:
 def online(spec: DataFrame, mask: DataFrame, kind: str, chunk: int, alpha: float = 0.8, later: float | None = None) -> DataFrame:
     """(utt, t, f, re, im): the output of a beamformer whose covariances forget, with new weights every `chunk` frames from all
     that came up to and with them."""
-    from .estimation import online_covariances
+    from .estimation import forgetting
 
     keys = ["utt", "chunk", "f"]
-    rs, rn = (L.packed(online_covariances(spec, m, chunk, alpha, later), keys, n) for m, n in ((mask, "s"), (mask.withColumn("m", 1 - F.col("m")), "n")))
-    w = L.by_channel(L.per_row(rs.join(rn, keys), [*keys, "s_ch"], ["s", "n"], WEIGHTS[kind], "w"), keys, "s_ch", "w")
+    c = forgetting(L.two_sums(spec, mask, block=F.floor(F.col("t") / chunk)), L.TWO, alpha, later)
+    w = L.by_channel(L.per_row(L.two_packed(c, keys), [*keys, "ch"], ["s", "n"], WEIGHTS[kind], "w"), keys, "ch", "w")
     return beamformed(spec.withColumn("chunk", F.floor(F.col("t") / chunk)), w, [*keys, "ch"])
 
 

@@ -32,9 +32,13 @@ def covariance(spec: DataFrame, mask: DataFrame | None = None, block: Column | N
     return s.select(*keys, F.inline(both))
 
 
-def two_covariances(spec: DataFrame, mask: DataFrame, noise: DataFrame | None = None, block: Column | None = None, least: float = 1e-6) -> DataFrame:
-    """(utt, [blk,] f, ch, s_re, s_im, n_re, n_im): covariances by mask(utt, t, f, m) and by its complement, or by a mask of the
-    noise, packed, with the channels of their rows. A cell's products are made once and summed under both weights; cells are dealt by (utt, f) once, for all that follows."""
+#: The columns of two covariances: by the mask, and by its complement.
+TWO = ("s_re", "s_im", "n_re", "n_im")
+
+
+def two_sums(spec: DataFrame, mask: DataFrame, noise: DataFrame | None = None, block: Column | None = None, least: float = 1e-6) -> DataFrame:
+    """(utt, [blk,] f, i, j, s_re, s_im, n_re, n_im), i <= j: covariances by mask(utt, t, f, m) and by its complement, or by a mask of
+    the noise. A cell's products are made once and summed under both weights; cells are dealt by (utt, f) once, for all that follows."""
     z = F.struct("ch", "re", "im")
     none = F.lit(None).cast("double")
     rows = spec.select("utt", "t", "f", z.alias("z"), none.alias("s"), none.alias("n"))
@@ -50,12 +54,21 @@ def two_covariances(spec: DataFrame, mask: DataFrame, noise: DataFrame | None =
     p = cell.select(*keys, "s", "n", F.inline(pairs))
     sums = p.groupBy(*keys, "i", "j").agg(*(F.sum(F.col(w) * F.col(c)).alias(f"{w}_{c}") for w in "sn" for c in ("re", "im")), F.sum("s").alias("ws"), F.sum("n").alias("wn"))
     scaled = {f"{w}_{c}": F.col(f"{w}_{c}") / F.greatest(f"w{w}", F.lit(least)) for w in "sn" for c in ("re", "im")}
-    upper = sums.where("ws IS NOT NULL AND wn IS NOT NULL").select(*keys, "i", "j", *(v.alias(k) for k, v in scaled.items()))
-    here = F.struct("i", "j", *scaled)
-    there = F.struct(F.col("j").alias("i"), F.col("i").alias("j"), *((-F.col(k) if k.endswith("im") else F.col(k)).alias(k) for k in scaled))
+    return sums.where("ws IS NOT NULL AND wn IS NOT NULL").select(*keys, "i", "j", *(scaled[k].alias(k) for k in TWO))
+
+
+def two_packed(upper: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, ch, s_re, s_im, n_re, n_im): two_sums as row-major arrays of whole matrices, with the channels of their rows."""
+    here = F.struct("i", "j", *TWO)
+    there = F.struct(F.col("j").alias("i"), F.col("i").alias("j"), *((-F.col(k) if k.endswith("im") else F.col(k)).alias(k) for k in TWO))
     both = upper.select(*keys, F.explode(F.when(F.col("i") == F.col("j"), F.array(here)).otherwise(F.array(here, there))).alias("x"))
     full = both.groupBy(*keys).agg(F.array_sort(F.collect_list("x")).alias("x"))
-    return full.select(*keys, _channels("x").alias("ch"), *(F.col("x")[k].alias(k) for k in scaled))
+    return full.select(*keys, _channels("x").alias("ch"), *(F.col("x")[k].alias(k) for k in TWO))
+
+
+def two_covariances(spec: DataFrame, mask: DataFrame, noise: DataFrame | None = None, block: Column | None = None, least: float = 1e-6) -> DataFrame:
+    """(utt, [blk,] f, ch, s_re, s_im, n_re, n_im): two_sums, packed."""
+    return two_packed(two_sums(spec, mask, noise, block, least), ["utt", "f"] if block is None else ["utt", "blk", "f"])
 
 
 def hermitian_error(cov: DataFrame, keys: list[str]) -> DataFrame:

@@ -3,8 +3,10 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tessitura.operators import beamforming as B
+from tessitura.operators import estimation as E
 from tessitura.operators import linalg as L
 from tessitura.operators import metrics as M
 from tessitura.operators import spatial as P
@@ -110,6 +112,27 @@ def test_generalised_eigenvalues_carry_no_load(spark):
     assert np.allclose(r[:5] @ v, want[:, -1:, None] * (n[:5] @ v), rtol=0, atol=1e-11)
 
 
+@pytest.mark.parametrize("later", [None, 0.7])
+def test_online_weights_follow_the_recursion_in_one_pass(spark, later):
+    """Both covariances of every chunk against a plain recursion, in one plan without a second pass over the spectrum. Of one
+    recording a channel ends early, in another no cell has a mask in the middle chunk."""
+    spec, mask = recordings(spark, {0: (0, 1, 2), 1: (0, 1)})
+    spec, mask = spec.where("utt = 1 OR ch < 2 OR t < 2"), mask.where("utt = 0 OR t NOT IN (2, 3)")
+    block = F.floor(F.col("t") / 2)
+    out = E.forgetting(L.two_sums(spec, mask, block=block), L.TWO, 0.8, later)
+    got = {(r["utt"], r["chunk"], r["f"], r["i"], r["j"]): (complex(r["s_re"], r["s_im"]), complex(r["n_re"], r["n_im"])) for r in out.collect()}
+    for k, m in enumerate((mask, mask.withColumn("m", 1 - F.col("m")))):
+        want, state = {}, {}
+        for r in L.covariance(spec, m, block=block).where("i <= j").orderBy("blk").collect():
+            e, x = (r["utt"], r["f"], r["i"], r["j"]), complex(r["re"], r["im"])
+            state[e] = 0.8 * state[e] + (0.2 if later is None else later) * x if e in state else x
+            want[e[0], r["blk"], *e[1:]] = state[e]
+        assert got.keys() == want.keys() and all(np.isclose(got[x][k], want[x]) for x in want)
+    plan = B.online(spec, mask, "mvdr", 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Union") == 1
+    assert B.online(spec.where("t < 0"), mask.where("t < 0"), "mvdr", 2).collect() == []
+
+
 def test_matrices_that_are_not_square_give_nulls(spark):
     rows_ = [(0, [1.0, 0.0, 0.0, 2.0], [0.0] * 4), (1, [1.0, 2.0, 3.0], [0.0] * 3), (2, [4.0], [0.0]), (3, [], [])]
     df = spark.createDataFrame(rows_, "k long, r_re array<double>, r_im array<double>").coalesce(1)
