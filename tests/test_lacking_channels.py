@@ -69,7 +69,7 @@ def covariances(u, f, frames=slice(None)):
     return [V.cov(spectra(u)[:, frames, f], m[frames, f]) for m in (V.MASK, 1 - V.MASK)]
 
 
-@pytest.mark.parametrize("name", ["bf07_mpdr"])
+@pytest.mark.parametrize("name", ["bf07_mpdr", "bf08_pmwf"])
 def test_power_of_beamformers(spark, lacking, name):
     want = {}
     for u, f in itertools.product(MASKED, range(V.BINS)):
