@@ -56,7 +56,9 @@ def mvdr(rs: np.ndarray, rn: np.ndarray) -> np.ndarray:
 
 def mpdr(rs: np.ndarray, rn: np.ndarray, ry: np.ndarray, whiten: bool = False) -> np.ndarray:
     d = L.principal(rs, rn) if whiten else L.principal(rs)
-    d = (rn @ d[:, :, None])[:, :, 0] if whiten else d
+    if whiten:
+        mixed = (rn @ d[:, :, None])[:, :, 0]
+        d = np.where(mixed.any(axis=1)[:, None], mixed, d)  # no noise at all: as if it were white
     top = np.linalg.solve(L.loaded(ry), d[:, :, None])[:, :, 0]
     return top / (d.conj() * top).sum(axis=1)[:, None]
 
@@ -66,10 +68,11 @@ def gevd(rs: np.ndarray, rn: np.ndarray) -> np.ndarray:
 
 
 def pmwf(rs: np.ndarray, rn: np.ndarray, beta: float = 0.0, ref: int = 0, rank1: str | None = None) -> np.ndarray:
-    """Parametric multichannel Wiener filter for one reference channel."""
+    """Parametric multichannel Wiener filter for one reference channel. Without speech its weights are 0, also for a beta of 0."""
     rs = {"eig": lambda: L.rank_one(rs), "gev": lambda: L.rank_one(rs, rn), None: lambda: rs}[rank1]()
     x = np.linalg.solve(L.loaded(rn), rs)
-    return x[:, :, ref] / (beta + np.trace(x, axis1=1, axis2=2).real)[:, None]
+    total = beta + np.trace(x, axis1=1, axis2=2).real
+    return x[:, :, ref] / np.where(total == 0, 1.0, total)[:, None]
 
 
 #: Weights by name, from speech and noise covariances.

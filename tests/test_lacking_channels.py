@@ -69,10 +69,16 @@ def covariances(u, f, frames=slice(None)):
     return [V.cov(spectra(u)[:, frames, f], m[frames, f]) for m in (V.MASK, 1 - V.MASK)]
 
 
-@pytest.mark.parametrize("name", ["bf07_mpdr", "bf08_pmwf"])
+@pytest.mark.parametrize("name", ["bf07_mpdr", "bf08_pmwf", "bf08_pmwf_rank1"])
 def test_power_of_beamformers(spark, lacking, name):
     want = {}
     for u, f in itertools.product(MASKED, range(V.BINS)):
         w = V.WEIGHTS[name](*covariances(u, f))
         want[u, f] = [(np.abs(w.conj() @ spectra(u)[:, :, f]) ** 2).sum()]
     same(result(spark, lacking, name, "utt", "f"), wanted(want, ["utt", "f"]), atol=1e-3)
+
+
+@pytest.mark.parametrize("name", ["bf08_pmwf_rank1", "bf07_mpdr_whitened"])
+def test_silent_recordings_have_no_power_and_lose_no_row(spark, silent, name):
+    power = result(spark, silent, name, "utt", "f")["power"]
+    assert len(power) == 3 * V.BINS and (power[1] == 0).all() and (power[[0, 2]] > 0).all()
