@@ -82,3 +82,13 @@ def test_power_of_beamformers(spark, lacking, name):
 def test_silent_recordings_have_no_power_and_lose_no_row(spark, silent, name):
     power = result(spark, silent, name, "utt", "f")["power"]
     assert len(power) == 3 * V.BINS and (power[1] == 0).all() and (power[[0, 2]] > 0).all()
+
+
+def test_blockwise_beamformer_in_all_blocks(spark, lacking):
+    want = {}
+    for u, f, frames in itertools.product(MASKED, range(V.BINS), (slice(0, 4), slice(4, 7))):
+        s, n = covariances(u, f, frames)
+        y = V.distortionless(n, V.top(s)).conj() @ spectra(u)[:, frames, f]
+        want |= {(u, frames.start + t, f): [abs(v)] for t, v in enumerate(y)}
+    z = result(spark, lacking, "bf13_blockwise_mvdr", "utt", "t", "f")
+    same(np.hypot(z[["re"]], z[["im"]].to_numpy()), wanted(want, ["utt", "t", "f"]))
