@@ -92,3 +92,21 @@ def test_blockwise_beamformer_in_all_blocks(spark, lacking):
         want |= {(u, frames.start + t, f): [abs(v)] for t, v in enumerate(y)}
     z = result(spark, lacking, "bf13_blockwise_mvdr", "utt", "t", "f")
     same(np.hypot(z[["re"]], z[["im"]].to_numpy()), wanted(want, ["utt", "t", "f"]))
+
+
+def test_wave_of_adaptive_beamformer(spark, lacking):
+    """Weights, mask and overlap-add by hand; the first sample has no window on it."""
+    want = {}
+    for u in MASKED:
+        y = np.zeros((V.FRAMES, V.BINS), dtype=complex)
+        for f in range(V.BINS):
+            s, n = covariances(u, f)
+            y[:, f] = V.MASK[:, f] * (V.distortionless(n, V.top(s)).conj() @ spectra(u)[:, :, f])
+        x, weight = np.zeros(64), np.zeros(64)
+        for t in range(V.FRAMES):
+            x[8 * t : 8 * t + 16] += np.fft.irfft(y[t]) * V.WINDOW
+            weight[8 * t : 8 * t + 16] += V.WINDOW**2
+        want |= {(u, n): [x[n] / weight[n]] for n in range(1, 64)}
+    found = result(spark, lacking, "bf15_adaptive_to_wave", "utt", "n")
+    assert len(found) == 64 * len(MASKED)
+    same(found[found.index.get_level_values("n") > 0], wanted(want, ["utt", "n"]))
