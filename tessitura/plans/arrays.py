@@ -144,9 +144,15 @@ def loaded_covariance(spark, d, share=0.5):
     return L.packed(c.join(size, ["utt", "f"]).withColumn("re", F.col("re") + on), ["utt", "f"], "r")
 
 
+def kept(v, out, power=1):
+    """Rows without a result get NaN for each of their channels r_ch (power 2: for each element of a matrix), so that none is lost."""
+    void = F.array_repeat(F.lit(float("nan")), F.pow(F.size("r_ch"), F.lit(power)).cast("int"))
+    return v.withColumns({f"{out}_{p}": F.coalesce(f"{out}_{p}", void) for p in ("re", "im")})
+
+
 def square(v, *names):
     """Row-major arrays o_re, o_im of matrices, by element, under the channels r_ch of their rows and columns."""
-    long = v.select("utt", "f", "r_ch", F.posexplode(F.arrays_zip("o_re", "o_im")).alias("at", "z"))
+    long = kept(v, "o", 2).select("utt", "f", "r_ch", F.posexplode(F.arrays_zip("o_re", "o_im")).alias("at", "z"))
     ch = lambda k: F.get("r_ch", k.cast("int")).cast("long")
     return r(long.select("utt", "f", ch(F.floor(F.col("at") / F.size("r_ch"))).alias("i"), ch(F.col("at") % F.size("r_ch")).alias("j"), F.col("z.o_re").alias("re"), F.col("z.o_im").alias("im")), "re", "im")
 

@@ -110,3 +110,26 @@ def test_wave_of_adaptive_beamformer(spark, lacking):
     found = result(spark, lacking, "bf15_adaptive_to_wave", "utt", "n")
     assert len(found) == 64 * len(MASKED)
     same(found[found.index.get_level_values("n") > 0], wanted(want, ["utt", "n"]))
+
+
+def loaded(u, f):
+    r = covariances(u, f)[0]
+    return r + 0.5 * np.trace(r).real / 4 * np.eye(len(r))
+
+
+def elements(m, u, f):
+    return {(u, f, i, j): [m[a, b].real, m[a, b].imag] for a, i in enumerate(HAS[u]) for b, j in enumerate(HAS[u])}
+
+
+def test_inverses_go_over_the_channels_there_are(spark, lacking):
+    want = {}
+    for u, f in itertools.product(MASKED, range(V.BINS)):
+        want |= elements(np.linalg.inv(loaded(u, f)), u, f)
+    same(result(spark, lacking, "la02_inverse", "utt", "f", "i", "j")[["re", "im"]], wanted(want, ["utt", "f", "i", "j"]))
+
+
+def test_matrices_without_an_inverse_lose_no_row(spark, silent):
+    keys = ["utt", "f", "i", "j"]
+    found, want = result(spark, silent, "la02_inverse", *keys), by_sql(silent, "la02_inverse", keys)
+    assert list(found.index) == list(want.index) and len(found) == 3 * V.BINS * 16 and found.loc[1].isna().all(axis=None)
+    same(found.loc[[0, 2]], want.loc[[0, 2], found.columns])
