@@ -133,3 +133,10 @@ def test_matrices_without_an_inverse_lose_no_row(spark, silent):
     found, want = result(spark, silent, "la02_inverse", *keys), by_sql(silent, "la02_inverse", keys)
     assert list(found.index) == list(want.index) and len(found) == 3 * V.BINS * 16 and found.loc[1].isna().all(axis=None)
     same(found.loc[[0, 2]], want.loc[[0, 2], found.columns])
+
+
+def test_power_sums_of_eigenvalues_equal_their_sql(spark, lacking):
+    keys = ["utt", "f"]
+    found, want = result(spark, lacking, "la03_eigenvalues", *keys), by_sql(lacking, "la03_eigenvalues", keys)
+    assert len(found) == len(MASKED) * V.BINS
+    same(found, want[found.columns], atol=2e-5)
