@@ -140,3 +140,10 @@ def test_power_sums_of_eigenvalues_equal_their_sql(spark, lacking):
     found, want = result(spark, lacking, "la03_eigenvalues", *keys), by_sql(lacking, "la03_eigenvalues", keys)
     assert len(found) == len(MASKED) * V.BINS
     same(found, want[found.columns], atol=2e-5)
+
+
+def test_rank_one_matrices_of_own_channels(spark, lacking):
+    want = {}
+    for u, f in itertools.product(MASKED, range(V.BINS)):
+        want |= elements(V.rank_one(covariances(u, f)[0]), u, f)
+    same(result(spark, lacking, "la07_rank_one", "utt", "f", "i", "j")[["re", "im"]], wanted(want, ["utt", "f", "i", "j"]))
