@@ -191,7 +191,7 @@ def la08(spark, d):
     """x of R x = b: R the loaded covariance, b the first column of the one without a load."""
     c = L.packed(L.covariance(spec(spark, d), mask(spark, d)), ["utt", "f"], "s").join(loaded_covariance(spark, d), ["utt", "f"])
     v = L.per_row(c, ["utt", "f", "r_ch"], ["s", "r"], lambda s, x: L.solved(x, s[:, :, :1])[:, :, 0], "x")
-    return r(L.by_channel(v, ["utt", "f"], "r_ch", "x").withColumnRenamed("ch", "i"), "re", "im")
+    return r(L.by_channel(kept(v, "x"), ["utt", "f"], "r_ch", "x").withColumnRenamed("ch", "i"), "re", "im")
 
 
 def la09(spark, d):

@@ -147,3 +147,18 @@ def test_rank_one_matrices_of_own_channels(spark, lacking):
     for u, f in itertools.product(MASKED, range(V.BINS)):
         want |= elements(V.rank_one(covariances(u, f)[0]), u, f)
     same(result(spark, lacking, "la07_rank_one", "utt", "f", "i", "j")[["re", "im"]], wanted(want, ["utt", "f", "i", "j"]))
+
+
+def test_systems_are_solved_over_the_channels_there_are(spark, lacking):
+    want = {}
+    for u, f in itertools.product(MASKED, range(V.BINS)):
+        x = np.linalg.solve(loaded(u, f), covariances(u, f)[0][:, 0])
+        want |= {(u, f, i): [v.real, v.imag] for i, v in zip(HAS[u], x)}
+    same(result(spark, lacking, "la08_solve", "utt", "f", "i")[["re", "im"]], wanted(want, ["utt", "f", "i"]))
+
+
+def test_systems_without_a_solution_lose_no_row(spark, silent):
+    keys = ["utt", "f", "i"]
+    found, want = result(spark, silent, "la08_solve", *keys), by_sql(silent, "la08_solve", keys)
+    assert list(found.index) == list(want.index) and len(found) == 3 * V.BINS * 4 and found.loc[1].isna().all(axis=None)
+    same(found.loc[[0, 2]], want.loc[[0, 2], found.columns])
