@@ -162,3 +162,11 @@ def test_systems_without_a_solution_lose_no_row(spark, silent):
     found, want = result(spark, silent, "la08_solve", *keys), by_sql(silent, "la08_solve", keys)
     assert list(found.index) == list(want.index) and len(found) == 3 * V.BINS * 4 and found.loc[1].isna().all(axis=None)
     same(found.loc[[0, 2]], want.loc[[0, 2], found.columns])
+
+
+def test_log_determinants_of_own_channels(spark, lacking):
+    want = {}
+    for u, f in itertools.product(MASKED, range(V.BINS)):
+        v = np.linalg.eigvalsh(covariances(u, f)[0])
+        want[u, f] = [np.log(np.maximum(v / v[-1], V.EPS)).sum()]
+    same(result(spark, lacking, "la09_log_determinant", "utt", "f"), wanted(want, ["utt", "f"]), atol=1e-3)
