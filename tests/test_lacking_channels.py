@@ -170,3 +170,18 @@ def test_log_determinants_of_own_channels(spark, lacking):
         v = np.linalg.eigvalsh(covariances(u, f)[0])
         want[u, f] = [np.log(np.maximum(v / v[-1], V.EPS)).sum()]
     same(result(spark, lacking, "la09_log_determinant", "utt", "f"), wanted(want, ["utt", "f"]), atol=1e-3)
+
+
+#: Steering vectors: directions x bins x channels.
+STEER = np.exp(-1j * np.pi * 16000 / 8 * np.arange(V.BINS)[:, None] * np.cos(np.pi * np.arange(19) / 18)[:, None, None] * np.array([0, 0.05, 0.1, 0.15]) / 343)
+
+
+def test_subspaces_of_own_channels(spark, lacking):
+    best = result(spark, lacking, "sp12_music_ssl", "utt")["a"]
+    assert list(best.index) == list(MASKED)
+    for u, own in MASKED.items():
+        e = np.zeros(19)
+        for f in range(V.BINS):
+            v, s = V.top(covariances(u, f)[0]), STEER[:, f, own]
+            e += np.einsum("ai,ij,aj->a", s.conj(), np.eye(len(own)) - np.outer(v, v.conj()), s).real
+        assert e[best[u]] < e.min() + 1e-4
