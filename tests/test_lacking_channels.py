@@ -185,3 +185,10 @@ def test_subspaces_of_own_channels(spark, lacking):
             v, s = V.top(covariances(u, f)[0]), STEER[:, f, own]
             e += np.einsum("ai,ij,aj->a", s.conj(), np.eye(len(own)) - np.outer(v, v.conj()), s).real
         assert e[best[u]] < e.min() + 1e-4
+
+
+def test_likelihoods_equal_their_sql(spark, lacking):
+    keys = ["utt", "a"]
+    found, want = result(spark, lacking, "sp10_ml_ssl", *keys), by_sql(lacking, "sp10_ml_ssl", keys)
+    assert len(found) == len(MASKED) * 19
+    same(found, want, atol=2e-6)
