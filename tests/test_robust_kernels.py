@@ -178,6 +178,36 @@ def test_dot_products_of_nothing(spark):
     assert [tuple(r) for r in M.dot_products(some, asked).collect()] == [(1, 2, 3.0)]
 
 
+def shuffled(plan):
+    """Rows that all exchanges of an executed plan wrote."""
+    kind = plan.getClass().getSimpleName()
+    inner = plan.executedPlan() if kind == "AdaptiveSparkPlanExec" else plan.plan() if kind.endswith("QueryStageExec") else None
+    below = [inner] if inner is not None else [plan.children().apply(k) for k in range(plan.children().size())]
+    return sum(shuffled(x) for x in below) + (plan.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0)
+
+
+def test_dot_products_write_each_vector_once(spark, monkeypatch):
+    """However many parts the other side has; copies for each part made the disk grow with the square of the table."""
+    for name, x in (("BLOCK", 5), ("ROWS", 7)):
+        monkeypatch.setattr(M, name, x)
+    rows_ = spark.range(120).selectExpr("id AS a", "array(double(id), 1D) AS v")
+    queries = spark.range(60).selectExpr("id AS b", "array(2D, double(id)) AS w")
+    out = M.dot_products(rows_, queries)
+    assert {(r["a"], r["b"]): r["dot"] for r in out.collect()} == {(a, b): 2.0 * a + b for a in range(120) for b in range(60)}
+    assert 0 < shuffled(out._jdf.queryExecution().executedPlan()) <= 120 + 60
+
+
+def test_dot_products_of_single_precision(spark):
+    """Vectors of floats travel as they are and are multiplied as doubles."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(20, 8)).astype(np.float32)
+    rows_ = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)] + [(20, None), (21, [1.0])], "a long, v array<float>")
+    got = {(r["a"], r["b"]): r["dot"] for r in M.dot_products(rows_, rows_.where("a < 4").selectExpr("a AS b", "v AS w")).collect()}
+    assert len(got) == 22 * 4
+    for (a, b), dot in got.items():
+        assert dot is None if a > 19 else abs(dot - v[a].astype(float) @ v[b].astype(float)) < 1e-14
+
+
 def test_files_are_decoded_in_pieces(spark, monkeypatch):
     """A batch of many files isn't decoded at once; a file larger than a piece is one."""
     batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array([b"x" * n for n in (3, 3, 3, 20, 0, 0, 9)], pa.binary())], ["k", "content"])
